@@ -121,6 +121,31 @@ def mix(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     return placed, cut.join(slots, ["_s", "rank"]).select("slot", "_s", "_at", "epoch", "start", "length")
 
 
+def mixed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents as the mix takes them: each row up to twice, cut after the last word taken."""
+    columns = docs.columns
+    rows = save(sized(docs).withColumn("_row", F.monotonically_increasing_id()), "sized")  # written, so the numbers stay
+    placed, pieces = mix(rows.select(key, "source", "_size", "_row"), key)
+    taken = pieces.groupBy("_s", "_at", "epoch").agg(F.sum("length").alias("_take"))
+    takes = placed.where("_size > 0").join(taken, ["_s", "_at"]).select("_row", "_take")
+    place = columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            out = []
+            for text, n, m in zip(raw(b.column("text")), b.column("_take").to_pylist(), b.column("_size").to_pylist(), strict=True):
+                if n < m:
+                    space = np.isin(np.frombuffer(text, np.uint8), [9, 10, 11, 12, 13, 32])
+                    ends = np.flatnonzero(np.diff(np.r_[space, True].astype(np.int8)) == 1) + 1
+                    text = text[: ends[n - 1]]
+                out.append(text)
+            cols = [b.column(c) for c in columns]
+            cols[place] = pa.array(out, pa.binary()).cast(pa.string())
+            yield pa.record_batch(cols, names=columns)
+
+    return rows.join(takes, "_row").select(*columns, "_take", "_size").mapInArrow(cut, docs.schema)
+
+
 def op8_golden_mix(spark, sf_dir: str) -> DataFrame:
     """Words of each document that the mix of all sources takes."""
     docs = save(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "_size"), "sizes")

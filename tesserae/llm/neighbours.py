@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, save
 
 #: Neighbours of a node, starting cells and their rows, rounds, offers of a node at a meeting, and least updates a node.
-K, TREES, CELL, ROUNDS, OFFERS, STILL = 28, 5, 256, 6, 4, 0.02
+K, TREES, CELL, ROUNDS, OFFERS, STILL = 32, 5, 256, 6, 4, 0.02
 #: Nodes kept and expanded for a query, rounds of the search, entries for a query that is no node, members kept of a class.
-BEAM, EXPAND, STEPS, ENTRIES = 96, 32, 8, 256
+BEAM, EXPAND, STEPS, ENTRIES = 192, 64, 8, 256
 EDGE = "u long, v long, d double, fresh boolean"
 
 

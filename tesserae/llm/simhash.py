@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, components, parts, raw, save, slices
+from .common import arrow_limits, components, raw, save, slices
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: First bit and bits of each segment.
@@ -205,16 +205,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, fp long: the fingerprint's 64 bits) of each row; a null text is empty."""
+    """(key, digest: XXH64 of the text, fp long: the fingerprint's 64 bits) of each row; a null text is empty."""
     arrow_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             fp = np.array([fingerprint(t) for t in raw(b.column("text"))], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column("key"), pa.array(fp)], names=["key", "fp"])
+            yield pa.record_batch([b.column("key"), b.column("digest"), pa.array(fp)], names=["key", "digest", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("digest"), "text").mapInArrow(run, f"key {kind}, digest long, fp long").withColumnRenamed("key", key)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -240,21 +240,37 @@ def links(fps: DataFrame) -> DataFrame:
     return fps.mapInArrow(spread, "key long, fp long, side byte").repartition(n, "key").mapInArrow(meet, "a long, b long")
 
 
+def _classes(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with fingerprints, (fp, least: smallest key with it, root: the least linked fingerprint))."""
+    rows = save(fingerprints(docs, key), "fingerprints")
+    classes = rows.groupBy("fp").agg(F.min(key).alias("least"))
+    root = components(save(links(classes.select("fp")), "links"), "a", "b")
+    named = classes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rows, save(named, "classes")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, fp long, component_id): the smallest key that links of at most BITS differing bits reach, itself included.
 
     Repeated rows and equal texts share a fingerprint and so a component; null keys count only where a component has no
     other. An empty table gives no row.
     """
-    rows = save(fingerprints(docs, key), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min(key).alias("least"))
-    root = components(save(links(classes.select("fp")), "links"), "a", "b")
-    named = classes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = save(named, "classes")
+    rows, named = _classes(docs, key)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
+def representatives(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row of each component: that of the smallest key (null last), of the smallest text digest among equals."""
+    rows, named = _classes(docs, key)
+    won = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "digest")).alias("w"))
+    won = won.select(F.col("w.key").alias("_key"), F.col("w.digest").alias("_digest"))
+    found = docs.withColumn("_own", F.xxhash64("text"))
+    found = found.join(won, found[key].eqNullSafe(won["_key"]) & (found["_own"] == won["_digest"]), "left_semi")
+    once = Window.partitionBy(key, "_own").orderBy(*(c for c in docs.columns if c not in (key, "text")))
+    return found.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by whole texts."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -161,7 +161,7 @@ def _cut(length: int, k: int, names: list[str], schema: pa.Schema):
             step = np.diff(np.r_[0, drop.astype(np.int8), 0])
             spans = [{"start": int(a), "length": int(b - a)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
             kept = b" ".join([w for w, d in zip(words, drop.tolist(), strict=True) if not d]) if drop.any() else b" ".join(words)
-            rows.append((len(words), int(drop.sum()), kept.decode("utf-8", "replace"), hashlib.sha256(kept).hexdigest(), spans))
+            rows.append((len(words), int(drop.sum()), (kept if drop.any() else text).decode("utf-8", "replace"), hashlib.sha256(kept).hexdigest(), spans))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         return pa.table([*(docs.column(c) for c in names), *(pa.array(c, schema.field(n).type) for c, n in zip(cols, schema.names[len(names) :], strict=True))], names=schema.names)
 
@@ -172,7 +172,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
     """(key, the columns ``keep``, n_words, n_removed, kept_text, kept_sha256, repeats: spans (start, length) in words).
 
     A word goes if a window of ``length`` words over it also starts elsewhere, in the same document or another; kept
-    words are joined by one space. A null text has no words. Repeated rows repeat each other's windows. Texts under
+    words are joined by one space for the digest, and in the text if any word goes (else it stays as it was). A null text has no words. Repeated rows repeat each other's windows. Texts under
     ``length`` words stay whole.
     """
     spark = docs.sparkSession
@@ -194,3 +194,20 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
 def op10_seed_extend(spark, sf_dir: str) -> DataFrame:
     """Passages of LENGTH words that occur again anywhere, cut from all documents."""
     return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS word,
+         generate_subscripts(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents),
+ windows AS (
+  SELECT doc_id, i, md5(string_agg(word, ' ') OVER w) AS h, COUNT(*) OVER w AS n FROM words
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+ again AS (SELECT doc_id, i, CASE WHEN n = 35 AND COUNT(*) OVER (PARTITION BY h) > 1 THEN 1 ELSE 0 END AS dup FROM windows),
+ covered AS (SELECT doc_id, i, MAX(dup) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM again),
+ kept AS (
+  SELECT w.doc_id, COUNT(*) AS n_words, SUM(gone) AS n_removed, COALESCE(string_agg(word, ' ' ORDER BY w.i) FILTER (WHERE gone = 0), '') AS rest
+  FROM words w JOIN covered c ON c.doc_id = w.doc_id AND c.i = w.i GROUP BY 1)
+SELECT d.doc_id, CAST(COALESCE(n_words, 0) AS BIGINT) AS n_words, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, sha256(COALESCE(rest, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
