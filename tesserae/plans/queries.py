@@ -1 +1,465 @@
-QUERIES, ORACLES = {}, {}
+"""Queries over the driver's tables, and the SQL each is held against (not where SQL cannot express the operator)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates as d
+from ..functions import routing as r
+from ..functions import text as t
+from ..operators import catalog as c
+from ..operators import compare as cmp
+from ..operators import dates as od
+from ..operators import layout, retrieval, sections
+from . import ask as plan
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Lines of documents as chunks: doc_id, chunk_id, text."""
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_id", "text"))
+
+
+LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_id FROM documents)"
+
+
+# Scalars ------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, replace(replace(replace(text, chr(13)||chr(10), chr(10)), ' – ', chr(10)||'- '), '– ', chr(10)||'- ') AS text FROM documents""")
+def preprocess_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", t.preprocess_text(F.col("text")).alias("text"))
+
+
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(replace(text, chr(13)||chr(10), chr(10)), '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g') AS q FROM conversations""")
+def normalize_query(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", t.normalize_query(F.col("text")).alias("q"))
+
+
+_MARKS = r"""regexp_replace(regexp_replace(regexp_replace({x}, '\[\s*(\d+)\s*\]', '[\1]', 'g'), '\(\s*', '(', 'g'), '\s*\)', ')', 'g')"""
+_SPACING = r"""regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10)||chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
+_DASHES = "translate(replace(text, chr(13)||chr(10), chr(10)), '–—', '--')"
+_JOINED = r"""regexp_replace(regexp_replace({x}, '([^\n])\n([^\n])', '\1 \2', 'g'), '([^\n])\n([^\n])', '\1 \2', 'g')"""
+DISPLAY_SQL = _SPACING.format(x=_MARKS.format(x=_DASHES))
+COMPARE_SQL = _SPACING.format(x=r"regexp_replace({x}, '\s*-\s*', ' - ', 'g')".format(x=_MARKS.format(x=_JOINED.format(x=_DASHES))))
+
+
+@query(f"SELECT doc_id, {COMPARE_SQL} AS text FROM documents")
+def normalize_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", t.normalize_text(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {DISPLAY_SQL} AS text FROM documents")
+def normalize_display_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", t.normalize_display_text(F.col("text")).alias("text"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_\s]|\s+') AS w FROM documents)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS tokens, array_to_string(w, '') = text AS lossless FROM x""")
+def tokenize_with_separators(spark, sf):
+    w = t.tokenize_with_separators(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(w).cast("long").alias("tokens"), (F.array_join(w, "") == F.col("text")).alias("lossless"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages""")
+def html_escape(spark, sf):
+    return table(spark, sf, "pages").select("page_id", t.html_escape(F.col("html")).alias("escaped"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE rtrim(substr(text, 1, 120)) || '...' END AS title, CASE WHEN length(text) <= 1400 THEN text ELSE rtrim(substr(text, 1, 1400)) || '...' END AS body FROM documents""")
+def compact_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", t.compact(F.col("text"), 120).alias("title"), t.compact(F.col("text"), 1400).alias("body"))
+
+
+@query(r"""SELECT p_partkey, COALESCE(NULLIF(regexp_replace(regexp_replace(p_type || '/' || p_name || ' #', '[^\pL\pN\pM_. -]+', '_', 'g'), '^[ ._]+|[ ._]+$', '', 'g'), ''), 'document') AS name,
+ lower(trim(string_split('/data/' || p_brand || '.PDF', '/')[-1])) AS file FROM part""")
+def document_names(spark, sf):
+    name = F.concat("p_type", F.lit("/"), "p_name", F.lit(" #"))
+    return table(spark, sf, "part").select("p_partkey", t.safe_document_name(name).alias("name"), t.normalized_filename(F.concat(F.lit("/data/"), "p_brand", F.lit(".PDF"))).alias("file"))
+
+
+@query("""SELECT doc_id, substr(sha1(COALESCE(source,'') || '::' || CAST(doc_id AS VARCHAR) || '::' || COALESCE(lang,'')), 1, 16) AS id, COALESCE(NULLIF(source,''),'Без папки') || ' / ' || CAST(doc_id AS VARCHAR) || ' | ' || COALESCE(NULLIF(lang,''),'version') || ' | file' AS label FROM documents""")
+def document_ids(spark, sf):
+    name = F.col("doc_id").cast("string")
+    return table(spark, sf, "documents").select("doc_id", t.document_id(F.col("source"), name, F.col("lang")).alias("id"), t.document_label(F.col("source"), name, F.col("lang"), F.lit(""), "Без папки").alias("label"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\s]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^\s]+'), 1) AS i FROM documents),
+ f AS (SELECT doc_id, w, i, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY i) AS n FROM x)
+SELECT doc_id, md5(string_agg(w, ' ' ORDER BY i)) AS words, COUNT(*) AS n FROM f WHERE n = 1 GROUP BY 1""")
+def unique_keep_order(spark, sf):
+    w = table(spark, sf, "documents").select("doc_id", F.posexplode(retrieval.words(F.col("text"))).alias("i", "w"))
+    first = w.groupBy("doc_id", F.lower("w").alias("k")).agg(F.min(F.struct("i", "w")).alias("f"))
+    out = first.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    return out.select("doc_id", F.md5(F.array_join("f.w", " ")).alias("words"), F.size("f").cast("long").alias("n"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 1 WHEN p_size % 7 = 1 THEN 2 WHEN p_size % 7 = 2 THEN NULL ELSE greatest(1, least(6, p_size)) END AS level,
+ CASE WHEN p_size >= 18 THEN 1 WHEN p_size >= 15 THEN 2 ELSE 3 END AS by_size,
+ regexp_extract(p_name, '[A-Za-z]') = lower(regexp_extract(p_name, '[A-Za-z]')) AND regexp_extract(p_name, '[A-Za-z]') <> '' AS starts_low FROM part""")
+def heading_levels(spark, sf):
+    style = F.when(F.col("p_size") % 7 == 0, "Title").when(F.col("p_size") % 7 == 1, " Subtitle ").when(F.col("p_size") % 7 == 2, "Normal").otherwise(F.concat(F.lit("Heading "), F.col("p_size").cast("string")))
+    return table(spark, sf, "part").select("p_partkey", t.heading_level_of_style(style).alias("level"), t.heading_level_of_size(F.col("p_size"), F.lit(12)).alias("by_size"), t.starts_with_lowercase(F.col("p_name")).alias("starts_low"))
+
+
+@query("""SELECT n_regionkey, '| ' || 'key' || ' | ' || 'name' || ' |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || CAST(n_nationkey AS VARCHAR) || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS md FROM nation GROUP BY 1""")
+def table_markdown(spark, sf):
+    rows = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), F.concat(F.lit("  "), "n_name")).alias("row")))).alias("r"))
+    head = F.array(F.array(F.lit("key"), F.lit("name")), F.array(F.lit(" "), F.lit("")))
+    return rows.select("n_regionkey", t.table_markdown(F.concat(head, F.col("r.row"))).alias("md"))
+
+
+# Catalogue ----------------------------------------------------------------------------------------------------------
+
+
+def _catalog(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.concat(F.lit("doc"), (F.col("doc_id") % 50).cast("string")).alias("document_name"), F.lit("1").alias("version"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("document_folder"), F.lit("md").alias("source_type"), F.concat(F.lit("F"), F.col("doc_id").cast("string"), F.lit(".MD")).alias("original_filename"), F.lit("").alias("stored_source_path"), F.lit("").alias("text_source_path"), F.lit("").alias("layout_source_path"), F.col("text").alias("raw_text"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"))
+
+
+_CATALOG = """cat AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, '/in/' || doc_id || '.md' AS source, 'doc' || (doc_id % 50) AS document_name, '1' AS version, CASE WHEN doc_id % 3 > 0 THEN source END AS document_folder, 'F' || doc_id || '.MD' AS original_filename, text FROM documents)"""
+
+
+@query(f"WITH {_CATALOG} SELECT doc_id, CASE WHEN CAST(doc_id AS BIGINT) % 4 = 0 THEN '2' ELSE version END AS version, document_name FROM cat UNION ALL SELECT 'new', '2', 'fresh'")
+def catalog_upsert(spark, sf):
+    now = _catalog(spark, sf)
+    newer = now.where(F.col("doc_id").cast("long") % 4 == 0).withColumn("version", F.lit("2"))
+    fresh = newer.limit(1).withColumn("doc_id", F.lit("new")).withColumn("document_name", F.lit("fresh"))
+    return c.upsert(now, newer.unionByName(fresh)).select("doc_id", "version", "document_name")
+
+
+@query(f"WITH {_CATALOG} SELECT doc_id FROM cat WHERE CAST(doc_id AS BIGINT) % 5 <> 0")
+def catalog_delete(spark, sf):
+    now = _catalog(spark, sf)
+    return c.delete(now, now.where(F.col("doc_id").cast("long") % 5 == 0).select("doc_id")).select("doc_id")
+
+
+@query(f"WITH {_CATALOG} SELECT doc_id, document_name, COALESCE(NULLIF(document_folder,''),'Без папки') AS document_folder FROM cat WHERE contains(lower(document_folder || ' ' || document_name || ' ' || version || ' md ' || source || ' ' || doc_id), 'doc1') AND document_folder = 'src0'")
+def catalog_search(spark, sf):
+    return c.listing(_catalog(spark, sf)).where(c.matches("Doc1", "src0")).select("doc_id", "document_name", "document_folder")
+
+
+@query(f"WITH {_CATALOG} SELECT COALESCE(NULLIF(document_folder,''),'Без папки') AS folder, COUNT(*) AS n, string_agg(doc_id, ',' ORDER BY document_name, source, doc_id) AS docs FROM cat GROUP BY 1")
+def catalog_folders(spark, sf):
+    rows = c.listing(_catalog(spark, sf))
+    out = rows.groupBy(F.col("document_folder").alias("folder")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("document_name", "source", "doc_id"))).alias("d"))
+    return out.select("folder", "n", F.array_join("d.doc_id", ",").alias("docs"))
+
+
+@query("SELECT 'x/f' || doc_id || '.md' AS filename, CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE doc_id % 10 = 0")
+def duplicate_uploads(spark, sf):
+    uploads = table(spark, sf, "documents").where("doc_id % 10 = 0").select(F.concat(F.lit("x/f"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"))
+    return c.duplicate_uploads(_catalog(spark, sf), uploads)
+
+
+# Structure ----------------------------------------------------------------------------------------------------------
+
+
+def _headed(spark, sf) -> DataFrame:
+    """Documents with every second line after the first as a heading with its text."""
+    parts = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("## "), F.element_at(F.split(x, " "), 1), F.lit("\n"), x)).otherwise(x))
+    return table(spark, sf, "documents").where("doc_id is not null").select("doc_id", F.array_join(parts, "\n").alias("text"))
+
+
+_SECTIONS = LINES + r""", cut AS (SELECT doc_id, chunk_id, text, CASE WHEN chunk_id % 2 = 1 AND string_split(text, ' ')[1] <> '' THEN 1 ELSE 0 END AS head FROM lines),
+ isl AS (SELECT *, SUM(head) OVER (PARTITION BY doc_id ORDER BY chunk_id) AS island FROM cut),
+ grp AS (SELECT doc_id, island, MAX(CASE WHEN head = 1 THEN string_split(text, ' ')[1] END) AS title,
+   regexp_replace(string_agg(CASE WHEN chunk_id % 2 = 1 THEN '## ' || string_split(text, ' ')[1] || chr(10) || text ELSE text END, chr(10) ORDER BY chunk_id), '^\s+|\s+$', '', 'g') AS page_content FROM isl GROUP BY 1, 2),
+ sec AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS section_id, COALESCE(title, 'Документ') AS section_title, page_content FROM grp WHERE page_content <> '' OR NOT EXISTS (SELECT 1 FROM grp g WHERE g.doc_id = grp.doc_id AND g.page_content <> ''))"""
+
+
+@query(f"WITH {_SECTIONS} SELECT doc_id, CAST(section_id AS BIGINT) AS section_id, section_title, page_content FROM sec")
+def split_into_sections(spark, sf):
+    return sections.split_into_sections(_headed(spark, sf)).withColumn("section_id", F.col("section_id").cast("long"))
+
+
+@query(f"WITH {_SECTIONS}, o AS (SELECT * FROM sec WHERE section_id < 18) SELECT doc_id, string_agg(section_id || '. ' || section_title || ': ' || substr(trim(regexp_replace(substr(page_content, 1, 800), '\\s+', ' ', 'g')), 1, 220), chr(10) ORDER BY section_id) AS outline FROM o GROUP BY 1")
+def planner_outline(spark, sf):
+    return sections.outline(sections.summaries(sections.split_into_sections(_headed(spark, sf))))
+
+
+@query(f"WITH {LINES}, x AS (SELECT *, COUNT(*) OVER (PARTITION BY doc_id) AS n FROM lines) SELECT doc_id, CAST(chunk_id AS BIGINT) AS pos, CAST(chunk_id + 1 AS VARCHAR) AS point_no, regexp_replace((chunk_id + 1) || '. ' || text, '\\s+$', '', 'g') AS point_text FROM x WHERE n >= 2")
+def numbered_points(spark, sf):
+    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    out = sections.numbered_points(table(spark, sf, "documents").select("doc_id", numbered.alias("text")), "text", ("doc_id",))
+    return out.select("doc_id", F.col("pos").cast("long"), "point_no", "point_text")
+
+
+@query()
+def chunk_sections(spark, sf):
+    return sections.chunk_sections(sections.split_into_sections(_headed(spark, sf)))
+
+
+@query()
+def lines_to_markdown(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", layout.lines_to_markdown(F.split("text", "\n")).alias("markdown"))
+
+
+@query("""WITH s AS (SELECT p_brand AS doc_id, round(p_size + p_partkey % 3 * 0.04, 1) AS size, COUNT(*) AS n FROM part GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) AS k FROM s) SELECT doc_id, CAST(size AS DOUBLE) AS body_size FROM m WHERE k = 1""")
+def body_font_size(spark, sf):
+    return layout.body_font_size(table(spark, sf, "part").select(F.col("p_brand").alias("doc_id"), (F.col("p_size") + F.col("p_partkey") % 3 * 0.04).alias("size")))
+
+
+# Retrieval ----------------------------------------------------------------------------------------------------------
+
+_BM25 = r"""q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS word FROM benchmark),
+ qw AS (SELECT query_id, word, COUNT(*) AS q FROM q GROUP BY 1, 2),
+ d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+ st AS (SELECT COUNT(*) AS n, AVG(len(w)) AS avgdl FROM d),
+ tf AS (SELECT doc_id, dl, word, COUNT(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS word FROM d) GROUP BY 1, 2, 3),
+ raw AS (SELECT word, ln(n - COUNT(*) + 0.5) - ln(COUNT(*) + 0.5) AS idf FROM tf, st GROUP BY word, n),
+ idf AS (SELECT word, CASE WHEN idf < 0 THEN 0.25 * (SELECT AVG(idf) FROM raw) ELSE idf END AS idf FROM raw),
+ hit AS (SELECT query_id, doc_id, round(SUM(q * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM qw JOIN tf USING (word) JOIN idf USING (word), st GROUP BY 1, 2),
+ bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank, doc_id, score FROM hit QUALIFY rank <= 8)"""
+
+
+def _bm25(spark, sf) -> DataFrame:
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.bm25(table(spark, sf, "documents").select("doc_id", "text"), queries, chunk="doc_id")
+
+
+@query(f"WITH {_BM25} SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(score, 6) AS score FROM bm")
+def bm25_topk(spark, sf):
+    return _bm25(spark, sf).select("query_id", F.col("rank").cast("long"), "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {LINES}, d AS (SELECT doc_id, chunk_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM lines),
+ st AS (SELECT doc_id, COUNT(*) AS n, AVG(len(w)) AS avgdl FROM d GROUP BY 1),
+ tf AS (SELECT doc_id, chunk_id, dl, word, COUNT(*) AS tf FROM (SELECT doc_id, chunk_id, len(w) AS dl, unnest(w) AS word FROM d) GROUP BY 1, 2, 3, 4),
+ raw AS (SELECT doc_id, word, ln(n - COUNT(*) + 0.5) - ln(COUNT(*) + 0.5) AS idf FROM tf JOIN st USING (doc_id) GROUP BY 1, 2, n),
+ idf AS (SELECT doc_id, word, CASE WHEN idf < 0 THEN 0.25 * AVG(idf) OVER (PARTITION BY doc_id) ELSE idf END AS idf FROM raw),
+ hit AS (SELECT doc_id, chunk_id, round(SUM(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM tf JOIN idf USING (doc_id, word) JOIN st USING (doc_id) WHERE word IN ('the', 'der', 'de') GROUP BY 1, 2),
+ every AS (SELECT d.doc_id, d.chunk_id, COALESCE(score, 0) AS score FROM d LEFT JOIN hit h ON h.doc_id = d.doc_id AND h.chunk_id = d.chunk_id),
+ lists AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id DESC) AS k FROM every QUALIFY k <= 8)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id DESC) AS BIGINT) AS rank, CAST(chunk_id AS BIGINT) AS chunk_id, round(score, 6) AS score FROM lists""")
+def bm25_per_document(spark, sf):
+    queries = spark.createDataFrame([(0, "the der de")], "query_id long, text string")
+    out = retrieval.bm25(lines_of(table(spark, sf, "documents")), queries, index=("doc_id",))
+    return out.select("doc_id", F.col("rank").cast("long"), F.col("chunk_id").cast("long"), F.round("score", 6).alias("score"))
+
+
+def _knn(spark, sf, within=()) -> DataFrame:
+    v = table(spark, sf, "embeddings")
+    return retrieval.knn(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", *within), within=within)
+
+
+_KNN = """kn AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 {on} QUALIFY rank <= 10)"""
+
+
+@query(f"WITH {_KNN.format(on='')} SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(score, 6) AS score FROM kn")
+def knn_topk(spark, sf):
+    return _knn(spark, sf).select("query_id", F.col("rank").cast("long"), "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_KNN.format(on='AND v.label = q.label')} SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(score, 6) AS score FROM kn")
+def knn_filtered(spark, sf):
+    return _knn(spark, sf, ("label",)).select("query_id", F.col("rank").cast("long"), "vec_id", F.round("score", 6).alias("score"))
+
+
+def _fused(spark, sf) -> DataFrame:
+    lists = _bm25(spark, sf).select("query_id", F.lit(1).alias("list_no"), "rank", "doc_id")
+    dense = _knn(spark, sf).select("query_id", F.lit(2).alias("list_no"), "rank", F.col("vec_id").alias("doc_id"))
+    return retrieval.rrf(lists.unionByName(dense), ("doc_id",), top=10)
+
+
+_FUSED = f"""{_BM25}, {_KNN.format(on='')}, ls AS (SELECT query_id, 1 AS list_no, rank, doc_id FROM bm UNION ALL SELECT query_id, 2, rank, vec_id FROM kn),
+ rr AS (SELECT query_id, doc_id, round(SUM(1.0::DOUBLE / (60 + rank)), 12) AS score, MIN(list_no * 1000 + rank) AS seen FROM ls GROUP BY 1, 2),
+ fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, doc_id) AS rank FROM rr QUALIFY rank <= 10)"""
+
+
+@query(f"WITH {_FUSED} SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(score, 9) AS score FROM fu")
+def rrf_fusion(spark, sf):
+    return _fused(spark, sf).select("query_id", F.col("rank").cast("long"), "doc_id", F.round("score", 9).alias("score"))
+
+
+_NEAR = f"""{_FUSED}, ar AS (SELECT query_id, doc_id + d AS doc_id, MIN(rank * 10 + d + 5) AS seen FROM fu, (SELECT unnest([-1, 0, 1]) AS d) GROUP BY 1, 2),
+ ne AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY seen) AS pos, doc_id, source, text FROM ar JOIN documents USING (doc_id))"""
+
+
+def _near(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.lit(0).alias("one"), "doc_id", "source", "text")
+    ranked = _fused(spark, sf).where("rank <= 10").withColumn("one", F.lit(0))
+    return retrieval.add_neighbours(ranked.select("query_id", "rank", "one", "doc_id"), docs, keys=("one",), chunk="doc_id").drop("one")
+
+
+@query(f"WITH {_NEAR} SELECT query_id, CAST(pos AS BIGINT) AS pos, doc_id FROM ne")
+def add_neighbours(spark, sf):
+    return _near(spark, sf).select("query_id", F.col("pos").cast("long"), "doc_id")
+
+
+@query(f"""WITH {_NEAR}, bl AS (SELECT *, '[' || pos || '] source=' || source || ' section= chunk_id=' || doc_id || ' start=0' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS block FROM ne),
+ su AS (SELECT *, COALESCE(SUM(length(block) + 2) OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(block) AS used FROM bl)
+SELECT query_id, md5(COALESCE(string_agg(block, chr(10)||chr(10)||'---'||chr(10)||chr(10) ORDER BY pos) FILTER (WHERE used <= 16000), '')) AS context, COUNT(*) FILTER (WHERE used <= 16000) AS blocks FROM su GROUP BY 1""")
+def build_context(spark, sf):
+    rows = _near(spark, sf).select("query_id", "pos", "source", F.lit("").alias("section_title"), F.col("doc_id").alias("chunk_id"), F.lit(0).alias("start_index"), "text")
+    return retrieval.build_context(rows).select("query_id", F.md5("context").alias("context"), F.col("blocks").cast("long"))
+
+
+@query(f"""WITH {_NEAR}, fi AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY pos) AS n FROM ne), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM fi WHERE n = 1)
+SELECT query_id, CAST(pos AS BIGINT) AS pos, doc_id FROM k WHERE r <= 5""")
+def top_sources(spark, sf):
+    rows = _near(spark, sf).withColumn("section_title", F.lit("")).withColumn("chunk_id", F.lit(0))
+    return retrieval.top_sources(rows).select("query_id", F.col("pos").cast("long"), "doc_id")
+
+
+@query(f"""WITH {LINES}, x AS (SELECT doc_id, chunk_id, text, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 80 OR length(regexp_replace(text, '[^A-Za-zА-Яа-яЁё0-9]+', '', 'g')) >= 50 AS good FROM lines),
+ y AS (SELECT *, bool_or(good) OVER (PARTITION BY doc_id) AS a FROM x) SELECT doc_id, CAST(chunk_id AS BIGINT) AS chunk_id FROM y WHERE good OR NOT a""")
+def drop_low_information(spark, sf):
+    rows = lines_of(table(spark, sf, "documents"))
+    return retrieval.drop_low_information(rows, query="doc_id").select("doc_id", F.col("chunk_id").cast("long"))
+
+
+@query(f"""WITH {_SECTIONS}, te AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё0-9-]{{3,}}')) AS term FROM benchmark),
+ sc AS (SELECT query_id, doc_id, section_id, SUM(CASE WHEN h = 0 THEN 0 ELSE LEAST(h, 4) + CASE WHEN contains(lower(section_title), term) THEN 1.5 ELSE 0 END END)::DOUBLE AS score
+  FROM (SELECT *, (length(lower(section_title || ' ' || page_content)) - length(replace(lower(section_title || ' ' || page_content), term, ''))) // length(term) AS h FROM te, sec) GROUP BY 1, 2, 3),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, section_id) AS rank FROM sc WHERE score > 0)
+SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank, CAST(section_id AS BIGINT) AS section_id, score FROM rk WHERE rank <= 5""")
+def scan_sections(spark, sf):
+    secs = sections.split_into_sections(_headed(spark, sf))
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    out = retrieval.scan_sections(secs, queries)
+    return out.select("query_id", "doc_id", F.col("rank").cast("long"), F.col("section_id").cast("long"), "score")
+
+
+@query("""WITH h AS (SELECT n_nationkey AS query_id, CASE n_nationkey % 3 WHEN 0 THEN 'RING' WHEN 1 THEN ' bolt ' ELSE 'a red widget set' END AS hint FROM nation)
+SELECT DISTINCT p_partkey AS section_id, query_id FROM part, h WHERE contains(lower(trim(p_name)), lower(trim(hint))) OR contains(lower(trim(hint)), lower(trim(p_name)))""")
+def title_hints(spark, sf):
+    secs = table(spark, sf, "part").select(F.col("p_partkey").alias("section_id"), F.col("p_name").alias("section_title"))
+    k = F.col("n_nationkey") % 3
+    hint = F.when(k == 0, "RING").when(k == 1, " bolt ").otherwise("a red widget set")
+    return retrieval.title_hints(secs, table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), hint.alias("hint")))
+
+
+@query()
+def ask(spark, sf):
+    docs = _headed(spark, sf)
+    secs, chunks = plan.index_documents(docs)
+    asked = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("conv_id").alias("doc_id"), "text")
+    return plan.ask(secs, chunks, asked)
+
+
+# Routing and dates --------------------------------------------------------------------------------------------------
+
+
+@query(r"""WITH x AS (SELECT conv_id, turn, text, lower(text) AS q FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(text) >= 220 OR length(text) - length(replace(text, chr(10), '')) >= 2 OR regexp_matches(text, '^\s*\d+\.\s') OR regexp_replace(text, '\s+$', '') LIKE '%:' THEN 'quote'
+ WHEN (length(q) > 130)::INT + (length(q) - length(replace(q, '?', '')) > 1)::INT + contains(q, ' и ')::INT + regexp_matches(q, 'перечисли|сравни|условия|основания|сроки|порядок')::INT >= 2 THEN 'complex' ELSE 'simple' END AS route,
+ regexp_matches(q, 'дата|даты|срок|сроки|когда|период|году|год|дедлайн|deadline|до какого|с какого|по какое') AS dates FROM x""")
+def route_queries(spark, sf):
+    q = F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", r.route(q).alias("route"), d.asks_for_dates(q).alias("dates"))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'changed' ELSE 'all' END AS mode FROM nation""")
+def compare_modes(spark, sf):
+    k = F.col("n_nationkey") % 4
+    said = F.when(k == 0, "Что добавлено в раздел?").when(k == 1, "Show only REMOVED parts").when(k == 2, " что изменилось? ").otherwise("Сравни версии")
+    return table(spark, sf, "nation").select("n_nationkey", r.compare_mode(said).alias("mode"))
+
+
+def _dated(spark, sf) -> DataFrame:
+    day = F.date_format("o_orderdate", "dd.MM.yyyy")
+    part = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Договор заключён "), day, F.lit(" и действует."))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Срок исполнения 5 МАРТА "), F.year("o_orderdate").cast("string"), F.lit(" года, не позже."))).otherwise(F.concat(F.lit("Период "), F.year("o_orderdate").cast("string"), F.lit("-2150 указан для справки.")))
+    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), part.alias("p"))))["p"], "\n\n").alias("text"))
+
+
+_DATES = r"""pa AS (SELECT o_custkey AS doc_id, o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'Договор заключён ' || strftime(o_orderdate, '%d.%m.%Y') || ' и действует.' WHEN 1 THEN 'Срок исполнения 5 МАРТА ' || year(o_orderdate) || ' года, не позже.' ELSE 'Период ' || year(o_orderdate) || '-2150 указан для справки.' END AS snippet,
+  CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 1 THEN '5 МАРТА ' || year(o_orderdate) || ' года' END AS day FROM orders),
+ f1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(snippet) ORDER BY k) AS n FROM pa), sn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos FROM f1 WHERE n = 1 QUALIFY pos <= 24)"""
+
+
+@query(f"WITH {_DATES} SELECT doc_id, CAST(pos AS BIGINT) AS pos, snippet FROM sn")
+def date_snippets(spark, sf):
+    return od.date_snippets(_dated(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"""WITH {_DATES}, ev AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM sn WHERE day IS NOT NULL QUALIFY e <= 12), un AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(day) ORDER BY e) AS u FROM ev)
+SELECT doc_id, string_agg(day, '; ' ORDER BY e) AS dates, COUNT(*) AS found FROM un WHERE u = 1 GROUP BY 1""")
+def date_answers(spark, sf):
+    out = od.date_answer(od.date_evidence(od.date_snippets(_dated(spark, sf))))
+    return out.select("doc_id", F.array_join("dates", "; ").alias("dates"), F.col("found").cast("long"))
+
+
+# Comparison ---------------------------------------------------------------------------------------------------------
+
+
+def _versions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Lines as sections titled by number modulo 3; in the right version some are missing, changed or new."""
+    rows = lines_of(table(spark, sf, "documents")).select("doc_id", F.col("chunk_id").alias("section_id"), F.concat(F.lit("t"), (F.col("chunk_id") % 3).cast("string")).alias("section_title"), F.col("text").alias("page_content"))
+    k = (F.col("doc_id") + F.col("section_id")) % 7
+    right = rows.where(k != 0).withColumn("page_content", F.when(k == 1, F.concat("page_content", F.lit(" added"))).otherwise(F.col("page_content")))
+    right = right.unionByName(rows.where("section_id = 0").select("doc_id", F.lit(100_000).alias("section_id"), F.lit("new").alias("section_title"), F.lit("whole new text").alias("page_content")))
+    return cmp.section_blocks(rows), cmp.section_blocks(right)
+
+
+def _pairs(spark, sf) -> DataFrame:
+    left, right = _versions(spark, sf)
+    return cmp.change_types(cmp.pair_sections(left, right, ("doc_id",)))
+
+
+_PAIRS = f"""{LINES}, l0 AS (SELECT doc_id, chunk_id AS section_id, 't' || (chunk_id % 3) AS title, {DISPLAY_SQL.replace('text', 'text')} AS x, text FROM lines),
+ r0 AS (SELECT doc_id, section_id, title, CASE WHEN (doc_id + section_id) % 7 = 1 THEN text || ' added' ELSE text END AS text FROM l0 WHERE (doc_id + section_id) % 7 <> 0 UNION ALL SELECT doc_id, 100000, 'new', 'whole new text' FROM l0 WHERE section_id = 0),
+ l AS (SELECT doc_id, section_id, title, {COMPARE_SQL} AS text, row_number() OVER (PARTITION BY doc_id, title ORDER BY section_id) AS nth FROM l0),
+ r AS (SELECT doc_id, section_id, title, {COMPARE_SQL} AS text, row_number() OVER (PARTITION BY doc_id, title ORDER BY section_id) AS nth FROM r0),
+ pr AS (SELECT COALESCE(l.doc_id, r.doc_id) AS doc_id, COALESCE(l.title, r.title) AS section_title, l.section_id AS ls, r.section_id AS rs, COALESCE(l.text, '') <> COALESCE(r.text, '') AS changed,
+   CASE WHEN l.section_id IS NULL THEN 'added' WHEN r.section_id IS NULL THEN 'removed' WHEN l.text <> r.text THEN 'changed' ELSE 'same' END AS change_type FROM l FULL JOIN r ON l.doc_id = r.doc_id AND l.title = r.title AND l.nth = r.nth)"""
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, section_title, CAST(ls AS BIGINT) AS left_section_id, CAST(rs AS BIGINT) AS right_section_id, changed, change_type, row_number() OVER (PARTITION BY doc_id ORDER BY ls NULLS LAST, rs) AS position FROM pr")
+def compare_pairs(spark, sf):
+    return _pairs(spark, sf).select("doc_id", "section_title", F.col("left_section_id").cast("long"), F.col("right_section_id").cast("long"), "changed", "change_type", F.col("position").cast("long"))
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, COUNT(ls) AS left_sections, COUNT(rs) AS right_sections, COUNT(*) AS paired_sections, COUNT(*) FILTER (WHERE changed) AS changed_sections FROM pr GROUP BY 1")
+def compare_counts(spark, sf):
+    return cmp.compare_counts(_pairs(spark, sf), ("doc_id",))
+
+
+@query()
+def compare_points(spark, sf):
+    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    docs = table(spark, sf, "documents").select("doc_id", numbered.alias("left_text"), F.replace(numbered, F.lit(" the "), F.lit(" a ")).alias("right_text"))
+    return cmp.pair_points(docs, ("doc_id",))
+
+
+@query()
+def compare_html(spark, sf):
+    changed = _pairs(spark, sf).where("changed")  # equal texts need no diff
+    return changed.select("doc_id", "position", "section_title", "change_type", cmp.diff_udf(F.coalesce("left_text", F.lit("")), F.coalesce("right_text", F.lit(""))).alias("h")).select("doc_id", "position", "section_title", "change_type", "h.*")
+
+
+@query(f"""WITH {_PAIRS}, ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ls NULLS LAST, rs) AS n FROM pr WHERE changed)
+SELECT d.doc_id, 'Измененных разделов: ' || COUNT(n) || '.' || COALESCE(chr(10) || string_agg('- ' || CASE change_type WHEN 'added' THEN 'Добавлено' WHEN 'removed' THEN 'Удалено' ELSE 'Изменено' END || ': ' || section_title, chr(10) ORDER BY n) FILTER (WHERE n <= 8), '') AS answer
+FROM (SELECT DISTINCT doc_id FROM pr) d LEFT JOIN ch ON ch.doc_id = d.doc_id GROUP BY 1""")
+def change_list(spark, sf):
+    return cmp.change_list(_pairs(spark, sf))
+
+
+@query()
+def compare_context(spark, sf):
+    meta = table(spark, sf, "documents").select("doc_id", F.col("source").alias("left_document_name"), F.lit("a").alias("left_version"), F.col("source").alias("right_document_name"), F.lit("b").alias("right_version"))
+    return cmp.compare_context(_pairs(spark, sf), meta)
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 and dense lists, fused, with neighbours, as cited context. The tables join no text to vectors: vec_id stands for doc_id."""
+    return QUERIES["build_context"](spark, sf)
