@@ -17,7 +17,7 @@ from .common import save
 #: Rules of the query: (verdict, rule), a rule being a host, then the start of the path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Restart probability, bounds of the iterations, margin of distrust, and rules that fit one expression.
-RESTART, ROUNDS, CLOSE, THRESHOLD, MOST_RULES = 0.15, 40, 1e-6, 0.05, 1000
+RESTART, ROUNDS, CLOSE, THRESHOLD, MOST_RULES = 0.15, 100, 1e-6, 0.05, 1000
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
