@@ -8,7 +8,9 @@ window of a shard is cut at powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,28 +25,79 @@ from .common import arrow_limits, raw, slices
 
 WINDOW, END = 4096, 2
 #: BM25 parameters, terms of a seed that are looked up, documents of a shard, words that a worker remembers.
-K1, B, TERMS, SHARD, CACHE = 1.2, 0.75, 24, 1024, 400_000
+K1, B, TERMS, SHARD, CACHE = 1.2, 0.75, 24, 1024, 500_000
+
+
+#: A word of letters and then marks: the tokenizer splits there (an apostrophe may belong to what is before it).
+MARKED = re.compile(rb"([^\x00-\x60\x7b-\x7f]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class Words:
-    """Token ids by white-space word. The tokenizer drops white space and never joins across it, so ids of a text are those of its words in turn."""
+    """Token ids by white-space word.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    The tokenizer lowers case, drops white space and never joins across it, so ids of a text are those of its lower-cased
+    words in turn. Of a word of letters and marks behind, the two are looked up each. Words of letters go straight to the
+    tokenizer's merges, in the byte characters that they work on; all others go through the whole tokenizer.
+    """
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        others = [b for b in range(256) if b not in printed]
+        self.bytes = {b: chr(256 + i) for i, b in enumerate(others)}
+
+    def _learn(self, words: set[bytes]) -> None:
+        letters, rest = [], []
+        for w in words:
+            if w.isalpha():
+                letters.append((w, w.decode()))
+            elif (s := w.decode("utf-8", "replace")).isalpha() and s == s.lower() and s == unicodedata.normalize("NFC", s):
+                letters.append((w, w.decode("latin-1").translate(self.bytes)))
+            else:
+                rest.append(w)
+        for i in range(0, len(letters), 20_000):
+            part = letters[i : i + 20_000]
+            for (w, _), e in zip(part, self.merges.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
+                self.known[w] = struct.pack(f"<{len(e.ids)}H", *e.ids)
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                self.known[w] = struct.pack(f"<{len(e.ids)}H", *e.ids)
+
+    def _find(self, words: set[bytes]) -> None:
+        """Make all words known, from the older ones where they are there."""
+        new, joint = set(), []
+        for w in words:
+            if (ids := self.older.get(w)) is not None:
+                self.known[w] = ids
+            elif (m := MARKED.fullmatch(w)) and m[1].decode("utf-8", "replace").isalpha():
+                joint.append((w, m[1], m[2]))
+                new.update(x for x in m.groups() if x not in self.known)
+            else:
+                new.add(w)
+        for w in [w for w in new if w in self.older]:
+            self.known[w] = self.older[w]
+            new.discard(w)
+        self._learn(new)
+        for w, a, b in joint:
+            self.known[w] = self.known[a] + self.known[b]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
-            self.known.clear()
-        known, split = self.known, [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(e.ids)}H", *e.ids)
+            self.known, self.older = {}, self.known
+        split = [t.lower().split() for t in texts]
+        get = self.known.get
+        found = [list(map(get, words)) for words in split]
+        missing = [i for i, ids in enumerate(found) if None in ids]
+        self._find({w for i in missing for w, ids in zip(split[i], found[i], strict=True) if ids is None})
+        for i in missing:
+            found[i] = list(map(get, split[i]))
         end = struct.pack("<H", END)
-        return [np.frombuffer(b"".join([known[w] for w in words]) + end, "<u2") for words in split]
+        return [np.frombuffer(b"".join(ids) + end, "<u2") for ids in found]
 
 
 def crc(ids: np.ndarray) -> int:
