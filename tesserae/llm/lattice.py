@@ -53,18 +53,22 @@ class Pieces:
         weight = np.append(1 / (rank + 10), 1e-4)
         self.prior = weight / weight.sum()
         self.n, self.most = len(pieces), max(map(len, pieces))
-        self.single = {ord(p) for p in pieces if len(p) == 1}
+        self.single = np.zeros(0x110000, bool)
+        self.single[[ord(p) for p in pieces if len(p) == 1]] = True
         size = 1 << 20
         self.mask = np.uint64(size - 1)
         self.keys, self.ids = np.zeros((2, size), np.uint64), np.full((2, size), -1, np.int32)
-        for i, p in enumerate(pieces):
-            h = np.uint64(1)
-            with np.errstate(over="ignore"):
-                for c in p:
-                    h = h * _M1 + np.uint64(ord(c))
+        known = {p: i for i, p in enumerate(pieces)}
+        for p in pieces:
+            for k in range(1, len(p)):
+                known.setdefault(p[:k], -2)  # begins a piece
+        for p, i in known.items():
+            h = 1
+            for c in p:
+                h = (h * int(_M1) + ord(c)) & 0xFFFFFFFFFFFFFFFF
             for way in (0, 1):
                 slot = int(self._slot(np.array([h], np.uint64), way)[0])
-                if self.ids[way, slot] < 0:
+                if self.ids[way, slot] == -1:
                     self.keys[way, slot], self.ids[way, slot] = h, i
                     break
             else:
@@ -74,10 +78,10 @@ class Pieces:
         return ((h * _M2) >> np.uint64(44 if way == 0 else 20)) & self.mask
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids by hash, -1 for none."""
+        """Ids by hash; -2 for what only begins a piece, -1 for what does not."""
         slot = self._slot(h, 0)
         out = np.where(self.keys[0][slot] == h, self.ids[0][slot], -1)
-        left = np.flatnonzero(out < 0)
+        left = np.flatnonzero(out == -1)
         slot = self._slot(h[left], 1)
         out[left] = np.where(self.keys[1][slot] == h[left], self.ids[1][slot], -1)
         return out
@@ -89,36 +93,51 @@ def _pieces(path: str) -> Pieces:
 
 
 class Lattice:
-    """Equally long words (n, length) of code points with their arcs by end and piece length."""
+    """Equally long words (n, length) of code points with their arcs by start and end."""
 
     def __init__(self, chars: np.ndarray, pieces: Pieces, log_p: np.ndarray):
         self.n, self.length = chars.shape
-        self.log_p, self.arcs = log_p, {}
-        alone = np.isin(chars, np.fromiter(pieces.single, np.int64, len(pieces.single)))
-        size = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+        self.arcs: list[dict[int, tuple]] = [{} for _ in range(self.length + 1)]  # by end, then start
+        alone, wide = pieces.single[chars], chars.astype(np.uint64)
         for start in range(self.length):
-            h = np.ones(self.n, np.uint64)
+            h, alive = wide[:, start] + _M1, np.arange(self.n)
             for end in range(start + 1, min(self.length, start + pieces.most) + 1):
-                h = h * _M1 + chars[:, end - 1].astype(np.uint64)
+                if end > start + 1:
+                    h = h * _M1 + wide[alive, end - 1]
                 found = pieces.find(h)
                 at = np.flatnonzero(found >= 0)
-                weight = log_p[found[at]]
+                words, ids = alive[at], found[at]
+                weight = log_p[ids]
                 if end == start + 1 and not alone[:, start].all():
                     other = np.flatnonzero(~alone[:, start])
-                    at = np.concatenate([at, other])
-                    found = np.concatenate([found[found >= 0], np.full(len(other), pieces.n, np.int32)])
-                    weight = np.concatenate([weight, log_p[pieces.n] - np.log(256.0) * size[other, start]])
-                    self.arcs[start, end] = at, found, weight
-                elif len(at):
-                    self.arcs[start, end] = at, found[at], weight
-        self.alpha = np.full((self.length + 1, self.n), -np.inf)
+                    c = chars[other, start]
+                    words, ids = np.concatenate([words, other]), np.concatenate([ids, np.full(len(other), pieces.n, np.int32)])
+                    weight = np.concatenate([weight, log_p[pieces.n] - np.log(256.0) * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))])
+                if len(words):
+                    self.arcs[end][start] = words, ids, weight
+                begins = np.flatnonzero(found != -1)
+                if not len(begins):
+                    break
+                h, alive = h[begins], alive[begins]
+        self.alpha = np.empty((self.length + 1, self.n))
         self.alpha[0] = 0
         for end in range(1, self.length + 1):
-            into = self.alpha[end]
-            for start in range(max(0, end - pieces.most), end):
-                if (start, end) in self.arcs:
-                    at, _, weight = self.arcs[start, end]
-                    into[at] = np.logaddexp(into[at], self.alpha[start][at] + weight)
+            self.alpha[end] = self._sum((words, self.alpha[start][words] + weight) for start, (words, _, weight) in self.arcs[end].items())
+
+    def _sum(self, terms: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Log of the sum of exponentials by word."""
+        rows = []
+        for words, value in terms:
+            rows.append(np.full(self.n, -np.inf))
+            rows[-1][words] = value
+        if not rows:
+            return np.full(self.n, -np.inf)
+        rows = np.array(rows)
+        top = rows.max(0)
+        base = np.where(np.isfinite(top), top, 0)
+        rows -= base
+        with np.errstate(divide="ignore"):
+            return np.log(np.exp(rows, out=rows).sum(0)) + base
 
     @property
     def total(self) -> np.ndarray:
@@ -126,17 +145,34 @@ class Lattice:
 
     def expected(self, count: np.ndarray, out: np.ndarray) -> None:
         """Add each piece's expected count over words of these counts."""
-        beta = np.full((self.length + 1, self.n), -np.inf)
+        beta = np.empty((self.length + 1, self.n))
         beta[-1] = 0
+        by_start: list[list] = [[] for _ in range(self.length)]
+        for end, starts in enumerate(self.arcs):
+            for start, arc in starts.items():
+                by_start[start].append((end, arc))
+        ids, shares = [], []
         for start in range(self.length - 1, -1, -1):
-            into = beta[start]
-            for end in range(start + 1, self.length + 1):
-                if (start, end) in self.arcs:
-                    at, found, weight = self.arcs[start, end]
-                    through = beta[end][at] + weight
-                    into[at] = np.logaddexp(into[at], through)
-                    share = np.exp(self.alpha[start][at] + through - self.total[at]) * count[at]
-                    out += np.bincount(found, share, len(out))
+            through = [(words, found, beta[end][words] + weight) for end, (words, found, weight) in by_start[start]]
+            beta[start] = self._sum((words, value) for words, _, value in through)
+            left = self.alpha[start] - self.total
+            for words, found, value in through:
+                ids.append(found)
+                shares.append(np.exp(left[words] + value) * count[words])
+        out += np.bincount(np.concatenate(ids), np.concatenate(shares), len(out))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.Table]:
+    """Batches of words joined up to about ``limit`` bytes, so that words of a length come in numbers."""
+    held, size = [], 0
+    for b in slices(batches, "word", limit):
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def lattices(words: list[bytes], pieces: Pieces, log_p: np.ndarray) -> Iterator[tuple[np.ndarray, Lattice]]:
@@ -211,7 +247,7 @@ def learn(words: DataFrame, path: str, rounds: int = EM_ROUNDS) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], shared=shared, path=path) -> Iterator[pa.RecordBatch]:
             table = _pieces(path)
             out = np.zeros(table.n + 1)
-            for b in slices(batches, "word"):
+            for b in gathered(batches):
                 for at, lattice in lattices(b.column("word").to_pylist(), table, shared.value):
                     lattice.expected(np.ones(len(at)), out)
             used = np.flatnonzero(out)
@@ -239,12 +275,12 @@ def score(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     log_n = float(np.log10(max(1, total + distinct + 1) if total else 1))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "word"):
+        for b in gathered(batches):
             w, n = b.column("word").to_pylist(), b.column("n").to_numpy().astype(float)
             end = np.array([x == END for x in w], bool)
             spelled = np.where(end, learned.value[-1], log_marginals(w, path, learned.value[:-1]))
             value = np.logaddexp(np.log(np.maximum(n, 1e-300)), np.log(fresh) + spelled) / np.log(10) - np.log10(total + fresh)
-            yield pa.record_batch([b.column("word"), b.column("n"), pa.array(value)], names=["word", "n", "value"])
+            yield from pa.table([b.column("word"), b.column("n"), pa.array(value)], names=["word", "n", "value"]).to_batches()
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, set[bytes]] = {}
