@@ -8,7 +8,7 @@ window of a shard is cut at powers of two, which need no padding.
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import unicodedata
 import zlib
@@ -28,8 +28,94 @@ WINDOW, END = 4096, 2
 K1, B, TERMS, SHARD, CACHE = 1.2, 0.75, 24, 1024, 500_000
 
 
-#: A word of letters and then marks: the tokenizer splits there (an apostrophe may belong to what is before it).
-MARKED = re.compile(rb"([^\x00-\x60\x7b-\x7f]+)([!-&(-/:-@\[-`{-~]+)")
+#: Marks: the tokenizer splits between letters and them (an apostrophe may belong to what is before it).
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
+
+
+def is_letters(word: bytes) -> bool:
+    return word.isalpha() or not word.isascii() and word.decode("utf-8", "replace").isalpha()
+
+
+class Merges:
+    """The tokenizer's merges, applied to many words of letters at once: in each round every word joins its best pair (the leftmost of equals)."""
+
+    NONE = 1 << 30
+
+    def __init__(self, model: dict):
+        vocab, merges = model["vocab"], [tuple(m.split()) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        suffix = model["end_of_word_suffix"]
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        others = [b for b in range(256) if b not in printed]
+        chars = {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.inner = np.array([vocab[chars[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[chars[b] + suffix] for b in range(256)], np.int32)
+        left, right = (np.array([vocab[m[i]] for m in merges], np.int64) for i in (0, 1))
+        self.joined = np.array([vocab[a + b] for a, b in merges], np.int32)
+        keys, ranks, self.tables = left << 16 | right, np.arange(len(merges), dtype=np.int32), []
+        while len(keys):  # pairs whose slot is taken go to the next table
+            slot = self._slot(keys, len(self.tables))
+            _, first = np.unique(slot, return_index=True)
+            held, rank = np.full(1 << 17, -1, np.int64), np.full(1 << 17, self.NONE, np.int32)
+            held[slot[first]], rank[slot[first]] = keys[first], ranks[first]
+            self.tables.append((held, rank))
+            keys, ranks = np.delete(keys, first), np.delete(ranks, first)
+
+    @staticmethod
+    def _slot(keys: np.ndarray, table: int) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * table * 0x2545F491)) >> np.uint64(47)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; NONE for what does not merge."""
+        keys, out = left.astype(np.int64) << 16 | right, np.full(left.shape, self.NONE, np.int32)
+        for i, (held, rank) in enumerate(self.tables):
+            slot = self._slot(keys, i).astype(np.int64)
+            np.copyto(out, rank[slot], where=held[slot] == keys)
+        return out
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """Ids (little-endian, 16 bits) of each word of one to 255 bytes."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in ((1, 7), (7, 10), (10, 14), (14, 20), (20, 40), (40, 256)):
+            at = np.flatnonzero((size >= low) & (size < high))
+            if len(at):
+                for i, ids in zip(at.tolist(), self._merge([words[i] for i in at], size[at], high - 1), strict=True):
+                    out[i] = ids
+        return out
+
+    def _merge(self, words: list[bytes], size: np.ndarray, wide: int) -> list[bytes]:
+        chars = np.array(words, f"S{wide}").view(np.uint8).reshape(-1, wide)
+        cols, n = np.arange(wide), len(words)
+        ids = self.inner[chars]
+        ids[np.arange(n), size - 1] = self.last[chars[np.arange(n), size - 1]]
+        rank = np.full((n, wide), self.NONE, np.int32)
+        if wide > 1:
+            rank[:, :-1] = self.rank(ids[:, :-1], ids[:, 1:])
+        rank[cols >= (size - 1)[:, None]] = self.NONE
+        done, length, rows, size = np.zeros((n, wide), "<u2"), size.copy(), np.arange(n), size.copy()
+        while True:
+            here = np.arange(len(rows))
+            at = rank.argmin(1)
+            best = rank[here, at]
+            more = best < self.NONE
+            if not more.all():
+                done[rows[~more]], length[rows[~more]] = ids[~more], size[~more]
+                rows, ids, rank, size, at, best = rows[more], ids[more], rank[more], size[more], at[more], best[more]
+                here = np.arange(len(rows))
+            if not len(rows):
+                break
+            behind = cols[:-1] > at[:, None]
+            np.copyto(ids[:, :-1], ids[:, 1:].copy(), where=behind)
+            np.copyto(rank[:, :-1], rank[:, 1:].copy(), where=behind)
+            size -= 1
+            new = ids[here, at] = self.joined[best]
+            after = np.flatnonzero(at + 1 < size)
+            rank[here, at] = self.NONE
+            rank[after, at[after]] = self.rank(new[after], ids[after, at[after] + 1])
+            before = np.flatnonzero(at > 0)
+            rank[before, at[before] - 1] = self.rank(ids[before, at[before] - 1], new[before])
+        flat, step = done.tobytes(), 2 * wide
+        return [flat[i : i + n] for i, n in zip(range(0, len(flat), step), (2 * length).tolist(), strict=True)]
 
 
 class Words:
@@ -37,32 +123,24 @@ class Words:
 
     The tokenizer lowers case, drops white space and never joins across it, so ids of a text are those of its lower-cased
     words in turn. Of a word of letters and marks behind, the two are looked up each. Words of letters go straight to the
-    tokenizer's merges, in the byte characters that they work on; all others go through the whole tokenizer.
+    merges; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
-        self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
-        others = [b for b in range(256) if b not in printed]
-        self.bytes = {b: chr(256 + i) for i, b in enumerate(others)}
+        with open(path, encoding="utf-8") as f:
+            self.merges = Merges(json.load(f)["model"])
 
     def _learn(self, words: set[bytes]) -> None:
         letters, rest = [], []
         for w in words:
-            if w.isalpha():
-                letters.append((w, w.decode()))
-            elif (s := w.decode("utf-8", "replace")).isalpha() and s == s.lower() and s == unicodedata.normalize("NFC", s):
-                letters.append((w, w.decode("latin-1").translate(self.bytes)))
+            if len(w) < 256 and (w.isalpha() or not w.isascii() and (s := w.decode("utf-8", "replace")).isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s)):
+                letters.append(w)
             else:
                 rest.append(w)
-        for i in range(0, len(letters), 20_000):
-            part = letters[i : i + 20_000]
-            for (w, _), e in zip(part, self.merges.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
-                self.known[w] = struct.pack(f"<{len(e.ids)}H", *e.ids)
+        self.known.update(zip(letters, self.merges(letters), strict=True))
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
@@ -74,9 +152,9 @@ class Words:
         for w in words:
             if (ids := self.older.get(w)) is not None:
                 self.known[w] = ids
-            elif (m := MARKED.fullmatch(w)) and m[1].decode("utf-8", "replace").isalpha():
-                joint.append((w, m[1], m[2]))
-                new.update(x for x in m.groups() if x not in self.known)
+            elif len(stem := w.rstrip(MARKS)) < len(w) and is_letters(stem):
+                joint.append((w, stem, w[len(stem) :]))
+                new.update(x for x in joint[-1][1:] if x not in self.known)
             else:
                 new.add(w)
         for w in [w for w in new if w in self.older]:
@@ -89,15 +167,17 @@ class Words:
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
-        split = [t.lower().split() for t in texts]
-        get = self.known.get
-        found = [list(map(get, words)) for words in split]
-        missing = [i for i, ids in enumerate(found) if None in ids]
-        self._find({w for i in missing for w, ids in zip(split[i], found[i], strict=True) if ids is None})
+        words, ends = [], []
+        for t in texts:
+            words += t.lower().split()
+            ends.append(len(words))
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        self._find({words[i] for i in missing})
         for i in missing:
-            found[i] = list(map(get, split[i]))
+            found[i] = self.known[words[i]]
         end = struct.pack("<H", END)
-        return [np.frombuffer(b"".join(ids) + end, "<u2") for ids in found]
+        return [np.frombuffer(b"".join(found[a:b]) + end, "<u2") for a, b in zip([0, *ends], ends)]
 
 
 def crc(ids: np.ndarray) -> int:

@@ -99,6 +99,18 @@ def test_packing(spark, which):
         assert any(len(ids) == 4 * total and zlib.crc32(ids[4 * start : 4 * (start + length)]) == crc for ids, _ in by_doc[doc_id])
 
 
+def test_words_against_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(1)
+    made = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, most))) for _ in range(3000)) for letters, most in (("abcdefghijklmnopqrstuvwxyzéñßæаб", 60), ("aabcee'.-!1É", 12), ("ab", 40))]
+    texts = ["", "Ärger's ab''c don't, x!!! 12a a1b2 ﬁne İstanbul ǅ 日本語 ß. e\u0301", " ".join("z" * k for k in range(1, 400, 7)), "'s '' a' 'a'b", "\x1c a b\u3000d", *made]
+    whole = Tokenizer.from_file(path)
+    words = packing.Words(path)
+    for _ in range(2):  # once new, once known
+        assert [x.tolist() for x in words([t.encode() for t in texts])] == [whole.encode(t, add_special_tokens=False).ids + [packing.END] for t in texts]
+
+
 def test_bm25_finds_related():
     rng = np.random.default_rng(1)
     topics = [rng.integers(100 * k, 100 * k + 60, 300).astype(np.uint16) for k in (1, 2) for _ in range(5)]
