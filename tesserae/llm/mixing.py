@@ -22,7 +22,7 @@ from .common import WORD, arrow_limits, raw, save, slices
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 #: Words of a slot, rows of a bucket, slots of a chunk; the sources of a mix are a catalogue of at most so many.
-SLOT, BUCKET, CHUNK, SOURCES = 4096, 4096, 1 << 16, 100_000
+SLOT, BUCKET, CHUNK, SOURCES = 4096, 1024, 1 << 16, 100_000
 PHI = (5**0.5 - 1) / 2
 
 
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     at = at.withColumn("rank", F.explode(F.expr("sequence(((a + 1) * n - 1) div words, (b * n - 1) div words)")))
     low, high = F.greatest(F.col("a"), F.expr("rank * words div n")), F.least(F.col("b"), F.expr("(rank + 1) * words div n"))
     cut = at.select("_s", "_at", "epoch", "rank", (low - F.col("a")).alias("start"), (high - low).alias("length"))
-    return placed, cut.join(slots, ["_s", "rank"]).select("slot", "_s", "_at", "epoch", "start", "length")
+    return placed, cut.join(slots.hint("merge"), ["_s", "rank"]).select("slot", "_s", "_at", "epoch", "start", "length")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
