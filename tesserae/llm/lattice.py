@@ -9,12 +9,16 @@ tokens that were seen once (Good and Turing's estimate of what is new). Pieces s
 score's rank in the vocabulary; EM_ROUNDS rounds of forward and backward recursion over all distinct training words,
 each once (pieces stand for words not seen yet), give their expected counts, which the starting weights smooth. Words are recursed together by length in log space.
 
+A document's lattice grows with it: word i of a document, found there k times before, has probability
+(k + ADAPT * P(word)) / (i + ADAPT), so that what its text repeats costs less, and the probabilities of all texts still sum to 1.
+
 Documents are dealt once into blocks; a block asks for its distinct words only, so a frequent word is at most one row a
 block. Texts, words and counts cover all documents.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +35,8 @@ from .substring import prepared
 FOLDS, HELD_OUT = 7, 2
 #: Rounds of expectation and maximisation; counts that the starting weights stand for; words recursed at once.
 EM_ROUNDS, PRIOR, AT_ONCE = 2, 30.0, 4096
+#: Words that the corpus's probabilities count for beside a document's own words.
+ADAPT = 1000.0
 #: A word beyond this many characters is recursed in parts of so many.
 LONGEST = 256
 END = b""
@@ -201,6 +207,15 @@ def log_marginals(words: list[bytes], path: str, log_p: np.ndarray) -> np.ndarra
     return out
 
 
+def adapted(i: np.ndarray, value: np.ndarray) -> float:
+    """Natural log of a text's probability: its words as positions in ``value``, the logs of the words' own probabilities."""
+    order = np.argsort(i, kind="stable")
+    own, before, place = i[order], np.empty(len(i)), np.arange(len(i))
+    before[order] = place - np.searchsorted(own, own)
+    with np.errstate(divide="ignore"):
+        return float((np.logaddexp(np.log(before), np.log(ADAPT) + value[i]) - np.log(place + ADAPT)).sum())
+
+
 def word_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(word, n: its count in training texts): every distinct token of all texts; the empty word is the end."""
     arrow_limits(docs.sparkSession)
@@ -279,7 +294,7 @@ def score(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
             w, n = b.column("word").to_pylist(), b.column("n").to_numpy().astype(float)
             end = np.array([x == END for x in w], bool)
             spelled = np.where(end, learned.value[-1], log_marginals(w, path, learned.value[:-1]))
-            value = np.logaddexp(np.log(np.maximum(n, 1e-300)), np.log(fresh) + spelled) / np.log(10) - np.log10(total + fresh)
+            value = np.logaddexp(np.log(np.maximum(n, 1e-300)), np.log(fresh) + spelled) - np.log(total + fresh)
             yield from pa.table([b.column("word"), b.column("n"), pa.array(value)], names=["word", "n", "value"]).to_batches()
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +321,7 @@ def score(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
             words.append(END)
             i = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
             held = doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
-            rows.append((held, len(words), int(known[i].sum()), total, float(base[i].sum()), float(value[i].sum())))
+            rows.append((held, len(words), int(known[i].sum()), total, float(base[i].sum()), adapted(i, value) / math.log(10)))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([keys, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -212,6 +212,15 @@ def test_marginals_against_all_segmentations():
     assert math.isclose(sum(out[i] * len(known[i]) for i in np.flatnonzero(out)), len("▁hello"))
 
 
+def test_words_of_a_document_adapt():
+    p = np.array([0.5, 0.2, 1e-300, 0.1])
+    words, wanted = [0, 2, 0, 1, 2, 0, 3], 0.0
+    for n, w in enumerate(words):
+        wanted += math.log((words[:n].count(w) + lattice.ADAPT * p[w]) / (n + lattice.ADAPT))
+    assert math.isclose(lattice.adapted(np.array(words), np.log(p)), wanted)
+    assert math.isclose(lattice.adapted(np.array([3]), np.log(p)), math.log(0.1))
+
+
 def test_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
