@@ -183,7 +183,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
     per_anchor = Window.partitionBy("anchor")
     repeated = anchors.withColumn("n", F.sum("n").over(per_anchor)).where("n > 1").select("_block", "anchor")
     windows = rows.groupBy("_block").cogroup(repeated.groupBy("_block")).applyInArrow(_groups(length, k), "_block int, anchor long, window long, n byte")
-    again = windows.repartition("anchor").withColumn("n", F.sum("n").over(Window.partitionBy("anchor", "window"))).where("n > 1").select("_block", "window")
+    again = windows.withColumn("n", F.sum("n").over(Window.partitionBy("anchor", "window"))).where("n > 1").select("_block", "window")
     added = "n_words long, n_removed long, kept_text string, kept_sha256 string, repeats array<struct<start: long, length: long>>"
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
