@@ -81,13 +81,15 @@ def least(x: np.ndarray, n: int) -> np.ndarray:
 class Text:
     """Words, windows and anchors of one text."""
 
-    def __init__(self, text: bytes, known: Hashes, length: int, k: int):
+    def __init__(self, text: bytes, known: Hashes, length: int, k: int, anchors: bool = True):
         self.words = text.split()
         n, self.anchor, self.window = len(self.words), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         if n >= length:
             h = _mix(np.fromiter(map(known.__getitem__, self.words), np.uint64, n) | np.uint64(1))
-            grams = rolled(h, k, BASE_K)
             self.window = rolled(h, length, BASE_W)
+            if not anchors:
+                return
+            grams = rolled(h, k, BASE_K)
             at = least(grams, length - k + 1)
             self.anchor = grams[at]  # of each window, the anchor that it owns
             self.first = np.r_[True, at[1:] != at[:-1]]  # where the occurrence is another than the window's before
@@ -149,10 +151,10 @@ def _cut(length: int, k: int, names: list[str], schema: pa.Schema):
         wanted = np.unique(repeated.column("window").to_numpy())
         known, rows = Hashes(), []
         for text in raw(docs.column("text").combine_chunks()):
-            words = text.split()
+            own = Text(text, known, length, k, anchors=False)
+            words, w = own.words, own.window.view(np.int64)
             drop = np.zeros(len(words), bool)
-            if len(wanted) and len(words) >= length:
-                w = Text(text, known, length, k).window.view(np.int64)
+            if len(wanted) and len(w):
                 again = wanted[np.minimum(np.searchsorted(wanted, w), len(wanted) - 1)] == w
                 edge = np.zeros(len(words) + 1, np.int64)
                 edge[: len(w)] += again
