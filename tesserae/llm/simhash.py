@@ -237,7 +237,9 @@ def links(fps: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(own[found[:, 0]]), pa.array(own[found[:, 1]])], names=["a", "b"])
 
     n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() // 5000))
-    return fps.mapInArrow(spread, "key long, fp long, side byte").repartition(n, "key").mapInArrow(meet, "a long, b long")
+    # a fingerprint becomes some 180 keys, so few bytes need many tasks; by fp itself the exchange would fall away as redundant
+    dealt = fps.repartition(n, F.xxhash64("fp"))
+    return dealt.mapInArrow(spread, "key long, fp long, side byte").repartition(n, "key").mapInArrow(meet, "a long, b long")
 
 
 def _classes(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
