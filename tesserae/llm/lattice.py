@@ -10,7 +10,7 @@ score's rank in the vocabulary; EM_ROUNDS rounds of forward and backward recursi
 each once (pieces stand for words not seen yet), give their expected counts, which the starting weights smooth. Words are recursed together by length in log space.
 
 A document's lattice grows with it: word i of a document, found there k times before, has probability
-(k + ADAPT * P(word)) / (i + ADAPT), so that what its text repeats costs less, and the probabilities of all texts still sum to 1.
+(k + ADAPT * P(word)) / (i + ADAPT), so that what its text repeats costs less, and the probabilities of all texts still sum to at most 1.
 
 Documents are dealt once into blocks; a block asks for its distinct words only, so a frequent word is at most one row a
 block. Texts, words and counts cover all documents.
