@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import arrow_limits, components, raw, save, slices
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -262,9 +263,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row of each component: that of the smallest key (null last), of the smallest text digest among equals."""
-    rows, named = _classes(docs, key)
+def representatives(docs: DataFrame, key: str = "doc_id", similarity: float | None = None) -> DataFrame:
+    """One row of each component: that of the smallest key (null last), of the smallest text digest among equals.
+
+    With a ``similarity``, components are linked by that Jaccard similarity of five-word shingles instead of fingerprints.
+    """
+    rows, named = _classes(docs, key) if similarity is None else shingles.classes(docs, key, similarity)
     won = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "digest")).alias("w"))
     won = won.select(F.col("w.key").alias("_key"), F.col("w.digest").alias("_digest"))
     found = docs.withColumn("_own", F.xxhash64("text"))

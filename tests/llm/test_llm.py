@@ -366,6 +366,43 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def jaccard_roots(texts, least=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(sets)))
+    for j in range(len(sets)):
+        for i in range(j):
+            if root[i] != root[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_representatives_by_similarity(spark):
+    rng = random.Random(11)
+    texts = []
+    for k in range(12):  # copies with words changed here and there, on both sides of the bound, and one large group
+        words = [f"v{rng.randint(0, 10**6)}" for _ in range(300)]
+        for _ in range(120 if k == 0 else 6):
+            copy = list(words)
+            for at in rng.sample(range(300), rng.randint(0, 14)):
+                copy[at] = f"n{rng.randint(0, 10**6)}"
+            texts.append(" ".join(copy))
+    df = awkward(spark, texts)
+    roots = jaccard_roots([r.text for r in df.collect()])
+    kept = simhash.representatives(df, similarity=0.8)
+    ids = {}
+    for r, c in zip(df.collect(), roots, strict=True):
+        ids[c] = min(ids.get(c, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(ids.values()) and kept.columns == df.columns
+    assert simhash.representatives(df).count() > kept.count()
+    docs = corpus_pipeline.unlike(spark, df, SF)
+    assert docs.count() == kept.count()
+    assert simhash.representatives(empty(spark), similarity=0.8).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (200, 200)] + [(300, 301 + i) for i in range(50)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
