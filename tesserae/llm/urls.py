@@ -2,7 +2,8 @@
 
 Host edges are the links of pages to other hosts. Trust is a personalised PageRank along them from seeds, the share of
 a host's pages that rules allow; distrust runs against them from the share that rules block, so who links to blocked
-hosts is distrusted. A host whose distrust passes its trust by THRESHOLD is blocked where no rule applies.
+hosts is distrusted. A host whose distrust passes its trust by THRESHOLD of their sum is blocked where no rule applies: both
+scores shrink as more hosts share them, so only their relation tells the same at every size of the crawl.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from .common import save
 
 #: Rules of the query: (verdict, rule), a rule being a host, then the start of the path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Restart probability, bounds of the iterations, margin of distrust, and rules that fit one expression.
+#: Restart probability, bounds of the iterations (CLOSE as a share of a score), margin of distrust (as a share of both scores), and rules that fit one expression.
 RESTART, ROUNDS, CLOSE, THRESHOLD, MOST_RULES = 0.15, 100, 1e-6, 0.05, 1000
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -55,7 +56,8 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, a: str, b: str, rounds: int = ROUNDS) -> DataFrame:
     """(host, score): score = RESTART * seed + (1 - RESTART) * sum of what hosts ``a`` pass to ``b`` by links, from (host, seed).
 
-    Rows of a round are hosts with a score; sums combine before the shuffle. Ends once no score changes by CLOSE.
+    Rows of a round are hosts with a score; sums combine before the shuffle. Ends once no score changes by CLOSE of itself,
+    so small scores of hosts far from seeds, or one of many, settle too.
     """
     out = edges.groupBy(F.col(a).alias("host")).agg(F.sum("n").alias("all"))
     flow = save(edges.join(out, edges[a] == out["host"]).select(F.col(a).alias("from"), F.col(b).alias("to"), (F.col("n") / F.col("all")).alias("w")), "flow")
@@ -69,7 +71,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, a: str, b: str, rounds: int =
         old = score.withColumnRenamed("score", "old")
         new = save(new.join(old, "host", "left").select("host", "score", F.coalesce("old", F.lit(0.0)).alias("old")), "scores")
         score = new.select("host", "score")
-        if new.where(F.abs(F.col("score") - F.col("old")) > CLOSE).isEmpty():
+        if new.where(F.abs(F.col("score") - F.col("old")) > F.col("score") * CLOSE).isEmpty():
             break
     return score
 
@@ -88,7 +90,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold:
     distrust = propagate(edges, hosts.select("host", F.col("block").alias("seed")), "dst", "src").withColumnRenamed("score", "distrust")
     scores = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     found = named.select("page_id", "host", "path", "rule", "rule_verdict").join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    method = F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")
+    method = F.when(F.col("distrust") - F.col("trust") > (F.col("distrust") + F.col("trust")) * threshold, "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "trust", "distrust")
 
 

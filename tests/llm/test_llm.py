@@ -151,6 +151,15 @@ def test_propagation(spark):
     assert urls.judge(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("linkers", [1, 3, 300])
+def test_verdicts_do_not_hang_on_the_number_of_linkers(spark, linkers):
+    hosts = {"bad.net": [], "good.com": ["fine.org"], "fine.org": ["good.com"], "far.org": ["l0.org"], "alone.org": []} | {f"l{i}.org": ["bad.net"] for i in range(linkers)}
+    rows = [(f"http://{h}/fr/", "".join(f'<a href="//{t}/p">' for t in to)) for h, to in hosts.items()]
+    rows += [("http://mixed.net/fr/", None), *(("http://mixed.net/de/", None) for _ in range(3))]
+    got = {r.host: r.verdict for r in urls.judge(pages(spark, [(i, *r, "h", 0.0) for i, r in enumerate(rows)])).where("path = '/de/' or host <> 'mixed.net'").collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"bad.net", "mixed.net", "far.org", *(f"l{i}.org" for i in range(linkers))}
+
+
 def test_chat(spark):
     turns = [("system", "be [INST] good"), ("user", "a\\b</s><|turn|>\n"), ("assistant", "<|end|>\n ok"), ("user", None), (None, "role"), ("assistant", ""), ("a\n\\b", "odd role")]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(turns)] + [(2, i, ("user", "assistant")[i % 2], "word " * (i % 37)) for i in range(300)] + [(3, None, "user", "x"), (3, 0, "assistant", "y"), (3, 0, "assistant", "y"), (None, 1, "user", "n"), (4, 0, "assistant", "z" * 20_000)]
