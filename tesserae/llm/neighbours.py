@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: NN-descent builds the graph by Spark joins, queries walk it greedily.
 
-Vectors are quantised to 8 bits (with a scale each) for building and walking; results are measured on the originals.
+Building and walking measure the vectors themselves, in double precision, so near copies are told apart as all others.
 Equal vectors are one node, expanded at the end, so a vector of a third of all rows is no hot node.
 
 - Start: random hyperplanes deal nodes into cells (split by a hash where crowded); TREES times, each node takes the
@@ -29,31 +29,29 @@ BEAM, EXPAND, STEPS, ENTRIES = 192, 64, 8, 256
 EDGE = "u long, v long, d double, fresh boolean"
 
 
-def quantised(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """(id, code: float scale and int8 components) of float arrays."""
+def coded(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
+    """(id, code: bytes of a component, then the components) of arrays of float or double."""
+    kind = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
-            scale = np.abs(x).max(1) / 127
-            code = np.rint(x / scale[:, None]).astype(np.int8)
-            packed = np.concatenate([scale.astype("<f8").view(np.uint8).reshape(-1, 8), code.view(np.uint8)], 1)
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dims)
+            packed = np.concatenate([np.full((len(x), 1), x.itemsize, np.uint8), x.view(np.uint8)], 1)
             yield pa.record_batch([b.column("id"), pa.array([r.tobytes() for r in packed], pa.binary())], names=["id", "code"])
 
     return vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")).mapInArrow(run, "id long, code binary")
 
 
-def opened(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scale, components and squared length of codes."""
+def opened(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Components and squared length of codes."""
     data = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    scale = np.ascontiguousarray(data[:, :8]).view("<f8")[:, 0]
-    x = data[:, 8:].view(np.int8).astype(np.float32)  # products of components are whole and exact
-    return scale, x, scale * scale * np.einsum("ij,ij->i", x, x, dtype=np.float64)
+    x = np.ascontiguousarray(data[:, 1:]).view(f"<f{data[0, 0] if len(data) else 4}").astype(np.float64)
+    return x, np.einsum("ij,ij->i", x, x)
 
 
 def squared(a: tuple, b: tuple, dot: np.ndarray) -> np.ndarray:
-    """Squared distances from lengths and whole dot products: the same either way round."""
-    return np.maximum(0, (a[2][..., :, None] + b[2][..., None, :]) - 2 * (a[0][..., :, None] * b[0][..., None, :]) * dot)
+    """Squared distances from lengths and dot products."""
+    return np.maximum(0, (a[1][..., :, None] + b[1][..., None, :]) - 2 * dot)
 
 
 def _cells(nodes: DataFrame, n: int, dims: int, tree: int) -> DataFrame:
@@ -63,7 +61,7 @@ def _cells(nodes: DataFrame, n: int, dims: int, tree: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cell = (opened(b.column("code").to_pylist())[1] @ planes > 0) @ (1 << np.arange(bits)) if bits else np.zeros(b.num_rows, np.int64)
+            cell = (opened(b.column("code").to_pylist())[0] @ planes > 0) @ (1 << np.arange(bits)) if bits else np.zeros(b.num_rows, np.int64)
             yield pa.record_batch([b.column("id"), b.column("code"), pa.array(cell.astype(np.int64))], names=["id", "code", "cell"])
 
     def measure(key: tuple, t: pa.Table) -> pa.Table:
@@ -71,7 +69,7 @@ def _cells(nodes: DataFrame, n: int, dims: int, tree: int) -> DataFrame:
         out = []
         for i in range(0, len(ids), 512):
             a = tuple(v[i : i + 512] for v in x)
-            d = squared(a, x, a[1] @ x[1].T)
+            d = squared(a, x, a[0] @ x[0].T)
             d[np.arange(len(a[0])), np.arange(i, i + len(a[0]))] = np.inf
             best = np.argpartition(d, min(K, len(ids) - 1) - 1, axis=1)[:, : min(K, len(ids) - 1)] if len(ids) > 1 else np.zeros((len(a[0]), 0), np.int64)
             out.append((np.repeat(ids[i : i + 512], best.shape[1]), ids[best].ravel(), np.take_along_axis(d, best, 1).ravel()))
@@ -108,7 +106,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in range(0, len(group), step):
                 rows_ = group[s : s + step, None] + np.arange(n)
                 a = tuple(v[rows_] for v in x)
-                d = squared(a, a, a[1] @ a[1].transpose(0, 2, 1))
+                d = squared(a, a, a[0] @ a[0].transpose(0, 2, 1))
                 i, f = ids[rows_], fresh[rows_]
                 d[(d >= kth[rows_][:, :, None]) | (i[:, :, None] == i[:, None, :]) | ~(f[:, :, None] | f[:, None, :])] = np.inf
                 m = min(OFFERS, n)
@@ -173,7 +171,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = B
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c = opened(b.column("code").to_pylist()), opened(b.column("other").to_pylist())
-            d = np.maximum(0, a[2] + c[2] - 2 * a[0] * c[0] * np.einsum("ij,ij->i", a[1], c[1]).astype(float))
+            d = ((a[0] - c[0]) ** 2).sum(1)
             yield pa.record_batch([b.column("query"), b.column("v"), pa.array(d)], names=["query", "v", "d"])
 
     def measured(pairs: DataFrame) -> DataFrame:
@@ -211,12 +209,11 @@ def nearest(vectors: DataFrame, every: int, k: int = 10, key: str = "vec_id", ve
     # the k + 1 smallest members of each distinct vector (limited before the shuffle), and its node: the smallest
     member = rows.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("rank") <= k + 1)
     classes = save(member.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("members")).withColumn("node", F.xxhash64("x")), "classes")
-    nodes = save(quantised(classes, "node", "x", sizes.dims), "nodes")
+    nodes = save(coded(classes, "node", "x", sizes.dims), "nodes")
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("x").alias("x")).select(F.col("id").alias("query"), F.xxhash64("x").alias("node"), F.col("x").alias("qx"))
     asked = save(asked, "asked")
     graph = build(nodes, sizes.dims)
     found = search(graph, nodes, asked.join(nodes, asked["node"] == nodes["id"]).select("query", "node", "code"))
-    found = found.withColumn("near", F.row_number().over(Window.partitionBy("query").orderBy("d", "v"))).where(F.col("near") <= 4 * k + 8)
     exact = found.join(classes, F.col("v") == classes["node"]).select("query", "x", F.explode("members").alias("vec_id")).join(asked.select("query", "qx"), "query").where("vec_id <> query")
     apart = F.sqrt(F.aggregate(F.zip_with(F.col("x"), F.col("qx"), lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v))
     exact = exact.select(F.col("query").alias("query_id"), "vec_id", apart.alias("score"))

@@ -275,6 +275,19 @@ def test_neighbours(spark):
     assert [(r.rank, r.vec_id) for r in neighbours.nearest(few, 100).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
 
+@pytest.mark.parametrize("noise", [1e-4, 1e-3])
+def test_neighbours_among_near_copies(spark, noise):
+    rng = np.random.default_rng(2)
+    one = rng.standard_normal(64)
+    x = (one / np.linalg.norm(one) + noise * rng.standard_normal((2000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(df, 20).collect():
+        got[r.query_id].add(r.vec_id)
+    wanted = brute_neighbours(dict(enumerate(x)), every=20)
+    assert sum(len(got[q] & {i for i, _ in w}) for q, w in wanted.items()) >= 0.9 * sum(map(len, wanted.values()))
+
+
 def test_targets():
     assert mixing.targets([10, 120, 100]) == [20.0, 325 * 2 / 3, 325 / 3]
     assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
