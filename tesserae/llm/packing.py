@@ -1,9 +1,10 @@
 """Lexical retrieval packing: in each shard a BM25 inverted index gives a seed's unused neighbours, which fill its window.
 
 Whole windows of a long document are its own; only its rest (under one window) goes to a shard, so a row of the shuffle
-has at most WINDOW ids. Shards are dealt by a hash of the document, its tokens and its number among equal rows: no id,
-text or source fills a shard. Document statistics are those of the shard, an even sample of the corpus. The last
-window of a shard is cut at powers of two, which need no padding.
+has at most WINDOW ids. Document frequencies and the average length are those of all documents' rests. Shards are ranges
+of the order by the documents' heaviest shared terms, so that documents on the same lie together; what shares all of them
+is dealt by a hash of the document, its tokens and its number among equal rows: no term, id, text or source fills a
+shard. The last window of a shard is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_limits, raw, slices
+from .common import arrow_limits, raw, save, slices
 
 WINDOW, END = 4096, 2
-#: BM25 parameters, terms of a seed that are looked up, documents of a shard, words that a worker remembers.
-K1, B, TERMS, SHARD, CACHE = 1.2, 0.75, 24, 1024, 500_000
+#: BM25 parameters, heaviest terms that place a document, documents of a shard, words that a worker remembers.
+K1, B, PLACED, SHARD, CACHE = 1.2, 0.75, 3, 1024, 500_000
 
 
 #: Marks: the tokenizer splits between letters and them (an apostrophe may belong to what is before it).
@@ -184,8 +187,8 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokenized(docs: DataFrame, vocabulary: str, shards: int) -> DataFrame:
-    """(doc_id, doc_tokens, whole: CRCs of the whole windows, rest: its other ids, shard)."""
+def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, doc_tokens, whole: CRCs of the whole windows, rest: its other ids, place: a hash that tells equal rows apart)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -193,53 +196,101 @@ def tokenized(docs: DataFrame, vocabulary: str, shards: int) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, seen = Words(vocabulary), Counter()
         for b in slices(batches, "text", 1 << 20):
-            total, whole, rest, shard = [], [], [], []
+            total, whole, rest, place = [], [], [], []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), words(raw(b.column("text"))), strict=True):
                 cut = len(ids) // WINDOW * WINDOW
                 total.append(len(ids))
                 whole.append([crc(ids[i : i + WINDOW]) for i in range(0, cut, WINDOW)])
                 rest.append(ids[cut:].tobytes())
                 name = f"{doc_id}:{xxhash.xxh64_hexdigest(ids.tobytes())}"
-                shard.append(xxhash.xxh64_intdigest(f"{name}:{seen[name]}") % shards)
+                place.append(xxhash.xxh64_intdigest(f"{name}:{seen[name]}") >> 1)
                 seen[name] += 1
-            yield pa.record_batch([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(whole, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(shard, pa.int64())], names=["doc_id", "doc_tokens", "whole", "rest", "shard"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(whole, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(place, pa.int64())], names=["doc_id", "doc_tokens", "whole", "rest", "place"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, doc_tokens long, whole array<long>, rest binary, shard long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, doc_tokens long, whole array<long>, rest binary, place long")
+
+
+def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of token lists, by document and term."""
+    size = [len(d) for d in docs]
+    keys, tf = np.unique(np.repeat(np.arange(len(docs)) << 16, size) | np.concatenate([*docs, np.zeros(0, np.uint16)]).astype(np.int64), return_counts=True)
+    return keys >> 16, keys & 65535, tf
+
+
+class Statistics:
+    """Documents, document frequencies and average length, of the whole corpus or of lists."""
+
+    def __init__(self, n: int, df: np.ndarray, mean: float):
+        self.df, self.mean = df, max(1.0, mean)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Statistics:
+        return cls(len(docs), np.bincount(counted(docs)[1], minlength=65536), sum(map(len, docs)) / max(1, len(docs)))
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
+
+
+def statistics(rows: DataFrame) -> Statistics:
+    """Statistics of the rests of all rows: a task counts its own, the sums by term (at most 65536) come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, size = np.zeros(65536, np.int64), 0, 0
+        for b in slices(batches, "rest"):
+            docs = [np.frombuffer(r, "<u2") for r in b.column("rest").to_pylist()]
+            df += np.bincount(counted(docs)[1], minlength=65536)
+            n, size = n + len(docs), size + sum(map(len, docs))
+        terms = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(np.r_[terms, -1, -2]), pa.array(np.r_[df[terms], n, size])], names=["term", "n"])
+
+    found = {r.term: r.n for r in rows.select("rest").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, size, df = found.pop(-1, 0), found.pop(-2, 0), np.zeros(65536, np.int64)
+    df[list(found)] = list(found.values())
+    return Statistics(n, df, size / max(1, n))
+
+
+def heaviest(docs: list[np.ndarray], stats: Statistics) -> np.ndarray:
+    """(n, PLACED) heaviest terms that other documents share; none: -1."""
+    doc, term, tf = counted(docs)
+    shared = stats.df[term] > 1
+    doc, term, tf = doc[shared], term[shared], tf[shared]
+    size = np.array([len(d) for d in docs], np.int64)
+    order = np.lexsort((term, -stats.weights(term, tf, size[doc]), doc))
+    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    out = np.full((len(docs), PLACED), -1, np.int64)
+    first = rank < PLACED
+    out[doc[first], rank[first]] = term[order][first]
+    return out
 
 
 class Index:
-    """An inverted BM25 index over a shard's token lists."""
+    """An inverted BM25 index over a shard's token lists, weighted by the statistics given (else by their own)."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        self.n = len(docs)
+    def __init__(self, docs: list[np.ndarray], stats: Statistics | None = None):
+        self.n, stats = len(docs), stats or Statistics.of(docs)
         size = np.array([len(d) for d in docs], np.int64)
-        keys, tf = np.unique(np.repeat(np.arange(self.n) << 16, size) | np.concatenate([*docs, np.zeros(0, np.uint16)]).astype(np.int64), return_counts=True)
-        doc, term = keys >> 16, keys & 65535
-        df = np.bincount(term, minlength=65536)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(1.0, size.mean())))
-        by_term = np.argsort(term, kind="stable")
+        doc, self.term, tf = counted(docs)
+        df = np.bincount(self.term, minlength=65536)
+        weight = stats.weights(self.term, tf, size[doc])
+        by_term = np.argsort(self.term, kind="stable")
         self.docs, self.weights = doc[by_term], weight[by_term]
         self.start = np.concatenate([[0], np.cumsum(df)])
-        weight = np.where(df[term] > 1, weight, 0)  # a term of one document leads to no other
-        self.term, self.weight, self.own = term, weight, np.searchsorted(doc, np.arange(self.n + 1))
+        self.own = np.searchsorted(doc, np.arange(self.n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of all documents for the seed's TERMS heaviest terms."""
-        a, b = self.own[seed], self.own[seed + 1]
-        top = a + np.lexsort((self.term[a:b], -self.weight[a:b]))[:TERMS]
-        top = top[self.weight[top] > 0]
-        spans = [np.arange(self.start[t], self.start[t + 1]) for t in self.term[top]]
+        """BM25 of all documents for the seed's terms."""
+        spans = [np.arange(self.start[t], self.start[t + 1]) for t in self.term[self.own[seed] : self.own[seed + 1]]]
         if not spans:
             return np.zeros(self.n)
         at = np.concatenate(spans)
         return np.bincount(self.docs[at], self.weights[at], self.n)
 
 
-def fill(docs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+def fill(docs: list[np.ndarray], stats: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows of pieces (document, start, length) that hold each id once; all but the last have WINDOW ids."""
-    index, unused = Index(docs), np.array([len(d) > 0 for d in docs], bool)
+    index, unused = Index(docs, stats), np.array([len(d) > 0 for d in docs], bool)
     windows: list[list[tuple[int, int, int]]] = []
     seed, start, next_seed = -1, 0, 0
     while True:
@@ -289,15 +340,24 @@ def pack(docs: DataFrame, vocabulary: str, shard: int = SHARD) -> DataFrame:
     arrow_limits(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "whole", "rest")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[3], r[1]))
-        first, out = key[0].as_py() << 32, []
+    rows = save(tokenized(docs, vocabulary), "tokens")
+    stats = statistics(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(stats)
+    names = ["doc_id", "doc_tokens", "whole", "rest"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "rest"):
+            terms = heaviest([np.frombuffer(r, "<u2") for r in b.column("rest").to_pylist()], shared.value)
+            yield pa.record_batch([*b.columns, *(pa.array(t) for t in terms.T)], names=[*b.schema.names, *(f"t{i}" for i in range(PLACED))])
+
+    def packed(rows: list[tuple], first: int) -> list[tuple]:
+        rows, out = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[3], r[1])), []
         for doc_id, total, whole, _ in rows:
             for k, value in enumerate(whole):
                 out.append((doc_id, k * WINDOW, WINDOW, value, total, first, 0))
                 first += 1
         ids = [np.frombuffer(r[3], "<u2") for r in rows]
-        windows = fill(ids)
+        windows = fill(ids, shared.value)
         if windows and sum(p[2] for p in windows[-1]) < WINDOW:
             windows[-1:] = powers(windows[-1])
         for pieces in windows:
@@ -306,11 +366,27 @@ def pack(docs: DataFrame, vocabulary: str, shard: int = SHARD) -> DataFrame:
                 out.append((rows[d][0], len(rows[d][2]) * WINDOW + start, n, crc(ids[d][start : start + n]), rows[d][1], first, offset))
                 offset += n
             first += 1
-        cols = list(zip(*out, strict=True))
-        return pa.table([pa.array(cols[0], table.schema.field("doc_id").type), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        return out
 
-    shards = max(1, -(-docs.count() // shard))
-    return tokenized(docs, vocabulary, shards).groupBy("shard").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first, last = [], TaskContext.get().partitionId() << 32, False
+        while not last:
+            b = next(batches, None)
+            last = b is None
+            if b is not None:
+                held += zip(*(b.column(c).to_pylist() for c in names), strict=True)
+            while len(held) >= 2 * shard or last and held:
+                n = shard if len(held) >= 2 * shard else len(held)
+                out, held = packed(held[:n], first), held[n:]
+                first = max(r[5] for r in out) + 1
+                cols = list(zip(*out, strict=True))
+                yield pa.record_batch([pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    shards = max(1, -(-rows.count() // shard))
+    order = [*(f"t{i}" for i in range(PLACED)), "place"]
+    placed = rows.mapInArrow(place, f"doc_id {kind}, doc_tokens long, whole array<long>, rest binary, place long, " + ", ".join(f"t{i} long" for i in range(PLACED)))
+    return placed.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op2_bm25_packing(spark, sf_dir: str) -> DataFrame:

@@ -118,6 +118,36 @@ def test_bm25_finds_related():
     assert scores[:5].min() > scores[5:].max()
 
 
+def test_statistics_of_all_documents(spark):
+    rng = np.random.default_rng(4)
+    docs = [rng.zipf(1.3, int(rng.integers(1, 200))).clip(1, 900).astype("<u2") for _ in range(120)]
+    rows = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "rest binary").repartition(5)
+    stats = packing.statistics(rows)
+    df, mean = collections.Counter(t for d in docs for t in set(d.tolist())), sum(map(len, docs)) / len(docs)
+    part = docs[:40]
+    for seed in (0, 7):
+        wanted = [0.0] * len(part)
+        for t in set(part[seed].tolist()):
+            for i, d in enumerate(part):
+                tf = d.tolist().count(t)
+                wanted[i] += math.log(1 + (120 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        assert np.allclose(packing.Index(part, stats).scores(seed), wanted)
+
+
+def test_shards_hold_neighbours(spark):
+    rng = random.Random(6)
+    rows = []
+    for topic in range(20):
+        own = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(6)]
+        rows += [(topic, " ".join([*(rng.choice(["the", "of", "and", "to", "in"]) for _ in range(60)), *own])) for _ in range(40)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    shards = collections.defaultdict(set)
+    for p in packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), 100).collect():
+        shards[rows[p.doc_id][0]].add(p.sequence_id >> 32)
+    assert len(set.union(*shards.values())) > 4 and sum(map(len, shards.values())) / len(shards) < 4
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, host string, score double")
 
