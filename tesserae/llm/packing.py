@@ -1,7 +1,8 @@
 """Lexical retrieval packing: in each shard a BM25 inverted index gives a seed's unused neighbours, which fill its window.
 
-Whole windows of a long document are its own; only its rest (under one window) goes to a shard, so a row of the shuffle
-has at most WINDOW ids. Document frequencies and the average length are those of all documents' rests. Shards are ranges
+Whole windows of a long document are its own; only its rest (under one window) goes to a shard, with the counts of the
+terms of its windows, so a row of the shuffle is bounded by the vocabulary. Neighbours are chosen by whole documents, and
+document frequencies and the average length are those of all whole documents. Shards are ranges
 of the order by the documents' heaviest shared terms, so that documents on the same lie together; what shares all of them
 is dealt by a hash of the document, its tokens and its number among equal rows: no term, id, text or source fills a
 shard. The last window of a shard is cut at powers of two, which need no padding.
@@ -36,7 +37,11 @@ MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'
 
 
 def is_letters(word: bytes) -> bool:
-    return word.isalpha() or not word.isascii() and word.decode("utf-8", "replace").isalpha()
+    """Only letters, whose lower case is letters too, of scripts long settled in Unicode (up to Cyrillic)."""
+    if word.isascii():
+        return word.isalpha()
+    s = word.decode("utf-8", "replace")
+    return max(s) < "\u0530" and s.isalpha() and s.lower().isalpha() and unicodedata.is_normalized("NFC", s)
 
 
 class Merges:
@@ -124,9 +129,10 @@ class Merges:
 class Words:
     """Token ids by white-space word.
 
-    The tokenizer lowers case, drops white space and never joins across it, so ids of a text are those of its lower-cased
-    words in turn. Of a word of letters and marks behind, the two are looked up each. Words of letters go straight to the
-    merges; all others go through the whole tokenizer.
+    The tokenizer drops white space and never joins across it, so ids of a text are those of its words in turn. It lowers
+    case, but finds its special strings first, by case: a text is lowered here only where it can hold none. Of a word of
+    letters and marks behind, the two are looked up each. Words of letters go straight to the merges; all others go whole
+    through the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -139,7 +145,7 @@ class Words:
     def _learn(self, words: set[bytes]) -> None:
         letters, rest = [], []
         for w in words:
-            if len(w) < 256 and (w.isalpha() or not w.isascii() and (s := w.decode("utf-8", "replace")).isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s)):
+            if len(w) < 256 and is_letters(w) and (w.islower() if w.isascii() else (s := w.decode("utf-8", "replace")) == s.lower()):
                 letters.append(w)
             else:
                 rest.append(w)
@@ -172,7 +178,7 @@ class Words:
             self.known, self.older = {}, self.known
         words, ends = [], []
         for t in texts:
-            words += t.lower().split()
+            words += (t if b"<|" in t else t.lower()).split()
             ends.append(len(words))
         found = list(map(self.known.get, words))
         missing = [i for i, ids in enumerate(found) if ids is None]
@@ -188,7 +194,7 @@ def crc(ids: np.ndarray) -> int:
 
 
 def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, doc_tokens, whole: CRCs of the whole windows, rest: its other ids, place: a hash that tells equal rows apart)."""
+    """(doc_id, doc_tokens, whole: CRCs of the whole windows, body: terms and counts of these, rest: its other ids, place: a hash that tells equal rows apart)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -196,28 +202,44 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, seen = Words(vocabulary), Counter()
         for b in slices(batches, "text", 1 << 20):
-            total, whole, rest, place = [], [], [], []
+            total, whole, body, rest, place = [], [], [], [], []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), words(raw(b.column("text"))), strict=True):
                 cut = len(ids) // WINDOW * WINDOW
                 total.append(len(ids))
                 whole.append([crc(ids[i : i + WINDOW]) for i in range(0, cut, WINDOW)])
+                terms, n = np.unique(ids[:cut], return_counts=True) if cut else (ids[:0], ids[:0])
+                body.append(terms.astype("<u2").tobytes() + n.astype("<u4").tobytes())
                 rest.append(ids[cut:].tobytes())
                 name = f"{doc_id}:{xxhash.xxh64_hexdigest(ids.tobytes())}"
                 place.append(xxhash.xxh64_intdigest(f"{name}:{seen[name]}") >> 1)
                 seen[name] += 1
-            yield pa.record_batch([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(whole, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(place, pa.int64())], names=["doc_id", "doc_tokens", "whole", "rest", "place"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(whole, pa.list_(pa.int64())), pa.array(body, pa.binary()), pa.array(rest, pa.binary()), pa.array(place, pa.int64())], names=["doc_id", "doc_tokens", "whole", "body", "rest", "place"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, doc_tokens long, whole array<long>, rest binary, place long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, doc_tokens long, whole array<long>, body binary, rest binary, place long")
 
 
-def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, count) of token lists, by document and term."""
+def counted(docs: list[np.ndarray], bodies: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of token lists and of the counts in ``bodies``, by document and term."""
     size = [len(d) for d in docs]
     keys, tf = np.unique(np.repeat(np.arange(len(docs)) << 16, size) | np.concatenate([*docs, np.zeros(0, np.uint16)]).astype(np.int64), return_counts=True)
+    more = [(i, b) for i, b in enumerate(bodies or ()) if b]
+    if more:
+        terms = [i << 16 | np.frombuffer(b, "<u2", len(b) // 6).astype(np.int64) for i, b in more]
+        both = np.concatenate([keys, *terms])
+        n = np.concatenate([tf, *(np.frombuffer(b, "<u4", len(b) // 6, len(b) // 6 * 2) for _, b in more)])
+        order = np.argsort(both, kind="stable")
+        both, n = both[order], n[order]
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        keys, tf = both[first], np.add.reduceat(n, first)
     return keys >> 16, keys & 65535, tf
 
 
+def lengths(docs: list[np.ndarray], bodies: list[bytes] | None = None) -> np.ndarray:
+    """Tokens of whole documents."""
+    return np.array([len(d) + (int(np.frombuffer(b, "<u4", len(b) // 6, len(b) // 6 * 2).sum()) if b else 0) for d, b in zip(docs, bodies or [b""] * len(docs), strict=True)], np.int64)
+
+
 class Statistics:
     """Documents, document frequencies and average length, of the whole corpus or of lists."""
 
@@ -234,29 +256,29 @@ class Statistics:
 
 
 def statistics(rows: DataFrame) -> Statistics:
-    """Statistics of the rests of all rows: a task counts its own, the sums by term (at most 65536) come to the driver."""
+    """Statistics of all whole documents: a task counts its own, the sums by term (at most 65536) come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, size = np.zeros(65536, np.int64), 0, 0
         for b in slices(batches, "rest"):
-            docs = [np.frombuffer(r, "<u2") for r in b.column("rest").to_pylist()]
-            df += np.bincount(counted(docs)[1], minlength=65536)
-            n, size = n + len(docs), size + sum(map(len, docs))
+            docs, bodies = [np.frombuffer(r, "<u2") for r in b.column("rest").to_pylist()], b.column("body").to_pylist()
+            df += np.bincount(counted(docs, bodies)[1], minlength=65536)
+            n, size = n + len(docs), size + int(lengths(docs, bodies).sum())
         terms = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.r_[terms, -1, -2]), pa.array(np.r_[df[terms], n, size])], names=["term", "n"])
 
-    found = {r.term: r.n for r in rows.select("rest").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    found = {r.term: r.n for r in rows.select("rest", "body").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n, size, df = found.pop(-1, 0), found.pop(-2, 0), np.zeros(65536, np.int64)
     df[list(found)] = list(found.values())
     return Statistics(n, df, size / max(1, n))
 
 
-def heaviest(docs: list[np.ndarray], stats: Statistics) -> np.ndarray:
+def heaviest(docs: list[np.ndarray], stats: Statistics, bodies: list[bytes] | None = None) -> np.ndarray:
     """(n, PLACED) heaviest terms that other documents share; none: -1."""
-    doc, term, tf = counted(docs)
+    doc, term, tf = counted(docs, bodies)
     shared = stats.df[term] > 1
     doc, term, tf = doc[shared], term[shared], tf[shared]
-    size = np.array([len(d) for d in docs], np.int64)
+    size = lengths(docs, bodies)
     order = np.lexsort((term, -stats.weights(term, tf, size[doc]), doc))
     rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
     out = np.full((len(docs), PLACED), -1, np.int64)
@@ -266,12 +288,12 @@ def heaviest(docs: list[np.ndarray], stats: Statistics) -> np.ndarray:
 
 
 class Index:
-    """An inverted BM25 index over a shard's token lists, weighted by the statistics given (else by their own)."""
+    """An inverted BM25 index over a shard's documents, weighted by the statistics given (else by their own)."""
 
-    def __init__(self, docs: list[np.ndarray], stats: Statistics | None = None):
+    def __init__(self, docs: list[np.ndarray], stats: Statistics | None = None, bodies: list[bytes] | None = None):
         self.n, stats = len(docs), stats or Statistics.of(docs)
-        size = np.array([len(d) for d in docs], np.int64)
-        doc, self.term, tf = counted(docs)
+        size = lengths(docs, bodies)
+        doc, self.term, tf = counted(docs, bodies)
         df = np.bincount(self.term, minlength=65536)
         weight = stats.weights(self.term, tf, size[doc])
         by_term = np.argsort(self.term, kind="stable")
@@ -288,9 +310,9 @@ class Index:
         return np.bincount(self.docs[at], self.weights[at], self.n)
 
 
-def fill(docs: list[np.ndarray], stats: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
+def fill(docs: list[np.ndarray], stats: Statistics | None = None, bodies: list[bytes] | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows of pieces (document, start, length) that hold each id once; all but the last have WINDOW ids."""
-    index, unused = Index(docs, stats), np.array([len(d) > 0 for d in docs], bool)
+    index, unused = Index(docs, stats, bodies), np.array([len(d) > 0 for d in docs], bool)
     windows: list[list[tuple[int, int, int]]] = []
     seed, start, next_seed = -1, 0, 0
     while True:
@@ -343,21 +365,21 @@ def pack(docs: DataFrame, vocabulary: str, shard: int = SHARD) -> DataFrame:
     rows = save(tokenized(docs, vocabulary), "tokens")
     stats = statistics(rows)
     shared = docs.sparkSession.sparkContext.broadcast(stats)
-    names = ["doc_id", "doc_tokens", "whole", "rest"]
+    names = ["doc_id", "doc_tokens", "whole", "rest", "body"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "rest"):
-            terms = heaviest([np.frombuffer(r, "<u2") for r in b.column("rest").to_pylist()], shared.value)
+            terms = heaviest([np.frombuffer(r, "<u2") for r in b.column("rest").to_pylist()], shared.value, b.column("body").to_pylist())
             yield pa.record_batch([*b.columns, *(pa.array(t) for t in terms.T)], names=[*b.schema.names, *(f"t{i}" for i in range(PLACED))])
 
     def packed(rows: list[tuple], first: int) -> list[tuple]:
         rows, out = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[3], r[1])), []
-        for doc_id, total, whole, _ in rows:
+        for doc_id, total, whole, *_ in rows:
             for k, value in enumerate(whole):
                 out.append((doc_id, k * WINDOW, WINDOW, value, total, first, 0))
                 first += 1
         ids = [np.frombuffer(r[3], "<u2") for r in rows]
-        windows = fill(ids, shared.value)
+        windows = fill(ids, shared.value, [r[4] for r in rows])
         if windows and sum(p[2] for p in windows[-1]) < WINDOW:
             windows[-1:] = powers(windows[-1])
         for pieces in windows:
@@ -385,7 +407,7 @@ def pack(docs: DataFrame, vocabulary: str, shard: int = SHARD) -> DataFrame:
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     shards = max(1, -(-rows.count() // shard))
     order = [*(f"t{i}" for i in range(PLACED)), "place"]
-    placed = rows.mapInArrow(place, f"doc_id {kind}, doc_tokens long, whole array<long>, rest binary, place long, " + ", ".join(f"t{i} long" for i in range(PLACED)))
+    placed = rows.mapInArrow(place, f"doc_id {kind}, doc_tokens long, whole array<long>, body binary, rest binary, place long, " + ", ".join(f"t{i} long" for i in range(PLACED)))
     return placed.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

@@ -104,6 +104,8 @@ def test_words_against_the_tokenizer():
 
     path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(1)
     made = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, most))) for _ in range(3000)) for letters, most in (("abcdefghijklmnopqrstuvwxyzéñßæаб", 60), ("aabcee'.-!1É", 12), ("ab", 40))]
+    odd = ["<|ENDOFTEXT|>", "a<|EndOfText|>b", "<|STARTOFTEXT|>", "x<|endoftext|>Y", "<|endoftext|>", "<|", "İ", "ß", "ǅ", "Σ", "ς", "é", "e\u0301", "ª", "ŉ", "K", "'", "'S", "'ll", "/", "&", "TK", "abc", "Zy", "9", "-", "…", "日", "\u0307", "\x1c", "ԱՖ", "Ꮳ"]
+    made += [" ".join("".join(rng.choice(odd) for _ in range(rng.randint(1, 5))) for _ in range(50)) for _ in range(400)]
     texts = ["", "Ärger's ab''c don't, x!!! 12a a1b2 ﬁne İstanbul ǅ 日本語 ß. e\u0301", " ".join("z" * k for k in range(1, 400, 7)), "'s '' a' 'a'b", "\x1c a b\u3000d", *made]
     whole = Tokenizer.from_file(path)
     words = packing.Words(path)
@@ -121,7 +123,13 @@ def test_bm25_finds_related():
 def test_statistics_of_all_documents(spark):
     rng = np.random.default_rng(4)
     docs = [rng.zipf(1.3, int(rng.integers(1, 200))).clip(1, 900).astype("<u2") for _ in range(120)]
-    rows = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "rest binary").repartition(5)
+    cuts = [len(d) // 2 if i % 3 == 0 else 0 for i, d in enumerate(docs)]
+    bodies = []
+    for d, cut in zip(docs, cuts, strict=True):
+        terms, n = np.unique(d[:cut], return_counts=True)
+        bodies.append(terms.astype("<u2").tobytes() + n.astype("<u4").tobytes())
+    rests = [d[cut:] for d, cut in zip(docs, cuts, strict=True)]
+    rows = spark.createDataFrame([(bytearray(d.tobytes()), bytearray(b)) for d, b in zip(rests, bodies, strict=True)], "rest binary, body binary").repartition(5)
     stats = packing.statistics(rows)
     df, mean = collections.Counter(t for d in docs for t in set(d.tolist())), sum(map(len, docs)) / len(docs)
     part = docs[:40]
@@ -132,6 +140,29 @@ def test_statistics_of_all_documents(spark):
                 tf = d.tolist().count(t)
                 wanted[i] += math.log(1 + (120 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
         assert np.allclose(packing.Index(part, stats).scores(seed), wanted)
+        assert np.allclose(packing.Index(rests[:40], stats, bodies[:40]).scores(seed), wanted)
+
+
+def test_windows_are_filled_with_the_nearest_unused():
+    rng = np.random.default_rng(8)
+    docs = [rng.zipf(1.3, int(rng.integers(300, 2500))).clip(1, 3000).astype("<u2") for _ in range(60)]
+    stats, left, wanted = packing.Statistics.of(docs), set(range(60)), []
+    index, now = packing.Index(docs, stats), None
+    while now is not None or left:
+        seed, start = now or (min(left), 0)
+        left.discard(seed)
+        window, now, scores = [(seed, start, len(docs[seed]) - start)], None, index.scores(seed)
+        space = packing.WINDOW - window[0][2]
+        for d in sorted(left, key=lambda d: (-scores[d], d)):
+            if not space:
+                break
+            left.discard(d)
+            window.append((d, 0, min(space, len(docs[d]))))
+            space -= window[-1][2]
+            if window[-1][2] < len(docs[d]):
+                now = d, window[-1][2]
+        wanted.append(window)
+    assert packing.fill(docs, stats) == wanted
 
 
 def test_shards_hold_neighbours(spark):
