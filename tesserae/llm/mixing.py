@@ -3,10 +3,12 @@
 Sources get targets by weight, capped at twice their size (water-filling). Slot i of the schedule goes to the source
 whose stretch of cumulative target shares holds the golden-ratio point frac((i + 1/2) * phi): every stretch of slots
 holds each source close to its share. A source's documents, shuffled by a hash, form a stream (up to twice), which is
-cut into as many equal-token blocks as the source has slots; the slot of rank r in its source takes block r.
+cut into as many equal-token blocks as the source has slots; the slot of rank r in its source takes block r. A mixed
+table is written in the order of its slots, so any stretch of it holds the sources close to their shares.
 
 Positions in the streams are two-level prefix sums over (source, hash bucket), so a source of a third of all rows is
-many buckets. Slots are dealt and ranked in chunks.
+many buckets; the hash is of id and text, so an id (or null) of many rows is many buckets too. Slots are dealt and
+ranked in chunks.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_limits, raw, save, slices
+from .common import WORD, arrow_limits, parts, raw, save, slices
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 #: Words of a slot, rows of a bucket, slots of a chunk; the sources of a mix are a catalogue of at most so many.
@@ -44,23 +46,26 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
     return out
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """All columns and _size: the words of the whole text, 0 for null."""
-    return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+def sized(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """All columns, _size: the words of the whole text, 0 for null, and _md5: the place of id and text in a stream."""
+    mark = F.concat_ws(":", F.lit("mix"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.coalesce(F.md5("text"), F.lit("null")))
+    return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_md5", F.md5(mark))
 
 
-def streams(docs: DataFrame, key: str, sources: list[tuple[str | None, int, float]], rows: int) -> DataFrame:
-    """``sized`` rows with _s (number of the source), source_size, target and _at: words of their source's stream before them."""
+def streams(docs: DataFrame, sources: list[tuple[str | None, int, float]], rows: int) -> DataFrame:
+    """``sized`` rows with _s (number of the source), source_size, target and _at: words of their source's stream before them.
+
+    Rows of equal id and text have equal sizes, so their order among themselves changes nothing.
+    """
     spark = docs.sparkSession
     plan = spark.createDataFrame([(i, s, n, t) for i, (s, n, t) in enumerate(sources)], "_s int, _source string, source_size long, target double")
-    digest = F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     buckets = max(1, -(-rows // BUCKET))
     order = F.shiftright(F.conv(F.substring("_md5", 1, 7), 16, 10).cast("long") * buckets, 28).cast("int")
     named = docs.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")  # at most SOURCES rows
-    dealt = named.withColumn("_md5", digest).withColumn("_bucket", order)
+    dealt = named.withColumn("_bucket", order)
     before = dealt.groupBy("_s", "_bucket").agg(F.sum("_size").alias("n"))
     before = before.select("_s", "_bucket", (F.sum("n").over(Window.partitionBy("_s").orderBy("_bucket")) - F.col("n")).alias("_before"))
-    w = Window.partitionBy("_s", "_bucket").orderBy("_md5", key, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("_s", "_bucket").orderBy("_md5").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("_in", F.coalesce(F.sum("_size").over(w), F.lit(0)))
     return placed.join(before, ["_s", "_bucket"]).withColumn("_at", F.col("_before") + F.col("_in")).drop("_before", "_in", "_md5", "_bucket")
 
@@ -88,8 +93,8 @@ def schedule(spark, wanted: list[float], slot: int = SLOT) -> DataFrame:
     return dealt.join(counts, ["chunk", "_s"]).select("slot", "_s", (F.col("rank") + F.col("before")).alias("rank"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(streams of the rows, pieces): pieces (slot, _s, _at, epoch, start, length) are what each slot takes of a row.
+def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(streams of the rows, pieces, slots): pieces (slot, _s, _at, epoch, start, length) are what each slot takes of a row.
 
     ``docs`` are ``sized`` rows. Pieces of a row are found by (_s, _at) where _size > 0. Empty texts have no piece; a
     null source is a source, the last; repeated rows each have their place. An empty table mixes nothing. Targets are
@@ -102,7 +107,7 @@ def mix(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"over {SOURCES} sources")
     found = sorted(found, key=lambda r: (r.source is None, r.source or ""))
     wanted = targets([r.n for r in found])
-    placed = streams(docs, key, [(r.source, r.n, t) for r, t in zip(found, wanted, strict=True)], sum(r.rows for r in found))
+    placed = streams(docs, [(r.source, r.n, t) for r, t in zip(found, wanted, strict=True)], sum(r.rows for r in found))
     slots = save(schedule(spark, wanted), "schedule")
     counted = {r._s: r.n for r in slots.groupBy("_s").agg(F.count("*").alias("n")).collect()}
     last = sum(counted.values())
@@ -118,22 +123,29 @@ def mix(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     at = at.withColumn("rank", F.explode(F.expr("sequence(((a + 1) * n - 1) div words, (b * n - 1) div words)")))
     low, high = F.greatest(F.col("a"), F.expr("rank * words div n")), F.least(F.col("b"), F.expr("(rank + 1) * words div n"))
     cut = at.select("_s", "_at", "epoch", "rank", (low - F.col("a")).alias("start"), (high - low).alias("length"))
-    return placed, cut.join(slots.hint("merge"), ["_s", "rank"]).select("slot", "_s", "_at", "epoch", "start", "length")
+    return placed, cut.join(slots.hint("merge"), ["_s", "rank"]).select("slot", "_s", "_at", "epoch", "start", "length"), last + len(extra)
 
 
 def mixed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents as the mix takes them: each row up to twice, cut after the last word taken."""
-    columns = docs.columns
-    rows = save(sized(docs).withColumn("_row", F.monotonically_increasing_id()), "sized")  # written, so the numbers stay
-    placed, pieces = mix(rows.select(key, "source", "_size", "_row"), key)
-    taken = pieces.groupBy("_s", "_at", "epoch").agg(F.sum("length").alias("_take"))
-    takes = placed.where("_size > 0").join(taken, ["_s", "_at"]).select("_row", "_take")
-    place = columns.index("text")
+    """The documents as the mix takes them, in the order of their first slots: each row up to twice, cut after the last word taken.
+
+    Partitions are equal ranges of slots, each sorted by slot. Columns of any name are kept.
+    """
+    names, place, schema = docs.columns, docs.columns.index("text"), docs.schema
+    columns = [f"c{i}" for i in range(len(names))]
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(names, columns, strict=True)), F.col(key).alias("_key"), F.col("source"), F.col("text"))
+    rows = sized(plain, "_key").drop("text", "_key").withColumn("_row", F.monotonically_increasing_id())
+    rows = save(rows, "sized")  # written, so the numbers stay
+    placed, pieces, slots = mix(rows.select("source", "_size", "_md5", "_row"))
+    taken = pieces.groupBy("_s", "_at", "epoch").agg(F.sum("length").alias("_take"), F.min("slot").alias("_slot"))
+    takes = placed.where("_size > 0").join(taken, ["_s", "_at"]).select("_row", "_take", "_slot", "_s", "_at", "epoch")
+    n = parts(rows)
+    found = rows.join(takes, "_row").repartitionById(n, (F.col("_slot") * n / max(1, slots)).cast("int")).sortWithinPartitions("_slot", "_s", "epoch", "_at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, columns[place]):
             out = []
-            for text, n, m in zip(raw(b.column("text")), b.column("_take").to_pylist(), b.column("_size").to_pylist(), strict=True):
+            for text, n, m in zip(raw(b.column(columns[place])), b.column("_take").to_pylist(), b.column("_size").to_pylist(), strict=True):
                 if n < m:
                     space = np.isin(np.frombuffer(text, np.uint8), [9, 10, 11, 12, 13, 32])
                     ends = np.flatnonzero(np.diff(np.r_[space, True].astype(np.int8)) == 1) + 1
@@ -141,24 +153,24 @@ def mixed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 out.append(text)
             cols = [b.column(c) for c in columns]
             cols[place] = pa.array(out, pa.binary()).cast(pa.string())
-            yield pa.record_batch(cols, names=columns)
+            yield pa.record_batch(cols, names=names)
 
-    return rows.join(takes, "_row").select(*columns, "_take", "_size").mapInArrow(cut, docs.schema)
+    return found.select(*columns, "_take", "_size").mapInArrow(cut, schema)
 
 
 def op8_golden_mix(spark, sf_dir: str) -> DataFrame:
-    """Words of each document that the mix of all sources takes."""
-    docs = save(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "_size"), "sizes")
-    placed, pieces = mix(docs)
-    taken = pieces.groupBy("_s", "_at").agg(F.sum("length").alias("taken"))
+    """Words of each document that the mix of all sources takes, the first slot that takes some (null: none), and its pieces in slots."""
+    docs = save(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "_size", "_md5"), "sizes")
+    placed, pieces, _ = mix(docs)
+    taken = pieces.groupBy("_s", "_at").agg(F.sum("length").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("slots"))
     whole = F.when(F.col("_size") > 0, F.col("_at"))
     out = placed.withColumn("_own", whole).join(taken.withColumnRenamed("_at", "_own"), ["_s", "_own"], "left")
-    return out.select("doc_id", F.col("_size").alias("size"), "source_size", F.round("target", 3).alias("target"), F.coalesce("taken", F.lit(0)).alias("taken"))
+    return out.select("doc_id", F.col("_size").alias("size"), "source_size", F.round("target", 3).alias("target"), F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", F.coalesce("slots", F.lit(0)).alias("slots"))
 
 
 ORACLE = r"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, COALESCE(md5(text), 'null') AS mark FROM documents),
  src AS (
   SELECT source, SUM(size)::BIGINT AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
   FROM sized GROUP BY source),
@@ -169,12 +181,30 @@ WITH RECURSIVE sized AS (
  first_free AS (SELECT MIN(k) AS k FROM level WHERE unit * w <= 2.0 * n),
  goal AS (
   SELECT l.source, l.n, CASE WHEN l.k < f.k THEN 2.0 * l.n ELSE l.w * (SELECT unit FROM level WHERE k = f.k) END AS target FROM level l, first_free f),
+ shares AS (
+  SELECT *, row_number() OVER o - 1 AS s, CAST(floor(target) AS BIGINT) AS words, SUM(target) OVER o / SUM(target) OVER () AS upto
+  FROM goal WINDOW o AS (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ points AS (
+  SELECT i AS slot, ((i + 0.5) * CAST('0.6180339887498949' AS DOUBLE)) % 1.0 AS x
+  FROM range((SELECT CAST(ceil(SUM(target) / 4096.0) AS BIGINT) FROM goal)) t(i)),
+ dealt AS (
+  SELECT slot, (SELECT COUNT(*) FROM shares WHERE upto <= x AND s < (SELECT MAX(s) FROM shares)) AS s FROM points),
+ slots AS (
+  SELECT slot, s, row_number() OVER (PARTITION BY s ORDER BY slot) - 1 AS rank FROM dealt
+  UNION ALL
+  SELECT (SELECT COUNT(*) FROM points) + row_number() OVER (ORDER BY s) - 1, s, 0 FROM shares WHERE target >= 1 AND s NOT IN (SELECT s FROM dealt)),
+ blocks AS (SELECT s, COUNT(*) AS n FROM slots GROUP BY s),
  placed AS (
-  SELECT s.doc_id, s.size, g.n AS source_size, g.target, CAST(floor(g.target) AS BIGINT) AS words,
-         COALESCE(SUM(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || COALESCE(CAST(s.doc_id AS VARCHAR), 'null')), s.doc_id, s.size
+  SELECT z.doc_id, z.size, g.n AS source_size, g.target, g.words, g.s, COALESCE(b.n, 1) AS n,
+         COALESCE(SUM(z.size) OVER (PARTITION BY z.source ORDER BY md5('mix:' || COALESCE(CAST(z.doc_id AS VARCHAR), 'null') || ':' || z.mark)
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, round(target, 3) AS target,
-       CAST(GREATEST(0, LEAST(pos + size, words) - pos) + GREATEST(0, LEAST(source_size + pos + size, words) - source_size - pos) AS BIGINT) AS taken
-FROM placed
+  FROM sized z JOIN shares g ON z.source IS NOT DISTINCT FROM g.source LEFT JOIN blocks b ON b.s = g.s),
+ ends AS (
+  SELECT *, LEAST(pos + size, words) AS b, source_size + pos AS a2, LEAST(source_size + pos + size, words) AS b2 FROM placed),
+ cut AS (
+  SELECT *, CASE WHEN pos < b THEN ((pos + 1) * n - 1) // words END AS r, CASE WHEN pos < b THEN (b * n - 1) // words - ((pos + 1) * n - 1) // words + 1 ELSE 0 END
+         + CASE WHEN a2 < b2 THEN (b2 * n - 1) // words - ((a2 + 1) * n - 1) // words + 1 ELSE 0 END AS pieces FROM ends)
+SELECT c.doc_id, size, source_size, round(target, 3) AS target, CAST(GREATEST(0, b - pos) + GREATEST(0, b2 - a2) AS BIGINT) AS taken,
+       CAST(slot AS BIGINT) AS first_slot, CAST(pieces AS BIGINT) AS slots
+FROM cut c LEFT JOIN slots t ON t.s = c.s AND t.rank = c.r
 """

@@ -357,19 +357,35 @@ def test_targets():
 @pytest.mark.parametrize("which", ["awkward", "documents"])
 def test_mixing(spark, which):
     docs = {"awkward": awkward, "documents": documents}[which](spark)
-    sizes = common.save(mixing.sized(docs).select("doc_id", "source", "_size"), "t")
-    placed, pieces = mixing.mix(sizes)
+    sizes = common.save(mixing.sized(docs).select("doc_id", "source", "_size", "_md5"), "t")
+    placed, pieces, count = mixing.mix(sizes)
     taken = pieces.groupBy("_s").agg(F.sum("length").alias("n")).collect()
     wanted = {r._s: r.target for r in placed.select("_s", "target").distinct().collect()}
     assert all(abs(r.n - wanted[r._s]) < 1 for r in taken)
     rows = mixing.mixed(docs)
     words = {r.source: r.n for r in mixing.sized(rows).groupBy("source").agg(F.sum("_size").alias("n")).collect()}
     assert sum(words.values()) == sum(r.n for r in taken) and rows.columns == docs.columns
+    assert {r.slot for r in pieces.select("slot").distinct().collect()} <= set(range(count))
+    odd = docs.withColumn("_size", F.lit("x")).withColumn("_row", F.lit(7)).withColumn("c0", F.lit(1.5)).withColumn("_md5", F.lit(None).cast("string"))
+    assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(odd).count() == rows.count()
     slots = mixing.schedule(spark, [3.0, 1.0, 4.0], 1).orderBy("slot").collect()
     assert [sum(r._s == s for r in slots) for s in range(3)] == [3, 1, 4]
     assert mixing.mixed(empty(spark)).count() == 0
 
 
+def test_mixed_follows_the_schedule(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(50 + i % 300)), "abc"[0 if i % 10 < 6 else 1 if i % 10 < 8 else 2]) for i in range(12_000)]
+    got = common.save(mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).withColumn("p", F.spark_partition_id()), "t")
+    words = [(r.source, len(r.text.split()), r.p) for r in got.orderBy("p").collect()]
+    whole = {s: sum(n for x, n, _ in words if x == s) / sum(n for _, n, _ in words) for s in "abc"}
+    parts_ = collections.defaultdict(collections.Counter)
+    for s, n, p in words:
+        parts_[p][s] += n
+    assert len(parts_) > 4
+    for c in parts_.values():
+        assert all(abs(c[s] / c.total() - whole[s]) < 0.1 for s in "abc")
+
+
 def test_schedule_is_even(spark):
     slots = [r._s for r in mixing.schedule(spark, [5e5, 2e5, 1e5], 1).orderBy("slot").limit(200_000).collect()]
     counts = np.cumsum(np.eye(3)[slots], 0)
