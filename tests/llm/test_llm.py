@@ -520,8 +520,13 @@ def brute_substrings(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [35, 12])
-def test_substrings(spark, length):
+def test_blocks_take_a_partition_each(spark):
+    rows = spark.range(5000).select(common.named_block(F.col("id") % 50).alias("b")).repartition(50, "b").select("b", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(rows) == len({r.p for r in rows}) == 50
+
+
+@pytest.mark.parametrize("length, pairs", [(35, 64), (35, 3), (12, 64), (12, 0)])
+def test_substrings(spark, length, pairs):
     rng = random.Random(7)
     shared = [[rng.choice("abcdefghij") + str(rng.randint(0, 3)) for _ in range(n)] for n in (12, 34, 35, 36, 60, 120)]
     rows = []
@@ -532,7 +537,7 @@ def test_substrings(spark, length):
         rows.append(" ".join(own))
     rows += ["p q " * 40, "z " * 34, "z " * 35, "z " * 36]
     df = awkward(spark, rows)
-    got = substring.dedup_substrings(df, length=length, keep=("lang", "key")).collect()
+    got = substring.dedup_substrings(df, length=length, keep=("lang", "key"), pairs=pairs).collect()
     source = df.collect()
     wanted = brute_substrings([(r.text or "").encode().split() for r in source], length)
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == collections.Counter((r.doc_id, *w) for r, w in zip(source, wanted, strict=True))
