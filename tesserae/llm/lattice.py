@@ -7,10 +7,9 @@ The arcs of a word's lattice are the pieces of an existing vocabulary and the wo
 c is the word's count in training texts, N their tokens, and A is set so that the pieces get the share of training
 tokens that were seen once (Good and Turing's estimate of what is new). Pieces start with weights that fall with their
 score's rank in the vocabulary; EM_ROUNDS rounds of forward and backward recursion over all distinct training words,
-each once (pieces stand for words not seen yet), give their expected counts, which the starting weights smooth. Words are recursed together by length in log space.
-
-A document's lattice grows with it: word i of a document, found there k times before, has probability
-(k + ADAPT * P(word)) / (i + ADAPT), so that what its text repeats costs less, and the probabilities of all texts still sum to at most 1.
+each once (pieces stand for words not seen yet), give their expected counts, which the starting weights smooth. Words
+are recursed together by length in log space, very long ones alone; no segmentation of any word is left out. A
+document's probability is the product over its words and the end.
 
 Documents are dealt once into blocks; a block asks for its distinct words only, so a frequent word is at most one row a
 block. Texts, words and counts cover all documents.
@@ -34,11 +33,9 @@ from .substring import prepared
 
 FOLDS, HELD_OUT = 7, 2
 #: Rounds of expectation and maximisation; counts that the starting weights stand for; words recursed at once.
-EM_ROUNDS, PRIOR, AT_ONCE = 2, 30.0, 4096
-#: Words that the corpus's probabilities count for beside a document's own words.
-ADAPT = 1000.0
-#: A word beyond this many characters is recursed in parts of so many.
-LONGEST = 256
+EM_ROUNDS, PRIOR, AT_ONCE = 3, 30.0, 4096
+#: A word beyond this many characters is recursed alone.
+TOGETHER = 256
 END = b""
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -168,6 +165,58 @@ class Lattice:
         out += np.bincount(np.concatenate(ids), np.concatenate(shares), len(out))
 
 
+class Chain:
+    """One long word (n=1): its arcs are found at all positions at once, the recursions go from position to position."""
+
+    def __init__(self, chars: np.ndarray, pieces: Pieces, log_p: np.ndarray):
+        self.length, starts, ends, ids, weights = len(chars), [], [], [], []
+        wide, at = chars.astype(np.uint64), np.arange(len(chars))
+        h = wide + _M1
+        for size in range(1, pieces.most + 1):
+            if size > 1:
+                at = at[at + size <= self.length]
+                h = h[: len(at)] * _M1 + wide[at + size - 1]
+            found = pieces.find(h)
+            hit = found >= 0
+            starts.append(at[hit])
+            ids.append(found[hit])
+            weights.append(log_p[found[hit]])
+            if size == 1:
+                other = np.flatnonzero(~pieces.single[chars])
+                c = chars[other]
+                starts.append(other)
+                ids.append(np.full(len(other), pieces.n, np.int32))
+                weights.append(log_p[pieces.n] - np.log(256.0) * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
+                ends.append(at[hit] + 1)
+                ends.append(other + 1)
+            else:
+                ends.append(at[hit] + size)
+            begins = found != -1
+            at, h = at[begins], h[begins]
+            if not len(at):
+                break
+        self.start, self.end, self.ids, self.weight = (np.concatenate(x) for x in (starts, ends, ids, weights))
+        self.alpha = self._recursed(self.end, self.start)
+        self.total = self.alpha[-1:]
+
+    def _recursed(self, to: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Log of the sum over paths from position 0 to each position."""
+        by = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[by], np.arange(1, self.length + 2)).tolist()
+        back, weight, out = back[by].tolist(), self.weight[by].tolist(), [0.0]
+        for a, b in zip(cut, cut[1:], strict=False):
+            terms = [out[back[i]] + weight[i] for i in range(a, b)]
+            top = max(terms, default=-math.inf)
+            out.append(top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else top)
+        return np.array(out)
+
+    def expected(self, count: np.ndarray, out: np.ndarray) -> None:
+        """Add each piece's expected count over the word of this count."""
+        beta = self._recursed(self.length - self.start, self.length - self.end)[::-1]
+        share = np.exp(self.alpha[self.start] + self.weight + beta[self.end] - self.total) * count[0]
+        out += np.bincount(self.ids, share, len(out))
+
+
 def gathered(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.Table]:
     """Batches of words joined up to about ``limit`` bytes, so that words of a length come in numbers."""
     held, size = [], 0
@@ -181,41 +230,27 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def lattices(words: list[bytes], pieces: Pieces, log_p: np.ndarray) -> Iterator[tuple[np.ndarray, Lattice]]:
-    """(positions in ``words``, lattice) by length; a part of a word beyond LONGEST comes on its own."""
-    parts_, owner = [], []
-    for i, w in enumerate(words):
-        s = "▁" + w.decode("utf-8", "replace")
-        for k in range(0, len(s), LONGEST):
-            parts_.append(s[k : k + LONGEST])
-            owner.append(i)
-    size, owner = np.fromiter(map(len, parts_), np.int64, len(parts_)), np.array(owner, np.int64)
+def lattices(words: list[bytes], pieces: Pieces, log_p: np.ndarray) -> Iterator[tuple[np.ndarray, Lattice | Chain]]:
+    """(positions in ``words``, their lattice) by length."""
+    marked = ["▁" + w.decode("utf-8", "replace") for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
     for n in np.unique(size).tolist():
         group = np.flatnonzero(size == n)
-        step = max(1, min(AT_ONCE, 200_000 // n))
+        step = max(1, min(AT_ONCE, 200_000 // n)) if n <= TOGETHER else 1
         for s in range(0, len(group), step):
             at = group[s : s + step]
-            chars = np.frombuffer("".join([parts_[i] for i in at]).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.int64)
-            yield owner[at], Lattice(chars, pieces, log_p)
+            chars = np.frombuffer("".join([marked[i] for i in at]).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.int64)
+            yield at, Lattice(chars, pieces, log_p) if n <= TOGETHER else Chain(chars[0], pieces, log_p)
 
 
 def log_marginals(words: list[bytes], path: str, log_p: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability over all its segmentations into pieces."""
     out = np.zeros(len(words))
     for at, lattice in lattices(words, _pieces(path), log_p):
-        np.add.at(out, at, lattice.total)
+        out[at] = lattice.total
     return out
 
 
-def adapted(i: np.ndarray, value: np.ndarray) -> float:
-    """Natural log of a text's probability: its words as positions in ``value``, the logs of the words' own probabilities."""
-    order = np.argsort(i, kind="stable")
-    own, before, place = i[order], np.empty(len(i)), np.arange(len(i))
-    before[order] = place - np.searchsorted(own, own)
-    with np.errstate(divide="ignore"):
-        return float((np.logaddexp(np.log(before), np.log(ADAPT) + value[i]) - np.log(place + ADAPT)).sum())
-
-
 def word_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(word, n: its count in training texts): every distinct token of all texts; the empty word is the end."""
     arrow_limits(docs.sparkSession)
@@ -321,7 +356,7 @@ def score(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
             words.append(END)
             i = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
             held = doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
-            rows.append((held, len(words), int(known[i].sum()), total, float(base[i].sum()), adapted(i, value) / math.log(10)))
+            rows.append((held, len(words), int(known[i].sum()), total, float(base[i].sum()), float(value[i].sum()) / math.log(10)))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([keys, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -282,13 +282,70 @@ def test_marginals_against_all_segmentations():
     assert math.isclose(sum(out[i] * len(known[i]) for i in np.flatnonzero(out)), len("▁hello"))
 
 
-def test_words_of_a_document_adapt():
-    p = np.array([0.5, 0.2, 1e-300, 0.1])
-    words, wanted = [0, 2, 0, 1, 2, 0, 3], 0.0
-    for n, w in enumerate(words):
-        wanted += math.log((words[:n].count(w) + lattice.ADAPT * p[w]) / (n + lattice.ADAPT))
-    assert math.isclose(lattice.adapted(np.array(words), np.log(p)), wanted)
-    assert math.isclose(lattice.adapted(np.array([3]), np.log(p)), math.log(0.1))
+def vocabulary(path):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    known = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
+    return {p: i for i, p in enumerate(known)}
+
+
+def plain_lattice(word, ids, most, log_p):
+    """Total and expected counts of a word by the textbook recursion."""
+    s = "▁" + word
+    arcs = [(a, b, ids[s[a:b]], log_p[ids[s[a:b]]]) for a in range(len(s)) for b in range(a + 1, min(len(s), a + most) + 1) if s[a:b] in ids]
+    arcs += [(a, a + 1, len(ids), log_p[len(ids)] - math.log(256) * len(s[a].encode())) for a in range(len(s)) if s[a] not in ids]
+    alpha, beta = [-math.inf] * (len(s) + 1), [-math.inf] * (len(s) + 1)
+    alpha[0] = beta[-1] = 0.0
+    for a, b, _, w in sorted(arcs, key=lambda x: x[1]):
+        alpha[b] = np.logaddexp(alpha[b], alpha[a] + w)
+    for a, b, _, w in sorted(arcs, key=lambda x: -x[0]):
+        beta[a] = np.logaddexp(beta[a], beta[b] + w)
+    count = collections.Counter()
+    for a, b, i, w in arcs:
+        count[i] += math.exp(alpha[a] + w + beta[b] - alpha[-1])
+    return alpha[-1], count
+
+
+def test_long_words_whole():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, ids, rng = lattice._pieces(path), vocabulary(path), random.Random(2)
+    log_p = np.log(pieces.prior)
+    words = ["".join(rng.choice("abcdehinorst𝔘ß日0123+/=") for _ in range(n)) for n in (254, 255, 256, 257, 400, 1500)] + ["ab" * 300]
+    got, wanted = lattice.log_marginals([w.encode() for w in words], path, log_p), [plain_lattice(w, ids, pieces.most, log_p) for w in words]
+    assert np.allclose(got, [t for t, _ in wanted], rtol=1e-9)
+    for w, (_, count) in zip(words, wanted, strict=True):
+        out = np.zeros(pieces.n + 1)
+        for _, lat in lattice.lattices([w.encode()], pieces, log_p):
+            lat.expected(np.ones(1), out)
+        assert np.allclose(out, [count[i] for i in range(pieces.n + 1)], atol=1e-7)
+
+
+def test_scores_against_the_textbook(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, ids = lattice._pieces(path), vocabulary(path)
+    texts = ["the cat sat on the mat", "the dog 日本 sat", "", None, "x" * 300 + " cat", "Größe größe the", "unseen words here", "the the the"]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    train = collections.Counter()
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            train.update([*(t or "").encode().lower().split(), b""])
+    total, once, ends = sum(train.values()), sum(n == 1 for n in train.values()), 1  # distinct words count once, the end too
+    counts = pieces.prior * lattice.PRIOR
+    for _ in range(lattice.EM_ROUNDS):
+        log_p, counts = np.log(counts / (counts.sum() + ends + 1)), pieces.prior * lattice.PRIOR
+        for w in train:
+            if w:
+                for i, n in plain_lattice(w.decode(), ids, pieces.most, log_p)[1].items():
+                    counts[i] += n
+    log_p, fresh = np.log(counts / (counts.sum() + ends + 1)), once * total / (total - once)
+    end = math.log((ends + 1) / (counts.sum() + ends + 1))
+    got = {r.doc_id: r.score for r in lattice.score(spark.createDataFrame(docs, "doc_id long, text string"), path).collect()}
+    for i, t in docs:
+        wanted = 0.0
+        for w in [*(t or "").encode().lower().split(), b""]:
+            wanted += math.log10((train[w] + fresh * math.exp(plain_lattice(w.decode(), ids, pieces.most, log_p)[0] if w else end)) / (total + fresh))
+        assert math.isclose(got[i], wanted, rel_tol=1e-7)
 
 
 def test_quality(spark):
