@@ -267,14 +267,19 @@ def representatives(docs: DataFrame, key: str = "doc_id", similarity: float | No
     """One row of each component: that of the smallest key (null last), of the smallest text digest among equals.
 
     With a ``similarity``, components are linked by that Jaccard similarity of five-word shingles instead of fingerprints.
+    Columns may have any names and types.
     """
-    rows, named = _classes(docs, key) if similarity is None else shingles.classes(docs, key, similarity)
-    won = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "digest")).alias("w"))
-    won = won.select(F.col("w.key").alias("_key"), F.col("w.digest").alias("_digest"))
-    found = docs.withColumn("_own", F.xxhash64("text"))
-    found = found.join(won, found[key].eqNullSafe(won["_key"]) & (found["_own"] == won["_digest"]), "left_semi")
-    once = Window.partitionBy(key, "_own").orderBy(*(c for c in docs.columns if c not in (key, "text")))
-    return found.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_key", F.col(f"c{names.index(key)}")).withColumn("text", F.col(f"c{names.index('text')}"))
+    keyed = plain.select("_key", "text")
+    rows, named = _classes(keyed, "_key") if similarity is None else shingles.classes(keyed, "_key", similarity)
+    won = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), "digest")).alias("w"))
+    won = won.select(F.col("w.key").alias("_won"), F.col("w.digest").alias("_digest"))
+    found = plain.withColumn("_own", F.xxhash64("text"))
+    found = found.join(won, F.col("_key").eqNullSafe(F.col("_won")) & (F.col("_own") == F.col("_digest")), "left_semi")
+    # rows of one key and text: the least as JSON, which orders columns of any type
+    once = Window.partitionBy("_key", "_own").orderBy(F.to_json(F.struct(*(f"c{i}" for i in range(len(names))))))
+    return found.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
