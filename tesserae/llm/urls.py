@@ -1,6 +1,7 @@
 """URL filters: rules by host and path, and for all other pages trust and distrust propagated over the link graph.
 
-Host edges are the links of pages to other hosts. Trust is a personalised PageRank along them from seeds, the share of
+Host edges are the links of pages to other hosts, and those between a host and the domain it belongs to, both ways: links
+are resolved against the page, and one within its own host tells nothing of another. Trust is a personalised PageRank along them from seeds, the share of
 a host's pages that rules allow; distrust runs against them from the share that rules block, so who links to blocked
 hosts is distrusted. A host whose distrust passes its trust by THRESHOLD of their sum is blocked where no rule applies: both
 scores shrink as more hosts share them, so only their relation tells the same at every size of the crawl.
@@ -19,7 +20,11 @@ from .common import save
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Restart probability, bounds of the iterations (CLOSE as a share of a score), margin of distrust (as a share of both scores), and rules that fit one expression.
 RESTART, ROUNDS, CLOSE, THRESHOLD, MOST_RULES = 0.15, 100, 1e-6, 0.05, 1000
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+LINK = r"""(?i)<(?:a|area)\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
+BASE = r"""(?i)<base\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
+ABSOLUTE = r"(?i)^(?:https?:)?//([^/?#]+)"
+#: Domains under which anyone can register: hosts below them are not of one owner (fixed values, the commonest of two parts).
+SHARED = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.tr", "com.mx", "com.ar", "co.in", "co.za", "co.kr", "com.tw", "com.ua")
 
 
 def lower_ascii(text: Column) -> Column:
@@ -46,11 +51,30 @@ def ruled(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
     return pages.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
+def node(host: Column) -> Column:
+    """A host without user and port."""
+    return lower_ascii(F.regexp_replace(host, r"^[^@]*@|:\d*$", ""))
+
+
+def links(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(src, dst): the hosts of each link's page and target, a relative one resolved by the page's base or its own host."""
+    absolute = lambda x: node(F.regexp_extract(x, ABSOLUTE, 1))
+    base = absolute(F.coalesce(F.regexp_extract(html, BASE, 1), F.lit("")))
+    found = pages.select(node(F.col("host")).alias("src"), base.alias("base"), F.explode(F.regexp_extract_all(html, F.lit(LINK), 1)).alias("to"))
+    own = F.when(F.col("base") != "", F.col("base")).otherwise(F.col("src"))
+    other = F.col("to").rlike(r"(?i)^(?!https?:)[a-z][a-z0-9+.-]*:")  # mailto: and the like lead to no host
+    return found.where("src <> ''").select("src", F.when(other, "").when(F.col("to").rlike(ABSOLUTE), absolute(F.col("to"))).otherwise(own).alias("dst"))
+
+
 def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(src, dst, n): distinct hosts that a host's pages link to, with the number of links."""
-    linked = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(html, F.lit(LINK), 1)).alias("to"))
-    linked = linked.select("src", lower_ascii(F.regexp_replace("to", r"^[^@]*@|:\d+$", "")).alias("dst"))
-    return linked.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    """(src, dst, n): hosts that a host's pages link to, with the number of links; and one each way between a host and its parent domain."""
+    linked = links(pages, html).where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    hosts = pages.select(node(F.col("host")).alias("host")).unionByName(linked.select(F.col("dst").alias("host"))).distinct()
+    labels = F.split("host", r"\.")
+    steps = hosts.where(~F.col("host").rlike(r"^[\d.]+$|[:\[]") & (F.size(labels) > 2)).select(F.explode(F.sequence(F.lit(1), F.size(labels) - 2)).alias("i"), labels.alias("l"))
+    owned = steps.select(F.array_join(F.expr("slice(l, i, size(l))"), ".").alias("host"), F.array_join(F.expr("slice(l, i + 1, size(l))"), ".").alias("parent")).where(~F.col("parent").isin(*SHARED)).distinct()
+    both = owned.select(F.col("host").alias("src"), F.col("parent").alias("dst")).unionByName(owned.select(F.col("parent").alias("src"), F.col("host").alias("dst")))
+    return linked.unionByName(both.withColumn("n", F.lit(1).cast("long"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, a: str, b: str, rounds: int = ROUNDS) -> DataFrame:
@@ -80,16 +104,19 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold:
     """(page_id, host, path, rule, verdict, trust, distrust) of each page.
 
     Null or malformed urls have an empty host and path, no rule and are allowed: nothing is known of them. Null html has
-    no links. Repeated rows weigh as often as they occur. Hosts without trust or distrust are allowed.
+    no links. Repeated rows weigh as often as they occur. Hosts without trust or distrust are allowed, and so are those
+    whose margin is just THRESHOLD. A subdomain is one with its domain only by the edges between them, up to the domains
+    of SHARED, which belong to nobody.
     """
-    named = ruled(with_host(pages), rules)
-    hosts = named.where("host <> ''").groupBy("host").agg(F.avg(F.when(F.col("rule_verdict") == "allow", 1.0).otherwise(0.0)).alias("allow"), F.avg(F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0)).alias("block"))
+    named = ruled(with_host(pages.select("page_id", "url", "html")), rules)
+    hosts = named.select(node(F.col("host")).alias("host"), "rule_verdict").where("host <> ''").groupBy("host").agg(F.avg(F.when(F.col("rule_verdict") == "allow", 1.0).otherwise(0.0)).alias("allow"), F.avg(F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0)).alias("block"))
     hosts = save(hosts, "hosts")
     edges = save(host_edges(with_host(pages.select("url", "html"))), "edges")
     trust = propagate(edges, hosts.select("host", F.col("allow").alias("seed")), "src", "dst").withColumnRenamed("score", "trust")
     distrust = propagate(edges, hosts.select("host", F.col("block").alias("seed")), "dst", "src").withColumnRenamed("score", "distrust")
     scores = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    found = named.select("page_id", "host", "path", "rule", "rule_verdict").join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
+    scores = scores.withColumnRenamed("host", "_node")
+    found = named.select("page_id", "host", "path", "rule", "rule_verdict", node(F.col("host")).alias("_node")).join(scores, "_node", "left").fillna(0.0, ["trust", "distrust"])
     method = F.when(F.col("distrust") - F.col("trust") > (F.col("distrust") + F.col("trust")) * threshold, "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "trust", "distrust")
 
