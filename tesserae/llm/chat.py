@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Estimated tokens of a window, of its history, and turns of history at most. A turn costs its characters / 4 and OVERHEAD.
+#: Tokens: up to six letters of a word, a digit, a mark. White space is none.
+TOKEN = r"[\p{L}\p{M}]{1,6}|\p{N}|[^\x20\x09-\x0D\p{L}\p{M}\p{N}]"
+#: Tokens of a window, of its history, and turns of history at most. A turn costs the tokens of its role and text, and OVERHEAD.
 BUDGET, HISTORY, HISTORY_TURNS, OVERHEAD = 2048, 256, 4, 4
 TURN, END = "<|turn|>", "<|end|>\n"
 #: Strings that no escaped text holds; the backslash goes after the first character (fixed values).
@@ -39,7 +41,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     """
     first = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    cost = F.ceil((F.length("role") + F.length("text")) / 4) + OVERHEAD
+    cost = F.regexp_count("role", F.lit(TOKEN)) + F.regexp_count("text", F.lit(TOKEN)) + OVERHEAD
     rows = rows.withColumn("sum", F.sum(cost).over(first.rowsBetween(Window.unboundedPreceding, 0))).withColumn("pos", F.row_number().over(first) - 1)
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sum", "role", "text"))).alias("turns"))
     has_system = F.when(F.col("turns")[0]["role"] == "system", 1).otherwise(0)
@@ -108,7 +110,7 @@ WITH RECURSIVE said AS (
   SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
  turns AS (
-  SELECT *, row_number() OVER o - 1 AS pos, SUM(CAST(ceil((length(role) + length(text)) / 4.0) AS BIGINT) + 4) OVER o AS total,
+  SELECT *, row_number() OVER o - 1 AS pos, SUM(len(regexp_extract_all(role, '""" + TOKEN + r"""')) + len(regexp_extract_all(text, '""" + TOKEN + r"""')) + 4) OVER o AS total,
          length(role) + length(text) + length('<|turn|>') + 1 + length('<|end|>') + 1
          + len(regexp_extract_all(role || chr(1) || text, '\\|<\||<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) + len(regexp_extract_all(role, '\n')) AS chars
   FROM said WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
