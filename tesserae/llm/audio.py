@@ -49,6 +49,8 @@ DELTA = np.where(_code & 8, -DELTA, DELTA).astype(np.int32).ravel()
 NEXT = (np.clip(np.arange(89)[:, None] + MOVES[_code & 7], 0, 88) * 16).astype(np.int32).ravel()
 #: Half-sample interpolation: windowed sinc at 0.5, 1.5, ... as integers over 2**14, summing to one half.
 TAPS = 6
+#: Samples worked on at once, so that a long row takes little beyond its samples.
+PIECE = 1 << 18
 _h = np.sinc(np.arange(TAPS) + 0.5) * np.cos(np.pi * (np.arange(TAPS) + 0.5) / (2 * TAPS + 1)) ** 2
 HALF = np.rint(_h / _h.sum() * 8192).astype(np.int32)
 
@@ -71,17 +73,32 @@ def adpcm_decode(blocks: np.ndarray) -> np.ndarray:
 
 
 def upsample(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: samples stay, and a half-band filter with integer taps gives those between."""
-    x = np.zeros(len(pcm) + 2 * TAPS, np.int32)
-    x[TAPS : TAPS + len(pcm)] = pcm
-    mid = np.full(len(pcm), 8192, np.int32)
-    for j, h in enumerate(HALF):
-        mid += h * (x[TAPS - j : TAPS - j + len(pcm)] + x[TAPS + 1 + j : TAPS + 1 + j + len(pcm)])
+    """Twice the rate: samples stay, and a half-band filter with integer taps gives those between; PIECE samples at a time."""
     out = np.empty(2 * len(pcm), np.int16)
-    out[0::2], out[1::2] = pcm, np.clip(mid >> 14, -32768, 32767)
+    out[0::2] = pcm
+    for a in range(0, len(pcm), PIECE):
+        n = min(PIECE, len(pcm) - a)
+        x = np.zeros(n + 2 * TAPS, np.int32)
+        low, high = max(0, a - TAPS), min(len(pcm), a + n + TAPS)
+        x[low - a + TAPS : high - a + TAPS] = pcm[low:high]
+        mid = np.full(n, 8192, np.int32)
+        for j, h in enumerate(HALF):
+            mid += h * (x[TAPS - j : TAPS - j + n] + x[TAPS + 1 + j : TAPS + 1 + j + n])
+        out[2 * a + 1 : 2 * (a + n) : 2] = np.clip(mid >> 14, -32768, 32767)
     return out
 
 
+def measured(pcm: np.ndarray) -> tuple[int, int, int]:
+    """(peak, root mean square, zero crossings) of samples, from integers; PIECE samples at a time."""
+    peak, power, cross = 0, 0, 0
+    for a in range(0, len(pcm), PIECE):
+        wide = pcm[a : a + PIECE].astype(np.int64)
+        peak, power = max(peak, int(np.abs(wide).max())), power + int(wide @ wide)
+        below = pcm[a : a + PIECE + 1] < 0
+        cross += int(np.count_nonzero(below[1:] != below[:-1]))
+    return peak, int((power / len(pcm)) ** 0.5), cross
+
+
 def wav(tag: int, data: bytes, rate: int = 8000) -> bytes:
     """A mono WAV of the companded tags, ADPCM (blocks of 4 + UNIT bytes) or PCM (tag 1)."""
     block, bits, extra = {ADPCM: (UNIT + 4, 4, struct.pack("<HH", 2, 2 * UNIT + 1)), 1: (2, 16, b"")}.get(tag, (1, 8, struct.pack("<H", 0)))
@@ -162,10 +179,8 @@ def decode_media(media: DataFrame, key: str = "doc_id") -> DataFrame:
                 else:
                     pcm = EXPAND[tag][np.frombuffer(payload, np.uint8)]
                 pcm = upsample(pcm)
-                wide = pcm.astype(np.int64)
-                power = int(wide @ wide)
-                rms, cross = int((power / len(pcm)) ** 0.5), int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-                feature = f"{NAMES[tag]} rate={2 * rate} samples={len(pcm)} peak={int(np.abs(wide).max())} rms={rms} crossings={cross}"
+                peak, rms, cross = measured(pcm)
+                feature = f"{NAMES[tag]} rate={2 * rate} samples={len(pcm)} peak={peak} rms={rms} crossings={cross}"
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature, wav(1, pcm.tobytes(), 2 * rate)))
             cols = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
@@ -176,6 +191,11 @@ def decode_media(media: DataFrame, key: str = "doc_id") -> DataFrame:
     return media.select(F.col(key).alias("key"), "n_bytes", "media").mapInArrow(run, out).withColumnRenamed("key", key)
 
 
+def store_pcm(media: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pcm) of stored media, written to the shared folder as 16-bit WAV and read back."""
+    return save(decode_media(media, key).select(key, "pcm"), "pcm")
+
+
 def op1_audio(spark, sf_dir: str) -> DataFrame:
     """Stores all documents as telephony audio in the shared folder, reads that back and digests what was read."""
     media = save(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
