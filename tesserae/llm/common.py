@@ -83,17 +83,24 @@ def named_block(i: Column) -> Column:
 
     Exchanges place an int by Murmur3 (32 bits, seed 42), each step of which can be undone.
     """
-    x = i.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    x = x.bitwiseXOR(F.shiftright(x, 16))
-    x = _times(x, pow(0xC2B2AE35, -1, 1 << 32))
-    x = x.bitwiseXOR(F.shiftright(x, 13)).bitwiseXOR(F.shiftright(x, 26))
-    x = _times(x, pow(0x85EBCA6B, -1, 1 << 32))
-    x = x.bitwiseXOR(F.shiftright(x, 16)).bitwiseXOR(F.lit(4))
-    x = (x + F.lit((1 << 32) - 0xE6546B64)).bitwiseAND(F.lit(0xFFFFFFFF))
-    x = _turned(_times(x, pow(5, -1, 1 << 32)), 13).bitwiseXOR(F.lit(42))
-    x = _turned(_times(x, pow(0x1B873593, -1, 1 << 32)), 15)
-    x = _times(x, pow(0xCC9E2D51, -1, 1 << 32))
-    return F.when(x >= F.lit(1 << 31), x - F.lit(1 << 32)).otherwise(x).cast("int")
+    inverse = {c: pow(c, -1, 1 << 32) for c in (0xC2B2AE35, 0x85EBCA6B, 5, 0x1B873593, 0xCC9E2D51)}
+    steps = (
+        lambda x: x.bitwiseXOR(F.shiftright(x, 16)),
+        lambda x: _times(x, inverse[0xC2B2AE35]),
+        lambda x: x.bitwiseXOR(F.shiftright(x, 13)).bitwiseXOR(F.shiftright(x, 26)),
+        lambda x: _times(x, inverse[0x85EBCA6B]),
+        lambda x: x.bitwiseXOR(F.shiftright(x, 16)).bitwiseXOR(F.lit(4)),
+        lambda x: _times((x + F.lit((1 << 32) - 0xE6546B64)).bitwiseAND(F.lit(0xFFFFFFFF)), inverse[5]),
+        lambda x: _turned(x, 13).bitwiseXOR(F.lit(42)),
+        lambda x: _times(x, inverse[0x1B873593]),
+        lambda x: _turned(x, 15),
+        lambda x: _times(x, inverse[0xCC9E2D51]),
+        lambda x: F.when(x >= F.lit(1 << 31), x - F.lit(1 << 32)).otherwise(x),
+    )
+    one = F.array(i.cast("long"))
+    for step in steps:  # a step uses its value several times: as an element it is worked out once
+        one = F.transform(one, step)
+    return one[0].cast("int")
 
 
 def split_by(text: Column, doc_id: Column, n: int) -> Column:

@@ -667,6 +667,8 @@ def brute_substrings(texts, length):
 def test_blocks_take_a_partition_each(spark):
     rows = spark.range(5000).select(common.named_block(F.col("id") % 50).alias("b")).repartition(50, "b").select("b", F.spark_partition_id().alias("p")).distinct().collect()
     assert len(rows) == len({r.p for r in rows}) == 50
+    plan = spark.range(5).select(common.named_block(F.col("id")))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 10_000
 
 
 @pytest.mark.parametrize("length, pairs", [(35, 64), (35, 3), (12, 64), (12, 0)])
