@@ -34,6 +34,8 @@ from .common import arrow_limits, parts, raw, slices, split_by
 LENGTH, K = 35, 8
 #: Occurrences of an anchor up to which all its pairs are extended.
 PAIRS = 64
+#: Kinds of rows that meet: an occurrence of a rare anchor, a window of a frequent one, places known to be repeated; and how many of these a row has.
+RARE, FREQUENT, KNOWN, PLACES = 0, 1, 2, 1024
 #: Odd multipliers of the rolling hashes (fixed values).
 BASE_K, BASE_W = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 #: Distinct words whose hash a worker remembers.
@@ -136,7 +138,8 @@ def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 def _occurrences(length: int, k: int, pairs: int):
     """Per block: its repeated anchors in; out for a rare one each occurrence with the words beside it (hashes, zero beyond
-    the text), for a frequent one its windows. ``at`` is the text's place in the block and the word where it starts."""
+    the text), for a frequent one its windows. ``at`` is the text's place in the block and the word where it starts. What
+    occurs again within the block is known without the others, which are told of it: its places go on in rows of PLACES."""
     reach, wide = length - k, 2 * length - k
 
     def run(key: tuple, docs: pa.Table, repeated: pa.Table) -> pa.Table:
@@ -167,10 +170,26 @@ def _occurrences(length: int, k: int, pairs: int):
         rows = np.concatenate([np.zeros((3, 0), np.int64), *far], 1)
         rows = rows[:, np.lexsort(rows[::-1])]
         first = np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(0)][: rows.shape[1]])
-        n, m = len(anchor), len(first)
-        ends = np.r_[np.arange(n + 1) * 4 * wide, np.full(m, 4 * n * wide)].astype(np.int32)
-        beside = pa.Array.from_buffers(pa.binary(), n + m, [None, pa.py_buffer(ends), pa.py_buffer(words.tobytes())])
-        return pa.table([pa.array(np.full(n + m, key[0].as_py(), np.int32)), pa.array(np.repeat([False, True], [n, m])), pa.array(np.r_[anchor, rows[0, first]]), pa.array(np.r_[np.zeros(n, np.int64), rows[1, first]]), _lists(np.r_[at, rows[2]], np.r_[np.arange(n), n + first]), beside], names=["_block", "frequent", "anchor", "window", "at", "beside"])
+        count = np.diff(np.r_[first, rows.shape[1]])
+        once = count == 1
+        known_at = rows[2, np.repeat(~once, count)]
+        o = np.argsort(~once, kind="stable")  # windows found once, with their place, then those found again, without
+        first, count = first[o], np.minimum(count[o], 2)
+        n, m, p, single = len(anchor), len(first), -(-len(known_at) // PLACES), int(once.sum())
+        ends = np.r_[np.arange(n + 1) * 4 * wide, np.full(m + p, 4 * n * wide)].astype(np.int32)
+        lists = np.r_[np.arange(n + single), np.full(m - single, n + single), n + single + np.arange(p) * PLACES]
+        block = key[0].as_py()
+        beside = pa.Array.from_buffers(pa.binary(), n + m + p, [None, pa.py_buffer(ends), pa.py_buffer(words.tobytes())])
+        cols = [
+            pa.array(np.full(n + m + p, block, np.int32)),
+            pa.array(np.repeat([RARE, FREQUENT, KNOWN], [n, m, p]).astype(np.int8)),
+            pa.array(np.r_[anchor, rows[0, first], np.full(p, block)]),
+            pa.array(np.r_[np.zeros(n, np.int64), rows[1, first], np.arange(p)]),
+            pa.array(np.r_[np.ones(n, np.int64), count, np.ones(p, np.int64)].astype(np.int8)),
+            _lists(np.r_[at, rows[2, first[:single]], known_at], lists),
+            beside,
+        ]
+        return pa.table(cols, names=["_block", "kind", "anchor", "window", "n", "at", "beside"])
 
     return run
 
@@ -211,22 +230,22 @@ def _meet(length: int, k: int):
 
     def found(t: pa.Table, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Matches within a table of whole groups; ``whole`` tells rows whose window is known to occur elsewhere."""
-        frequent = t.column("frequent").to_numpy()
-        key = np.stack([frequent.astype(np.int64), t.column("anchor").to_numpy(), t.column("window").to_numpy()])
+        kind, n = t.column("kind").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+        key = np.stack([kind.astype(np.int64), t.column("anchor").to_numpy(), t.column("window").to_numpy()])
         first = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
-        size = np.diff(np.r_[first, len(frequent)])
+        size = np.diff(np.r_[first, len(kind)])
         at, block = t.column("at").combine_chunks(), t.column("_block").to_numpy()
-        n = pc.list_value_length(at).to_numpy()
-        again = frequent & ((np.repeat(np.add.reduceat(n, first), size) > 1) | whole)
+        places = pc.list_value_length(at).to_numpy()
+        again = (kind == FREQUENT) & ((np.repeat(np.add.reduceat(n, first), size) > 1) | whole) & (places > 0) | (kind == KNOWN)
         if again.any():
             yield pa.record_batch([pa.array(block[again]), at.filter(pa.array(again)), pa.array(np.full(again.sum(), length, np.int32))], names=["_block", "at", "length"])
-        near = np.flatnonzero(~frequent)
+        near = np.flatnonzero(kind == RARE)
         if len(near):
-            rare = ~frequent[first]
+            rare = kind[first] == RARE
             words = np.frombuffer(b"".join(t.column("beside").take(near).to_pylist()), np.uint32).reshape(-1, wide)
             matched, left, right = extended(words, np.searchsorted(near, first[rare]), size[rare], length, k)
             if matched.any():
-                start = at.flatten().to_numpy()[np.cumsum(n)[near] - 1] - left
+                start = at.flatten().to_numpy()[np.cumsum(places)[near] - 1] - left
                 yield pa.record_batch([pa.array(block[near][matched]), _lists(start[matched], np.arange(matched.sum())), pa.array((left + right + k)[matched].astype(np.int32))], names=["_block", "at", "length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,13 +258,12 @@ def _meet(length: int, k: int):
             if not rows or (b is not None and rows < 20_000):
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
-            key = [t.column(c).to_numpy() for c in ("frequent", "anchor", "window")]
+            key = [t.column(c).to_numpy() for c in ("kind", "anchor", "window")]
             last = np.logical_and.reduce([x == x[-1] for x in key])
             cut = rows if b is None else int(last.argmax())
             name = tuple(x[-1] for x in key)
-            if cut == 0 and name[0]:  # one frequent window fills the table: what is there goes on
-                count = pc.sum(pc.list_value_length(t.column("at"))).as_py()
-                if name == open_ or count > 1:
+            if cut == 0 and name[0] == FREQUENT:  # one frequent window fills the table: what is there goes on
+                if name == open_ or pc.sum(t.column("n")).as_py() > 1:
                     open_ = name
                     yield from found(t, np.ones(rows, bool))
                     held, rows = [], 0
@@ -315,8 +333,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
     rows = prepared(docs.select(*dict.fromkeys(names), F.coalesce("text", F.lit("")).alias("text")), key, blocks)
     anchors = rows.mapInArrow(_anchors(length, k), "_block int, anchor long, n long")
     repeated = anchors.withColumn("total", F.sum("n").over(Window.partitionBy("anchor"))).where("total > 1").select("_block", "anchor", "total")
-    met = rows.groupBy("_block").cogroup(repeated.groupBy("_block")).applyInArrow(_occurrences(length, k, pairs), "_block int, frequent boolean, anchor long, window long, at array<long>, beside binary")
-    met = met.repartition(blocks, "anchor", "window").sortWithinPartitions("frequent", "anchor", "window")
+    met = rows.groupBy("_block").cogroup(repeated.groupBy("_block")).applyInArrow(_occurrences(length, k, pairs), "_block int, kind byte, anchor long, window long, n byte, at array<long>, beside binary")
+    met = met.repartition(blocks, "anchor", "window").sortWithinPartitions("kind", "anchor", "window")
     matches = met.mapInArrow(_meet(length, k), "_block int, at array<long>, length int")
     added = "n_words long, n_removed long, kept_text string, kept_sha256 string, repeats array<struct<start: long, length: long>>"
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
