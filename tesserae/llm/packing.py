@@ -16,22 +16,26 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_limits, raw, save, slices
+from .common import arrow_limits, save, slices
 
 WINDOW, END = 4096, 2
 #: BM25 parameters, heaviest terms that place a document, documents of a shard, words that a worker remembers.
 K1, B, PLACED, SHARD, CACHE = 1.2, 0.75, 3, 1024, 500_000
 
 
+#: Neighbours sorted at once.
+FIRST = 32
 #: Marks: the tokenizer splits between letters and them (an apostrophe may belong to what is before it).
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
 
@@ -138,7 +142,7 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {b"": b""}, {b"": b""}
         with open(path, encoding="utf-8") as f:
             self.merges = Merges(json.load(f)["model"])
 
@@ -173,20 +177,34 @@ class Words:
         for w, a, b in joint:
             self.known[w] = self.known[a] + self.known[b]
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+    def __call__(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text (null: empty) and the end: its words as numbers of the distinct ones, each of which is looked up once."""
         if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        words, ends = [], []
-        for t in texts:
-            words += (t if b"<|" in t else t.lower()).split()
-            ends.append(len(words))
+            self.known, self.older = {b"": b""}, self.known
+        texts = pc.fill_null(texts, "")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        coded = lists.flatten().cast(pa.binary()).dictionary_encode()
+        words = coded.dictionary.to_pylist()  # white space at the ends gives an empty word, which has no ids
         found = list(map(self.known.get, words))
         missing = [i for i, ids in enumerate(found) if ids is None]
         self._find({words[i] for i in missing})
         for i in missing:
             found[i] = self.known[words[i]]
-        end = struct.pack("<H", END)
-        return [np.frombuffer(b"".join(found[a:b]) + end, "<u2") for a, b in zip([0, *ends], ends)]
+        found.append(struct.pack("<H", END))
+        flat, size = np.frombuffer(b"".join(found), "<u2"), np.fromiter(map(len, found), np.int64, len(found)) // 2
+        ends = pc.list_value_length(lists).to_numpy().astype(np.int64).cumsum()
+        word = np.insert(coded.indices.to_numpy(), ends, len(words))
+        n, start = size[word], (np.cumsum(size) - size)[word]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat(start - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+        cut = upto[ends + np.arange(len(ends))]
+        return np.split(ids, cut[:-1]) if len(cut) else []
+
+
+@lru_cache(1)
+def _words(path: str) -> Words:
+    """A worker's words: they stay known from task to task."""
+    return Words(path)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -200,10 +218,10 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, seen = Words(vocabulary), Counter()
-        for b in slices(batches, "text", 1 << 20):
+        words, seen = _words(vocabulary), Counter()
+        for b in slices(batches, "text", 4 << 20):
             total, whole, body, rest, place = [], [], [], [], []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), words(raw(b.column("text"))), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), words(b.column("text")), strict=True):
                 cut = len(ids) // WINDOW * WINDOW
                 total.append(len(ids))
                 whole.append([crc(ids[i : i + WINDOW]) for i in range(0, cut, WINDOW)])
@@ -279,11 +297,15 @@ def heaviest(docs: list[np.ndarray], stats: Statistics, bodies: list[bytes] | No
     shared = stats.df[term] > 1
     doc, term, tf = doc[shared], term[shared], tf[shared]
     size = lengths(docs, bodies)
-    order = np.lexsort((term, -stats.weights(term, tf, size[doc]), doc))
-    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
     out = np.full((len(docs), PLACED), -1, np.int64)
-    first = rank < PLACED
-    out[doc[first], rank[first]] = term[order][first]
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
+    if len(first):  # the largest of weight, then smallest term, again and again
+        left = stats.weights(term, tf, size[doc]).astype(np.float32).view(np.int32).astype(np.int64) << 16 | (65535 - term)
+        many = np.diff(np.r_[first, len(doc)])
+        for i in range(PLACED):
+            top = np.maximum.reduceat(left, first)
+            out[doc[first], i] = np.where(top >= 0, 65535 - (top & 65535), -1)
+            left[left == np.repeat(top, many)] = -1
     return out
 
 
@@ -303,12 +325,21 @@ class Index:
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all documents for the seed's terms."""
-        spans = [np.arange(self.start[t], self.start[t + 1]) for t in self.term[self.own[seed] : self.own[seed + 1]]]
-        if not spans:
-            return np.zeros(self.n)
-        at = np.concatenate(spans)
+        terms = self.term[self.own[seed] : self.own[seed + 1]]
+        n = self.start[terms + 1] - self.start[terms]
+        upto = np.cumsum(n)
+        at = np.repeat(self.start[terms] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)
         return np.bincount(self.docs[at], self.weights[at], self.n)
 
+    def nearest(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """The unused documents from the nearest on, ties to the first; they are sorted as far as asked for."""
+        left = np.flatnonzero(unused)
+        score = self.scores(seed)[left]
+        while len(left):
+            near = score >= np.partition(score, -FIRST)[-FIRST] if len(left) > 2 * FIRST else np.ones(len(left), bool)
+            yield from left[near][np.argsort(-score[near], kind="stable")].tolist()
+            left, score = left[~near], score[~near]
+
 
 def fill(docs: list[np.ndarray], stats: Statistics | None = None, bodies: list[bytes] | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows of pieces (document, start, length) that hold each id once; all but the last have WINDOW ids."""
@@ -327,8 +358,7 @@ def fill(docs: list[np.ndarray], stats: Statistics | None = None, bodies: list[b
         windows.append(pieces)
         order = iter(())
         if space and unused.any():
-            left = np.flatnonzero(unused)
-            order = iter(left[np.argsort(-index.scores(seed)[left], kind="stable")].tolist())
+            order = index.nearest(seed, unused)
         seed = -1
         while space and (d := next(order, None)) is not None:
             unused[d] = False

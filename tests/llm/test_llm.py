@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -142,7 +143,7 @@ def test_words_against_the_tokenizer():
     whole = Tokenizer.from_file(path)
     words = packing.Words(path)
     for _ in range(2):  # once new, once known
-        assert [x.tolist() for x in words([t.encode() for t in texts])] == [whole.encode(t, add_special_tokens=False).ids + [packing.END] for t in texts]
+        assert [x.tolist() for x in words(pa.array(texts))] == [whole.encode(t, add_special_tokens=False).ids + [packing.END] for t in texts]
 
 
 def test_bm25_finds_related():
