@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import struct
-import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,16 +35,11 @@ K1, B, PLACED, SHARD, CACHE = 1.2, 0.75, 3, 1024, 500_000
 
 #: Neighbours sorted at once.
 FIRST = 32
-#: Marks: the tokenizer splits between letters and them (an apostrophe may belong to what is before it).
-MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
-
-
-def is_letters(word: bytes) -> bool:
-    """Only letters, whose lower case is letters too, of scripts long settled in Unicode (up to Cyrillic)."""
-    if word.isascii():
-        return word.isalpha()
-    s = word.decode("utf-8", "replace")
-    return max(s) < "\u0530" and s.isalpha() and s.lower().isalpha() and unicodedata.is_normalized("NFC", s)
+#: Marks that the tokenizer splits from letters before them (an apostrophe may belong to these), and words of lower-case
+#: letters that no step of it changes.
+MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
+SMALL = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, (*range(0xDF, 0xF7), *range(0xF8, 0x100), *range(0x430, 0x450), 0x451)))
+LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u00ff\u0430-\u044f\u0451]+$"
 
 
 class Merges:
@@ -135,8 +129,8 @@ class Words:
 
     The tokenizer drops white space and never joins across it, so ids of a text are those of its words in turn. It lowers
     case, but finds its special strings first, by case: a text is lowered here only where it can hold none. Of a word of
-    letters and marks behind, the two are looked up each. Words of letters go straight to the merges; all others go whole
-    through the tokenizer.
+    letters and marks behind, the two are looked up each. Letters go straight to the merges; all else goes whole through
+    the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -146,36 +140,26 @@ class Words:
         with open(path, encoding="utf-8") as f:
             self.merges = Merges(json.load(f)["model"])
 
-    def _learn(self, words: set[bytes]) -> None:
-        letters, rest = [], []
-        for w in words:
-            if len(w) < 256 and is_letters(w) and (w.islower() if w.isascii() else (s := w.decode("utf-8", "replace")) == s.lower()):
-                letters.append(w)
+    def _ids(self, words: list[bytes], letters: bool) -> list[bytes]:
+        """Ids of distinct words, from the known and the older ones where they are there."""
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            if (ids := self.older.get(words[i])) is None:
+                new.append(words[i])
             else:
-                rest.append(w)
-        self.known.update(zip(letters, self.merges(letters), strict=True))
+                self.known[words[i]] = ids
+        short = [w for w in new if len(w) < 256] if letters else []
+        self.known.update(zip(short, self.merges(short), strict=True))
+        rest = [w for w in new if len(w) > 255] if letters else new
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 self.known[w] = struct.pack(f"<{len(e.ids)}H", *e.ids)
-
-    def _find(self, words: set[bytes]) -> None:
-        """Make all words known, from the older ones where they are there."""
-        new, joint = set(), []
-        for w in words:
-            if (ids := self.older.get(w)) is not None:
-                self.known[w] = ids
-            elif len(stem := w.rstrip(MARKS)) < len(w) and is_letters(stem):
-                joint.append((w, stem, w[len(stem) :]))
-                new.update(x for x in joint[-1][1:] if x not in self.known)
-            else:
-                new.add(w)
-        for w in [w for w in new if w in self.older]:
-            self.known[w] = self.older[w]
-            new.discard(w)
-        self._learn(new)
-        for w, a, b in joint:
-            self.known[w] = self.known[a] + self.known[b]
+        for i in missing:
+            found[i] = self.known[words[i]]
+        return found
 
     def __call__(self, texts: pa.StringArray) -> list[np.ndarray]:
         """Ids of each text (null: empty) and the end: its words as numbers of the distinct ones, each of which is looked up once."""
@@ -183,17 +167,25 @@ class Words:
             self.known, self.older = {b"": b""}, self.known
         texts = pc.fill_null(texts, "")
         lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
-        coded = lists.flatten().cast(pa.binary()).dictionary_encode()
-        words = coded.dictionary.to_pylist()  # white space at the ends gives an empty word, which has no ids
-        found = list(map(self.known.get, words))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        self._find({words[i] for i in missing})
-        for i in missing:
-            found[i] = self.known[words[i]]
-        found.append(struct.pack("<H", END))
+        words = lists.flatten()
+        stems = pc.ascii_rtrim(words, MARKS).dictionary_encode()
+        plain = pc.match_substring_regex(stems.dictionary, LETTERS).to_numpy(zero_copy_only=False)
+        code = stems.indices.to_numpy()
+        good = plain[code]
+        marked = good & (pc.binary_length(words).to_numpy() > pc.binary_length(stems.dictionary).to_numpy()[code])
+        others = words.filter(pa.array(~good)).dictionary_encode()
+        marks = pc.utf8_ltrim(words.filter(pa.array(marked)), SMALL).dictionary_encode()
+        letters = self._ids(stems.dictionary.filter(pa.array(plain)).cast(pa.binary()).to_pylist(), True)
+        rest = self._ids(others.dictionary.cast(pa.binary()).to_pylist() + marks.dictionary.cast(pa.binary()).to_pylist(), False)
+        found = [*letters, *rest, b"", struct.pack("<H", END)]  # white space at the ends gives an empty word, which has no ids
         flat, size = np.frombuffer(b"".join(found), "<u2"), np.fromiter(map(len, found), np.int64, len(found)) // 2
-        ends = pc.list_value_length(lists).to_numpy().astype(np.int64).cumsum()
-        word = np.insert(coded.indices.to_numpy(), ends, len(words))
+        place = np.cumsum(plain) - 1
+        pairs = np.full((len(words), 2), len(found) - 2)  # of each word: the letters or all of it, then the marks or nothing
+        pairs[:, 0] = place[code]
+        pairs[~good, 0] = len(letters) + others.indices.to_numpy()
+        pairs[marked, 1] = len(letters) + len(others.dictionary) + marks.indices.to_numpy()
+        ends = 2 * pc.list_value_length(lists).to_numpy().astype(np.int64).cumsum()
+        word = np.insert(pairs.ravel(), ends, len(found) - 1)
         n, start = size[word], (np.cumsum(size) - size)[word]
         upto = np.cumsum(n)
         ids = flat[np.repeat(start - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
@@ -219,7 +211,7 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, seen = _words(vocabulary), Counter()
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 8 << 20):
             total, whole, body, rest, place = [], [], [], [], []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), words(b.column("text")), strict=True):
                 cut = len(ids) // WINDOW * WINDOW
