@@ -273,7 +273,8 @@ def representatives(docs: DataFrame, key: str = "doc_id", similarity: float | No
     plain = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_key", F.col(f"c{names.index(key)}")).withColumn("text", F.col(f"c{names.index('text')}"))
     keyed = plain.select("_key", "text")
     rows, named = _classes(keyed, "_key") if similarity is None else shingles.classes(keyed, "_key", similarity)
-    won = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), "digest")).alias("w"))
+    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), "digest")).alias("w"))
+    won = least.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("w").alias("w"))
     won = won.select(F.col("w.key").alias("_won"), F.col("w.digest").alias("_digest"))
     found = plain.withColumn("_own", F.xxhash64("text"))
     found = found.join(won, F.col("_key").eqNullSafe(F.col("_won")) & (F.col("_own") == F.col("_digest")), "left_semi")
