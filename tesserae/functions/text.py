@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)\s+"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: inside a lambda an expression from outside is worked out for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends (trim takes blanks only)."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -97,7 +102,7 @@ def document_label(folder: Column, name: Column, version: Column, kind: Column,
 
 
 def clean_line(text: Column) -> Column:
-    out = F.translate(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\t ", "  ")
+    out = F.translate(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\t\u00a0", "  ")
     return strip(F.regexp_replace(out, " {2,}", " "))
 
 
@@ -135,20 +140,23 @@ def heading_level_of_size(size: Column, body_size: Column) -> Column:
 
 def table_markdown(rows: Column) -> Column:
     """An array of rows of cells as a Markdown table: empty rows go, short ones are padded, the first is the header."""
-    clean = F.transform(rows, lambda r: F.transform(r, lambda c: collapse(F.replace(F.coalesce(c, F.lit("")), F.lit(" "), F.lit(" ")))))
+    clean = F.transform(rows, lambda r: F.transform(r, lambda c: collapse(F.replace(F.coalesce(c, F.lit("")), F.lit("\u00a0"), F.lit(" ")))))
     kept = F.filter(clean, lambda r: F.exists(r, lambda c: c != ""))
-    width = F.array_max(F.transform(kept, F.size))
-    lines = F.transform(kept, lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |")))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    table = F.concat_ws("\n", F.element_at(lines, 1), rule, F.nullif(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n"), F.lit("")))
-    return F.when(F.size(kept) > 0, table).otherwise(F.lit(""))
+    def table(kept: Column, width: Column) -> Column:
+        lines = F.transform(kept, lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |")))
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+        whole = let(lines, lambda x: F.array_join(F.concat(F.slice(x, 1, 1), F.array(rule), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))), "\n"))
+        return F.when(F.size(kept) > 0, whole).otherwise(F.lit(""))
+
+    return let(kept, lambda k: let(F.array_max(F.transform(k, F.size)), lambda w: table(k, w)))
 
 
 def unique_keep_order(items: Column) -> Column:
     """Stripped, without blanks, the first of those equal but for case."""
     clean = F.filter(F.transform(items, strip), lambda x: x != "")
-    low = F.transform(clean, lambda x: F.lower(x))
-    return F.filter(clean, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    ordered = F.array_sort(F.transform(clean, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = let(ordered, lambda o: F.filter(o, lambda x, j: (j == 0) | (F.get(o, j - 1)["k"] != x["k"])))
+    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["i"], x["x"]))), lambda x: x["x"])
 
 
 def json_fragment(text: Column) -> Column:
@@ -157,4 +165,6 @@ def json_fragment(text: Column) -> Column:
 
 
 def strip_bullets(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[ \t\-•]+|[ \t\-•]+$", "")
+    """The lines of a list without marks around them; empty ones go."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[ \t\-•]+|[ \t\-•]+$", ""))
+    return F.filter(lines, lambda x: x != "")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +15,15 @@ SCHEMA = "doc_id string, source string, document_name string, version string, do
 
 
 def upsert(current: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` over ``current``: of one doc_id the latest row wins, new over old where equally late."""
-    both = current.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    last = Window.partitionBy("doc_id").orderBy(F.desc("_new"), F.desc_nulls_last("updated_at"))
-    return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_new")
+    """``rows`` over ``current``: a document's new row replaces its old one, of several new ones the latest.
+
+    Only the new rows are grouped; the current ones are only joined with the new ids. Columns that rows lack become null.
+    """
+    order = F.desc_nulls_last("updated_at") if "updated_at" in rows.columns else F.lit(0)
+    last = Window.partitionBy("doc_id").orderBy(order)
+    new = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    ids = rows.select(F.col("doc_id").alias("_id")).distinct()
+    return current.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def delete(current: DataFrame, ids: DataFrame) -> DataFrame:
@@ -48,38 +56,48 @@ def accepted(files: DataFrame, types: tuple[str, ...] = DEFAULT.upload_types, mo
     return files.where(kind.isin(*types) & (F.col("length") <= most)).withColumn("source_type", kind)
 
 
-class Catalog:
-    """Versions under one folder; the newest finished one is the catalogue."""
+class Versioned:
+    """A table of versions under one folder; the newest is read. A version appears whole: it is written aside and then renamed."""
+
+    SCHEMA = SCHEMA
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def _versions(self) -> list[int]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not self._fs.exists(root):
+        if not self._fs.exists(self._at("")):
             return []
-        names = [s.getPath() for s in self._fs.listStatus(root)]
-        done = [p.getName()[1:] for p in names if p.getName().startswith("v") and self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(map(int, done))
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(""))]
+        return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and self._fs.exists(self._at(f"{n}/_SUCCESS")))
 
     def read(self) -> DataFrame:
         versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.parquet(f"{self.path}/v{versions[-1]}")
-
-    def _write(self, df: DataFrame) -> None:
-        versions = self._versions()
-        df.write.parquet(f"{self.path}/v{(versions or [0])[-1] + 1}")
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/v{versions[-1]}") if versions else self.spark.createDataFrame([], self.SCHEMA)
+
+    def write(self, df: DataFrame) -> None:
+        """A new version. Raises if another writer made one since; a writer that fails leaves only its own folder."""
+        versions, aside = self._versions(), f"writing-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{aside}")
+        new = f"v{(versions or [0])[-1] + 1}"
+        if self._fs.exists(self._at(new)) or not self._fs.rename(self._at(aside), self._at(new)):
+            self._fs.delete(self._at(aside), True)
+            raise RuntimeError(f"{new} is there already: another writer came first")
         for old in versions[:-1]:  # readers of the version before go on
-            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
+            self._fs.delete(self._at(f"v{old}"), True)
+
+
+class Catalog(Versioned):
+    """The catalogue's rows by SCHEMA."""
 
     def upsert(self, rows: DataFrame) -> None:
-        self._write(upsert(self.read(), rows))
+        self.write(upsert(self.read(), rows))
 
     def delete(self, ids: list[str]) -> None:
-        self._write(delete(self.read(), self.spark.createDataFrame([(i,) for i in ids], "doc_id string")))
+        self.write(delete(self.read(), self.spark.createDataFrame([(i,) for i in ids], "doc_id string")))
 
     def get(self, doc_id: str) -> dict | None:
         row = self.read().where(F.col("doc_id") == doc_id).first()
@@ -91,8 +109,12 @@ class Catalog:
     def backfill(self, folder: str) -> int:
         """Upsert every JSON bundle of a folder that has a doc_id; malformed files are skipped."""
         found = self.spark.read.schema(SCHEMA + ", _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(f"{folder}/*.json")
-        good = found.cache().where("_bad is null and coalesce(doc_id, '') <> ''").drop("_bad")
-        n = good.count()
-        if n:
-            self.upsert(good)
-        return n
+        cached = found.cache()  # Spark reads a corrupt record's column only beside others or from a cache
+        try:
+            good = cached.where("_bad is null and coalesce(doc_id, '') <> ''").drop("_bad")
+            n = good.count()
+            if n:
+                self.upsert(good)
+            return n
+        finally:
+            cached.unpersist()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import normalize_display_text, normalize_text
+from ..functions.text import let, normalize_display_text, normalize_text, strip
 from .sections import numbered_points
 
 
@@ -34,11 +34,25 @@ def pair_sections(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ()) -
     return both.withColumn("position", F.row_number().over(order)).drop("nth")
 
 
+def points(text: Column) -> Column:
+    """Numbered points of a text as an array (number, text) by number, the last of equal ones; empty with fewer than two."""
+    marked = F.regexp_replace(text, r"(?md)^\s*(\d+)\.\s", "\u0001$0")
+    parts = F.transform(F.slice(F.split(marked, "\u0001"), 2, 1 << 30), lambda p, i: F.struct(F.regexp_extract(p, r"(\d+)\.", 1).alias("no"), i.alias("i"), strip(p).alias("text")))
+    last = let(F.array_sort(parts), lambda by: F.filter(by, lambda p, i: F.coalesce(F.get(by, i + 1)["no"] != p["no"], F.lit(True))))
+    return F.when(F.size(parts) > 1, F.transform(last, lambda p: F.struct(p["no"], p["text"]))).otherwise(F.array().cast("array<struct<no:string,text:string>>"))
+
+
 def change_types(pairs: DataFrame) -> DataFrame:
-    """Adds change_type (same, changed, added, removed) and changed: an added or removed empty section counts as unchanged."""
+    """Adds change_type (same, changed, added, removed) and changed: an added or removed empty section counts as unchanged.
+
+    If a side has numbered points, the points decide: what stands before the first one, and a side without points, count
+    as nothing.
+    """
     left, right = F.coalesce("left_text", F.lit("")), F.coalesce("right_text", F.lit(""))
-    kind = F.when(F.col("left_section_id").isNull(), "added").when(F.col("right_section_id").isNull(), "removed").when(left != right, "changed").otherwise("same")
-    return pairs.withColumn("changed", left != right).withColumn("change_type", kind)
+    rows = pairs.withColumn("_l", points(left)).withColumn("_r", points(right))
+    changed = F.when((F.size("_l") == 0) & (F.size("_r") == 0), left != right).otherwise(F.col("_l") != F.col("_r"))
+    kind = F.when(F.col("left_section_id").isNull(), "added").when(F.col("right_section_id").isNull(), "removed").when(F.col("changed"), "changed").otherwise("same")
+    return rows.withColumn("changed", changed).drop("_l", "_r").withColumn("change_type", kind)
 
 
 def compare_counts(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -57,25 +71,66 @@ def pair_points(pairs: DataFrame, keys: tuple[str, ...] = ("position",)) -> Data
     return both.withColumn("changed", changed).withColumn("ord", F.row_number().over(order)).drop("left_pos", "right_pos")
 
 
-def diff_html(left: str, right: str) -> dict:
-    """Both texts as HTML with what differs marked, by tokens."""
+MARK = re.compile(r"^\s*(\d+)\.\s", re.MULTILINE)
+
+
+def diff_html(left: str, right: str) -> tuple[str, str, bool]:
+    """Both texts as HTML, by tokens: what only the left has is marked removed, what only the right has added."""
+    if left == right:
+        return html.escape(left), html.escape(right), False
     a, b = (re.findall(r"\w+|[^\w\s]|\s+", t) for t in (left, right))
-    sides: dict[str, list[str]] = {"left": [], "right": []}
+    sides: tuple[list[str], list[str]] = ([], [])
+    for kind, *cut in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        for side, mark, tokens in zip(sides, ("diff-removed", "diff-added"), (a[cut[0] : cut[1]], b[cut[2] : cut[3]]), strict=True):
+            if tokens:
+                text = html.escape("".join(tokens))
+                side.append(text if kind == "equal" else f"<span class='{mark}'>{text}</span>")
+    return "".join(sides[0]), "".join(sides[1]), True
+
+
+def _paragraphs(text: str) -> str:
+    return "".join(f"<div class='paragraph'>{html.escape(p.strip())}</div>" for p in text.split("\n\n") if p.strip())
 
-    def put(side: str, mark: str, tokens: list[str]) -> None:
-        if tokens:
-            text = html.escape("".join(tokens))
-            sides[side].append(f"<span class='{mark}'>{text}</span>" if mark else text)
 
-    for kind, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if left != right else [("equal", 0, len(a), 0, len(b))]:
-        put("left", "" if kind == "equal" else "removed" if kind == "delete" else "changed", a[i:j])
-        put("right", "" if kind == "equal" else "added" if kind == "insert" else "changed", b[k:m])
-    return {"left_html": "".join(sides["left"]), "right_html": "".join(sides["right"]), "changed": left != right}
+def _points(text: str) -> dict[str, str]:
+    """Points by number in the order in which numbers come first; of equal numbers the last text. Fewer than two are none."""
+    at = [(m.start(), m[1]) for m in MARK.finditer(text)]
+    ends = [a for a, _ in at[1:]] + [len(text)]
+    return {n: text[a:b].strip() for (a, n), b in zip(at, ends, strict=True)} if len(at) > 1 else {}
 
 
-@F.pandas_udf(T.StructType([T.StructField("left_html", T.StringType()), T.StructField("right_html", T.StringType()), T.StructField("changed", T.BooleanType())]))
-def diff_udf(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([diff_html(a or "", b or "") for a, b in zip(left, right, strict=True)], columns=["left_html", "right_html", "changed"])
+def structured_diff(left: str, right: str, left_shown: str, right_shown: str) -> tuple[str, str, bool]:
+    """Both sides as HTML: differences point by point where a side has points, else of the whole; unchanged parts as displayed."""
+    a, b = _points(left), _points(right)
+    if not a and not b:
+        return diff_html(left, right) if left != right else (_paragraphs(left_shown), _paragraphs(right_shown), False)
+    shown, out, any_changed = (_points(left_shown), _points(right_shown)), ([], []), False
+    for number in a | b:
+        texts = a.get(number, ""), b.get(number, "")
+        *bodies, changed = diff_html(*texts)
+        if not changed:
+            bodies = [_paragraphs(s.get(number, t)) for s, t in zip(shown, texts, strict=True)]
+        any_changed |= changed
+        for side, body in zip(out, bodies, strict=True):
+            side.append(f"<div class='point'><div class='point-label'>Пункт {number}</div><div class='point-body'>{body}</div></div>")
+    return "".join(out[0]), "".join(out[1]), any_changed
+
+
+@F.pandas_udf(T.StructType([T.StructField("left_html", T.StringType()), T.StructField("right_html", T.StringType())]))
+def diff_udf(left: pd.Series, right: pd.Series, left_shown: pd.Series, right_shown: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([structured_diff(*(t or "" for t in row))[:2] for row in zip(left, right, left_shown, right_shown, strict=True)], columns=["left_html", "right_html"])
+
+
+def compare_documents(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """All paired sections of two sides (by, section_id, section_title, page_content) with change_type, display texts and HTML.
+
+    A pair without any title is called by its position. The diff has no JVM expression; it runs on Arrow batches.
+    """
+    pairs = change_types(pair_sections(section_blocks(left), section_blocks(right), by))
+    title = F.coalesce(F.nullif("section_title", F.lit("")), F.concat(F.lit("Section "), F.col("position").cast("string")))
+    diffed = pairs.withColumn("h", diff_udf("left_text", "right_text", "left_display_text", "right_display_text"))
+    shown = [F.coalesce(f"{s}_display_text", F.lit("")).alias(f"{s}_text") for s in ("left", "right")]
+    return diffed.select(*by, "position", title.alias("section_title"), "left_section_id", "right_section_id", "changed", "change_type", *shown, "h.left_html", "h.right_html")
 
 
 def _chosen(pairs: DataFrame, mode: str, by: tuple[str, ...]) -> DataFrame:
@@ -90,7 +145,7 @@ def compare_context(pairs: DataFrame, meta: DataFrame, mode: str = "all", sectio
     ``meta``: by, left_document_name, left_version, right_document_name, right_version.
     """
     def side(c: str):
-        return F.coalesce(F.nullif(F.trim(F.substring(F.coalesce(c, F.lit("")), 1, chars)), F.lit("")), F.lit("[absent]"))
+        return F.coalesce(F.nullif(strip(F.substring(F.coalesce(c, F.lit("")), 1, chars)), F.lit("")), F.lit("[absent]"))
 
     block = F.concat_ws("\n", F.concat(F.lit("SECTION "), F.col("n").cast("string"), F.lit(": "), F.col("section_title")), F.lit("LEFT:"), side("left_text"), F.lit("RIGHT:"), side("right_text"), F.lit(""))
     counted = compare_counts(pairs, by)
@@ -116,6 +171,15 @@ def change_list(pairs: DataFrame, mode: str = "all", most: int = 8, by: tuple[st
     return every.select(*by, F.concat_ws("\n", head, F.nullif(F.array_join("l.l", "\n"), F.lit(""))).alias("answer"))
 
 
+def compare_json(compared: DataFrame, meta: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(by, json): each comparison with its documents (``meta``), counts and all sections in order, as one JSON object."""
+    section = F.struct("position", *(c for c in compared.columns if c not in (*by, "position")))
+    whole = compared.groupBy(*by).agg(F.array_sort(F.collect_list(section)).alias("sections"))
+    summary = compare_counts(compared, by).select(*by, F.struct("left_sections", "right_sections", F.col("paired_sections").alias("compared_sections"), "changed_sections").alias("summary"))
+    named = meta.select(*by, F.struct(*(c for c in meta.columns if c not in by)).alias("documents"))
+    return whole.join(summary, list(by)).join(named, list(by), "left").select(*by, F.to_json(F.struct("documents", "summary", "sections"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def report_html(rows: DataFrame, title: str) -> DataFrame:
     """(html): a two-pane report of diffed rows (position, section_title, left_html, right_html, change_type)."""
     row = F.concat(F.lit("<tr class='"), "change_type", F.lit("'><th colspan='2'>"), "section_title", F.lit("</th></tr><tr><td>"), "left_html", F.lit("</td><td>"), "right_html", F.lit("</td></tr>"))

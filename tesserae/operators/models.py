@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.dates import asks_for_dates, find_dates
-from ..functions.text import strip, unique_keep_order
+from ..functions.text import collapse, let, strip, unique_keep_order
 
 #: Answers without a model (fixed values).
 DATES_FOUND = "LLM недоступен, поэтому показываю даты, найденные в контексте:\n"
@@ -28,6 +26,9 @@ class Models:
     variants: Callable[[Column], Column] | None = None
     answer: Callable[[Column, Column], Column] | None = None
     rerank: Callable[[Column, Column], Column] | None = None
+    embed: Callable[[Column], Column] | None = None
+    decompose: Callable[[Column], Column] | None = None
+    plan: Callable[[Column, Column], Column] | None = None
 
 
 def summary(models: Models, title: Column, text: Column, chars: int = 800) -> Column:
@@ -58,22 +59,50 @@ def answer(models: Models, context: Column, query: Column) -> Column:
     return F.struct(F.coalesce(made, own).alias("answer"), F.when(made.isNotNull(), "llm").otherwise("fallback").alias("answer_source"))
 
 
-def quote(raw_text: str, query: str) -> str | None:
-    """The numbered point (or up to 4500 characters) of a text that starts with the query's first 140 characters."""
-    import re
+def decomposed(models: Models, query: Column, most: int = 3) -> Column:
+    """Parts of a question by the model; without one, or where it fails, none."""
+    none = F.array().cast("array<string>")
+    return F.slice(unique_keep_order(F.coalesce(models.decompose(query), none)), 1, most) if models.decompose else none
 
-    anchor = " ".join(query.split())[:140].strip()
-    if len(anchor) < 40:
-        return None
-    found = re.search(r"\s+".join(map(re.escape, anchor.split(" "))), raw_text, re.IGNORECASE)
-    if not found:
-        return None
-    at = found.start()
-    number = re.match(r"\s*(\d+)\.\s", query.strip())
-    following = re.compile(rf"\n\s*{int(number[1]) + 1 if number else r'\d+'}\.\s").search(raw_text, at + 1)
-    return raw_text[at : following.start() if following else at + 4500].strip()
 
+def planned(models: Models, outline: Column, query: Column) -> Column:
+    """Section ids that the model picks from an outline; without one, or where it fails, none."""
+    none = F.array().cast("array<int>")
+    return F.coalesce(models.plan(outline, query), none) if models.plan else none
 
-@F.pandas_udf(T.StringType())
-def quote_udf(raw_text: pd.Series, query: pd.Series) -> pd.Series:
-    return pd.Series([quote(t or "", q or "") for t, q in zip(raw_text, query, strict=True)])
+
+def relevance(models: Models, query: Column, text: Column) -> Column:
+    """The model's score of a text for a question; null (the fused order holds) without one."""
+    return models.rerank(query, text).cast("double") if models.rerank else F.lit(None).cast("double")
+
+
+def embedded(models: Models, text: Column) -> Column:
+    """Vectors of texts; there is no stand-in for an embedding model."""
+    if models.embed is None:
+        raise RuntimeError("vectors need an embedding model")
+    return models.embed(text)
+
+
+def compare_answer(models: Models, context: Column, query: Column, listed: Column) -> Column:
+    """(answer, answer_source) on a comparison: the model's, else the list of changes."""
+    made = models.answer(context, query) if models.answer else F.lit(None).cast("string")
+    return F.struct(F.coalesce(made, listed).alias("answer"), F.when(made.isNotNull(), "llm").otherwise("fallback").alias("answer_source"))
+
+
+def quoted(raw_text: Column, query: Column, most: int = 4500) -> Column:
+    """The numbered point (or up to ``most`` characters) of a text that starts with the query's first 140 characters; else null.
+
+    White space and case are of no account; a query under 40 characters is no quote.
+    """
+    anchor = strip(F.substring(collapse(query), 1, 140))
+    literal = F.transform(F.split(anchor, " "), lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    number = F.nullif(F.regexp_extract(query, r"^\s*(\d{1,9})\.\s", 1), F.lit("")).cast("int")
+    after = F.concat(F.lit(r"\n\s*"), F.coalesce((number + 1).cast("string"), F.lit(r"\d+")), F.lit(r"\.\s"))
+    found = F.regexp_instr(raw_text, F.concat(F.lit("(?iuU)"), F.array_join(literal, r"\s+")))
+
+    def cut(rest: Column) -> Column:
+        stop = F.regexp_instr(F.substring(rest, 2, 1 << 30), after)
+        return strip(F.substring(rest, F.lit(1), F.when(stop > 0, stop).otherwise(most)))
+
+    at = let(found, lambda i: F.when(i > 0, F.substring(raw_text, i, F.length(raw_text))))
+    return F.when(F.length(anchor) >= 40, let(at, lambda rest: F.when(rest.isNotNull(), cut(rest))))

@@ -2,40 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import collapse, strip
+from ..functions.text import collapse, let, strip
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Words of questions that name no topic (fixed values).
 STOPWORDS = ("что", "какие", "какой", "какая", "какое", "каких", "все", "всё", "в", "на", "по", "из", "для", "и", "или", "о", "об", "про", "как", "перечисли", "найди", "документе", "документ", "есть")
-#: Rows of a query side up to which it is sent to all tasks; beyond that it is shuffled.
-BROADCAST_ROWS = 10_000
+#: Rows and bytes of a query side up to which it is sent to all tasks; beyond that it is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 16 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether rows and bytes (as JSON) are within the bounds, measured on at most BROADCAST_ROWS + 1 rows."""
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it is small enough, measured on at most BROADCAST_ROWS + 1 rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` with a broadcast hint if it is small."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
+def counted_words(words_: Column) -> Column:
+    """(word, n) of the distinct words of an array, in the row: sorted, then cut into runs."""
+    def runs(by: Column) -> Column:
+        starts = F.filter(F.transform(by, lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda s: (s["i"] == 0) | (F.get(by, s["i"] - 1) != s["word"]))
+        return let(starts, lambda first: F.transform(first, lambda s, k: F.struct(s["word"], (F.coalesce(F.get(first, k + 1)["i"], F.size(by)) - s["i"]).alias("n"))))
+
+    return let(F.array_sort(words_), runs)
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT.bm25_k, index: tuple[str, ...] = (), chunk: str = "chunk_id", fill: bool = True) -> DataFrame:
     """(query_id, index, rank, chunk, score): Okapi BM25 of ``queries`` (query_id, text) in each index of ``chunks``.
 
     Case-sensitive words; statistics are those of the index (all rows if ``index`` is empty). A negative idf becomes
     EPSILON times the mean idf; query words count as often as they occur; ties go to the larger chunk id; chunks without
-    a query word score 0. Queries that name an index (columns of ``index``) ask only that one. Only postings of query words leave the scan's stage.
+    a query word score 0. Queries that name an index (columns of ``index``) ask only that one. A row is a chunk: its words
+    are counted in the row, so only partial document frequencies and postings of query words are shuffled.
     """
     index = list(index)
     on = [c for c in index if c in queries.columns]
     wanted = queries.select("query_id", *on, F.explode(words(F.col("text"))).alias("word")).groupBy("query_id", *on, "word").agg(F.count("*").alias("q"))
     sized = chunks.select(*index, chunk, words(F.col("text")).alias("w"))
-    tf = sized.select(*index, chunk, F.size("w").alias("dl"), F.explode("w").alias("word")).groupBy(*index, chunk, "dl", "word").agg(F.count("*").alias("tf"))
+    tf = sized.select(*index, chunk, F.size("w").alias("dl"), F.explode(counted_words(F.col("w"))).alias("_w")).select(*index, chunk, "dl", "_w.word", F.col("_w.n").alias("tf"))
     total = sized.groupBy(*index).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
 
     def with_total(df: DataFrame) -> DataFrame:
@@ -87,6 +106,38 @@ def rrf(lists: DataFrame, keys: tuple[str, ...], k: int = DEFAULT.rrf_k, top: in
     return (ranked.where(F.col("rank") <= top) if top else ranked).select(query, "rank", *keys, "score")
 
 
+def _found_terms(rows: DataFrame, terms: list[str], key: str) -> DataFrame:
+    """(key, section_id, term, points) of rows (key, section_id, title, hay): one pass a row finds all terms, however many."""
+    kinds = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        find = ahocorasick.Automaton()
+        for t in terms:
+            find.add_word(t, (t, len(t)))
+        if terms:
+            find.make_automaton()
+        for b in batches if terms else ():
+            at, found, points = [], [], []
+            for i, (title, hay) in enumerate(zip(b.column("title").to_pylist(), b.column("hay").to_pylist(), strict=True)):
+                count: dict[str, int] = {}
+                free: dict[str, int] = {}  # where a term may start again: its occurrences don't overlap
+                for end, (t, size) in find.iter(hay or ""):
+                    if end - size + 1 >= free.get(t, 0):
+                        count[t] = count.get(t, 0) + 1
+                        free[t] = end + 1
+                titled = title or ""
+                for t, n in count.items():
+                    at.append(i)
+                    found.append(t)
+                    points.append(min(n, 4) + (1.5 if t in titled else 0.0))
+            taken = pa.array(at, pa.int32())
+            yield pa.record_batch([b.column(key).take(taken), b.column("section_id").take(taken), pa.array(found, pa.string()), pa.array(points, pa.float64())], names=[key, "section_id", "term", "points"])
+
+    return rows.select(key, "section_id", "title", "hay").mapInArrow(run, f"`{key}` {kinds[key].dataType.simpleString()}, section_id {kinds['section_id'].dataType.simpleString()}, term string, points double")
+
+
 def scan_sections(sections: DataFrame, queries: DataFrame, top: int = 5, key: str = "doc_id") -> DataFrame:
     """(query_id, key, rank, section_id, score): sections by how often they hold the query's words (each up to 4) and whether their title does (1.5). Queries with a ``key`` ask only that document."""
     found = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-zА-Яа-яЁё0-9-]{3,}"), F.lit(0))
@@ -95,10 +146,14 @@ def scan_sections(sections: DataFrame, queries: DataFrame, top: int = 5, key: st
     hay = F.lower(F.concat_ws(" ", "section_title", "page_content"))
     rows = sections.select(key, "section_id", F.lower("section_title").alias("title"), hay.alias("hay"))
     each = terms.select(*on, "term").distinct()  # a term of several queries is looked for once
-    pairs = (rows.join(each, on) if on else rows.crossJoin(small(each))).where(F.contains("hay", F.col("term")))  # a stated query set
-    hits = F.expr("(length(hay) - length(replace(hay, term, ''))) div length(term)")
-    points = F.least(hits, F.lit(4)) + F.when(F.contains("title", F.col("term")), 1.5).otherwise(0.0)
-    scored = pairs.select(key, "section_id", "term", points.alias("points")).join(small(terms), [*on, "term"]).groupBy("query_id", key, "section_id").agg(F.sum(F.col("points") * F.col("times")).alias("score"))
+    if not on and is_small(each):
+        found_terms = _found_terms(rows, [r.term for r in each.collect()], key)
+    else:
+        pairs = (rows.join(each, on) if on else rows.crossJoin(each)).where(F.contains("hay", F.col("term")))  # a stated query set
+        hits = F.expr("(length(hay) - length(replace(hay, term, ''))) div length(term)")
+        points = F.least(hits, F.lit(4)) + F.when(F.contains("title", F.col("term")), 1.5).otherwise(0.0)
+        found_terms = pairs.select(key, "section_id", "term", points.alias("points"))
+    scored = found_terms.join(small(terms), [*on, "term"]).groupBy("query_id", key, "section_id").agg(F.sum(F.col("points") * F.col("times")).alias("score"))
     order = Window.partitionBy("query_id", key).orderBy(F.desc("score"), "section_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", key, "rank", "section_id", "score")
 

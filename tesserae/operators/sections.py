@@ -7,29 +7,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import collapse, strip
+from ..functions.text import collapse, let, strip
 
 HEADING = r"^#{1,3}\s+(.+?)\s*$"
-LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\u0085  ]"
+LINE_END = "\r\n|[\n\x0b\f\r\x1c-\x1e\u0085\u2028\u2029]"
 
 
 def split_into_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", preamble: str = "Документ") -> DataFrame:
     """(key, section_id, section_title, page_content): a section starts at a heading line of level 1 to 3 and holds it.
 
-    Empty sections go and the rest are numbered from 0; a text without a section is one, stripped. The islands are
-    running sums within a document, so documents are the unit of the shuffle.
+    Empty sections go and the rest are numbered from 0; a text without a section is one, stripped. All within the row: no
+    shuffle, and rows of one key are documents of their own.
     """
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), LINE_END)).alias("pos", "line"))
-    title = F.regexp_extract("line", HEADING, 1)
-    order = Window.partitionBy(key).orderBy("pos")
-    marked = lines.withColumn("heading", F.col("line").rlike(HEADING)).withColumn("island", F.sum(F.col("heading").cast("int")).over(order))
-    parts = marked.groupBy(key, "island").agg(F.max(F.when(F.col("heading"), title)).alias("title"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"), F.max("island").alias("any"))
-    body = strip(F.array_join("lines.line", "\n"))
-    kept = parts.select(key, "island", F.coalesce("title", F.lit(preamble)).alias("section_title"), body.alias("page_content"))
-    count = Window.partitionBy(key)
-    kept = kept.withColumn("full", F.sum((F.col("page_content") != "").cast("int")).over(count)).where("page_content <> '' or (full = 0 and island = 0)")
-    number = F.row_number().over(Window.partitionBy(key).orderBy("island")) - 1
-    return kept.select(key, number.alias("section_id"), "section_title", "page_content")
+    rows = docs.select(F.col(key), F.split(F.coalesce(text, F.lit("")), LINE_END).alias("_lines"))
+
+    def cut(lines):
+        heads = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(HEADING), i)), lambda i: i.isNotNull())
+
+        def section(starts, start, k):
+            end = F.coalesce(F.get(starts, k + 1), F.size(lines))
+            title = F.nullif(F.regexp_extract(F.get(lines, start), HEADING, 1), F.lit(""))
+            return F.struct(F.coalesce(title, F.lit(preamble)).alias("section_title"), strip(F.array_join(F.slice(lines, start + 1, end - start), "\n")).alias("page_content"))
+
+        all_ = let(F.array_distinct(F.concat(F.array(F.lit(0)), heads)), lambda starts: F.transform(starts, lambda start, k: section(starts, start, k)))
+        return F.filter(all_, lambda s: s["page_content"] != "")
+
+    none = F.array(F.struct(F.lit(preamble).alias("section_title"), F.lit("").alias("page_content")))
+    whole = let(let(F.col("_lines"), cut), lambda full: F.when(F.size(full) > 0, full).otherwise(none))
+    found = rows.select(key, F.posexplode(whole).alias("section_id", "_s"))
+    return found.select(key, "section_id", "_s.section_title", "_s.page_content")
 
 
 def numbered_points(rows: DataFrame, text: str, keys: tuple[str, ...]) -> DataFrame:

@@ -6,50 +6,115 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import normalize_query
 from ..functions.dates import asks_for_dates
+from ..functions.routing import route
+from ..functions.text import normalize_query
 from ..operators import models as m
 from ..operators.dates import date_answer, date_evidence, date_snippets
-from ..operators.retrieval import add_neighbours, bm25, build_context, drop_low_information, inject_hints, rrf, scan_sections
-from ..operators.sections import chunk_sections, split_into_sections, summaries
-from ..functions.routing import route
+from ..operators.retrieval import add_neighbours, bm25, build_context, drop_low_information, inject_hints, knn, rrf, scan_sections
+from ..operators.sections import chunk_sections, outline, split_into_sections, summaries
 
 
-def index_documents(docs: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(sections with summaries, chunks) of (doc_id, text)."""
-    sections = summaries(split_into_sections(docs), config=config)
+def index_documents(docs: DataFrame, config: Config = DEFAULT, models: m.Models = m.Models(), cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sections with summaries, chunks) of (doc_id, text); summaries from the cache, else the model, else the section's start."""
+    sections = summaries(split_into_sections(docs), cache, config)
+    if models.summarise:
+        made = F.col("summary") if cache is None else F.when(F.col("summary") != F.substring("page_content", 1, config.summary_chars), F.col("summary"))
+        sections = sections.withColumn("summary", F.coalesce(made if cache is not None else F.lit(None).cast("string"), m.summary(models, F.col("section_title"), F.col("page_content"), config.summary_chars)))
     return sections, chunk_sections(sections, config=config).withColumnRenamed("page_content", "text")
 
 
-def ask(sections: DataFrame, chunks: DataFrame, questions: DataFrame, models: m.Models = m.Models(), config: Config = DEFAULT) -> DataFrame:
-    """(query_id, doc_id, route, context, blocks, answer, answer_source) of each question (query_id, doc_id, text) on its document.
+def embed_chunks(chunks: DataFrame, models: m.Models) -> DataFrame:
+    """(doc_id, chunk_id, text, embedding) of chunks."""
+    return chunks.select("doc_id", "chunk_id", "text", m.embedded(models, F.col("text")).alias("embedding"))
 
-    BM25 in the document's chunks and in its summaries, the section scan, fusion, informative chunks, the prefix that a
-    reranker would sort, neighbours, hinted chunks, context by budget, answer. All questions go through one plan.
-    """
-    asked = questions.select("query_id", "doc_id", m.corrected(models, normalize_query(F.col("text"))).alias("text"))
-    wanted = asked.select("doc_id").distinct()
-    chunks, sections = chunks.join(wanted, "doc_id", "left_semi").persist(), sections.join(wanted, "doc_id", "left_semi").persist()
-    hits = bm25(chunks, asked, config.bm25_k, ("doc_id",)).select("query_id", F.lit(1).alias("list_no"), "rank", "doc_id", "chunk_id")
+
+def _phrased(asked: DataFrame, models: m.Models, config: Config) -> DataFrame:
+    """(query_id: question and number of the phrasing, doc_id, text): the question, its variants, and parts of a complex one."""
+    own = m.variants(models, F.col("text"), config.variants)
+    parts = F.when(route(F.col("text")) == "complex", m.decomposed(models, F.col("text"), config.subquestions)).otherwise(F.array().cast("array<string>"))
+    each = asked.select("query_id", "doc_id", F.posexplode(F.array_distinct(F.concat(own, parts))).alias("v", "text"))
+    return each.select(F.struct(F.col("query_id").alias("q"), "v").alias("query_id"), "doc_id", "text")
+
+
+def _hinted(sections: DataFrame, asked: DataFrame, models: m.Models, config: Config) -> DataFrame:
+    """(query_id, doc_id, section_id, hint_no): sections that the planner, the section scan and the summaries point to, in that order."""
     by_summary = bm25(sections.select("doc_id", "section_id", F.col("summary").alias("text")), asked, config.summary_bm25_k, ("doc_id",), "section_id")
     hints = rrf(by_summary.select("query_id", F.lit(1).alias("list_no"), "rank", "doc_id", "section_id"), ("doc_id", "section_id"), config.hint_rrf_k, config.boosted_sections)
-    scanned = scan_sections(sections, asked).select("query_id", "doc_id", "section_id", F.lit(0).alias("g"), "rank")
-    hinted = scanned.unionByName(hints.select("query_id", "doc_id", "section_id", F.lit(1).alias("g"), "rank")).groupBy("query_id", "doc_id", "section_id").agg(F.min(F.struct("g", "rank")).alias("o"))
-    hinted = hinted.withColumn("hint_no", F.row_number().over(Window.partitionBy("query_id").orderBy("o")))
+    found = scan_sections(sections, asked).select("query_id", "doc_id", "section_id", F.lit(1).alias("g"), "rank")
+    found = found.unionByName(hints.select("query_id", "doc_id", "section_id", F.lit(2).alias("g"), "rank"))
+    if models.plan:
+        picked = asked.join(outline(sections), "doc_id").select("query_id", "doc_id", F.posexplode(m.planned(models, F.col("outline"), F.col("text"))).alias("rank", "section_id"))
+        found = found.unionByName(picked.join(sections.select("doc_id", "section_id"), ["doc_id", "section_id"], "left_semi").select("query_id", "doc_id", "section_id", F.lit(0).alias("g"), "rank"))
+    once = found.groupBy("query_id", "doc_id", "section_id").agg(F.min(F.struct("g", "rank")).alias("o"))
+    return once.withColumn("hint_no", F.row_number().over(Window.partitionBy("query_id").orderBy("o", "section_id")))
+
+
+def retrieve(sections: DataFrame, chunks: DataFrame, asked: DataFrame, models: m.Models = m.Models(), config: Config = DEFAULT, vectors: DataFrame | None = None) -> DataFrame:
+    """(query_id, pos, doc_id, chunk_id, ...): the chunks for the context of each question (query_id, doc_id, text) on its document.
+
+    BM25 and, with ``vectors`` (doc_id, chunk_id, embedding), dense lists of each phrasing, chunks of hinted sections,
+    fusion, informative chunks, the model's order of the first, neighbours, hinted chunks. One plan for all questions.
+    """
+    wanted = asked.select("doc_id").distinct()
+    chunks, sections = chunks.join(wanted, "doc_id", "left_semi"), sections.join(wanted, "doc_id", "left_semi")
+    phrased = _phrased(asked, models, config)
+    lists = bm25(chunks, phrased, config.bm25_k, ("doc_id",)).select("query_id", F.lit(1).alias("k"), "rank", "doc_id", "chunk_id")
+    if vectors is not None:
+        dense = knn(vectors, phrased.withColumn("embedding", m.embedded(models, F.col("text"))), config.dense_k, "chunk_id", ("doc_id",))
+        own = phrased.select("query_id", "doc_id")
+        lists = lists.unionByName(dense.join(own, "query_id").select("query_id", F.lit(0).alias("k"), "rank", "doc_id", "chunk_id"))
+    lists = lists.select(F.col("query_id.q").alias("query_id"), (F.col("query_id.v") * 2 + F.col("k")).alias("list_no"), "rank", "doc_id", "chunk_id")
+    hinted = _hinted(sections, asked, models, config)
     place = chunks.select("doc_id", "chunk_id", "section_id")
-    lists = hinted.join(place, ["doc_id", "section_id"]).withColumn("r", F.row_number().over(Window.partitionBy("query_id", "hint_no").orderBy("chunk_id")))
-    lists = hits.unionByName(lists.select("query_id", (F.col("hint_no") + 1).alias("list_no"), F.col("r").alias("rank"), "doc_id", "chunk_id"))
-    fused = rrf(lists, ("doc_id", "chunk_id"), config.rrf_k, config.fused).join(chunks, ["doc_id", "chunk_id"])
-    kept = drop_low_information(fused)
-    first = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= config.reranked)
+    of_hints = hinted.join(place, ["doc_id", "section_id"]).withColumn("r", F.row_number().over(Window.partitionBy("query_id", "hint_no").orderBy("chunk_id")))
+    lists = lists.unionByName(of_hints.select("query_id", (F.col("hint_no") + 1000).alias("list_no"), F.col("r").alias("rank"), "doc_id", "chunk_id"))
+    kept = drop_low_information(rrf(lists, ("doc_id", "chunk_id"), config.rrf_k, config.fused).join(chunks, ["doc_id", "chunk_id"]))
+    if models.rerank:
+        kept = kept.join(asked.select("query_id", F.col("text").alias("_q")), "query_id").withColumn("_s", m.relevance(models, F.col("_q"), F.col("text"))).drop("_q")
+        order = [F.desc_nulls_last("_s"), F.col("rank")]
+    else:
+        order = [F.col("rank")]
+    first = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= config.reranked)
     near = drop_low_information(add_neighbours(first.select("query_id", "rank", "doc_id", "chunk_id"), chunks, config.neighbours))
-    full = inject_hints(near, hinted.select("query_id", "hint_no", "doc_id", "section_id"), chunks).join(chunks, ["doc_id", "chunk_id"])
-    context = build_context(full.withColumn("source", F.col("doc_id")), config.context_chars)
+    return inject_hints(near, hinted.select("query_id", "hint_no", "doc_id", "section_id"), chunks).join(chunks, ["doc_id", "chunk_id"])
+
+
+def ask(sections: DataFrame, chunks: DataFrame, questions: DataFrame, models: m.Models = m.Models(), config: Config = DEFAULT, vectors: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, route, context, blocks, answer, answer_source) of each question (query_id, doc_id, text) on its document.
+
+    A quote is answered by the passage itself where ``texts`` (doc_id, text) has it, everything else from the context by
+    the model or without one.
+    """
+    asked = questions.select("query_id", "doc_id", m.corrected(models, normalize_query(F.col("text"))).alias("text"))
+    context = build_context(retrieve(sections, chunks, asked, models, config, vectors).withColumn("source", F.col("doc_id")), config.context_chars)
+    found = asked.join(context, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(""))).withColumn("blocks", F.coalesce("blocks", F.lit(0)))
+    found = found.withColumn("route", route(F.col("text"))).withColumn("a", m.answer(models, F.col("context"), F.col("text")))
+    passage = F.lit(None).cast("string")
+    if texts is not None:
+        found = found.join(texts.select("doc_id", F.col("text").alias("_raw")), "doc_id", "left")
+        passage = F.when(F.col("route") == "quote", m.quoted(F.col("_raw"), F.col("text")))
+    found = found.withColumn("_p", passage)
+    return found.select("query_id", "doc_id", "route", "context", "blocks", F.coalesce("_p", "a.answer").alias("answer"), F.when(F.col("_p").isNotNull(), "quote").otherwise(F.col("a.answer_source")).alias("answer_source"))
+
+
+def ask_across(sections: DataFrame, chunks: DataFrame, questions: DataFrame, models: m.Models = m.Models(), config: Config = DEFAULT, vectors: DataFrame | None = None) -> DataFrame:
+    """(query_id, context, blocks, documents, answer, answer_source) of each question (query_id, doc_ids, text) over several documents.
+
+    Each document of a question's scope is asked alike; their chunks take turns by position, documents in the order given.
+    """
+    scoped = questions.select("query_id", F.posexplode(F.array_distinct("doc_ids")).alias("o", "doc_id"), m.corrected(models, normalize_query(F.col("text"))).alias("text"))
+    each = scoped.select(F.struct(F.col("query_id").alias("q"), "o").alias("query_id"), "doc_id", "text")
+    rows = retrieve(sections, chunks, each, models, config, vectors).select(F.col("query_id.q").alias("query_id"), F.col("query_id.o").alias("o"), "pos", "doc_id", "chunk_id", "section_title", "start_index", "text")
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "o"))).withColumn("source", F.col("doc_id"))
+    context = build_context(rows, config.context_chars)
+    asked = scoped.groupBy("query_id").agg(F.first("text").alias("text"), F.count("*").alias("documents"))
     found = asked.join(context, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
-    return found.select("query_id", "doc_id", route(F.col("text")).alias("route"), "context", F.coalesce("blocks", F.lit(0)).alias("blocks"), m.answer(models, F.col("context"), F.col("text")).alias("a")).select("query_id", "doc_id", "route", "context", "blocks", "a.*")
+    return found.select("query_id", "context", F.coalesce("blocks", F.lit(0)).alias("blocks"), "documents", m.answer(models, F.col("context"), F.col("text")).alias("a")).select("query_id", "context", "blocks", "documents", "a.*")
 
 
 def ask_for_dates(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query_id, doc_id, dates, found): dates of every document, for questions that ask for dates across documents."""
-    dates = date_answer(date_evidence(date_snippets(docs)))
-    return questions.where(asks_for_dates(F.col("text"))).select("query_id").crossJoin(F.broadcast(dates) if docs.limit(1001).count() <= 1000 else dates)
+    """(query_id, doc_id, dates, found): dates of the documents of each question's scope (query_id, doc_ids, text) that asks for dates."""
+    asked = questions.where(asks_for_dates(F.col("text"))).select("query_id", F.explode("doc_ids").alias("doc_id")).distinct()
+    dates = date_answer(date_evidence(date_snippets(docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi"))))
+    return asked.join(dates, "doc_id").select("query_id", "doc_id", "dates", "found")

@@ -14,6 +14,8 @@ from ..operators import catalog as c
 from ..operators import compare as cmp
 from ..operators import dates as od
 from ..operators import layout, retrieval, sections
+from ..operators import models as m
+from ..operators import stores as st
 from . import ask as plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,10 +109,9 @@ def document_ids(spark, sf):
  f AS (SELECT doc_id, w, i, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY i) AS n FROM x)
 SELECT doc_id, md5(string_agg(w, ' ' ORDER BY i)) AS words, COUNT(*) AS n FROM f WHERE n = 1 GROUP BY 1""")
 def unique_keep_order(spark, sf):
-    w = table(spark, sf, "documents").select("doc_id", F.posexplode(retrieval.words(F.col("text"))).alias("i", "w"))
-    first = w.groupBy("doc_id", F.lower("w").alias("k")).agg(F.min(F.struct("i", "w")).alias("f"))
-    out = first.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("f"))
-    return out.select("doc_id", F.md5(F.array_join("f.w", " ")).alias("words"), F.size("f").cast("long").alias("n"))
+    kept = t.unique_keep_order(F.split("text", r"\s+"))
+    rows = table(spark, sf, "documents").select("doc_id", kept.alias("w")).where(F.size("w") > 0)
+    return rows.select("doc_id", F.md5(F.array_join("w", " ")).alias("words"), F.size("w").cast("long").alias("n"))
 
 
 @query(r"""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 1 WHEN p_size % 7 = 1 THEN 2 WHEN p_size % 7 = 2 THEN NULL ELSE greatest(1, least(6, p_size)) END AS level,
@@ -165,12 +166,79 @@ def catalog_folders(spark, sf):
     return out.select("folder", "n", F.array_join("d.doc_id", ",").alias("docs"))
 
 
-@query("SELECT 'x/f' || doc_id || '.md' AS filename, CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE doc_id % 10 = 0")
+@query("SELECT 'x/f' || doc_id || '.md' AS filename, CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE doc_id % 3 <> 1")
 def duplicate_uploads(spark, sf):
-    uploads = table(spark, sf, "documents").where("doc_id % 10 = 0").select(F.concat(F.lit("x/f"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"))
+    name = F.when(F.col("doc_id") % 3 == 1, "x/other").otherwise("x/f")
+    uploads = table(spark, sf, "documents").select(F.concat(name, F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"))
     return c.duplicate_uploads(_catalog(spark, sf), uploads)
 
 
+# Stores -------------------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark, sf) -> DataFrame:
+    """Vectors as chunks: four a document."""
+    v = table(spark, sf, "embeddings")
+    return v.select((F.col("vec_id") / 4).cast("long").cast("string").alias("doc_id"), (F.col("vec_id") % 4).cast("int").alias("chunk_id"), F.col("label").cast("string").alias("text"), "embedding")
+
+
+_VECTORS = "v AS (SELECT CAST(vec_id // 4 AS VARCHAR) AS doc_id, vec_id % 4 AS chunk_id, CAST(label AS VARCHAR) AS text, vec_id // 4 AS n FROM embeddings)"
+
+
+@query(f"WITH {_VECTORS} SELECT doc_id, CAST(chunk_id AS BIGINT) AS chunk_id, CASE WHEN n % 3 = 0 THEN 'new' ELSE text END AS text FROM v WHERE n % 3 <> 0 OR chunk_id < 2 UNION ALL SELECT 'fresh', 0, 'new'")
+def vector_upsert(spark, sf):
+    now = _vectors(spark, sf)
+    rows = now.where((F.col("doc_id").cast("long") % 3 == 0) & (F.col("chunk_id") < 2)).withColumn("text", F.lit("new"))
+    fresh = now.orderBy("doc_id", "chunk_id").limit(1).select(F.lit("fresh").alias("doc_id"), F.lit(0).alias("chunk_id"), F.lit("new").alias("text"), "embedding")
+    return st.upsert_vectors(now, rows.unionByName(fresh)).select("doc_id", F.col("chunk_id").cast("long"), "text")
+
+
+@query(f"WITH {_VECTORS} SELECT doc_id, COUNT(*) AS chunks FROM v GROUP BY 1")
+def vector_documents(spark, sf):
+    return st.vector_documents(_vectors(spark, sf))
+
+
+@query("""WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '/in/' || source || '/' || doc_id WHEN 1 THEN '/in/../etc/' || doc_id WHEN 2 THEN '/in/a/../b/./' || doc_id WHEN 3 THEN '/input/' || doc_id ELSE 'in/' || doc_id END AS path FROM documents)
+SELECT doc_id, COALESCE(doc_id % 5 IN (0, 2) AND path IS NOT NULL, false) AS inside FROM p""")
+def path_guard(spark, sf):
+    k, own = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("/in/"), "source", F.lit("/"), own)).when(k == 1, F.concat(F.lit("/in/../etc/"), own)).when(k == 2, F.concat(F.lit("/in/a/../b/./"), own)).when(k == 3, F.concat(F.lit("/input/"), own)).otherwise(F.concat(F.lit("in/"), own))
+    return table(spark, sf, "documents").select("doc_id", st.inside(path, "/in").alias("inside"))
+
+
+@query(f"WITH {_CATALOG} SELECT doc_id, source AS path FROM cat WHERE CAST(doc_id AS BIGINT) % 4 = 0")
+def owned_files(spark, sf):
+    now = _catalog(spark, sf)
+    return st.owned_files(now, now.where(F.col("doc_id").cast("long") % 4 == 0).select("doc_id"), "/in/")
+
+
+@query("""WITH f AS (SELECT p_partkey, '/up/' || (p_partkey % 7) || '/' || p_brand || CASE p_partkey % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.md' ELSE '.exe' END AS path, p_brand AS name, CASE p_partkey % 3 WHEN 0 THEN 'pdf' ELSE 'md' END AS kind FROM part),
+ u AS (SELECT DISTINCT path, name, kind FROM f WHERE p_partkey % 3 < 2), n AS (SELECT *, row_number() OVER (PARTITION BY lower(name), kind ORDER BY path) AS n FROM u)
+SELECT path, kind AS source_type, '/in/' || replace(name, '#', '_') || CASE WHEN n > 1 THEN '_' || n ELSE '' END || '.' || kind AS target FROM n""")
+def landing_names(spark, sf):
+    k = F.col("p_partkey") % 3
+    path = F.concat(F.lit("/up/"), (F.col("p_partkey") % 7).cast("string"), F.lit("/"), "p_brand", F.when(k == 0, ".PDF").when(k == 1, ".md").otherwise(".exe"))
+    return st.landing_names(table(spark, sf, "part").select(path.alias("path"), F.lit(10).cast("long").alias("length")).distinct(), "/in")
+
+
+# Structure ----------------------------------------------------------------------------------------------------------
+
+
+@query(r"""WITH e AS (SELECT p_brand AS doc_id, CAST(p_partkey % 3 AS BIGINT) AS page_no, CAST(p_partkey AS BIGINT) AS line_no, p_name AS text, CASE WHEN p_size % 10 = 0 THEN 19.0 WHEN p_size % 10 = 1 THEN 14.0 ELSE 12.0 END AS size, p_size % 10 = 2 AS bold, p_size AS x0, p_partkey AS y0 FROM part),
+ z AS (SELECT doc_id, size, COUNT(*) AS n FROM e GROUP BY 1, 2), b AS (SELECT doc_id, size AS body FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) = 1),
+ h AS (SELECT *, NOT (length(text) < 3 OR regexp_matches(text, '^[0-9]+\.\s') OR regexp_matches(text, '^[0-9]+\s+[A-Z]') OR (regexp_extract(text, '[A-Za-z]') <> '' AND regexp_extract(text, '[A-Za-z]') = lower(regexp_extract(text, '[A-Za-z]'))) OR regexp_matches(text, '[;,:(–—-]$')) AND (size >= body + 1.5 OR bold AND length(text) <= 140) AS head FROM e JOIN b USING (doc_id))
+SELECT doc_id, page_no, line_no, CASE WHEN head THEN 'heading' ELSE 'text' END AS type, CASE WHEN head THEN CASE WHEN size >= body + 6 THEN 1 WHEN size >= body + 3 THEN 2 ELSE 3 END END AS heading_level, text, CAST(x0 + 5 AS DOUBLE) AS right_edge FROM h""")
+def page_layout(spark, sf):
+    k = F.col("p_size") % 10
+    size = F.when(k == 0, 19.0).when(k == 1, 14.0).otherwise(12.0)
+    one = table(spark, sf, "part").select(F.col("p_brand").alias("doc_id"), (F.col("p_partkey") % 3).alias("page_no"), F.col("p_partkey").alias("line_no"), "p_name", size.alias("size"), F.when(k == 2, "Arial-Bold").otherwise("Arial").alias("font"), F.lit(0).alias("flags"), F.col("p_size").cast("double").alias("x"), F.col("p_partkey").cast("double").alias("y"))
+    cut = F.length("p_name") / 2  # every line as two spans
+    halves = F.explode(F.array(F.struct(F.lit(0).alias("span_no"), F.substring("p_name", F.lit(1), cut.cast("int")).alias("text"), F.col("x").alias("x0"), (F.col("x") + 2).alias("x1")), F.struct(F.lit(1).alias("span_no"), F.expr("substring(p_name, cast(length(p_name) / 2 as int) + 1)").alias("text"), (F.col("x") + 2).alias("x0"), (F.col("x") + 5).alias("x1"))))
+    spans = one.select("doc_id", "page_no", "line_no", "size", "font", "flags", "y", halves.alias("s")).select("doc_id", "page_no", "line_no", "size", "font", "flags", F.col("y").alias("y0"), (F.col("y") + 1).alias("y1"), "s.*")
+    lines = layout.page_layout(spans).select("doc_id", F.col("page_no").cast("long"), F.explode("lines").alias("l"))
+    return lines.select("doc_id", "page_no", F.col("l.line_no").cast("long").alias("line_no"), "l.type", "l.heading_level", "l.text", F.col("l.bbox")[2].alias("right_edge"))
+
+
 # Structure ----------------------------------------------------------------------------------------------------------
 
 
@@ -209,7 +277,11 @@ def chunk_sections(spark, sf):
     return sections.chunk_sections(sections.split_into_sections(_headed(spark, sf)))
 
 
-@query()
+@query(f"""WITH {LINES}, n AS (SELECT doc_id, chunk_id AS i, trim(regexp_replace(replace(replace(replace(text, chr(13), chr(10)), chr(9), ' '), chr(160), ' '), ' {{2,}}', ' ', 'g')) AS x FROM lines),
+ b AS (SELECT *, LAG(x) OVER w AS p, LAG(i) OVER w AS pi FROM n WHERE x <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ s AS (SELECT *, CASE WHEN p IS NULL THEN '' WHEN i - pi = 1 THEN CASE WHEN regexp_matches(x, '^(\\*{{1,2}}.+\\*{{1,2}}|#{{1,6}}\\s|[0-9]+\\.\\s|[-–—•]\\s|\\|)') OR regexp_matches(p, '[.:;?!|]$') THEN chr(10) ELSE ' ' END
+   WHEN regexp_extract(x, '[A-Za-zА-Яа-яЁё]') <> '' AND regexp_extract(x, '[A-Za-zА-Яа-яЁё]') = lower(regexp_extract(x, '[A-Za-zА-Яа-яЁё]')) OR regexp_matches(x, '^[)\\],;:.!?–—-]') OR regexp_matches(p, '[(\\[«–—/№-]$') OR NOT regexp_matches(p, '[.!?:;]$') THEN ' ' ELSE chr(10) || chr(10) END AS sep FROM b)
+SELECT d.doc_id, COALESCE(string_agg(sep || CASE WHEN sep <> ' ' AND regexp_matches(x, '^[-–—•]\\s') THEN '- ' || trim(substr(x, 2)) ELSE x END, '' ORDER BY i), '') || chr(10) AS markdown FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY 1""")
 def lines_to_markdown(spark, sf):
     return table(spark, sf, "documents").select("doc_id", layout.lines_to_markdown(F.split("text", "\n")).alias("markdown"))
 
@@ -354,7 +426,40 @@ def ask(spark, sf):
     docs = _headed(spark, sf)
     secs, chunks = plan.index_documents(docs)
     asked = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("conv_id").alias("doc_id"), "text")
-    return plan.ask(secs, chunks, asked)
+    return plan.ask(secs, chunks, asked, texts=docs)
+
+
+@query()
+def ask_across(spark, sf):
+    """Questions of users, each over the document of its conversation and the next two."""
+    secs, chunks = plan.index_documents(_headed(spark, sf))
+    scope = F.array(*((F.col("conv_id") + i) for i in range(3)))
+    asked = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), scope.alias("doc_ids"), "text")
+    return plan.ask_across(secs, chunks, asked)
+
+
+@query(f"""WITH {LINES}, q AS (SELECT doc_id, '7.  ' || upper(text) AS query, text AS line, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS k FROM lines WHERE length(text) >= 60 AND chunk_id > 0)
+SELECT doc_id, CAST(NULL AS VARCHAR) AS passage FROM q WHERE k = 1""")
+def quote_absent(spark, sf):
+    """Numbered quotes of lines that no document has with that number."""
+    rows = lines_of(table(spark, sf, "documents")).where("length(text) >= 60 and chunk_id > 0")
+    first = rows.groupBy("doc_id").agg(F.min(F.struct("chunk_id", "text")).alias("l"))
+    return first.join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw")), "doc_id").select("doc_id", m.quoted(F.col("raw"), F.concat(F.lit("7.  "), F.upper("l.text"))).alias("passage"))
+
+
+@query(f"""WITH {LINES}, q AS (SELECT doc_id, chunk_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS k FROM lines WHERE chunk_id > 0 AND length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 60),
+ f AS (SELECT q.doc_id, d.text AS raw, instr(lower(d.text), lower(substr(q.text, 1, 60))) AS at_ FROM q JOIN documents d ON d.doc_id = q.doc_id WHERE k = 1 AND q.text = trim(regexp_replace(q.text, '\\s+', ' ', 'g')))
+SELECT doc_id, md5(regexp_replace(substr(raw, at_, 4500), '^\\s+|\\s+$', '', 'g')) AS passage FROM f WHERE NOT regexp_matches(substr(raw, at_ + 1), '\\n\\s*[0-9]+\\.\\s')""")
+def quote_passage(spark, sf):
+    """The first longer line of each document, its start in capitals, as a quote: the passage that begins there."""
+    rows = lines_of(table(spark, sf, "documents")).where("chunk_id > 0")
+    flat = t.collapse(F.col("text"))
+    first = rows.where(F.length(flat) >= 60).groupBy("doc_id").agg(F.min(F.struct("chunk_id", "text")).alias("l")).where(F.col("l.text") == t.collapse(F.col("l.text")))
+    both = first.join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw")), "doc_id")
+    made = both.select("doc_id", "raw", m.quoted(F.col("raw"), F.translate(F.substring("l.text", 1, 60), "abcdefghijklmnop", "ABCDEFGHIJKLMNOP")).alias("passage"), F.col("l.text").alias("line"))
+    at = F.expr("instr(lower(raw), lower(substr(line, 1, 60)))")
+    plain = made.withColumn("rest", F.expr("substr(raw, instr(lower(raw), lower(substr(line, 1, 60))) + 1)")).where(~F.col("rest").rlike(r"\n\s*[0-9]+\.\s") & (at > 0))
+    return plain.select("doc_id", F.md5("passage").alias("passage"))
 
 
 # Routing and dates --------------------------------------------------------------------------------------------------
@@ -402,17 +507,17 @@ def date_answers(spark, sf):
 # Comparison ---------------------------------------------------------------------------------------------------------
 
 
-def _versions(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Lines as sections titled by number modulo 3; in the right version some are missing, changed or new."""
     rows = lines_of(table(spark, sf, "documents")).select("doc_id", F.col("chunk_id").alias("section_id"), F.concat(F.lit("t"), (F.col("chunk_id") % 3).cast("string")).alias("section_title"), F.col("text").alias("page_content"))
     k = (F.col("doc_id") + F.col("section_id")) % 7
     right = rows.where(k != 0).withColumn("page_content", F.when(k == 1, F.concat("page_content", F.lit(" added"))).otherwise(F.col("page_content")))
     right = right.unionByName(rows.where("section_id = 0").select("doc_id", F.lit(100_000).alias("section_id"), F.lit("new").alias("section_title"), F.lit("whole new text").alias("page_content")))
-    return cmp.section_blocks(rows), cmp.section_blocks(right)
+    return rows, right
 
 
 def _pairs(spark, sf) -> DataFrame:
-    left, right = _versions(spark, sf)
+    left, right = map(cmp.section_blocks, _sides(spark, sf))
     return cmp.change_types(cmp.pair_sections(left, right, ("doc_id",)))
 
 
@@ -434,17 +539,25 @@ def compare_counts(spark, sf):
     return cmp.compare_counts(_pairs(spark, sf), ("doc_id",))
 
 
-@query()
+@query(f"""WITH {LINES}, x AS (SELECT doc_id, chunk_id, regexp_replace((chunk_id + 1) || '. ' || text, '\\s+$', '', 'g') AS l, regexp_replace(replace((chunk_id + 1) || '. ' || text, ' the ', ' a '), '\\s+$', '', 'g') AS r, COUNT(*) OVER (PARTITION BY doc_id) AS n FROM lines)
+SELECT doc_id, CAST(chunk_id + 1 AS VARCHAR) AS point_no, l AS left_point, r AS right_point, l <> r AS changed, CAST(chunk_id + 1 AS BIGINT) AS ord FROM x WHERE n >= 2""")
 def compare_points(spark, sf):
     numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
     docs = table(spark, sf, "documents").select("doc_id", numbered.alias("left_text"), F.replace(numbered, F.lit(" the "), F.lit(" a ")).alias("right_text"))
-    return cmp.pair_points(docs, ("doc_id",))
+    return cmp.pair_points(docs, ("doc_id",)).select("doc_id", "point_no", "left_point", "right_point", "changed", F.col("ord").cast("long"))
 
 
 @query()
 def compare_html(spark, sf):
-    changed = _pairs(spark, sf).where("changed")  # equal texts need no diff
-    return changed.select("doc_id", "position", "section_title", "change_type", cmp.diff_udf(F.coalesce("left_text", F.lit("")), F.coalesce("right_text", F.lit(""))).alias("h")).select("doc_id", "position", "section_title", "change_type", "h.*")
+    """All sections of both versions of each document with their HTML (tests hold it against the opcodes)."""
+    return cmp.compare_documents(*_sides(spark, sf)).select("doc_id", "position", "section_title", "changed", "change_type", "left_html", "right_html")
+
+
+@query(f"""WITH {_PAIRS}, ld AS (SELECT doc_id, section_id, {DISPLAY_SQL} AS shown FROM l0), rd AS (SELECT doc_id, section_id, {DISPLAY_SQL} AS shown FROM r0)
+SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY ls NULLS LAST, rs) AS position, section_title, changed, change_type, COALESCE(ld.shown, '') AS left_text, COALESCE(rd.shown, '') AS right_text
+FROM pr p LEFT JOIN ld ON ld.doc_id = p.doc_id AND ld.section_id = ls LEFT JOIN rd ON rd.doc_id = p.doc_id AND rd.section_id = rs""")
+def compare_documents(spark, sf):
+    return cmp.compare_documents(*_sides(spark, sf)).select("doc_id", F.col("position").cast("long"), "section_title", "changed", "change_type", "left_text", "right_text")
 
 
 @query(f"""WITH {_PAIRS}, ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ls NULLS LAST, rs) AS n FROM pr WHERE changed)
@@ -454,10 +567,16 @@ def change_list(spark, sf):
     return cmp.change_list(_pairs(spark, sf))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, full_ AS (SELECT p.*, l.text AS lt, r.text AS rt, row_number() OVER (PARTITION BY p.doc_id ORDER BY ls NULLS LAST, rs) AS pos FROM pr p LEFT JOIN l ON l.doc_id = p.doc_id AND l.section_id = ls LEFT JOIN r ON r.doc_id = p.doc_id AND r.section_id = rs),
+ ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM full_ WHERE changed),
+ bl AS (SELECT doc_id, n, 'SECTION ' || n || ': ' || section_title || chr(10) || 'LEFT:' || chr(10) || COALESCE(NULLIF(regexp_replace(substr(COALESCE(lt, ''), 1, 2200), '^\\s+|\\s+$', '', 'g'), ''), '[absent]') || chr(10) || 'RIGHT:' || chr(10) || COALESCE(NULLIF(regexp_replace(substr(COALESCE(rt, ''), 1, 2200), '^\\s+|\\s+$', '', 'g'), ''), '[absent]') || chr(10) AS b FROM ch),
+ bo AS (SELECT doc_id, string_agg(b, chr(10) ORDER BY n) FILTER (WHERE n <= 12) AS b, COUNT(*) AS m FROM bl GROUP BY 1),
+ co AS (SELECT doc_id, COUNT(ls) AS lc, COUNT(rs) AS rc, COUNT(*) FILTER (WHERE changed) AS cc FROM pr GROUP BY 1)
+SELECT c.doc_id, md5(regexp_replace(concat_ws(chr(10), 'META:', 'left_document_name=' || COALESCE(d.source, ''), 'left_version=a', 'right_document_name=' || COALESCE(d.source, ''), 'right_version=b', 'left_sections=' || lc, 'right_sections=' || rc, 'changed_sections=' || cc, 'compare_mode=all', '', 'CHANGED_SECTIONS:', bo.b, CASE WHEN m > 12 THEN '... trimmed ' || (m - 12) || ' more changed sections ...' END), '\\s+$', '')) AS context
+FROM co c JOIN documents d ON d.doc_id = c.doc_id LEFT JOIN bo ON bo.doc_id = c.doc_id""")
 def compare_context(spark, sf):
     meta = table(spark, sf, "documents").select("doc_id", F.col("source").alias("left_document_name"), F.lit("a").alias("left_version"), F.col("source").alias("right_document_name"), F.lit("b").alias("right_version"))
-    return cmp.compare_context(_pairs(spark, sf), meta)
+    return cmp.compare_context(_pairs(spark, sf), meta).select("doc_id", F.md5("context").alias("context"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,12 +14,13 @@ from pyspark.sql import types as T
 
 from ..functions.text import preprocess_text
 from ..operators.catalog import accepted
+from ..operators.layout import lines_to_markdown
 
 WORD_XML = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def _text(node: ElementTree.Element) -> str:
-    return " ".join("".join({"t": e.text or "", "tab": " ", "br": " "}.get(e.tag.removeprefix(WORD_XML), "") for e in node.iter()).replace(" ", " ").split())
+    return " ".join("".join({"t": e.text or "", "tab": " ", "br": " "}.get(e.tag.removeprefix(WORD_XML), "") for e in node.iter()).replace("\u00a0", " ").split())
 
 
 def _level(style: str) -> int | None:
@@ -56,15 +57,12 @@ def docx_markdown(content: bytes) -> str:
 
 
 def pdf_markdown(content: bytes) -> str:
-    """Text of a PDF by pypdf; a RuntimeError names the library where it is not installed."""
+    """Lines of a PDF's text by pypdf; a RuntimeError names the library where it is not installed."""
     try:
         from pypdf import PdfReader
     except ImportError as e:
         raise RuntimeError("reading PDF needs pypdf") from e
-    from ..operators.layout import markdown_lines, merge_wrapped
-
-    pages = [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
-    return markdown_lines(merge_wrapped([line for p in pages for line in p.splitlines()]))
+    return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages)
 
 
 READERS: dict[str, Callable[[bytes], str]] = {"docx": docx_markdown, "pdf": pdf_markdown, "md": lambda b: b.decode("utf-8", "replace"), "txt": lambda b: b.decode("utf-8", "replace")}
@@ -89,7 +87,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def documents_of(files: DataFrame) -> DataFrame:
     """The same from rows of ``binaryFile``, batch or stream."""
     read = accepted(files).withColumn("_r", _read("content", "source_type"))
-    return read.select("path", "modificationTime", "length", "source_type", preprocess_text(F.col("_r.markdown")).alias("raw_text"), F.col("_r.error").alias("error"))
+    text = F.when(F.col("source_type") == "pdf", lines_to_markdown(F.split("_r.markdown", r"\r\n|[\r\n]"))).otherwise(F.col("_r.markdown"))
+    return read.select("path", "modificationTime", "length", "source_type", preprocess_text(text).alias("raw_text"), F.col("_r.error").alias("error"))
 
 
 def read_vectors(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:

@@ -101,9 +101,9 @@ def test_diff_keeps_both_texts():
 
     for a, b in (("Срок 5 дней.", "Срок 10 дней!"), ("", "new"), ("same", "same"), ("<a> & b", "<a> | b")):
         got = compare.diff_html(a, b)
-        assert html.unescape(re.sub("</?span[^>]*>", "", got["left_html"])) == a
-        assert html.unescape(re.sub("</?span[^>]*>", "", got["right_html"])) == b
-        assert got["changed"] == (a != b)
+        assert html.unescape(re.sub("</?span[^>]*>", "", got[0])) == a
+        assert html.unescape(re.sub("</?span[^>]*>", "", got[1])) == b
+        assert got[2] == (a != b)
 
 
 def test_points(spark):
@@ -112,15 +112,18 @@ def test_points(spark):
     assert got == [("1", "1. a", None, True), ("2", "2. last", "2. last", False), ("3", None, "3. new", True)]
 
 
-def test_wrapped_lines():
-    assert layout.merge_wrapped(["One two", "three", "", "four.", "", "Next", "- item", "a |"]) == ["One two three four.", "", "Next", "- item a |"]
-    assert layout.markdown_lines(["", "• a", "", "", "b"]) == "- a\n\nb\n"
+def test_wrapped_lines(spark):
+    lines = ["One two", "three", "", "four.", "", "Next", "- item", "a |"]
+    df = spark.createDataFrame([(lines, ["", "• a.", "", "", "B"])], "a array<string>, b array<string>")
+    got = df.select(layout.merge_wrapped(F.col("a")).alias("a"), layout.lines_to_markdown(F.col("b")).alias("b")).first()
+    assert got.a == ["One two three four.", "", "Next", "- item a |"] and got.b == "- a.\n\nB\n"
 
 
-def test_quote():
+def test_quote(spark):
     body = "1. " + "первый пункт " * 5 + "\n 2. второй"
-    assert models.quote(body, "1. " + "ПЕРВЫЙ  пункт " * 5) == body.split("\n")[0].strip()
-    assert models.quote(body, "x" * 39) is None and models.quote(body, "x" * 60) is None
+    df = spark.createDataFrame([(0, "1. " + "ПЕРВЫЙ  пункт " * 5), (1, "x" * 39), (2, "x" * 60)], "i int, q string")
+    got = [r.p for r in df.select("i", models.quoted(F.lit(body), F.col("q")).alias("p")).orderBy("i").collect()]
+    assert got == [body.split("\n")[0].strip(), None, None]
 
 
 def docx(parts: str) -> bytes:
