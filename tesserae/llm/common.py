@@ -19,11 +19,13 @@ ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or in tests (unset) one made once."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or (unset, all in one process) one made once."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tesserae-")
             spark.sparkContext.setCheckpointDir(base)
     return base
@@ -34,7 +36,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved = path
+    return out
+
+
+def discard(saved: DataFrame) -> None:
+    """Delete a table of ``save`` that nothing reads any more."""
+    path = saved.sparkSession._jvm.org.apache.hadoop.fs.Path(saved._saved)
+    path.getFileSystem(saved.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_limits(spark: SparkSession) -> None:
@@ -117,12 +127,15 @@ def components(edges: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
     """
     both = save(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).where("node <> other").distinct(), "edges")
     labels = save(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "labels")
+    table = labels
     for _ in range(most):
         near = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
         hooked = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("lower"))
-        new = save(hooked.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("root"), F.col("root").alias("old")), "labels")
-        labels = new.select("node", "root")
+        before, new = table, save(hooked.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("root"), F.col("root").alias("old")), "labels")
+        discard(before)
+        table, labels = new, new.select("node", "root")
         if new.where("root <> old").isEmpty():
+            discard(both)
             return labels
     raise RuntimeError(f"labels still change after {most} rounds")

@@ -14,12 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import discard, save
 
 #: Rules of the query: (verdict, rule), a rule being a host, then the start of the path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Restart probability, bounds of the iterations (CLOSE as a share of a score), margin of distrust (as a share of both scores), and rules that fit one expression.
-RESTART, ROUNDS, CLOSE, THRESHOLD, MOST_RULES = 0.15, 100, 1e-6, 0.05, 1000
+RESTART, ROUNDS, CLOSE, THRESHOLD, MOST_RULES = 0.15, 100, 1e-5, 0.05, 1000
+#: Rounds of a table that is written.
+AT_ONCE = 5
 LINK = r"""(?i)<(?:a|area)\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
 BASE = r"""(?i)<base\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
 ABSOLUTE = r"(?i)^(?:https?:)?//([^/?#]+)"
@@ -80,21 +82,25 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, a: str, b: str, rounds: int = ROUNDS) -> DataFrame:
     """(host, score): score = RESTART * seed + (1 - RESTART) * sum of what hosts ``a`` pass to ``b`` by links, from (host, seed).
 
-    Rows of a round are hosts with a score; sums combine before the shuffle. Ends once no score changes by CLOSE of itself,
-    so small scores of hosts far from seeds, or one of many, settle too.
+    Rows of a round are hosts with a score; sums combine before the shuffle. Ends once AT_ONCE rounds change no score by
+    CLOSE of itself, so small scores of hosts far from seeds, or one of many, settle too; and after ``rounds``, when all
+    that is still under way is (1 - RESTART)**rounds of the seeds.
     """
     out = edges.groupBy(F.col(a).alias("host")).agg(F.sum("n").alias("all"))
     flow = save(edges.join(out, edges[a] == out["host"]).select(F.col(a).alias("from"), F.col(b).alias("to"), (F.col("n") / F.col("all")).alias("w")), "flow")
     base = save(seeds.where("seed > 0").select("host", (F.col("seed") * RESTART).alias("score")), "seeds")
     if flow.isEmpty() or base.isEmpty():
         return base
-    score = base
-    for _ in range(rounds):
-        passed = score.join(flow, score["host"] == flow["from"]).select(F.col("to").alias("host"), (F.col("score") * F.col("w") * (1 - RESTART)).alias("score"))
-        new = base.unionByName(passed).groupBy("host").agg(F.sum("score").alias("score"))
-        old = score.withColumnRenamed("score", "old")
-        new = save(new.join(old, "host", "left").select("host", "score", F.coalesce("old", F.lit(0.0)).alias("old")), "scores")
-        score = new.select("host", "score")
+    score, table = base, None
+    for _ in range(0, rounds, AT_ONCE):
+        new = score
+        for _ in range(AT_ONCE):
+            passed = new.join(flow, new["host"] == flow["from"]).select(F.col("to").alias("host"), (F.col("score") * F.col("w") * (1 - RESTART)).alias("score"))
+            new = base.unionByName(passed).groupBy("host").agg(F.sum("score").alias("score"))
+        new = save(new.join(score.withColumnRenamed("score", "old"), "host", "left").select("host", "score", F.coalesce("old", F.lit(0.0)).alias("old")), "scores")
+        if table is not None:
+            discard(table)
+        table, score = new, new.select("host", "score")
         if new.where(F.abs(F.col("score") - F.col("old")) > F.col("score") * CLOSE).isEmpty():
             break
     return score
