@@ -19,7 +19,7 @@ from .common import discard, save
 #: Rules of the query: (verdict, rule), a rule being a host, then the start of the path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Restart probability, bounds of the iterations (CLOSE as a share of a score), margin of distrust (as a share of both scores), and rules that fit one expression.
-RESTART, ROUNDS, CLOSE, THRESHOLD, MOST_RULES = 0.15, 100, 1e-5, 0.05, 1000
+RESTART, ROUNDS, CLOSE, THRESHOLD, MOST_RULES = 0.15, 100, 1e-4, 0.05, 1000
 #: Rounds of a table that is written.
 AT_ONCE = 5
 LINK = r"""(?i)<(?:a|area)\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
@@ -95,7 +95,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, a: str, b: str, rounds: int =
     for _ in range(0, rounds, AT_ONCE):
         new = score
         for _ in range(AT_ONCE):
-            passed = new.join(flow, new["host"] == flow["from"]).select(F.col("to").alias("host"), (F.col("score") * F.col("w") * (1 - RESTART)).alias("score"))
+            passed = new.join(flow.hint("merge"), new["host"] == flow["from"]).select(F.col("to").alias("host"), (F.col("score") * F.col("w") * (1 - RESTART)).alias("score"))
             new = base.unionByName(passed).groupBy("host").agg(F.sum("score").alias("score"))
         new = save(new.join(score.withColumnRenamed("score", "old"), "host", "left").select("host", "score", F.coalesce("old", F.lit(0.0)).alias("old")), "scores")
         if table is not None:
