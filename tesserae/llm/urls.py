@@ -79,31 +79,34 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return linked.unionByName(both.withColumn("n", F.lit(1).cast("long"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, a: str, b: str, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score): score = RESTART * seed + (1 - RESTART) * sum of what hosts ``a`` pass to ``b`` by links, from (host, seed).
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(host, trust, distrust) from edges (src, dst, n) and seeds (host, allow, block).
 
-    Rows of a round are hosts with a score; sums combine before the shuffle. Ends once AT_ONCE rounds change no score by
-    CLOSE of itself, so small scores of hosts far from seeds, or one of many, settle too; and after ``rounds``, when all
-    that is still under way is (1 - RESTART)**rounds of the seeds.
+    A score is RESTART * seed + (1 - RESTART) * the sum of what hosts pass on by links: trust along them, distrust against
+    them. Both go through one plan. Rows of a round are hosts with a score; sums combine before the shuffle. Ends once
+    AT_ONCE rounds change no score by CLOSE of itself, so small scores of hosts far from seeds, or one of many, settle
+    too; and after ``rounds``, when all that is still under way is (1 - RESTART)**rounds of the seeds.
     """
-    out = edges.groupBy(F.col(a).alias("host")).agg(F.sum("n").alias("all"))
-    flow = save(edges.join(out, edges[a] == out["host"]).select(F.col(a).alias("from"), F.col(b).alias("to"), (F.col("n") / F.col("all")).alias("w")), "flow")
-    base = save(seeds.where("seed > 0").select("host", (F.col("seed") * RESTART).alias("score")), "seeds")
-    if flow.isEmpty() or base.isEmpty():
-        return base
+    both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "n")
+    both = both.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), "n"))
+    out = both.groupBy("kind", "from").agg(F.sum("n").alias("all"))
+    flow = save(both.join(out, ["kind", "from"]).select("kind", F.col("from").alias("host"), "to", (F.col("n") / F.col("all")).alias("w")), "flow")
+    each = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allow").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("block").alias("seed")))).alias("s")
+    base = save(seeds.select("host", each).where("s.seed > 0").select("s.kind", "host", (F.col("s.seed") * RESTART).alias("score")), "seeds")
     score, table = base, None
-    for _ in range(0, rounds, AT_ONCE):
+    for _ in range(0, 0 if flow.isEmpty() or base.isEmpty() else rounds, AT_ONCE):
         new = score
         for _ in range(AT_ONCE):
-            passed = new.join(flow.hint("merge"), new["host"] == flow["from"]).select(F.col("to").alias("host"), (F.col("score") * F.col("w") * (1 - RESTART)).alias("score"))
-            new = base.unionByName(passed).groupBy("host").agg(F.sum("score").alias("score"))
-        new = save(new.join(score.withColumnRenamed("score", "old"), "host", "left").select("host", "score", F.coalesce("old", F.lit(0.0)).alias("old")), "scores")
+            passed = new.join(flow.hint("merge"), ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("w") * (1 - RESTART)).alias("score"))
+            new = base.unionByName(passed).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        new = save(new.join(score.withColumnRenamed("score", "old"), ["kind", "host"], "left").select("kind", "host", "score", F.coalesce("old", F.lit(0.0)).alias("old")), "scores")
         if table is not None:
             discard(table)
-        table, score = new, new.select("host", "score")
+        table, score = new, new.select("kind", "host", "score")
         if new.where(F.abs(F.col("score") - F.col("old")) > F.col("score") * CLOSE).isEmpty():
             break
-    return score
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
+    return score.groupBy("host").agg(of("trust"), of("distrust"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -118,9 +121,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold:
     hosts = named.select(node(F.col("host")).alias("host"), "rule_verdict").where("host <> ''").groupBy("host").agg(F.avg(F.when(F.col("rule_verdict") == "allow", 1.0).otherwise(0.0)).alias("allow"), F.avg(F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0)).alias("block"))
     hosts = save(hosts, "hosts")
     edges = save(host_edges(with_host(pages.select("url", "html"))), "edges")
-    trust = propagate(edges, hosts.select("host", F.col("allow").alias("seed")), "src", "dst").withColumnRenamed("score", "trust")
-    distrust = propagate(edges, hosts.select("host", F.col("block").alias("seed")), "dst", "src").withColumnRenamed("score", "distrust")
-    scores = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    scores = propagate(edges, hosts)
     scores = scores.withColumnRenamed("host", "_node")
     found = named.select("page_id", "host", "path", "rule", "rule_verdict", node(F.col("host")).alias("_node")).join(scores, "_node", "left").fillna(0.0, ["trust", "distrust"])
     method = F.when(F.col("distrust") - F.col("trust") > (F.col("distrust") + F.col("trust")) * threshold, "block").otherwise("allow")
