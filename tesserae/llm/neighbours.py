@@ -24,6 +24,8 @@ from .common import arrow_limits, save
 
 #: Neighbours of a node, starting cells and their rows, rounds, offers of a node at a meeting, and least updates a node.
 K, TREES, CELL, ROUNDS, OFFERS, STILL = 32, 5, 256, 6, 4, 0.02
+#: Tasks that the rows of a crowded cell are dealt to; with CELL rows in a cell, its sizes are less than the rows.
+SPREAD = 64
 #: Nodes kept and expanded for a query, rounds of the search, entries for a query that is no node, members kept of a class.
 BEAM, EXPAND, STEPS, ENTRIES = 192, 64, 8, 256
 EDGE = "u long, v long, d double, fresh boolean"
@@ -77,8 +79,11 @@ def _cells(nodes: DataFrame, n: int, dims: int, tree: int) -> DataFrame:
         return pa.table([pa.array(u), pa.array(v), pa.array(d), pa.array(np.ones(len(u), bool))], names=["u", "v", "d", "fresh"])
 
     dealt = nodes.mapInArrow(deal, "id long, code binary, cell long")
-    crowd = dealt.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / CELL).alias("into"))
-    split = dealt.join(crowd, "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit(tree)), "into"))
+    crowd = dealt.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    crowd = crowd.select("cell", F.ceil(F.col("n") / CELL).alias("into"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("at"))
+    # rows of a crowded cell meet its size in SPREAD tasks, then each part of it is a group of its own
+    spread = dealt.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).join(crowd, ["cell", "at"], "left")
+    split = spread.withColumn("part", F.pmod(F.xxhash64("id", F.lit(tree)), F.coalesce("into", F.lit(1))))
     return split.select("cell", "part", "id", "code").groupBy("cell", "part").applyInArrow(measure, EDGE)
 
 
