@@ -118,8 +118,8 @@ orders as (
   select [x1.l, x2.l, x3.l, x4.l, x5.l] as o from letters x1, letters x2, letters x3, letters x4, letters x5
   where len(list_distinct([x1.l, x2.l, x3.l, x4.l, x5.l])) = 5),
 kinds as (select part, failed, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from failing group by part, failed),
-at as (select k.*, o, unnest([1, 2, 3, 4, 5]) as step from kinds k, orders),
-state as (select *, o[step] as f, list_has_any(failed, o[1:step - 1]) as gone from at),
+stepped as (select k.*, o, unnest([1, 2, 3, 4, 5]) as step from kinds k, orders),
+state as (select *, o[step] as f, list_has_any(failed, o[1:step - 1]) as gone from stepped),
 first_of as (select part, o[step] as f, sum(n) as shapley from state where not gone and list_contains(failed, f) group by all)
 select s.part, array_to_string(o, '') as filter_order, step::int as step,
   coalesce(sum(n) filter (not gone and not list_contains(failed, s.f)), 0)::bigint as kept,
