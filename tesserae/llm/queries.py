@@ -1,6 +1,6 @@
 """The subpackage's queries and the SQL of those that SQL can express."""
 
-from . import audio, audit, chat, fim, lattice, mixing, neighbours, packing, quality, simhash, substring, urls
+from . import audio, audit, chat, extract, fim, lattice, mixing, neighbours, packing, quality, simhash, substring, urls
 
 QUERIES = {
     "op1_audio": audio.op1_audio,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_seed_extend": substring.op10_seed_extend,
     "op11_filter_audit": audit.op11_filter_audit,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_block_labeller": extract.op13_block_labeller,
 }
 ORACLES = {"op4_chat_windows": chat.ORACLE, "op8_golden_mix": mixing.ORACLE, "op10_seed_extend": substring.ORACLE, "op11_filter_audit": audit.ORACLE, "op12_fill_in_middle": fim.ORACLE}
