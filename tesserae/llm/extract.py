@@ -406,10 +406,16 @@ def lessons(pages: list[str], seed: int = 0) -> list[Sequence]:
 
 
 def train(pages: DataFrame, key: str = "page_id") -> Labeller:
-    """Learn from at most SAMPLE pages, chosen by a hash of their id."""
-    known = pages.where((F.length("html") <= PAGE_CHARS) & (F.length("html") > 0))
-    chosen = known.select(F.col(key).alias("key"), "html").orderBy(F.xxhash64("key"), "html").limit(SAMPLE)
-    return Labeller().learn(lessons([r.html for r in chosen.collect()]))
+    """Learn from at most SAMPLE pages: those of the smallest hashes of id and html.
+
+    Hashes beyond a bound below which a few times as many are due do not take part, so what reaches the driver does not
+    grow with the partitions; only if too few are below (few different pages) do all take part.
+    """
+    known = pages.where((F.length("html") <= PAGE_CHARS) & (F.length("html") > 0)).select("html", F.shiftrightunsigned(F.xxhash64(key, "html"), 1).alias("hash"))
+    first = lambda some: [r.html for r in some.orderBy("hash", "html").limit(SAMPLE).collect()]
+    bound = (1 << 63) * 4 * SAMPLE // max(1, pages.count())
+    chosen = first(known.where(F.col("hash") < bound)) if bound < 1 << 63 else []
+    return Labeller().learn(lessons(chosen if len(chosen) == SAMPLE else first(known)))
 
 
 def extract(pages: DataFrame, model: Labeller, key: str = "page_id", keep: tuple[str, ...] = ("url",)) -> DataFrame:
