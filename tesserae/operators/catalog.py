@@ -1,29 +1,31 @@
-"""A catalogue of documents on Parquet: upsert, delete, look up, list, back-fill; each change writes a new version and swaps."""
+"""A catalogue of documents on Parquet: upsert, delete, look up, list, back-fill."""
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.text import normalized_filename
+from ..storage import Tables
 
 SCHEMA = "doc_id string, source string, document_name string, version string, document_folder string, source_type string, original_filename string, stored_source_path string, text_source_path string, layout_source_path string, raw_text string, updated_at timestamp"
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """One row a document: the latest ``updated_at``; of equal or missing ones the largest by all other columns."""
+    others = [F.desc_nulls_last(c) for c in sorted(rows.columns) if c not in ("doc_id", "updated_at")]
+    order = ([F.desc_nulls_last("updated_at")] if "updated_at" in rows.columns else []) + others
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order or [F.lit(0)]))).where("_n = 1").drop("_n")
+
+
 def upsert(current: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` over ``current``: a document's new row replaces its old one, of several new ones the latest.
 
     Only the new rows are grouped; the current ones are only joined with the new ids. Columns that rows lack become null.
     """
-    order = F.desc_nulls_last("updated_at") if "updated_at" in rows.columns else F.lit(0)
-    last = Window.partitionBy("doc_id").orderBy(order)
-    new = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
     ids = rows.select(F.col("doc_id").alias("_id")).distinct()
-    return current.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(new, allowMissingColumns=True)
+    return current.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(latest(rows), allowMissingColumns=True)
 
 
 def delete(current: DataFrame, ids: DataFrame) -> DataFrame:
@@ -57,50 +59,36 @@ def accepted(files: DataFrame, types: tuple[str, ...] = DEFAULT.upload_types, mo
 
 
 class Versioned:
-    """A table of versions under one folder; the newest is read. A version appears whole: it is written aside and then renamed."""
+    """A table of its own under one folder (``storage.Tables``): a change rewrites the buckets that it falls into."""
 
-    SCHEMA = SCHEMA
+    SCHEMA, KEY = SCHEMA, "doc_id"
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def _versions(self) -> list[int]:
-        if not self._fs.exists(self._at("")):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(""))]
-        return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and self._fs.exists(self._at(f"{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        versions = self._versions()
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/v{versions[-1]}") if versions else self.spark.createDataFrame([], self.SCHEMA)
-
-    def write(self, df: DataFrame) -> None:
-        """A new version. Raises if another writer made one since; a writer that fails leaves only its own folder."""
-        versions, aside = self._versions(), f"writing-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{aside}")
-        new = f"v{(versions or [0])[-1] + 1}"
-        if self._fs.exists(self._at(new)) or not self._fs.rename(self._at(aside), self._at(new)):
-            self._fs.delete(self._at(aside), True)
-            raise RuntimeError(f"{new} is there already: another writer came first")
-        for old in versions[:-1]:  # readers of the version before go on
-            self._fs.delete(self._at(f"v{old}"), True)
+        self.spark, self.tables = spark, Tables(spark, path, {"rows": (self.SCHEMA, self.KEY)})
+
+    def read(self, keys: DataFrame | None = None) -> DataFrame:
+        return self.tables.read("rows", keys)
+
+    def replace(self, rows: DataFrame, at: int | None = None) -> None:
+        """All rows of the keys in ``rows`` replaced by them. Raises ``Conflict`` if another writer came first."""
+        self.tables.commit(rows={"rows": rows}, at=at)
+
+    def remove(self, keys: DataFrame, at: int | None = None) -> None:
+        """Without the rows of these keys; unknown and null ones are of no account."""
+        self.tables.commit(gone={"rows": keys.where(F.col(self.KEY).isNotNull())}, at=at)
 
 
 class Catalog(Versioned):
     """The catalogue's rows by SCHEMA."""
 
     def upsert(self, rows: DataFrame) -> None:
-        self.write(upsert(self.read(), rows))
+        self.replace(latest(rows).unionByName(self.spark.createDataFrame([], SCHEMA), allowMissingColumns=True))
 
     def delete(self, ids: list[str]) -> None:
-        self.write(delete(self.read(), self.spark.createDataFrame([(i,) for i in ids], "doc_id string")))
+        self.remove(self.spark.createDataFrame([(i,) for i in ids], "doc_id string"))
 
     def get(self, doc_id: str) -> dict | None:
-        row = self.read().where(F.col("doc_id") == doc_id).first()
+        row = self.read(self.spark.createDataFrame([(doc_id,)], "doc_id string")).first()
         return row.asDict() if row else None
 
     def list(self) -> DataFrame:

@@ -60,13 +60,13 @@ class VectorTable(Versioned):
     SCHEMA = "doc_id string, chunk_id int, text string, embedding array<float>"
 
     def upsert(self, rows: DataFrame) -> None:
-        self.write(upsert_vectors(self.read(), rows))
+        self.replace(rows)
 
     def delete(self, ids: DataFrame) -> None:
-        self.write(self.read().join(ids.select("doc_id").distinct(), "doc_id", "left_anti"))
+        self.remove(ids)
 
     def scan(self, doc_id: str | None = None) -> DataFrame:
-        return self.read() if doc_id is None else self.read().where(F.col("doc_id") == doc_id)
+        return self.read() if doc_id is None else self.read(self.spark.createDataFrame([(doc_id,)], "doc_id string"))
 
 
 class Bundles(Versioned):
@@ -75,21 +75,22 @@ class Bundles(Versioned):
     SCHEMA = "doc_id string, sections string"
 
     def upsert(self, rows: DataFrame) -> None:
-        self.write(upsert_vectors(self.read(), rows))
+        self.replace(rows)
 
     def delete(self, ids: DataFrame) -> None:
-        self.write(self.read().join(ids.select("doc_id").distinct(), "doc_id", "left_anti"))
+        self.remove(ids)
 
 
 class SummaryCache(Versioned):
     """Summaries by content key (key, summary)."""
 
-    SCHEMA = "key string, summary string"
+    SCHEMA, KEY = "key string, summary string", "key"
 
     def add(self, summarised: DataFrame) -> None:
         """Keep what sections.summaries has made: one summary a key, the present one where there is one."""
         new = summarised.select(F.col("summary_key").alias("key"), "summary").where("summary is not null").groupBy("key").agg(F.min("summary").alias("summary"))
-        self.write(self.read().unionByName(new.join(self.read().select("key"), "key", "left_anti")))
+        at = self.tables.version()
+        self.replace(new.join(self.tables.read("rows", new, at).select("key"), "key", "left_anti"), at)
 
 
 def inside(path: Column, root: str) -> Column:
