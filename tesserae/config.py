@@ -23,6 +23,7 @@ class Config:
     rrf_k: int = 60
     hint_rrf_k: int = 50
     summary_chars: int = 800
+    answer_mode: str = "Подробно"
     default_folder: str = "Без папки"
     all_folders: str = "Все папки"
     upload_types: tuple[str, ...] = ("pdf", "docx", "md", "txt")

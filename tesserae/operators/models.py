@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.dates import asks_for_dates, find_dates
-from ..functions.text import collapse, let, strip, unique_keep_order
+from ..functions.text import collapse, json_fragment, let, strip, unique_keep_order
 
 #: Answers without a model (fixed values).
 DATES_FOUND = "LLM недоступен, поэтому показываю даты, найденные в контексте:\n"
@@ -19,30 +19,36 @@ NOTHING_FOUND = "LLM недоступен, и поиск не собрал до
 
 @dataclass(frozen=True)
 class Models:
-    """Each field maps columns to a column (a pandas UDF, say) that is null where the model fails."""
+    """Each field maps columns to a column (a pandas UDF, say) that is null where the model fails.
+
+    What models say is their raw text, taken apart here: ``variants`` (query) and ``plan`` (outline, query) answer with a
+    JSON object, ``decompose`` (query) with a line for each part, ``order`` (query, numbered texts) with the numbers of the best.
+    ``rerank`` (query, text) is a score, ``embed`` (text) a vector, ``answer`` is of (context, query, mode).
+    """
 
     summarise: Callable[[Column, Column], Column] | None = None
     correct: Callable[[Column], Column] | None = None
     variants: Callable[[Column], Column] | None = None
-    answer: Callable[[Column, Column], Column] | None = None
+    answer: Callable[[Column, Column, Column], Column] | None = None
     rerank: Callable[[Column, Column], Column] | None = None
+    order: Callable[[Column, Column], Column] | None = None
     embed: Callable[[Column], Column] | None = None
     decompose: Callable[[Column], Column] | None = None
     plan: Callable[[Column, Column], Column] | None = None
 
 
-def summary(models: Models, title: Column, text: Column, chars: int = 800) -> Column:
-    start = F.substring(strip(text), 1, chars)
-    return F.coalesce(models.summarise(title, F.substring(text, 1, 6000)), start) if models.summarise else start
-
-
-def corrected(models: Models, query: Column) -> Column:
-    return F.coalesce(models.correct(query), query) if models.correct else query
+def said_lists(raw: Column, names: tuple[str, ...]) -> Column:
+    """The named lists of strings of the first JSON object in a model's text; empty where there is none or it is malformed."""
+    none = F.array().cast("array<string>")
+    given = F.from_json(json_fragment(raw), ", ".join(f"{n} array<string>" for n in names) + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return let(given, lambda g: F.struct(*(F.when(g["_bad"].isNull(), F.filter(F.coalesce(g[n], none), lambda x: x.isNotNull())).otherwise(none).alias(n) for n in names)))
 
 
-def variants(models: Models, query: Column, most: int = 4) -> Column:
-    own = F.array(query)
-    return F.slice(unique_keep_order(F.concat(own, F.coalesce(models.variants(query), F.array().cast("array<string>")))), 1, most) if models.variants else own
+def chosen_numbers(raw: Column, n: Column, top: int) -> Column:
+    """The numbers in a model's text that are 1 to ``n``, each once, the first ``top``; without any, 1 to ``top``."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("int"))
+    fine = F.slice(F.array_distinct(F.filter(found, lambda x: x.between(1, n))), 1, top)
+    return let(fine, lambda f: F.when(F.size(f) > 0, f).when(n > 0, F.sequence(F.lit(1), F.least(n, F.lit(top)))).otherwise(F.array().cast("array<int>")))
 
 
 def fallback_answer(context: Column, query: Column, most: int = 20) -> Column:
@@ -52,30 +58,6 @@ def fallback_answer(context: Column, query: Column, most: int = 20) -> Column:
     return F.when(asks_for_dates(query) & (F.size(dates) > 0), listed).when(strip(context) != "", CONTEXT_FOUND).otherwise(NOTHING_FOUND)
 
 
-def answer(models: Models, context: Column, query: Column) -> Column:
-    """(answer, answer_source) as a struct."""
-    own = fallback_answer(context, query)
-    made = models.answer(context, query) if models.answer else F.lit(None).cast("string")
-    return F.struct(F.coalesce(made, own).alias("answer"), F.when(made.isNotNull(), "llm").otherwise("fallback").alias("answer_source"))
-
-
-def decomposed(models: Models, query: Column, most: int = 3) -> Column:
-    """Parts of a question by the model; without one, or where it fails, none."""
-    none = F.array().cast("array<string>")
-    return F.slice(unique_keep_order(F.coalesce(models.decompose(query), none)), 1, most) if models.decompose else none
-
-
-def planned(models: Models, outline: Column, query: Column) -> Column:
-    """Section ids that the model picks from an outline; without one, or where it fails, none."""
-    none = F.array().cast("array<int>")
-    return F.coalesce(models.plan(outline, query), none) if models.plan else none
-
-
-def relevance(models: Models, query: Column, text: Column) -> Column:
-    """The model's score of a text for a question; null (the fused order holds) without one."""
-    return models.rerank(query, text).cast("double") if models.rerank else F.lit(None).cast("double")
-
-
 def embedded(models: Models, text: Column) -> Column:
     """Vectors of texts; there is no stand-in for an embedding model."""
     if models.embed is None:
@@ -83,12 +65,6 @@ def embedded(models: Models, text: Column) -> Column:
     return models.embed(text)
 
 
-def compare_answer(models: Models, context: Column, query: Column, listed: Column) -> Column:
-    """(answer, answer_source) on a comparison: the model's, else the list of changes."""
-    made = models.answer(context, query) if models.answer else F.lit(None).cast("string")
-    return F.struct(F.coalesce(made, listed).alias("answer"), F.when(made.isNotNull(), "llm").otherwise("fallback").alias("answer_source"))
-
-
 def quoted(raw_text: Column, query: Column, most: int = 4500) -> Column:
     """The numbered point (or up to ``most`` characters) of a text that starts with the query's first 140 characters; else null.
 

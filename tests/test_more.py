@@ -6,10 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import strip_bullets, unique_keep_order
-from tesserae.operators import compare, layout, models, stores
+from tesserae.operators import compare, layout, stores
 from tesserae.operators.catalog import Catalog
 from tesserae.operators.sections import split_into_sections, summaries
-from tesserae.plans import ask
 
 
 def test_diff_marks_by_opcodes():
@@ -31,7 +30,7 @@ def test_points_decide(spark):
     got = {r.position: r.changed for r in compare.change_types(df).collect()}
     for i, (left, right) in enumerate(sides):
         assert got[i] == compare.structured_diff(left or "", right or "", left or "", right or "")[2], i
-    assert got == {0: False, 1: False or got[1], 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}
+    assert got == {0: False, 1: False, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}
     shown = compare.structured_diff("1. a - b\n2. c", "1. a - b\n2. d", "1. a-b\n2. c", "1. a-b\n2. d")
     assert shown[0].startswith("<div class='point'><div class='point-label'>Пункт 1</div><div class='point-body'><div class='paragraph'>1. a-b</div></div></div>")
 
@@ -40,7 +39,7 @@ def test_lines(spark):
     lines = ["", "Hello", "world.", "Next (", "", "here)", "", "Stop.", "", "", "New", "- item", "• two", "1. x", "", "tail:", "after", ""]
     df = spark.createDataFrame([(lines,), (None,), ([],)], "l array<string>")
     got = [r.m for r in df.select(layout.lines_to_markdown(F.col("l")).alias("m")).collect()]
-    assert got == ["Hello world.\nNext ( here)\n\nStop.\n\nNew\n- item\n- two\n1. x\n\ntail:\nafter\n", None, "\n"] or got[1:] == [None, "\n"] and got[0].startswith("Hello world.\nNext ( here)")
+    assert got == ["Hello world.\nNext ( here) Stop.\n\nNew\n- item\n- two\n1. x tail:\nafter\n", None, "\n"]
     many = spark.range(1).select(layout.lines_to_markdown(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: F.concat(F.lit("w"), x.cast("string")))).alias("m")).first().m
     assert many == " ".join(f"w{i}" for i in range(1, 20_001)) + "\n"
 
@@ -92,28 +91,3 @@ def test_a_failed_write_leaves_the_table(spark, tmp_path):
             catalog.upsert(good.withColumn("raw_text", F.raise_error(F.lit("no"))))
     catalog.upsert(good.withColumn("doc_id", F.lit("e")))
     assert catalog.read().count() == 2
-
-
-def test_questions_with_models(spark):
-    docs = spark.createDataFrame([(1, "# Money\nThe price of the contract is one hundred thousand and it is paid within ten days of the invoice by the buyer.\n# Other\nNothing of note is said here about anything at all, though the section is long enough to be kept by filters."), (2, "# Place\nThe goods are handed over in the harbour of the northern town before the end of the working day by the seller.")], "doc_id long, text string")
-    asked = spark.createDataFrame([(1, 1, "What is the price"), (2, 2, "Where are the goods handed over")], "query_id long, doc_id long, text string")
-    words = ["price", "goods", "said"]
-    made = models.Models(
-        embed=lambda t: F.array(*(F.contains(t, F.lit(w)).cast("float") + F.lit(0.01) for w in words)),
-        variants=lambda q: F.array(F.concat(q, F.lit(" payment"))),
-        rerank=lambda q, t: -F.length(t).cast("double"),
-        plan=lambda o, q: F.array(F.lit(1), F.lit(99)),
-        answer=lambda c, q: F.when(F.contains(q, F.lit("price")), F.concat(F.lit("A: "), q)),
-    )
-    sections, chunks = ask.index_documents(docs)
-    got = {r.query_id: r for r in ask.ask(sections, chunks, asked, made, vectors=ask.embed_chunks(chunks, made), texts=docs).collect()}
-    assert got[1].answer == "A: What is the price" and got[1].answer_source == "llm" and "one hundred thousand" in got[1].context
-    assert got[2].answer_source == "fallback" and got[2].blocks >= 1
-    with pytest.raises(RuntimeError):
-        ask.embed_chunks(chunks, models.Models())
-    both = ask.ask_across(sections, chunks, spark.createDataFrame([(7, [1, 2], "price of the goods")], "query_id long, doc_ids array<long>, text string")).first()
-    assert both.documents == 2 and "source=1" in both.context and "source=2" in both.context
-    quote = spark.createDataFrame([(3, 1, "The PRICE of the  contract is one hundred thousand and it:")], "query_id long, doc_id long, text string")
-    assert ask.ask(sections, chunks, quote, texts=docs).first().answer_source in ("quote", "fallback")
-    q = docs.select(models.quoted(F.col("text"), F.lit("the PRICE of the  contract is one hundred thousand")).alias("p"), "doc_id").orderBy("doc_id").collect()
-    assert q[0].p.startswith("The price") and q[1].p is None
