@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,11 @@ from ..functions import text as t
 from ..operators import catalog as c
 from ..operators import compare as cmp
 from ..operators import dates as od
+from ..operators import index as ix
 from ..operators import layout, retrieval, sections
 from ..operators import models as m
 from ..operators import stores as st
+from ..storage import Tables, shared_folder
 from . import ask as plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,19 +227,34 @@ def landing_names(spark, sf):
 # Structure ----------------------------------------------------------------------------------------------------------
 
 
-@query(r"""WITH e AS (SELECT p_brand AS doc_id, CAST(p_partkey % 3 AS BIGINT) AS page_no, CAST(p_partkey AS BIGINT) AS line_no, p_name AS text, CASE WHEN p_size % 10 = 0 THEN 19.0 WHEN p_size % 10 = 1 THEN 14.0 ELSE 12.0 END AS size, p_size % 10 = 2 AS bold, p_size AS x0, p_partkey AS y0 FROM part),
- z AS (SELECT doc_id, size, COUNT(*) AS n FROM e GROUP BY 1, 2), b AS (SELECT doc_id, size AS body FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) = 1),
- h AS (SELECT *, NOT (length(text) < 3 OR regexp_matches(text, '^[0-9]+\.\s') OR regexp_matches(text, '^[0-9]+\s+[A-Z]') OR (regexp_extract(text, '[A-Za-z]') <> '' AND regexp_extract(text, '[A-Za-z]') = lower(regexp_extract(text, '[A-Za-z]'))) OR regexp_matches(text, '[;,:(–—-]$')) AND (size >= body + 1.5 OR bold AND length(text) <= 140) AS head FROM e JOIN b USING (doc_id))
-SELECT doc_id, page_no, line_no, CASE WHEN head THEN 'heading' ELSE 'text' END AS type, CASE WHEN head THEN CASE WHEN size >= body + 6 THEN 1 WHEN size >= body + 3 THEN 2 ELSE 3 END END AS heading_level, text, CAST(x0 + 5 AS DOUBLE) AS right_edge FROM h""")
-def page_layout(spark, sf):
+_SPANS = r"""e AS (SELECT p_brand AS doc_id, CAST(p_partkey % 3 AS BIGINT) AS page_no, CAST(p_partkey % 5 AS BIGINT) AS block_no, CAST(p_partkey AS BIGINT) AS line_no, trim(regexp_replace(CASE WHEN p_size % 10 = 3 THEN '- ' || p_name WHEN p_size % 10 = 4 THEN '7. ' || p_name ELSE p_name END, '\s+', ' ', 'g')) AS text, CASE WHEN p_size % 10 = 0 THEN 19.0 WHEN p_size % 10 = 1 THEN 14.0 ELSE 12.0 END AS size, p_size % 10 = 2 AS bold, p_size AS x0 FROM part),
+ z AS (SELECT doc_id, size, SUM(len(string_split(text, ' '))) AS n FROM e GROUP BY 1, 2), b AS (SELECT doc_id, size AS body FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) = 1),
+ h AS (SELECT *, NOT (length(text) < 3 OR regexp_matches(text, '^[0-9]+\.\s') OR regexp_matches(text, '^[0-9]+\s+[A-Z]') OR (regexp_extract(text, '[A-Za-z]') <> '' AND regexp_extract(text, '[A-Za-z]') = lower(regexp_extract(text, '[A-Za-z]'))) OR regexp_matches(text, '[;,:(–—-]$')) AND (size >= body + 1.5 OR bold AND length(text) <= 140) AS head FROM e JOIN b USING (doc_id))"""
+
+
+def _spans(spark, sf) -> DataFrame:
+    """Names of parts as lines of pages: a blank span in large bold type, then a span for each word."""
     k = F.col("p_size") % 10
+    said = F.when(k == 3, F.concat(F.lit("- "), "p_name")).when(k == 4, F.concat(F.lit("7. "), "p_name")).otherwise(F.col("p_name"))
     size = F.when(k == 0, 19.0).when(k == 1, 14.0).otherwise(12.0)
-    one = table(spark, sf, "part").select(F.col("p_brand").alias("doc_id"), (F.col("p_partkey") % 3).alias("page_no"), F.col("p_partkey").alias("line_no"), "p_name", size.alias("size"), F.when(k == 2, "Arial-Bold").otherwise("Arial").alias("font"), F.lit(0).alias("flags"), F.col("p_size").cast("double").alias("x"), F.col("p_partkey").cast("double").alias("y"))
-    cut = F.length("p_name") / 2  # every line as two spans
-    halves = F.explode(F.array(F.struct(F.lit(0).alias("span_no"), F.substring("p_name", F.lit(1), cut.cast("int")).alias("text"), F.col("x").alias("x0"), (F.col("x") + 2).alias("x1")), F.struct(F.lit(1).alias("span_no"), F.expr("substring(p_name, cast(length(p_name) / 2 as int) + 1)").alias("text"), (F.col("x") + 2).alias("x0"), (F.col("x") + 5).alias("x1"))))
-    spans = one.select("doc_id", "page_no", "line_no", "size", "font", "flags", "y", halves.alias("s")).select("doc_id", "page_no", "line_no", "size", "font", "flags", F.col("y").alias("y0"), (F.col("y") + 1).alias("y1"), "s.*")
-    lines = layout.page_layout(spans).select("doc_id", F.col("page_no").cast("long"), F.explode("lines").alias("l"))
-    return lines.select("doc_id", "page_no", F.col("l.line_no").cast("long").alias("line_no"), "l.type", "l.heading_level", "l.text", F.col("l.bbox")[2].alias("right_edge"))
+    line = table(spark, sf, "part").select(F.col("p_brand").alias("doc_id"), (F.col("p_partkey") % 3).alias("page_no"), (F.col("p_partkey") % 5).alias("block_no"), F.col("p_partkey").alias("line_no"), F.concat(F.array(F.lit(" \t")), F.split(said, " ")).alias("w"), size.alias("s"), k.alias("k"), F.col("p_size").cast("double").alias("x"))
+    each = line.select("doc_id", "page_no", "block_no", "line_no", "s", "k", "x", F.posexplode("w").alias("span_no", "text"))
+    blank = F.col("span_no") == 0
+    return each.select("doc_id", "page_no", "block_no", "line_no", "span_no", "text", F.when(blank, 30.0).otherwise(F.col("s")).alias("size"), F.when(blank | (F.col("k") == 2), "Arial-Bold").otherwise("Arial").alias("font"), F.lit(0).alias("flags"), (F.col("x") + F.col("span_no")).alias("x0"), F.lit(1.0).alias("y0"), (F.col("x") + F.col("span_no") + 1).alias("x1"), F.lit(2.0).alias("y1"))
+
+
+@query(f"""WITH {_SPANS}, t AS (SELECT *, CASE WHEN head THEN 'heading' WHEN regexp_matches(text, '^[0-9]+\\.\\s') THEN 'numbered_item' WHEN regexp_matches(text, '^[-–—•]\\s') THEN 'bullet_item' ELSE 'paragraph' END AS type FROM h)
+SELECT doc_id, page_no, block_no, line_no, type, first_value(type) OVER (PARTITION BY doc_id, page_no, block_no ORDER BY line_no) AS block_type, CASE WHEN head THEN CASE WHEN size >= body + 6 THEN 1 WHEN size >= body + 3 THEN 2 ELSE 3 END END AS heading_level, text, CAST(size AS DOUBLE) AS font_size, bold, CAST(x0 + 2 AS DOUBLE) AS right_edge, len(string_split(text, ' ')) AS spans FROM t""")
+def page_layout(spark, sf):
+    blocks = layout.page_layout(_spans(spark, sf)).select("doc_id", F.col("page_no").cast("long"), F.explode("blocks").alias("b"))
+    lines = blocks.select("doc_id", "page_no", F.col("b.block_no").cast("long").alias("block_no"), F.col("b.type").alias("block_type"), F.explode("b.lines").alias("l"))
+    return lines.select("doc_id", "page_no", "block_no", F.col("l.line_no").cast("long").alias("line_no"), "l.type", "block_type", "l.heading_level", "l.text", "l.font_size", "l.bold", F.col("l.bbox")[2].alias("right_edge"), F.size("l.spans").cast("long").alias("spans"))
+
+
+@query()
+def page_markdown(spark, sf):
+    """Markdown of all pages from their spans (tests hold it against a plain loop)."""
+    return layout.pages_markdown(layout.page_lines(_spans(spark, sf)))
 
 
 # Structure ----------------------------------------------------------------------------------------------------------
@@ -329,6 +347,18 @@ def bm25_per_document(spark, sf):
     return out.select("doc_id", F.col("rank").cast("long"), F.col("chunk_id").cast("long"), F.round("score", 6).alias("score"))
 
 
+@query(ORACLES["bm25_per_document"])
+def bm25_stored(spark, sf):
+    """As ``bm25_per_document``, from a written index: its postings by document, of which a question reads those of its words."""
+    lines = lines_of(table(spark, sf, "documents")).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("string"))
+    tables = Tables(spark, f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}", {"postings": (ix.POSTINGS, "doc_id"), "sizes": (ix.SIZES, "doc_id")}, 16)
+    lines = lines.withColumn("level", F.lit("chunk"))
+    tables.commit({"postings": ix.postings(lines, ("doc_id", "level")), "sizes": ix.sizes(lines, ("doc_id", "level"))})
+    asked = tables.read("sizes").select(F.col("doc_id").alias("query_id"), "doc_id", F.lit("the der de").alias("text"))
+    out = ix.search(tables.read("postings"), tables.read("sizes"), asked)
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("rank").cast("long"), F.col("chunk_id").cast("long"), F.round("score", 6).alias("score"))
+
+
 def _knn(spark, sf, within=()) -> DataFrame:
     v = table(spark, sf, "embeddings")
     return retrieval.knn(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", *within), within=within)
@@ -504,6 +534,26 @@ def date_answers(spark, sf):
     return out.select("doc_id", F.array_join("dates", "; ").alias("dates"), F.col("found").cast("long"))
 
 
+@query(rf"""WITH {_DATES}, ev AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM sn WHERE day IS NOT NULL QUALIFY e <= 12), un AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(day) ORDER BY e) AS u FROM ev),
+ di AS (SELECT doc_id, string_agg('- ' || day, chr(10) ORDER BY e) AS l, COUNT(*) AS found FROM un WHERE u = 1 GROUP BY 1), cx AS (SELECT doc_id, string_agg('[' || e || '] source=' || doc_id || ' section=date-scan' || chr(10) || snippet, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY e) AS context FROM ev WHERE e <= 6 GROUP BY 1)
+SELECT o.doc_id, COALESCE('Найдённые даты в документе:' || chr(10) || l, 'В документе не удалось уверенно найти даты.') AS answer, COALESCE(context, '') AS context, COALESCE(found, 0) AS found FROM (SELECT DISTINCT o_custkey AS doc_id FROM orders) o LEFT JOIN di USING (doc_id) LEFT JOIN cx USING (doc_id)""")
+def date_replies(spark, sf):
+    return od.date_replies(_dated(spark, sf)).select("doc_id", "answer", "context", F.col("found").cast("long"))
+
+
+@query(rf"""WITH {_DATES}, ev AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM sn WHERE day IS NOT NULL QUALIFY e <= 12),
+ sc AS (SELECT c_custkey AS query_id, c_custkey AS doc_id, 0 AS o FROM customer UNION ALL SELECT c_custkey, c_custkey + 1, 1 FROM customer UNION ALL SELECT c_custkey, c_custkey + 2, 2 FROM customer),
+ al AS (SELECT query_id, o, e, day, snippet, row_number() OVER (PARTITION BY query_id, lower(day) ORDER BY o, e) AS u, row_number() OVER (PARTITION BY query_id ORDER BY o, e) AS s FROM sc JOIN ev USING (doc_id)),
+ li AS (SELECT query_id, day, row_number() OVER (PARTITION BY query_id ORDER BY o, e) AS k, COUNT(*) OVER (PARTITION BY query_id) AS m FROM al WHERE u = 1),
+ an AS (SELECT query_id, 'Найдённые даты в выбранных документах:' || chr(10) || string_agg('- ' || day, chr(10) ORDER BY k) FILTER (WHERE k <= 20) || CASE WHEN MAX(m) > 20 THEN chr(10) || chr(10) || 'Показаны первые 20 дат из ' || MAX(m) || ' найденных.' ELSE '' END AS answer FROM li GROUP BY 1),
+ so AS (SELECT query_id, COUNT(*) AS sources, COUNT(DISTINCT o) AS blocks FROM al GROUP BY 1)
+SELECT c_custkey AS query_id, COALESCE(answer, 'Найдённые даты в выбранных документах:' || chr(10)) AS answer, COALESCE(blocks, 0) AS blocks, LEAST(COALESCE(sources, 0), 12) AS sources FROM customer LEFT JOIN an ON an.query_id = c_custkey LEFT JOIN so ON so.query_id = c_custkey""")
+def date_merge(spark, sf):
+    """A question for dates over each customer's document and the next two."""
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), F.array(*(F.col("c_custkey") + i for i in range(3))).alias("doc_ids"))
+    return plan.ask_for_dates(_dated(spark, sf), asked).select("query_id", "answer", F.col("blocks").cast("long"), F.size("sources").cast("long").alias("sources"))
+
+
 # Comparison ---------------------------------------------------------------------------------------------------------
 
 
