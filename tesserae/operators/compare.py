@@ -11,14 +11,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import let, normalize_display_text, normalize_text, strip
+from ..functions.routing import compare_mode
+from ..functions.text import html_escape, let, normalize_display_text, normalize_text, strip
+from ..storage import save
+from .models import Models
 from .sections import numbered_points
+from .stages import Answers
 
 
-def section_blocks(sections: DataFrame) -> DataFrame:
+#: The question that stands for none, and the error of a document without a bundle (fixed values).
+OPEN_QUESTION, NO_BUNDLE = "Сравни документы и кратко перечисли, что было добавлено, удалено и изменено.", "Не удалось загрузить bundle для doc_id="
+
+
+def section_blocks(sections: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Sections with text normalised for comparison and for display; null ids and titles get defaults."""
     body = F.coalesce("page_content", F.lit(""))
-    return sections.select("doc_id", F.coalesce("section_id", F.lit(0)).alias("section_id"), F.coalesce("section_title", F.lit("")).alias("section_title"), normalize_text(body).alias("text"), normalize_display_text(body).alias("display_text"))
+    return sections.select(*keys, F.coalesce("section_id", F.lit(0)).alias("section_id"), F.coalesce("section_title", F.lit("")).alias("section_title"), normalize_text(body).alias("text"), normalize_display_text(body).alias("display_text"))
 
 
 def pair_sections(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -121,54 +129,61 @@ def diff_udf(left: pd.Series, right: pd.Series, left_shown: pd.Series, right_sho
     return pd.DataFrame([structured_diff(*(t or "" for t in row))[:2] for row in zip(left, right, left_shown, right_shown, strict=True)], columns=["left_html", "right_html"])
 
 
-def compare_documents(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """All paired sections of two sides (by, section_id, section_title, page_content) with change_type, display texts and HTML.
-
-    A pair without any title is called by its position. The diff has no JVM expression; it runs on Arrow batches.
-    """
-    pairs = change_types(pair_sections(section_blocks(left), section_blocks(right), by))
+def compared_sections(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """All paired sections of two sides (by, section_id, section_title, page_content) with change_type and display texts, without their HTML."""
+    pairs = change_types(pair_sections(section_blocks(left, by), section_blocks(right, by), by))
     title = F.coalesce(F.nullif("section_title", F.lit("")), F.concat(F.lit("Section "), F.col("position").cast("string")))
-    diffed = pairs.withColumn("h", diff_udf("left_text", "right_text", "left_display_text", "right_display_text"))
-    shown = [F.coalesce(f"{s}_display_text", F.lit("")).alias(f"{s}_text") for s in ("left", "right")]
-    return diffed.select(*by, "position", title.alias("section_title"), "left_section_id", "right_section_id", "changed", "change_type", *shown, "h.left_html", "h.right_html")
+    sides = [F.coalesce(f"{s}_display_text", F.lit("")).alias(f"{s}_text") for s in ("left", "right")]
+    return pairs.select(*by, "position", title.alias("section_title"), "left_section_id", "right_section_id", "changed", "change_type", *sides, F.col("left_text").alias("_left"), F.col("right_text").alias("_right"))
+
+
+def compare_documents(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``compared_sections`` with the HTML of both sides. The diff has no JVM expression; it runs on Arrow batches."""
+    diffed = compared_sections(left, right, by).withColumn("h", diff_udf("_left", "_right", "left_text", "right_text"))
+    return diffed.select("*", "h.left_html", "h.right_html").drop("h", "_left", "_right")
 
 
-def _chosen(pairs: DataFrame, mode: str, by: tuple[str, ...]) -> DataFrame:
-    """Changed sections of the mode, numbered within a comparison."""
-    chosen = pairs.where(F.col("changed") & (F.lit(mode == "all") | (F.col("change_type") == mode)))
-    return chosen.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("position")))
+def _moded(pairs: DataFrame, mode: str | DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(comparisons with each of their modes, their changed sections of that mode, numbered). ``mode``: one for all, or rows (by, mode)."""
+    every = pairs.select(*by).distinct()
+    modes = every.withColumn("mode", F.lit(mode)) if isinstance(mode, str) else every.join(mode.select(*by, "mode").distinct(), list(by))
+    chosen = pairs.where("changed").join(modes, list(by)).where((F.col("mode") == "all") | (F.col("change_type") == F.col("mode")))
+    return modes, chosen.withColumn("n", F.row_number().over(Window.partitionBy(*by, "mode").orderBy("position")))
 
 
-def compare_context(pairs: DataFrame, meta: DataFrame, mode: str = "all", sections: int = 12, chars: int = 2200, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(by, context) of each comparison: counts, its first changed sections of the mode with both sides cut, what was trimmed.
+def compare_context(pairs: DataFrame, meta: DataFrame, mode: str | DataFrame = "all", sections: int = 12, chars: int = 2200, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(by, mode, context) of each comparison and mode: counts, its first changed sections of the mode with both sides cut, what was trimmed.
 
-    ``meta``: by, left_document_name, left_version, right_document_name, right_version.
+    ``pairs``: rows of ``compared_sections``. ``meta``: by, left_document_name, left_version, right_document_name, right_version.
     """
     def side(c: str):
         return F.coalesce(F.nullif(strip(F.substring(F.coalesce(c, F.lit("")), 1, chars)), F.lit("")), F.lit("[absent]"))
 
+    modes, chosen = _moded(pairs, mode, by)
+    key = [*by, "mode"]
     block = F.concat_ws("\n", F.concat(F.lit("SECTION "), F.col("n").cast("string"), F.lit(": "), F.col("section_title")), F.lit("LEFT:"), side("left_text"), F.lit("RIGHT:"), side("right_text"), F.lit(""))
-    counted = compare_counts(pairs, by)
-    body = _chosen(pairs, mode, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col("n") <= sections, F.struct("n", block.alias("b"))))).alias("b"), F.count("*").alias("m"))
+    body = chosen.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("n") <= sections, F.struct("n", block.alias("b"))))).alias("b"), F.count("*").alias("m"))
     names = [F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in ("left_document_name", "left_version", "right_document_name", "right_version")]
     counts = [F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in ("left_sections", "right_sections", "changed_sections")]
     more = F.when(F.col("m") > sections, F.concat(F.lit("... trimmed "), (F.col("m") - sections).cast("string"), F.lit(" more changed sections ...")))
-    text = F.concat_ws("\n", F.lit("META:"), *names, *counts, F.lit(f"compare_mode={mode}"), F.lit(""), F.lit("CHANGED_SECTIONS:"), F.nullif(F.array_join("b.b", "\n"), F.lit("")), more)
-    return counted.join(meta, list(by)).join(body, list(by), "left").select(*by, F.regexp_replace(text, r"\s+$", "").alias("context"))
+    text = F.concat_ws("\n", F.lit("META:"), *names, *counts, F.concat(F.lit("compare_mode="), F.col("mode")), F.lit(""), F.lit("CHANGED_SECTIONS:"), F.nullif(F.array_join("b.b", "\n"), F.lit("")), more)
+    whole = compare_counts(pairs, by).join(meta, list(by)).join(modes, list(by)).join(body, key, "left")
+    return whole.select(*key, F.regexp_replace(text, r"\s+$", "").alias("context"))
 
 
 #: Headings of a change list (fixed values).
 LABELS = {"all": "Измененных разделов", "added": "Добавленных разделов", "removed": "Удаленных разделов", "changed": "Измененных разделов"}
 
 
-def change_list(pairs: DataFrame, mode: str = "all", most: int = 8, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(by, answer) of each comparison: how many sections changed, and the first of them by title."""
+def change_list(pairs: DataFrame, mode: str | DataFrame = "all", most: int = 8, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(by, mode, answer) of each comparison and mode: how many sections changed, and the first of them by title."""
+    modes, chosen = _moded(pairs, mode, by)
     kind = F.when(F.col("change_type") == "added", "Добавлено").when(F.col("change_type") == "removed", "Удалено").otherwise("Изменено")
     line = F.concat(F.lit("- "), kind, F.lit(": "), F.col("section_title"))
-    got = _chosen(pairs, mode, by).groupBy(*by).agg(F.count("*").alias("m"), F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.struct("n", line.alias("l"))))).alias("l"))
-    every = pairs.select(*by).distinct().join(got, list(by), "left")
-    head = F.concat(F.lit(LABELS.get(mode, "Разделов") + ": "), F.coalesce("m", F.lit(0)).cast("string"), F.lit("."))
-    return every.select(*by, F.concat_ws("\n", head, F.nullif(F.array_join("l.l", "\n"), F.lit(""))).alias("answer"))
+    got = chosen.groupBy(*by, "mode").agg(F.count("*").alias("m"), F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.struct("n", line.alias("l"))))).alias("l"))
+    label = F.coalesce(F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))[F.col("mode")], F.lit("Разделов"))
+    head = F.concat(label, F.lit(": "), F.coalesce("m", F.lit(0)).cast("string"), F.lit("."))
+    return modes.join(got, [*by, "mode"], "left").select(*by, "mode", F.concat_ws("\n", head, F.nullif(F.array_join("l.l", "\n"), F.lit(""))).alias("answer"))
 
 
 def compare_json(compared: DataFrame, meta: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -180,8 +195,38 @@ def compare_json(compared: DataFrame, meta: DataFrame, by: tuple[str, ...] = ("d
     return whole.join(summary, list(by)).join(named, list(by), "left").select(*by, F.to_json(F.struct("documents", "summary", "sections"), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def report_html(rows: DataFrame, title: str) -> DataFrame:
-    """(html): a two-pane report of diffed rows (position, section_title, left_html, right_html, change_type)."""
-    row = F.concat(F.lit("<tr class='"), "change_type", F.lit("'><th colspan='2'>"), "section_title", F.lit("</th></tr><tr><td>"), "left_html", F.lit("</td><td>"), "right_html", F.lit("</td></tr>"))
-    got = rows.agg(F.array_sort(F.collect_list(F.struct("position", row.alias("r")))).alias("r"))
-    return got.select(F.concat(F.lit(f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><table>"), F.array_join("r.r", ""), F.lit("</table></body></html>")).alias("html"))
+def report_html(compared: DataFrame, title: str = "Document Compare", by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(by, html): a two-pane report of each comparison (position, section_title, changed, left_html, right_html)."""
+    mark = F.when(F.col("changed"), "changed").otherwise("same")
+    row = F.concat(F.lit("<tr class='"), mark, F.lit("'><th colspan='2'>"), html_escape(F.coalesce("section_title", F.lit(""))), F.lit(" <span class='badge'>"), mark, F.lit("</span></th></tr><tr><td>"), F.coalesce("left_html", F.lit("")), F.lit("</td><td>"), F.coalesce("right_html", F.lit("")), F.lit("</td></tr>"))
+    got = compared.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("position", row.alias("r")))).alias("r"))
+    head = f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><table><tr><th>Левый документ</th><th>Правый документ</th></tr>"
+    return got.select(*by, F.concat(F.lit(head), F.array_join("r.r", ""), F.lit("</table></body></html>")).alias("html"))
+
+
+def compare_questions(sections: DataFrame, documents: DataFrame, asked: DataFrame, models: Models = Models(), answers: Answers | None = None) -> DataFrame:
+    """(query_id, left_doc_id, right_doc_id, mode, context, answer, answer_source, error) of questions (query_id, left_doc_id, right_doc_id, text).
+
+    ``sections``: doc_id, section_id, section_title, page_content of stored bundles; ``documents``: doc_id, document_name, version.
+    Each pair of documents is compared once, whatever asks for it; the mode is what a question's words ask for. The
+    model's answer, asked once for each context and question, else the list of changes. A document without a bundle makes ``error``.
+    """
+    by = ("left_doc_id", "right_doc_id")
+    rows = asked.select("query_id", *by, strip(F.coalesce("text", F.lit(""))).alias("text")).withColumn("mode", compare_mode(F.col("text")))
+    rows = rows.withColumn("question", F.coalesce(F.nullif("text", F.lit("")), F.lit(OPEN_QUESTION)))
+    have = sections.select(F.col("doc_id").alias("_d")).distinct()
+    for side in by:
+        rows = rows.join(have.withColumn(f"_{side}", F.lit(True)), F.col(side) == F.col("_d"), "left").drop("_d")
+    absent = [F.when(F.col(f"_{side}").isNull(), F.concat(F.lit(NO_BUNDLE), F.coalesce(F.col(side).cast("string"), F.lit("None")))) for side in by]
+    rows = save(rows.withColumn("error", F.coalesce(*absent)).drop(*(f"_{side}" for side in by)), "compare-asked")
+    pairs, named = rows.where("error is null").select(*by).distinct(), documents.dropDuplicates(["doc_id"])
+    sides = [pairs.join(sections.withColumnRenamed("doc_id", side), side).select(*by, "section_id", "section_title", "page_content") for side in by]
+    compared = save(compared_sections(*sides, by).drop("_left", "_right"), "compared")
+    meta = pairs
+    for side, name in zip(by, ("left", "right"), strict=True):
+        meta = meta.join(named.select(F.col("doc_id").alias(side), F.col("document_name").alias(f"{name}_document_name"), F.col("version").alias(f"{name}_version")), side, "left")
+    modes = rows.select(*by, "mode").distinct()
+    told = rows.join(compare_context(compared, meta, modes, by=by), [*by, "mode"], "left").join(change_list(compared, modes, by=by).withColumnRenamed("answer", "listed"), [*by, "mode"], "left")
+    made = (answers or Answers(asked.sparkSession)).once(told, "compare", {"context": F.col("context"), "question": F.col("question")}, models.compare)
+    source = F.when(F.col("error").isNotNull(), None).when(F.col("compare").isNotNull(), "llm").otherwise("fallback")
+    return made.select("query_id", *by, "mode", "context", F.coalesce(strip(F.col("compare")), "listed").alias("answer"), source.alias("answer_source"), "error")

@@ -23,7 +23,8 @@ class Models:
 
     What models say is their raw text, taken apart here: ``variants`` (query) and ``plan`` (outline, query) answer with a
     JSON object, ``decompose`` (query) with a line for each part, ``order`` (query, numbered texts) with the numbers of the best.
-    ``rerank`` (query, text) is a score, ``embed`` (text) a vector, ``answer`` is of (context, query, mode).
+    ``rerank`` (query, text) is a score, ``embed`` (text) a vector, ``answer`` is of
+    (context, query, mode), ``compare`` of (context, question).
     """
 
     summarise: Callable[[Column, Column], Column] | None = None
@@ -35,6 +36,7 @@ class Models:
     embed: Callable[[Column], Column] | None = None
     decompose: Callable[[Column], Column] | None = None
     plan: Callable[[Column, Column], Column] | None = None
+    compare: Callable[[Column, Column], Column] | None = None
 
 
 def said_lists(raw: Column, names: tuple[str, ...]) -> Column:

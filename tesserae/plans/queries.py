@@ -603,7 +603,10 @@ def compare_html(spark, sf):
     return cmp.compare_documents(*_sides(spark, sf)).select("doc_id", "position", "section_title", "changed", "change_type", "left_html", "right_html")
 
 
-@query(f"""WITH {_PAIRS}, ld AS (SELECT doc_id, section_id, {DISPLAY_SQL} AS shown FROM l0), rd AS (SELECT doc_id, section_id, {DISPLAY_SQL} AS shown FROM r0)
+_SHOWN = f"ld AS (SELECT doc_id, section_id, {DISPLAY_SQL} AS shown FROM l0), rd AS (SELECT doc_id, section_id, {DISPLAY_SQL} AS shown FROM r0)"
+
+
+@query(f"""WITH {_PAIRS}, {_SHOWN}
 SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY ls NULLS LAST, rs) AS position, section_title, changed, change_type, COALESCE(ld.shown, '') AS left_text, COALESCE(rd.shown, '') AS right_text
 FROM pr p LEFT JOIN ld ON ld.doc_id = p.doc_id AND ld.section_id = ls LEFT JOIN rd ON rd.doc_id = p.doc_id AND rd.section_id = rs""")
 def compare_documents(spark, sf):
@@ -614,10 +617,10 @@ def compare_documents(spark, sf):
 SELECT d.doc_id, 'Измененных разделов: ' || COUNT(n) || '.' || COALESCE(chr(10) || string_agg('- ' || CASE change_type WHEN 'added' THEN 'Добавлено' WHEN 'removed' THEN 'Удалено' ELSE 'Изменено' END || ': ' || section_title, chr(10) ORDER BY n) FILTER (WHERE n <= 8), '') AS answer
 FROM (SELECT DISTINCT doc_id FROM pr) d LEFT JOIN ch ON ch.doc_id = d.doc_id GROUP BY 1""")
 def change_list(spark, sf):
-    return cmp.change_list(_pairs(spark, sf))
+    return cmp.change_list(_pairs(spark, sf)).select("doc_id", "answer")
 
 
-@query(f"""WITH {_PAIRS}, full_ AS (SELECT p.*, l.text AS lt, r.text AS rt, row_number() OVER (PARTITION BY p.doc_id ORDER BY ls NULLS LAST, rs) AS pos FROM pr p LEFT JOIN l ON l.doc_id = p.doc_id AND l.section_id = ls LEFT JOIN r ON r.doc_id = p.doc_id AND r.section_id = rs),
+@query(f"""WITH {_PAIRS}, {_SHOWN}, full_ AS (SELECT p.*, l.shown AS lt, r.shown AS rt, row_number() OVER (PARTITION BY p.doc_id ORDER BY ls NULLS LAST, rs) AS pos FROM pr p LEFT JOIN ld l ON l.doc_id = p.doc_id AND l.section_id = ls LEFT JOIN rd r ON r.doc_id = p.doc_id AND r.section_id = rs),
  ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM full_ WHERE changed),
  bl AS (SELECT doc_id, n, 'SECTION ' || n || ': ' || section_title || chr(10) || 'LEFT:' || chr(10) || COALESCE(NULLIF(regexp_replace(substr(COALESCE(lt, ''), 1, 2200), '^\\s+|\\s+$', '', 'g'), ''), '[absent]') || chr(10) || 'RIGHT:' || chr(10) || COALESCE(NULLIF(regexp_replace(substr(COALESCE(rt, ''), 1, 2200), '^\\s+|\\s+$', '', 'g'), ''), '[absent]') || chr(10) AS b FROM ch),
  bo AS (SELECT doc_id, string_agg(b, chr(10) ORDER BY n) FILTER (WHERE n <= 12) AS b, COUNT(*) AS m FROM bl GROUP BY 1),
@@ -626,7 +629,22 @@ SELECT c.doc_id, md5(regexp_replace(concat_ws(chr(10), 'META:', 'left_document_n
 FROM co c JOIN documents d ON d.doc_id = c.doc_id LEFT JOIN bo ON bo.doc_id = c.doc_id""")
 def compare_context(spark, sf):
     meta = table(spark, sf, "documents").select("doc_id", F.col("source").alias("left_document_name"), F.lit("a").alias("left_version"), F.col("source").alias("right_document_name"), F.lit("b").alias("right_version"))
-    return cmp.compare_context(_pairs(spark, sf), meta).select("doc_id", F.md5("context").alias("context"))
+    return cmp.compare_context(cmp.compared_sections(*_sides(spark, sf)), meta).select("doc_id", F.md5("context").alias("context"))
+
+
+@query(f"""WITH {_PAIRS}, q AS (SELECT conv_id * 1000 + turn AS query_id, conv_id AS doc_id, CASE (conv_id + turn) % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'changed' ELSE 'all' END AS mode FROM conversations WHERE role = 'user'),
+ ch AS (SELECT q.query_id, mode, change_type, section_title, row_number() OVER (PARTITION BY query_id ORDER BY ls NULLS LAST, rs) AS n FROM q JOIN pr USING (doc_id) WHERE changed AND (mode = 'all' OR mode = change_type))
+SELECT q.query_id, q.mode, CASE WHEN d.doc_id IS NULL THEN NULL ELSE CASE q.mode WHEN 'added' THEN 'Добавленных разделов' WHEN 'removed' THEN 'Удаленных разделов' ELSE 'Измененных разделов' END || ': ' || COUNT(n) || '.' || COALESCE(chr(10) || string_agg('- ' || CASE change_type WHEN 'added' THEN 'Добавлено' WHEN 'removed' THEN 'Удалено' ELSE 'Изменено' END || ': ' || section_title, chr(10) ORDER BY n) FILTER (WHERE n <= 8), '') END AS answer, d.doc_id IS NULL AS absent
+FROM q LEFT JOIN (SELECT DISTINCT doc_id FROM l0) d ON d.doc_id = q.doc_id LEFT JOIN ch ON ch.query_id = q.query_id GROUP BY q.query_id, q.mode, d.doc_id""")
+def compare_questions(spark, sf):
+    """A question of each user turn on what changed in a document, in four ways, or on one that is not there."""
+    left, right = _sides(spark, sf)
+    right = right.withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    said = F.when(k == 0, F.concat(F.lit("Что добавлено? "), "text")).when(k == 1, "Show only REMOVED parts").when(k == 2, " что изменилось? ").otherwise("")
+    asked = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("conv_id").alias("left_doc_id"), (F.col("conv_id") + 1_000_000_000).alias("right_doc_id"), said.alias("text"))
+    names = left.select("doc_id", F.lit("d").alias("document_name"), F.lit("1").alias("version")).distinct()
+    return cmp.compare_questions(left.unionByName(right), names, asked).select("query_id", "mode", "answer", F.col("error").isNotNull().alias("absent"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
