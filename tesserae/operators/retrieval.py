@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,16 +87,65 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+#: Vectors and queries of a block, queries of a matrix product.
+VECTOR_BLOCK, QUERY_BLOCK, AT_ONCE = 1 << 16, 1 << 13, 256
+
+
+def _block_best(k: int, key: str):
+    """Arrow tables of a block of vectors (key, embedding) and one of queries (query_id, _q) to the k best pairs of each query."""
+    def widths(column: pa.ChunkedArray) -> np.ndarray:
+        return pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+
+    def matrix(column: pa.ChunkedArray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows ``at``, of one width, as unit vectors, and which they are: zero and non-finite ones take no part."""
+        flat = pc.list_flatten(column.take(pa.array(at))).cast(pa.float64()).to_numpy().reshape(len(at), -1)
+        norm = np.sqrt((flat * flat).sum(1))
+        fine = np.isfinite(norm) & (norm > 0)
+        return flat[fine] / norm[fine, None], at[fine]
+
+    def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        rows, cols, scores = [], [], []
+        v_width, q_width = widths(vectors.column("embedding")), widths(queries.column("_q"))
+        for width in np.intersect1d(v_width[v_width > 0], q_width):
+            v, v_at = matrix(vectors.column("embedding"), np.flatnonzero(v_width == width))
+            q, q_at = matrix(queries.column("_q"), np.flatnonzero(q_width == width))
+            names = np.array(vectors.column(key).take(pa.array(v_at)).to_pylist())
+            for start in range(0, len(q) if len(v) else 0, AT_ONCE):
+                score = np.round(q[start : start + AT_ONCE] @ v.T, 9)
+                last = np.partition(score, len(v) - min(k, len(v)), axis=1)[:, len(v) - min(k, len(v))]
+                for i, (s, least) in enumerate(zip(score, last, strict=True)):
+                    at = np.flatnonzero(s >= least)  # ties of the last one too
+                    at = at[np.lexsort((names[at], -s[at]))][:k]
+                    rows += [q_at[start + i]] * len(at)
+                    cols += v_at[at].tolist()
+                    scores += s[at].tolist()
+        return pa.table({"query_id": queries.column("query_id").take(pa.array(rows, pa.int64())), key: vectors.column(key).take(pa.array(cols, pa.int64())), "score": pa.array(scores, pa.float64())})
+
+    return best
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT.dense_k, key: str = "vec_id", within: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, rank, key, score): the k most similar vectors (cosine) of a stated query set (query_id, embedding[, within]).
 
-    Exact: the small query side goes to the vectors' tasks; only k rows a query leave each of them.
+    Exact. Every block of vectors meets every block of queries as a matrix product in a task of bounded memory, which keeps k
+    rows a query; those are merged. So vectors are dealt once for each QUERY_BLOCK queries. With ``within`` (small groups:
+    a document's chunks) vectors are joined to the queries of their group. Null, zero and non-finite vectors take no part.
     """
     asked = queries.select("query_id", F.col("embedding").alias("_q"), *within)
-    pairs = vectors.join(small(asked), list(within)) if within else vectors.crossJoin(small(asked))
-    size = F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("_q"), F.col("_q")))
-    scored = pairs.select("query_id", key, F.round(dot(F.col("embedding"), F.col("_q")) / size, 9).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    if within:
+        length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+        left = vectors.select(key, "embedding", *within, length("embedding").alias("_vn")).where("_vn > 0 and _vn < double('infinity')")
+        right = asked.withColumn("_qn", length("_q")).where("_qn > 0 and _qn < double('infinity')")
+        scored = left.join(right, list(within)).select("query_id", key, F.round(dot(F.col("embedding"), F.col("_q")) / (F.col("_vn") * F.col("_qn")), 9).alias("score"))
+    else:
+        blocks = lambda df, each: max(1, -(-df.count() // each))
+        n, m = blocks(vectors, VECTOR_BLOCK), blocks(asked, QUERY_BLOCK)
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
+        left = vectors.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("_b"), every(m).alias("_c"))
+        right = asked.select("query_id", "_q", every(n).alias("_b"), F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("_c"))
+        kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
+        scored = left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInArrow(_block_best(k, key), kinds)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
