@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import preprocess_text
+from ..functions.text import document_id, preprocess_text, safe_document_name
 from ..operators import catalog as c
 from ..operators import index as ix
 from ..operators import models as m
+from ..operators.compare import compare_questions
 from ..operators.sections import chunk_sections
 from ..operators.stages import Answers
+from ..sources.files import documents_of
+from ..sources.landing import store_originals, write_files
 from ..storage import Tables, save
 from .ask import Corpus, across_corpus, ask_corpus, index_documents
 
@@ -64,6 +67,45 @@ class Library:
             made["summary_vectors"] = self._embedded(sections, "section_id", F.col("summary"))
         return self.tables.commit(made, {"errors": good.select("doc_id"), **({} if self.models.embed else {"vectors": good.select("doc_id"), "summary_vectors": good.select("doc_id")})}, at)
 
+    def ingest_folder(self, path: str, folder: str = "", version: str = "1", originals: str | None = None) -> int:
+        """``ingest`` of all accepted files below ``path``; with ``originals`` each is copied there and named in the catalogue."""
+        return self._ingest_files(self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), folder, version, originals)
+
+    def _ingest_files(self, files: DataFrame, folder: str, version: str, originals: str | None = None) -> int:
+        rows = document_rows(documents_of(files), folder, version)
+        if originals:
+            kept = save(store_originals(files.join(rows.select("doc_id", F.col("source").alias("path")), "path"), originals), "originals")
+            rows = rows.drop("stored_source_path").join(kept.where("error is null").select(F.col("path").alias("source"), F.col("target").alias("stored_source_path")), "source", "left")
+        return self.ingest(rows)
+
+    def watch(self, path: str, checkpoint: str, folder: str = "", version: str = "1"):
+        """A stream that ingests new files of a folder, a commit a batch; a batch that is run again puts the same rows."""
+        schema = "path string, modificationTime timestamp, length long, content binary"
+        files = self.spark.readStream.format("binaryFile").schema(schema).load(path)
+        return files.writeStream.foreachBatch(lambda df, _: None if df.isEmpty() else self._ingest_files(df, folder, version)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def bundles(self, ids: DataFrame | None = None) -> DataFrame:
+        """(doc_id, bundle): each document with its sections, summaries and chunks as one JSON object."""
+        at = self.tables.version()
+        whole = self.read("catalog", ids, at)
+        for name, order, text in (("sections", "section_id", "page_content"), ("summaries", "section_id", "summary"), ("chunks", "chunk_id", "text")):
+            rows = self.read("sections" if name == "summaries" else name, ids, at)
+            own = [F.col(x) for x in ("section_id", "section_title", "source", *(("chunk_id", "start_index") if name == "chunks" else ()))]
+            item = F.struct(F.col(order).alias("_o"), F.struct(F.col(text).alias("page_content"), F.struct("doc_id", *own).alias("metadata")).alias("i"))
+            whole = whole.join(rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(item))["i"].alias(name)), "doc_id", "left")
+        return whole.select("doc_id", F.to_json(F.struct(*whole.columns), {"ignoreNullFields": "false"}).alias("bundle"))
+
+    def export_bundles(self, folder: str, ids: DataFrame | None = None) -> DataFrame:
+        """(path, target, bytes, sha256, error): the bundles as files ``<doc_id>.json`` below ``folder``, written by the tasks."""
+        rows = self.bundles(ids).select(F.col("doc_id").alias("path"), F.concat(F.lit(folder.rstrip("/") + "/"), "doc_id", F.lit(".json")).alias("target"), F.col("bundle").cast("binary").alias("content"))
+        return save(write_files(rows), "bundles")
+
+    def compare(self, questions: DataFrame) -> DataFrame:
+        """``compare_questions`` (query_id, left_doc_id, right_doc_id, text) on stored documents."""
+        ids = save(questions.select(F.explode(F.array("left_doc_id", "right_doc_id")).alias("doc_id")).distinct(), "asked")
+        at = self.tables.version()
+        return compare_questions(self.read("sections", ids, at), self.read("catalog", ids, at), questions, self.models, self.answers)
+
     def _embedded(self, rows: DataFrame, key: str, text: Column) -> DataFrame:
         return self.answers.once(rows.select("doc_id", key, text.alias("_t")), "embedding", {"text": F.col("_t")}, self.models.embed, "array<float>").where("embedding is not null").drop("_t")
 
@@ -97,6 +139,12 @@ class Library:
         return across_corpus(self.corpus(ids), questions, self.models, self.config, self.texts(ids), self.answers)
 
 
+def document_rows(read: DataFrame, folder: str = "", version: str = "1") -> DataFrame:
+    """Catalogue columns and error of files read (``sources.files``): the id is that of folder, name and version."""
+    name = safe_document_name(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1))
+    return read.select(document_id(F.lit(folder), name, F.lit(version)).alias("doc_id"), F.col("path").alias("source"), name.alias("document_name"), F.lit(version).alias("version"), F.lit(folder).alias("document_folder"), "source_type", F.regexp_extract("path", r"([^/]+)$", 1).alias("original_filename"), F.lit(None).cast("string").alias("stored_source_path"), "raw_text", F.col("modificationTime").alias("updated_at"), "error")
+
+
 def joined_chunks(chunks: DataFrame) -> DataFrame:
     """(doc_id, text) of chunks (doc_id, chunk_id, text): each document's in order, a blank line between."""
     whole = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("c"))

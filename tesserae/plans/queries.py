@@ -479,17 +479,25 @@ def quote_absent(spark, sf):
 
 @query(f"""WITH {LINES}, q AS (SELECT doc_id, chunk_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS k FROM lines WHERE chunk_id > 0 AND length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 60),
  f AS (SELECT q.doc_id, d.text AS raw, instr(lower(d.text), lower(substr(q.text, 1, 60))) AS at_ FROM q JOIN documents d ON d.doc_id = q.doc_id WHERE k = 1 AND q.text = trim(regexp_replace(q.text, '\\s+', ' ', 'g')))
-SELECT doc_id, md5(regexp_replace(substr(raw, at_, 4500), '^\\s+|\\s+$', '', 'g')) AS passage FROM f WHERE NOT regexp_matches(substr(raw, at_ + 1), '\\n\\s*[0-9]+\\.\\s')""")
+SELECT doc_id, md5(regexp_replace(CASE WHEN regexp_matches(substr(raw, at_ + 1), '\\n\\s*[0-9]+\\.\\s') THEN substr(raw, at_, 1) || regexp_extract(substr(raw, at_ + 1), '(?s)^(.*?)\\n\\s*[0-9]+\\.\\s', 1) ELSE substr(raw, at_, 4500) END, '^\\s+|\\s+$', '', 'g')) AS passage FROM f""")
 def quote_passage(spark, sf):
-    """The first longer line of each document, its start in capitals, as a quote: the passage that begins there."""
+    """The first longer line of each document, its start in capitals, as a quote: the passage that begins there, up to a numbered item."""
     rows = lines_of(table(spark, sf, "documents")).where("chunk_id > 0")
     flat = t.collapse(F.col("text"))
     first = rows.where(F.length(flat) >= 60).groupBy("doc_id").agg(F.min(F.struct("chunk_id", "text")).alias("l")).where(F.col("l.text") == t.collapse(F.col("l.text")))
     both = first.join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw")), "doc_id")
-    made = both.select("doc_id", "raw", m.quoted(F.col("raw"), F.translate(F.substring("l.text", 1, 60), "abcdefghijklmnop", "ABCDEFGHIJKLMNOP")).alias("passage"), F.col("l.text").alias("line"))
-    at = F.expr("instr(lower(raw), lower(substr(line, 1, 60)))")
-    plain = made.withColumn("rest", F.expr("substr(raw, instr(lower(raw), lower(substr(line, 1, 60))) + 1)")).where(~F.col("rest").rlike(r"\n\s*[0-9]+\.\s") & (at > 0))
-    return plain.select("doc_id", F.md5("passage").alias("passage"))
+    made = m.quoted(F.col("raw"), F.translate(F.substring("l.text", 1, 60), "abcdefghijklmnop", "ABCDEFGHIJKLMNOP"))
+    return both.select("doc_id", F.md5(made).alias("passage"))
+
+
+@query(f"""WITH {LINES}, n AS (SELECT doc_id, chunk_id + 1 AS k, (chunk_id + 1) || '. ' || text AS line, COUNT(*) OVER (PARTITION BY doc_id) AS m FROM lines), q AS (SELECT * FROM n WHERE length(trim(regexp_replace(line, '\\s+', ' ', 'g'))) >= 40)
+SELECT doc_id, CAST(k AS BIGINT) AS point_no, md5(regexp_replace(CASE WHEN k < m THEN line ELSE substr(line, 1, 4500) END, '^\\s+|\\s+$', '', 'g')) AS passage FROM q""")
+def quote_points(spark, sf):
+    """Every longer line of each document as a numbered point, and as a quote: the point itself, up to the next number."""
+    docs = table(spark, sf, "documents").where("text is not null")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
+    each = docs.select("doc_id", F.array_join(lines, "\n").alias("raw"), F.posexplode(lines).alias("i", "line")).where(F.length(t.collapse(F.col("line"))) >= 40)
+    return each.select("doc_id", (F.col("i") + 1).cast("long").alias("point_no"), F.md5(m.quoted(F.col("raw"), F.col("line"))).alias("passage"))
 
 
 # Routing and dates --------------------------------------------------------------------------------------------------
@@ -504,11 +512,17 @@ def route_queries(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", r.route(q).alias("route"), d.asks_for_dates(q).alias("dates"))
 
 
-@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'changed' ELSE 'all' END AS mode FROM nation""")
+_ASKED = {0: "Что добавлено в раздел? ", 1: "Show only REMOVED parts ", 2: " что изменилось? ", 3: ""}
+_MODES = " ".join(f"WHEN {' OR '.join(f'contains(q, $${w}$$)' for w in words)} THEN '{mode}'" for mode, words in (("added", r.ADDED), ("removed", r.REMOVED), ("changed", r.CHANGED)))
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, lower(trim(CASE turn % 4 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _ASKED.items())} END || text)) AS q FROM conversations)
+SELECT conv_id, turn, CASE {_MODES} ELSE 'all' END AS mode FROM x WHERE q IS NOT NULL""")
 def compare_modes(spark, sf):
-    k = F.col("n_nationkey") % 4
-    said = F.when(k == 0, "Что добавлено в раздел?").when(k == 1, "Show only REMOVED parts").when(k == 2, " что изменилось? ").otherwise("Сравни версии")
-    return table(spark, sf, "nation").select("n_nationkey", r.compare_mode(said).alias("mode"))
+    """The turns of all conversations, three of four after a question on one kind of change."""
+    k = F.col("turn") % 4
+    said = F.concat(F.when(k == 0, _ASKED[0]).when(k == 1, _ASKED[1]).when(k == 2, _ASKED[2]).otherwise(_ASKED[3]), "text")
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", r.compare_mode(said).alias("mode"))
 
 
 def _dated(spark, sf) -> DataFrame:

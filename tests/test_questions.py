@@ -224,3 +224,27 @@ def test_text_from_chunks(spark, tmp_path):
     library.ingest(spark.createDataFrame([("d1", DOCS[0][1])], "doc_id string, raw_text string"))
     library.tables.commit({"catalog": library.read("catalog").withColumn("raw_text", F.lit(None).cast("string"))})
     assert library.texts(spark.createDataFrame([("d1",)], "doc_id string")).first().text == f"# Money\n{MONEY}\n\n# Other\n{OTHER}"
+
+
+def test_files_into_the_library(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text(DOCS[0][1])
+    (tmp_path / "in" / "bad.docx").write_text("no archive")
+    (tmp_path / "in" / "no.exe").write_text("x")
+    library = Library(spark, f"file://{tmp_path}/l", buckets=4)
+    library.ingest_folder(f"file://{tmp_path}/in", "F", originals=f"file://{tmp_path}/kept")
+    row = library.read("catalog").first()
+    assert (row.document_name, row.document_folder, row.source_type, row.original_filename) == ("a", "F", "md", "a.md")
+    assert row.stored_source_path == f"file://{tmp_path}/kept/{row.doc_id}.md" and (tmp_path / "kept" / f"{row.doc_id}.md").read_text() == DOCS[0][1]
+    assert "BadZipFile" in library.read("errors").first().error
+    (tmp_path / "in" / "b.md").write_text(DOCS[1][1])
+    library.watch(f"file://{tmp_path}/in", f"file://{tmp_path}/checkpoint", "F").awaitTermination()
+    assert sorted(r.document_name for r in library.read("catalog").collect()) == ["a", "b"] and library.read("sections").count() == 3
+    ids = {r.document_name: r.doc_id for r in library.read("catalog").collect()}
+    library.export_bundles(f"file://{tmp_path}/bundles")
+    bundle = json.loads((tmp_path / "bundles" / f"{ids['a']}.json").read_text())
+    assert bundle["raw_text"] == DOCS[0][1] and [x["metadata"]["section_title"] for x in bundle["sections"]] == ["Money", "Other"] == [x["metadata"]["section_title"] for x in bundle["chunks"]]
+    assert bundle["summaries"][0]["page_content"].startswith("# Money") and bundle["chunks"][1]["metadata"]["chunk_id"] == 1
+    asked = spark.createDataFrame([(1, ids["a"], ids["b"], "что изменилось"), (2, ids["a"], "none", "x")], "query_id int, left_doc_id string, right_doc_id string, text string")
+    got = {r.query_id: r for r in library.compare(asked).collect()}
+    assert got[1].answer == "Измененных разделов: 0." and got[1].context.startswith("META:\nleft_document_name=a") and got[2].error
