@@ -26,8 +26,8 @@ from .common import arrow_limits, save
 K, TREES, CELL, ROUNDS, OFFERS, STILL = 32, 5, 256, 6, 4, 0.02
 #: Tasks that the rows of a crowded cell are dealt to; with CELL rows in a cell, its sizes are less than the rows.
 SPREAD = 64
-#: Nodes kept and expanded for a query, rounds of the search, entries for a query that is no node, members kept of a class.
-BEAM, EXPAND, STEPS, ENTRIES = 192, 64, 8, 256
+#: Nodes kept and expanded for a query, entries for a query that is no node, members kept of a class.
+BEAM, EXPAND, ENTRIES = 192, 64, 256
 EDGE = "u long, v long, d double, fresh boolean"
 
 
@@ -140,8 +140,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from offers(pa.Table.from_batches(held).combine_chunks())
 
 
-def build(nodes: DataFrame, dims: int, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph (u, v, d, fresh): about the K nearest v of each node u of (id, code)."""
+def build(nodes: DataFrame, dims: int, rounds: int | None = None) -> DataFrame:
+    """The neighbour graph (u, v, d, fresh): about the K nearest v of each node u of (id, code).
+
+    Ends when a round brings few new edges (STILL) or after ``rounds`` (ROUNDS): the graph is an approximation, and what a search
+    finds in it is measured by recall.
+    """
+    rounds = ROUNDS if rounds is None else rounds
     arrow_limits(nodes.sparkSession)
     n = nodes.count()
     found = [_cells(nodes, n, dims, t) for t in range(TREES)]
@@ -184,7 +189,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = B
 
     best = Window.partitionBy("query").orderBy("d", "v")
     held = save(measured(first).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= beam).drop("rank"), "beam")
-    for _ in range(STEPS):
+    while True:  # a step expands something of each query that has anything left, and what leaves a beam never comes back
         ranked = held.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("done", "d", "v")))
         marked = save(ranked.withColumn("now", ~F.col("done") & (F.col("rank") <= EXPAND)).drop("rank"), "beam")
         if marked.where("now").isEmpty():

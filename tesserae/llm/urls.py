@@ -18,7 +18,7 @@ from .common import discard, save
 
 #: Rules of the query: (verdict, rule), a rule being a host, then the start of the path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Restart probability, bounds of the iterations (CLOSE as a share of a score), margin of distrust (as a share of both scores), and rules that fit one expression.
+#: Restart probability, bounds of the iterations (CLOSE as a share of a score), margin of distrust (as a share of both scores), and rules up to which they are one expression.
 RESTART, ROUNDS, CLOSE, THRESHOLD, MOST_RULES = 0.15, 100, 1e-4, 0.05, 1000
 #: Rounds of a table that is written.
 AT_ONCE = 5
@@ -42,9 +42,13 @@ def with_host(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def ruled(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """Adds rule and rule_verdict of the longest rule that fits host and path (null: none); equally long: the first given."""
+    """Adds rule and rule_verdict of the longest rule that fits host and path (null: none); equally long: the first given.
+
+    Up to MOST_RULES are one expression; more are a table (``ruled_by_table``), with the same result.
+    """
     if len(rules) > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} rules")
+        table = pages.sparkSession.createDataFrame([(i, k, r) for i, (k, r) in enumerate(rules)], "no int, verdict string, rule string")
+        return ruled_by_table(pages, table)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for kind, r in sorted(reversed(rules), key=lambda x: len(x[1])):
         host, slash, path = r.partition("/")
@@ -53,6 +57,26 @@ def ruled(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
     return pages.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
+def ruled_by_table(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """``ruled`` by any number of rules (no, verdict, rule), by joins on equal keys.
+
+    A rule is keyed by its host and its whole path; a page of a distinct (host, path) by each suffix of its host with each
+    beginning of its path that has the length of some rule's path. So a host with many rules makes no pairs with its pages.
+    """
+    keyed = rules.select("no", "verdict", "rule", F.substring_index("rule", "/", 1).alias("_host"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)").alias("_path"))
+    keyed = keyed.withColumn("_path", F.when(F.col("_path") == "", F.lit("/")).otherwise(F.col("_path")))
+    lengths = sorted(r[0] for r in keyed.select(F.length("_path")).distinct().collect())  # at most the length of the longest rule
+    first = keyed.groupBy("_host", "_path").agg(F.min_by(F.struct("rule", "verdict"), "no").alias("found"), F.min("no").alias("no"))
+    urls = pages.select("host", "path").where("host is not null and path is not null").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    starts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
+    keys = urls.select("host", "path", suffixes.alias("_host")).withColumn("_n", F.explode(starts)).withColumn("_path", F.expr("substring(path, 1, _n)"))
+    longest = F.max_by("found", F.struct(F.length("found.rule"), -F.col("no")))
+    best = keys.join(first, ["_host", "_path"]).groupBy("host", "path").agg(longest.alias("_found"))
+    return pages.join(best, ["host", "path"], "left").select(*pages.columns, F.col("_found.rule").alias("rule"), F.col("_found.verdict").alias("rule_verdict"))
+
+
 def node(host: Column) -> Column:
     """A host without user and port."""
     return lower_ascii(F.regexp_replace(host, r"^[^@]*@|:\d*$", ""))
