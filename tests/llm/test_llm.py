@@ -695,7 +695,7 @@ def test_substrings(spark, length, pairs):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels", "pages"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     cur = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in cur.description]
