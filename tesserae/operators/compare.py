@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.routing import compare_mode
-from ..functions.text import html_escape, let, normalize_display_text, normalize_text, strip
+from ..functions.text import html_escape, let, normalize_display_text, normalize_text, paragraphs_html, strip
 from ..storage import save
 from .models import Models
 from .sections import numbered_points
@@ -42,12 +42,17 @@ def pair_sections(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ()) -
     return both.withColumn("position", F.row_number().over(order)).drop("nth")
 
 
-def points(text: Column) -> Column:
-    """Numbered points of a text as an array (number, text) by number, the last of equal ones; empty with fewer than two."""
+def _numbered(text: Column) -> Column:
+    """Array (no, i, text) of a text's numbered parts in their order; empty with fewer than two."""
     marked = F.regexp_replace(text, r"(?md)^\s*(\d+)\.\s", "\u0001$0")
     parts = F.transform(F.slice(F.split(marked, "\u0001"), 2, 1 << 30), lambda p, i: F.struct(F.regexp_extract(p, r"(\d+)\.", 1).alias("no"), i.alias("i"), strip(p).alias("text")))
-    last = let(F.array_sort(parts), lambda by: F.filter(by, lambda p, i: F.coalesce(F.get(by, i + 1)["no"] != p["no"], F.lit(True))))
-    return F.when(F.size(parts) > 1, F.transform(last, lambda p: F.struct(p["no"], p["text"]))).otherwise(F.array().cast("array<struct<no:string,text:string>>"))
+    return let(parts, lambda found: F.when(F.size(found) > 1, found).otherwise(F.slice(found, 1, 0)))
+
+
+def points(text: Column) -> Column:
+    """Numbered points of a text as an array (number, text) by number, the last of equal ones; empty with fewer than two."""
+    last = let(F.array_sort(_numbered(text)), lambda by: F.filter(by, lambda p, i: F.coalesce(F.get(by, i + 1)["no"] != p["no"], F.lit(True))))
+    return F.transform(last, lambda p: F.struct(p["no"], p["text"]))
 
 
 def change_types(pairs: DataFrame) -> DataFrame:
@@ -79,9 +84,6 @@ def pair_points(pairs: DataFrame, keys: tuple[str, ...] = ("position",)) -> Data
     return both.withColumn("changed", changed).withColumn("ord", F.row_number().over(order)).drop("left_pos", "right_pos")
 
 
-MARK = re.compile(r"^\s*(\d+)\.\s", re.MULTILINE)
-
-
 def diff_html(left: str, right: str) -> tuple[str, str, bool]:
     """Both texts as HTML, by tokens: what only the left has is marked removed, what only the right has added."""
     if left == right:
@@ -96,37 +98,48 @@ def diff_html(left: str, right: str) -> tuple[str, str, bool]:
     return "".join(sides[0]), "".join(sides[1]), True
 
 
-def _paragraphs(text: str) -> str:
-    return "".join(f"<div class='paragraph'>{html.escape(p.strip())}</div>" for p in text.split("\n\n") if p.strip())
+@F.pandas_udf(T.StructType([T.StructField("left", T.StringType()), T.StructField("right", T.StringType())]))
+def diff_udf(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """``diff_html`` of each pair; null where a side is null."""
+    return pd.DataFrame([(None, None) if a is None or b is None else diff_html(a, b)[:2] for a, b in zip(left, right, strict=True)], columns=["left", "right"])
 
 
-def _points(text: str) -> dict[str, str]:
-    """Points by number in the order in which numbers come first; of equal numbers the last text. Fewer than two are none."""
-    at = [(m.start(), m[1]) for m in MARK.finditer(text)]
-    ends = [a for a, _ in at[1:]] + [len(text)]
-    return {n: text[a:b].strip() for (a, n), b in zip(at, ends, strict=True)} if len(at) > 1 else {}
+def _diffed(rows: DataFrame) -> DataFrame:
+    """Rows of left, right, left_shown and right_shown with their HTML as ``h``: differences by token, equal texts as displayed."""
+    differ = F.col("left") != F.col("right")
+    marked = rows.withColumn("h", diff_udf(F.when(differ, F.col("left")), F.when(differ, F.col("right"))))
+    same = F.struct(*(paragraphs_html(F.col(f"{s}_shown")).alias(s) for s in ("left", "right")))
+    return marked.withColumn("h", F.when(differ, F.col("h")).otherwise(same)).drop("left", "right", "left_shown", "right_shown")
 
 
-def structured_diff(left: str, right: str, left_shown: str, right_shown: str) -> tuple[str, str, bool]:
-    """Both sides as HTML: differences point by point where a side has points, else of the whole; unchanged parts as displayed."""
-    a, b = _points(left), _points(right)
-    if not a and not b:
-        return diff_html(left, right) if left != right else (_paragraphs(left_shown), _paragraphs(right_shown), False)
-    shown, out, any_changed = (_points(left_shown), _points(right_shown)), ([], []), False
-    for number in a | b:
-        texts = a.get(number, ""), b.get(number, "")
-        *bodies, changed = diff_html(*texts)
-        if not changed:
-            bodies = [_paragraphs(s.get(number, t)) for s, t in zip(shown, texts, strict=True)]
-        any_changed |= changed
-        for side, body in zip(out, bodies, strict=True):
-            side.append(f"<div class='point'><div class='point-label'>Пункт {number}</div><div class='point-body'>{body}</div></div>")
-    return "".join(out[0]), "".join(out[1]), any_changed
+def section_html(compared: DataFrame, keys: tuple[str, ...] = ("doc_id", "position")) -> DataFrame:
+    """(keys, left_html, right_html) of each row of ``compared_sections``.
 
-
-@F.pandas_udf(T.StructType([T.StructField("left_html", T.StringType()), T.StructField("right_html", T.StringType())]))
-def diff_udf(left: pd.Series, right: pd.Series, left_shown: pd.Series, right_shown: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([structured_diff(*(t or "" for t in row))[:2] for row in zip(left, right, left_shown, right_shown, strict=True)], columns=["left_html", "right_html"])
+    A section with numbered points on a side is taken apart first: a row a point, met with the point of its number (the
+    last of equal ones) on the other side and in the displayed texts; left order, then what only the right has. So only
+    changed points are compared by token, each on its own, and a long section is many rows for the tasks.
+    """
+    sides = {"left": "_left", "right": "_right", "left_shown": "left_text", "right_shown": "right_text"}
+    texts = compared.select(*keys, *(F.coalesce(F.col(c), F.lit("")).alias(s) for s, c in sides.items()))
+    texts = texts.withColumn("_parts", F.struct(*(_numbered(F.col(s)).alias(s) for s in sides)))
+    in_points = (F.size("_parts.left") > 0) | (F.size("_parts.right") > 0)
+
+    def of(side: str):
+        return lambda p: F.struct(F.lit(side).alias("side"), p["no"].alias("no"), p["i"].alias("i"), p["text"].alias("text"))
+
+    each = F.flatten(F.array(*(F.transform(f"_parts.{s}", of(s)) for s in sides)))
+    parts = texts.where(in_points).select(*keys, F.explode(each).alias("p")).select(*keys, "p.*")
+    met = parts.groupBy(*keys, "no").agg(
+        *(F.max_by(F.when(F.col("side") == s, F.col("text")), F.when(F.col("side") == s, F.col("i"))).alias(s) for s in sides),
+        *(F.min(F.when(F.col("side") == s, F.col("i"))).alias(f"{s}_i") for s in ("left", "right")),
+    ).where("left_i is not null or right_i is not null")
+    met = met.select(*keys, "no", "left_i", "right_i", *(F.coalesce(s, F.lit("")).alias(s) for s in ("left", "right")), *(F.coalesce(f"{s}_shown", s, F.lit("")).alias(f"{s}_shown") for s in ("left", "right")))
+    order = [F.col("left_i").isNull().alias("later"), F.coalesce("left_i", "right_i").alias("i")]
+    boxed = [F.concat(F.lit("<div class='point'><div class='point-label'>Пункт "), "no", F.lit("</div><div class='point-body'>"), F.col(f"h.{s}"), F.lit("</div></div>")).alias(s) for s in ("left", "right")]
+    found = _diffed(met).select(*keys, F.struct(*order, *boxed).alias("p")).groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("p"))
+    by_points = found.select(*keys, F.array_join("p.left", "").alias("left_html"), F.array_join("p.right", "").alias("right_html"))
+    whole = _diffed(texts.where(~in_points).drop("_parts")).select(*keys, F.col("h.left").alias("left_html"), F.col("h.right").alias("right_html"))
+    return whole.unionByName(by_points)
 
 
 def compared_sections(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -138,9 +151,12 @@ def compared_sections(left: DataFrame, right: DataFrame, by: tuple[str, ...] = (
 
 
 def compare_documents(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``compared_sections`` with the HTML of both sides. The diff has no JVM expression; it runs on Arrow batches."""
-    diffed = compared_sections(left, right, by).withColumn("h", diff_udf("_left", "_right", "left_text", "right_text"))
-    return diffed.select("*", "h.left_html", "h.right_html").drop("h", "_left", "_right")
+    """``compared_sections`` with the HTML of both sides. The token diff has no JVM expression; it runs on Arrow batches."""
+    compared = compared_sections(left, right, by)
+    keys = (*by, "position")
+    made = section_html(compared, keys).withColumnsRenamed({k: f"_{k}" for k in keys})
+    met = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return compared.drop("_left", "_right").join(made, met).drop(*(f"_{k}" for k in keys))
 
 
 def _moded(pairs: DataFrame, mode: str | DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:

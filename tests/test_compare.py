@@ -31,18 +31,63 @@ def test_html_of_all_sections_against_opcodes(spark):
     changed = 0
     for r in rows:
         a, b = r._left or "", r._right or ""
-        if any(len(re.findall(r"(?m)^\s*\d+\.\s", t)) > 1 for t in (a, b)):
-            continue
-        if a != b:
-            changed += 1
-            assert [r.left_html, r.right_html] == marked(a, b)
-        else:
-            text = lambda h: html.unescape(re.sub("<[^>]*>", "", h)).split()
-            assert text(r.left_html) == r.left_text.split() and text(r.right_html) == r.right_text.split()
-        assert r.changed == (a != b)
+        assert [r.left_html, r.right_html] == by_hand(a, b, r.left_text, r.right_text)
+        changed += r.changed
     assert changed > 100
 
 
+def by_hand(left, right, left_shown, right_shown):
+    """Both sides of a section, as plain loops: by points where a side has two or more, else whole."""
+    def cut(text):
+        at = [m.start() for m in re.finditer(r"(?m)^\s*\d+\.\s", text)]
+        return [(re.match(r"\s*(\d+)", text[i:])[1], text[i:j].strip()) for i, j in zip(at, [*at[1:], len(text)], strict=True)] if len(at) > 1 else []
+
+    def pair(a, b, shown):
+        if a != b:
+            return marked(a, b)
+        return ["".join(f"<div class='paragraph'>{html.escape(p.strip())}</div>" for p in t.split("\n\n") if p.strip()) for t in shown]
+
+    lists = [cut(t) for t in (left, right, left_shown, right_shown)]
+    if not lists[0] and not lists[1]:
+        return pair(left, right, (left_shown, right_shown))
+    numbers = []
+    for no, _ in lists[0] + lists[1]:
+        if no not in numbers:
+            numbers.append(no)
+    out = ["", ""]
+    for no in numbers:
+        a, b, c, d = (next((t for n, t in reversed(found) if n == no), None) for found in lists)
+        a, b = a or "", b or ""
+        bodies = pair(a, b, (a if c is None else c, b if d is None else d))
+        for side in (0, 1):
+            out[side] += f"<div class='point'><div class='point-label'>Пункт {no}</div><div class='point-body'>{bodies[side]}</div></div>"
+    return out
+
+
+def test_html_by_points_against_loops(spark):
+    sides = [
+        ("pre\n1. a - b\n2. b", "other\n1. a - b\n2. b c", "pre\n1. a-b\n2. b", "other\n1. a-b\n2. b c"), ("1. a\n2. b\n1. c", "1. c\n2. b", None, None),
+        ("1. a\n2. b\n1. c", "2. b\n1. c", "x", ""), ("plain <b>", "plain & x", None, None), ("1. a\n2. b", "text", None, None), ("1. only", "1. only", "1. only\n\n more ", ""),
+        (None, "new", None, "new"), ("1. a\n2. b", "1. a\n3. b\n0. z", "1. a", "7. q\n8. r"), ("", "", "", ""), (None, None, None, None),
+        ("10. x\n2. y\n 3. z \n", "3. z\n10. x\n2. y", "", ""), ("1. a\n\n2. b", "1. a\n\n2. b", "1. a\n\n2. b", "1. a\n\n2. b"),
+    ]
+    rows = [(None if i % 3 == 0 else "d", i, *s) for i, s in enumerate(sides)]
+    df = spark.createDataFrame(rows, "doc_id string, position int, _left string, _right string, left_text string, right_text string")
+    got = {r.position: [r.left_html, r.right_html] for r in compare.section_html(df).collect()}
+    assert got == {i: by_hand(*(t or "" for t in s)) for i, s in enumerate(sides)}
+    assert compare.section_html(df.limit(0)).count() == 0
+
+
+def test_one_long_section_is_many_rows(spark):
+    """A section of 4,000 points, of which three differ, is compared point by point."""
+    a = [f"{i}. word{i} tail" for i in range(4000)]
+    b = [x + (" new" if i in (0, 17, 3999) else "") for i, x in enumerate(a)]
+    df = spark.createDataFrame([("d", 1, "\n".join(a), "\n".join(b), "\n".join(a), "\n".join(b))], "doc_id string, position int, _left string, _right string, left_text string, right_text string")
+    r = compare.section_html(df).first()
+    assert r.left_html.count("<div class='point'>") == r.right_html.count("<div class='point'>") == 4000
+    assert r.right_html.count("diff-added") == 3 and "diff-removed" not in r.left_html and "17. word17 tail<span class='diff-added'> new</span>" in r.right_html
+
+
 def stored(spark):
     rows = [("a", 0, "One", "same text"), ("a", 1, "Two", "old words here"), ("a", 2, "Gone", "left only"), ("b", 0, "One", "same text"), ("b", 1, "Two", "new words here"), ("b", 2, "New <x>", "right only"), ("b", 3, "", "untitled – text")]
     return spark.createDataFrame(rows, SECTION), spark.createDataFrame([("a", "doc", "1"), ("b", "doc", "2")], "doc_id string, document_name string, version string")

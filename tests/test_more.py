@@ -28,11 +28,7 @@ def test_points_decide(spark):
     rows = [(i, "t", i, i, l, r) for i, (l, r) in enumerate(sides)]
     df = spark.createDataFrame(rows, "position int, section_title string, left_section_id int, right_section_id int, left_text string, right_text string")
     got = {r.position: r.changed for r in compare.change_types(df).collect()}
-    for i, (left, right) in enumerate(sides):
-        assert got[i] == compare.structured_diff(left or "", right or "", left or "", right or "")[2], i
     assert got == {0: False, 1: False, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}
-    shown = compare.structured_diff("1. a - b\n2. c", "1. a - b\n2. d", "1. a-b\n2. c", "1. a-b\n2. d")
-    assert shown[0].startswith("<div class='point'><div class='point-label'>Пункт 1</div><div class='point-body'><div class='paragraph'>1. a-b</div></div></div>")
 
 
 def test_lines(spark):
