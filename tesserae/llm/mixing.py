@@ -8,7 +8,8 @@ table is written in the order of its slots, so any stretch of it holds the sourc
 
 Positions in the streams are two-level prefix sums over (source, hash bucket), so a source of a third of all rows is
 many buckets; the hash is of id and text, so an id (or null) of many rows is many buckets too. Slots are dealt and
-ranked in chunks.
+ranked in chunks. Up to SOURCES sources are a list on the driver; more are a table: their targets by aggregations,
+their order and edges by prefix sums over ranges, their slots by a join of points and stretches on cells.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, arrow_limits, parts, raw, save, slices
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
-#: Words of a slot, rows of a bucket, slots of a chunk; the sources of a mix are a catalogue of at most so many.
-SLOT, BUCKET, CHUNK, SOURCES = 4096, 1024, 1 << 16, 100_000
+#: Words of a slot, rows of a bucket, slots of a chunk, sources held as a list, parts of a source where it meets their table.
+SLOT, BUCKET, CHUNK, SOURCES, SALT = 4096, 1024, 1 << 16, 100_000, 32
 PHI = (5**0.5 - 1) / 2
 
 
@@ -52,16 +53,24 @@ def sized(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_md5", F.md5(mark))
 
 
-def streams(docs: DataFrame, sources: list[tuple[str | None, int, float]], rows: int) -> DataFrame:
+def _meet(rows: DataFrame, few: DataFrame, on: Column, listed: bool, by: str) -> DataFrame:
+    """``rows`` joined with the rows of sources ``few``: sent to all tasks if ``listed`` (at most SOURCES rows), else by (source, part of ``by``)."""
+    if listed:
+        return rows.join(F.broadcast(few), on)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+    spread = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return salted.join(spread, on & (F.col("_salt") == F.col("_part"))).drop("_salt", "_part")
+
+
+def streams(docs: DataFrame, plan: DataFrame, rows: int, listed: bool = True) -> DataFrame:
     """``sized`` rows with _s (number of the source), source_size, target and _at: words of their source's stream before them.
 
-    Rows of equal id and text have equal sizes, so their order among themselves changes nothing.
+    ``plan``: (_s, _source, source_size, target). Rows of equal id and text have equal sizes, so their order among
+    themselves changes nothing.
     """
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(i, s, n, t) for i, (s, n, t) in enumerate(sources)], "_s int, _source string, source_size long, target double")
     buckets = max(1, -(-rows // BUCKET))
     order = F.shiftright(F.conv(F.substring("_md5", 1, 7), 16, 10).cast("long") * buckets, 28).cast("int")
-    named = docs.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")  # at most SOURCES rows
+    named = _meet(docs, plan, F.col("source").eqNullSafe(F.col("_source")), listed, "_md5").drop("_source")
     dealt = named.withColumn("_bucket", order)
     before = dealt.groupBy("_s", "_bucket").agg(F.sum("_size").alias("n"))
     before = before.select("_s", "_bucket", (F.sum("n").over(Window.partitionBy("_s").orderBy("_bucket")) - F.col("n")).alias("_before"))
@@ -87,27 +96,68 @@ def schedule(spark, wanted: list[float], slot: int = SLOT) -> DataFrame:
                 yield pa.record_batch([pa.array(np.full(len(i), c)), pa.array(i), pa.array(s.astype(np.int32)), pa.array(rank)], names=["chunk", "slot", "_s", "rank"])
 
     chunks = -(-slots // CHUNK)
-    dealt = spark.range(0, chunks, 1, max(1, min(chunks, 10_000))).mapInArrow(deal, "chunk long, slot long, _s int, rank long")
+    return _ranked(spark.range(0, chunks, 1, max(1, min(chunks, 10_000))).mapInArrow(deal, "chunk long, slot long, _s int, rank long"))
+
+
+def _ranked(dealt: DataFrame) -> DataFrame:
+    """(slot, _s, rank) of (chunk, slot, _s, rank within chunk and source)."""
     counts = dealt.groupBy("chunk", "_s").agg(F.count("*").alias("n"))
     counts = counts.select("chunk", "_s", (F.sum("n").over(Window.partitionBy("_s").orderBy("chunk")) - F.col("n")).alias("before"))
     return dealt.join(counts, ["chunk", "_s"]).select("slot", "_s", (F.col("rank") + F.col("before")).alias("rank"))
 
 
-def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(streams of the rows, pieces, slots): pieces (slot, _s, _at, epoch, start, length) are what each slot takes of a row.
+def running(rows: DataFrame, order: Column, value: Column, name: str) -> DataFrame:
+    """The rows with ``name``: the sum of ``value`` over all rows before them in ``order``, which has no ties.
 
-    ``docs`` are ``sized`` rows. Pieces of a row are found by (_s, _at) where _size > 0. Empty texts have no piece; a
-    null source is a source, the last; repeated rows each have their place. An empty table mixes nothing. Targets are
-    taken to the whole word.
+    Rows are sorted into ranges; a range starts from the sum of those before it, which are as many as partitions.
     """
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    found = docs.groupBy("source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).limit(SOURCES + 1).collect()
-    if len(found) > SOURCES:
-        raise ValueError(f"over {SOURCES} sources")
+    held = rows.withColumn("_value", value).repartitionByRange(parts(rows), order)
+    held = save(held.withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = held.groupBy("_range").agg(F.sum("_value").alias("n"))
+    sums = sums.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
+    within = F.sum("_value").over(Window.partitionBy("_range").orderBy(order)) - F.col("_value")
+    return held.withColumn("_in", within).join(F.broadcast(sums), "_range").withColumn(name, F.col("_before") + F.col("_in")).drop("_range", "_value", "_before", "_in")
+
+
+def many_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``targets`` of a table (source, n): adds _s, the source's number, and target.
+
+    Each round raises the words a unit of weight gets by what the sources above their cap leave; it ends when no further one is above.
+    """
+    placed = running(sources, F.col("source").asc_nulls_last(), F.lit(1).cast("long"), "_s")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("_s") % len(weights) + 1).cast("int"))
+    placed = save(placed.withColumn("_s", F.col("_s").cast("int")).withColumn("_w", weight), "sources")
+    unit, above = 0.0, -1
+    while True:
+        over = cap * F.col("n") < F.lit(unit) * F.col("_w")
+        r = placed.agg(F.count_if(over).alias("k"), (share * F.sum("n") - F.coalesce(F.sum(F.when(over, cap * F.col("n"))), F.lit(0.0))).alias("left"), F.sum(F.when(~over, F.col("_w"))).alias("w")).first()
+        if r.k == above or not r.w:
+            break
+        unit, above = r.left / r.w, r.k
+    return placed.withColumn("target", F.least(cap * F.col("n"), F.lit(unit) * F.col("_w"))).drop("_w")
+
+
+def many_scheduled(aims: DataFrame, slot: int = SLOT) -> DataFrame:
+    """``schedule`` of a table (_s, target). Edges are whole thousandths of words, so every point has exactly one source.
+
+    There are as many cells as sources with a share; the points are spread evenly, so the pairs that meet are some two a slot.
+    """
+    some = save(running(aims.select("_s", "target", F.floor(F.col("target") * 1000).cast("long").alias("t")).where("t > 0"), F.col("_s"), F.col("t"), "low"), "edges")
+    sources, whole, total = some.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    slots, wide = int(-(-total // slot)), max(1, -(-whole // max(1, sources)))
+    low, high = F.col("low"), F.col("low") + F.col("t")
+    cells = some.select("_s", low.alias("low"), high.alias("high"), F.explode(F.sequence(F.floor(low / wide), F.floor((high - 1) / wide))).alias("cell"))
+    y = F.least(F.floor(((F.col("id") + 0.5) * PHI) % 1.0 * float(whole)), F.lit(whole - 1)).cast("long")
+    points = aims.sparkSession.range(0, slots, 1, max(1, min(10_000, -(-slots // CHUNK)))).select(F.col("id").alias("slot"), y.alias("y")).withColumn("cell", F.floor(F.col("y") / wide))
+    dealt = points.join(cells, "cell").where("low <= y and y < high").select(F.floor(F.col("slot") / CHUNK).alias("chunk"), "slot", "_s")
+    return _ranked(save(dealt.withColumn("rank", (F.row_number().over(Window.partitionBy("chunk", "_s").orderBy("slot")) - 1).cast("long")), "dealt"))
+
+
+def _listed(spark, found: list) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(plan for ``streams``, slots, blocks (_s, n, words), number of slots) of collected sources."""
     found = sorted(found, key=lambda r: (r.source is None, r.source or ""))
     wanted = targets([r.n for r in found])
-    placed = streams(docs, [(r.source, r.n, t) for r, t in zip(found, wanted, strict=True)], sum(r.rows for r in found))
+    plan = spark.createDataFrame([(i, r.source, r.n, t) for i, (r, t) in enumerate(zip(found, wanted, strict=True))], "_s int, _source string, source_size long, target double")
     slots = save(schedule(spark, wanted), "schedule")
     counted = {r._s: r.n for r in slots.groupBy("_s").agg(F.count("*").alias("n")).collect()}
     last = sum(counted.values())
@@ -115,15 +165,46 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     if extra:
         slots = slots.unionByName(spark.createDataFrame(extra, "slot long, _s int, rank long"))
     blocks = spark.createDataFrame([(s, max(1, counted.get(s, 1)), int(t)) for s, t in enumerate(wanted)], "_s int, n long, words long")
+    return plan, slots, blocks, last + len(extra)
+
+
+def _many(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """As ``_listed``, of a table of sources (source, n)."""
+    aims = save(many_targets(sources), "targets")
+    slots = save(many_scheduled(aims), "schedule")
+    counted = save(slots.groupBy("_s").agg(F.count("*").alias("slots")), "counted")
+    last = slots.count()
+    extra = running(aims.where("target >= 1").join(counted, "_s", "left_anti").select("_s"), F.col("_s"), F.lit(1).cast("long"), "k")
+    extra = save(extra.select((F.col("k") + last).alias("slot"), "_s", F.lit(0).cast("long").alias("rank")), "extra")
+    blocks = aims.join(counted, "_s", "left").select("_s", F.coalesce("slots", F.lit(1)).cast("long").alias("n"), F.floor("target").cast("long").alias("words"))
+    plan = aims.select("_s", F.col("source").alias("_source"), F.col("n").alias("source_size"), "target")
+    return plan, slots.unionByName(extra), blocks, last + extra.count()
+
+
+def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(streams of the rows, pieces, slots): pieces (slot, _s, _at, epoch, start, length) are what each slot takes of a row.
+
+    ``docs`` are ``sized`` rows. Pieces of a row are found by (_s, _at) where _size > 0. Empty texts have no piece; a
+    null source is a source, the last; repeated rows each have their place. An empty table mixes nothing. Targets are
+    taken to the whole word.
+    """
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    sources = docs.groupBy("source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows"))
+    found = sources.limit(SOURCES + 1).collect()
+    listed = len(found) <= SOURCES
+    plan, slots, blocks, count = _listed(spark, found) if listed else _many(save(sources.select("source", "n"), "sources"))
+    placed = streams(docs, plan, sum(r.rows for r in found) if listed else docs.count(), listed)
     epoch = F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch")
-    at = placed.where("_size > 0").select("_s", "_at", "_size", "source_size", epoch).join(F.broadcast(blocks), "_s")
+    at = placed.where("_size > 0").select("_s", "_at", "_size", "source_size", epoch)
+    at = _meet(at, blocks.withColumnRenamed("_s", "_b"), F.col("_s") == F.col("_b"), listed, "_at").drop("_b")
     a = F.col("_at") + F.col("epoch") * F.col("source_size")
     at = at.withColumn("a", a).withColumn("b", F.least(a + F.col("_size"), F.col("words"))).where("a < b")
     # block r has the words [r * words div n, (r + 1) * words div n) of the stream: word x is in block ((x + 1) * n - 1) div words
     at = at.withColumn("rank", F.explode(F.expr("sequence(((a + 1) * n - 1) div words, (b * n - 1) div words)")))
     low, high = F.greatest(F.col("a"), F.expr("rank * words div n")), F.least(F.col("b"), F.expr("(rank + 1) * words div n"))
     cut = at.select("_s", "_at", "epoch", "rank", (low - F.col("a")).alias("start"), (high - low).alias("length"))
-    return placed, cut.join(slots.hint("merge"), ["_s", "rank"]).select("slot", "_s", "_at", "epoch", "start", "length"), last + len(extra)
+    return placed, cut.join(slots.hint("merge"), ["_s", "rank"]).select("slot", "_s", "_at", "epoch", "start", "length"), count
 
 
 def mixed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
