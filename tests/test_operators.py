@@ -4,12 +4,14 @@ import zipfile
 from collections import Counter
 from math import log
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tesserae.config import Config
 from tesserae.functions.dates import normalized_dates  # noqa: F401
 from tesserae.operators import catalog, compare, layout, models, retrieval, sections
 from tesserae.plans import ask as plan
+from tesserae.plans import queries as core
 from tesserae.sources import files
 from tesserae.streaming import ingest
 
@@ -126,6 +128,25 @@ def test_quote(spark):
     assert got == [body.split("\n")[0].strip(), None, None]
 
 
+def test_quote_behind_wide_characters(spark):
+    """A match's place counts UTF-16 units, a substring's characters: each wide one before the quote moved the passage."""
+    body = "\U0001f600\U0001f600 start\n" + "the quoted words of a line " * 3 + "\U0001f600 more\n2. next"
+    df = spark.createDataFrame([("THE quoted  words of a line the quoted words",)], "q string")
+    got = df.select(models.quoted(F.lit(body), F.col("q")).alias("a"), models.quoted(F.lit(body), F.col("q"), loose=False).alias("b"), models.quoted(F.lit(body), F.replace("q", F.lit("  "), F.lit(" ")), loose=False).alias("c")).first()
+    assert got.a == got.c == ("the quoted words of a line " * 3 + "\U0001f600 more") and got.b is None
+
+
+def test_quote_passages_against_sql_on_odd_texts(spark, tmp_path):
+    line = "some words of a line that is long enough to be a quote here:"
+    texts = [f"\U0001f600 first\n{line} on\n3. x", f"head {line[:59]} early\n{line[:59]} and more words\n3. x", f"{line.replace(' ', '  ')}\n{line} b", f"x\n{line[:30]}\u00a0{line} c\n\u00a0 2. d", f"x\n{line} \u0130 e\n\x0b4. f", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = con.execute(core.ORACLES["quote_passage"]).fetchall()
+    got = core.QUERIES["quote_passage"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(wanted) and len(wanted) == 5
+
+
 def docx(parts: str) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
