@@ -40,3 +40,21 @@ def test_no_pairs_of_all_rows_in_the_plan(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     inside = retrieval.knn(df.selectExpr("*", "vec_id % 3 as g"), df.selectExpr("vec_id as query_id", "embedding", "vec_id % 3 as g"), 2, within=("g",))
     assert inside.count() == 200 and inside.where("abs(query_id - vec_id) % 3 <> 0").isEmpty()
+
+
+def test_bm25_of_one_index_by_tasks_and_by_joins(spark, monkeypatch):
+    """A small query set is scored within the rows: the rows of the join, no row for each chunk of each query in a shuffle."""
+    rng = random.Random(4)
+    chunks = spark.createDataFrame([(i, " ".join(rng.choices("a b c d e f g".split(), [9, 5, 2, 1, 1, 1, 1], k=rng.randint(0, 12))) if i % 9 else None) for i in range(300)], "chunk_id long, text string").repartition(5)
+    queries = spark.createDataFrame([(0, "a a c"), (1, "zz"), (2, ""), (3, "d e f zz"), (4, "b")], "query_id long, text string")
+    monkeypatch.setattr(retrieval, "CELLS", 40)
+    for fill in (True, False):
+        got = retrieval.bm25(chunks, queries, 8, fill=fill)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "is_small", lambda df: False)
+            wanted = retrieval.bm25(chunks, queries, 8, fill=fill).collect()
+        row = lambda r: (r.query_id, r["rank"], r.chunk_id, round(r.score, 8) + 0.0)
+        assert sorted(map(row, got.collect())) == sorted(map(row, wanted)) and len(wanted) >= 24
+    assert retrieval.bm25(chunks.limit(0), queries).count() == 0 == retrieval.bm25(chunks, queries.limit(0)).count()
