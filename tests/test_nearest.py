@@ -58,3 +58,21 @@ def test_bm25_of_one_index_by_tasks_and_by_joins(spark, monkeypatch):
         row = lambda r: (r.query_id, r["rank"], r.chunk_id, round(r.score, 8) + 0.0)
         assert sorted(map(row, got.collect())) == sorted(map(row, wanted)) and len(wanted) >= 24
     assert retrieval.bm25(chunks.limit(0), queries).count() == 0 == retrieval.bm25(chunks, queries.limit(0)).count()
+
+
+@pytest.mark.parametrize("parts", [1, 256])
+def test_within_groups_by_blocks(spark, monkeypatch, parts):
+    """Vectors meet the queries of their group in matrix products: no joined row a pair, and the rows of brute force."""
+    rng = random.Random(5)
+    vectors = [(i, [float(rng.randint(-2, 2)) for _ in range(4)], None if i % 13 == 0 else i % 3, "ab"[i % 2]) for i in range(80)] + [(100, None, 1, "a"), (101, [0.0] * 4, 1, "a")]
+    for name, value in (("VECTOR_BLOCK", 30), ("QUERY_BLOCK", 9), ("GROUPS", parts)):
+        monkeypatch.setattr(retrieval, name, value)
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, g int, h string")
+    found = retrieval.knn(df, df.where("vec_id % 4 = 0 and h = 'a'").withColumnRenamed("vec_id", "query_id"), 5, within=("g", "h"))
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+    wanted = set()
+    for g in range(3):
+        own = [(i, v) for i, v, a, b in vectors if a == g and b == "a"]
+        wanted |= brute(own, [x for x in own if x[0] % 4 == 0], 5)
+    assert {(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in found.collect()} == wanted
