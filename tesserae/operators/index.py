@@ -18,7 +18,7 @@ def postings(chunks: DataFrame, index: tuple[str, ...] = ("doc_id",), chunk: str
     A word's hits are an array: an index is a document's, so an array has at most its chunks.
     """
     index = list(index)
-    sized = chunks.select(*index, F.col(chunk).alias("_c"), words(F.col("text")).alias("w"))
+    sized = chunks.select(*index, F.col(chunk).alias("_c"), words(F.col("text")).alias("w")).repartition(*index)  # counted and summed where an index lies
     total = sized.groupBy(*index).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
     tf = sized.select(*index, "_c", F.size("w").alias("dl"), F.explode(counted_words(F.col("w"))).alias("t"))
     hit = F.struct(F.col("_c").cast("int").alias("chunk_id"), F.col("t.n").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))

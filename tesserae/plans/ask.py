@@ -230,7 +230,7 @@ def ask_corpus(corpus: Corpus, questions: DataFrame, models: m.Models = m.Models
     forced = asked.join(scanned, "query_id", "left").withColumn("forced", F.array_distinct(F.concat("titled", F.coalesce("scanned", F.array().cast("array<int>")))))
     groups = _groups(forced, models, answers, ("query_id",)).withColumn("query_id", F.struct(F.col("query_id").alias("q"), "g"))
     fused, hinted = retrieve(corpus, save(groups, "groups"), models, config)
-    fused = rrf(fused.select(F.col("query_id.q").alias("query_id"), F.col("query_id.g").alias("list_no"), "rank", "doc_id", "chunk_id"), ("doc_id", "chunk_id"), config.rrf_k, config.fused)
+    fused = save(rrf(fused.select(F.col("query_id.q").alias("query_id"), F.col("query_id.g").alias("list_no"), "rank", "doc_id", "chunk_id"), ("doc_id", "chunk_id"), config.rrf_k, config.fused), "fused")
     chunks = _chunks(corpus)
     kept = _numbered(drop_low_information(fused.join(chunks, ["doc_id", "chunk_id"])))
     first = drop_low_information(rerank(kept, asked, models, config, answers))
@@ -246,15 +246,20 @@ def ask_corpus(corpus: Corpus, questions: DataFrame, models: m.Models = m.Models
     return _answered(found, models, answers).select("query_id", "doc_id", "route", "context", "blocks", "sources", "answer", "answer_source")
 
 
+def _corpus(sections: DataFrame, chunks: DataFrame, vectors: DataFrame | None, asked: DataFrame) -> Corpus:
+    """The documents asked (doc_id), written once: every search reads them, and no plan holds how they were made."""
+    wanted = save(asked.distinct(), "asked")
+    return Corpus(*(save(df.join(wanted, "doc_id", "left_semi"), name) for df, name in ((sections, "sections"), (chunks, "chunks"))), vectors)
+
+
 def ask(sections: DataFrame, chunks: DataFrame, questions: DataFrame, models: m.Models = m.Models(), config: Config = DEFAULT, vectors: DataFrame | None = None, texts: DataFrame | None = None, answers: Answers | None = None) -> DataFrame:
     """``ask_corpus`` over sections and chunks that no index is written for."""
-    wanted = questions.select("doc_id").distinct()
-    return ask_corpus(Corpus(sections.join(wanted, "doc_id", "left_semi"), chunks.join(wanted, "doc_id", "left_semi"), vectors), questions, models, config, texts, answers)
+    return ask_corpus(_corpus(sections, chunks, vectors, questions.select("doc_id")), questions, models, config, texts, answers)
 
 
 def ask_across(sections: DataFrame, chunks: DataFrame, questions: DataFrame, models: m.Models = m.Models(), config: Config = DEFAULT, vectors: DataFrame | None = None, texts: DataFrame | None = None, answers: Answers | None = None) -> DataFrame:
     """``across_corpus`` over sections and chunks that no index is written for."""
-    return across_corpus(Corpus(sections, chunks, vectors), questions, models, config, texts, answers)
+    return across_corpus(_corpus(sections, chunks, vectors, questions.select(F.explode("doc_ids").alias("doc_id"))), questions, models, config, texts, answers)
 
 
 def across_corpus(corpus: Corpus, questions: DataFrame, models: m.Models = m.Models(), config: Config = DEFAULT, texts: DataFrame | None = None, answers: Answers | None = None) -> DataFrame:
@@ -275,7 +280,7 @@ def across_corpus(corpus: Corpus, questions: DataFrame, models: m.Models = m.Mod
     groups = _groups(scoped, models, answers, ("query_id", "o")).withColumn("query_id", F.struct(F.col("query_id").alias("q"), "o", "g")).drop("o")
     fused, _ = retrieve(corpus, save(groups, "groups"), models, config)
     number = F.col("query_id.o") * (config.subquestions + 1) + F.col("query_id.g")
-    fused = rrf(fused.select(F.col("query_id.q").alias("query_id"), number.alias("list_no"), "rank", "doc_id", "chunk_id"), ("doc_id", "chunk_id"), config.rrf_k, config.fused)
+    fused = save(rrf(fused.select(F.col("query_id.q").alias("query_id"), number.alias("list_no"), "rank", "doc_id", "chunk_id"), ("doc_id", "chunk_id"), config.rrf_k, config.fused), "fused")
     chunks = _chunks(corpus)
     first = rerank(fused.drop("score").join(chunks, ["doc_id", "chunk_id"]), asked, models, config, answers)
     placed = save(add_neighbours(first.select("query_id", "rank", "doc_id", "chunk_id"), chunks, config.neighbours), "placed")

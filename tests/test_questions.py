@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,3 +249,23 @@ def test_files_into_the_library(spark, tmp_path):
     asked = spark.createDataFrame([(1, ids["a"], ids["b"], "что изменилось"), (2, ids["a"], "none", "x")], "query_id int, left_doc_id string, right_doc_id string, text string")
     got = {r.query_id: r for r in library.compare(asked).collect()}
     assert got[1].answer == "Измененных разделов: 0." and got[1].context.startswith("META:\nleft_document_name=a") and got[2].error
+
+
+def test_questions_read_a_written_corpus(spark, monkeypatch):
+    """Searches read written sections and chunks of the documents asked: no plan cuts documents again, or those not asked."""
+    seen = []
+    for name in ("ask_corpus", "across_corpus"):
+        monkeypatch.setattr(ask, name, lambda corpus, *a: seen.append(corpus))
+    sections, chunks = ask.index_documents(documents(spark))
+    ask.ask(sections, chunks, asked(spark, [(1, 2, "price")]))
+    ask.ask_across(sections, chunks, spark.createDataFrame([(1, [2, 9, 2], "price")], "query_id int, doc_ids array<int>, text string"))
+    for corpus in seen:
+        for df in (corpus.sections, corpus.chunks):
+            assert df.select("doc_id").distinct().collect() == [(2,)] and "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    assert len(seen) == 2
+
+
+def test_bm25_deals_an_index_once(spark):
+    df = spark.range(50).selectExpr("id % 5 as doc_id", "id as chunk_id", "'a b' as text")
+    plan = retrieval.bm25(df, df.selectExpr("chunk_id as query_id", "doc_id", "'a' as text"), 3, ("doc_id",), fill=False)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\((doc_id#\d+L?, word|word)", plan)
