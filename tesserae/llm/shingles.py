@@ -1,6 +1,6 @@
-"""Near-duplicates by Jaccard similarity of five-word shingles: MinHash bands find candidates, which are verified exactly.
+"""Near-duplicates by Jaccard similarity of five-word shingles: Golay keys of SimHash fingerprints and MinHash bands find candidates, which are verified exactly.
 
-Pairs at a similarity of 0.8 share one of the BANDS keys (ROWS least hashes each) with probability 1 - (1 - 0.8**5)**28,
+Classes whose fingerprints Golay keys link, or that share a fingerprint, are candidates first. Pairs at a similarity of 0.8 share one of the BANDS keys (ROWS least hashes each) with probability 1 - (1 - 0.8**5)**28,
 over 0.9999; Golay keys reach four of 64 bits, and such pairs differ in about 10. Texts of equal shingles are one class
 beforehand. Of a key's many classes, neighbours in a hashed order are verified first; then all pairs of a key that are not
 yet in one component, so a group of near copies never becomes all its pairs and no candidate is left out.
@@ -14,7 +14,7 @@ other pair is made, and none that would be verified is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,19 +69,21 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32), pa.array(flat))
 
 
-def sketches(docs: DataFrame, key: str) -> DataFrame:
-    """(key, digest: XXH64 of the text, fp: XXH64 of its shingles, n: their number, bands) of each row; a null text is empty."""
+def sketches(docs: DataFrame, key: str, fingerprint: Callable[[bytes], int]) -> DataFrame:
+    """(key, digest: XXH64 of the text, fp: XXH64 of its shingles, n: their number, bands, sim: ``fingerprint``) of each row; a null text is empty."""
     arrow_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            sets = [shingles(t) for t in raw(b.column("text"))]
+            texts = raw(b.column("text"))
+            sets = [shingles(t) for t in texts]
+            sim = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             full = [x for x in sets if len(x)]
             keys = iter(bands(full))
-            yield pa.record_batch([b.column("key"), b.column("digest"), pa.array(np.array([_named(x) for x in sets], np.uint64).view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), _lists([next(keys) if len(x) else x for x in sets])], names=["key", "digest", "fp", "n", "bands"])
+            yield pa.record_batch([b.column("key"), b.column("digest"), pa.array(np.array([_named(x) for x in sets], np.uint64).view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), _lists([next(keys) if len(x) else x for x in sets]), pa.array(sim)], names=["key", "digest", "fp", "n", "bands", "sim"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("digest"), "text").mapInArrow(run, f"key {kind}, digest long, fp long, n long, bands array<long>").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("digest"), "text").mapInArrow(run, f"key {kind}, digest long, fp long, n long, bands array<long>, sim long").withColumnRenamed("key", key)
 
 
 def _sets(docs: DataFrame, key: str, rows: DataFrame, met: DataFrame) -> DataFrame:
@@ -171,13 +173,29 @@ class Crowds:
         return sparse.unionByName(rare).unionByName(dense).distinct()
 
 
-def classes(docs: DataFrame, key: str, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(rows with digest and fp, (fp, root: the least fp that links of at least ``similarity`` reach))."""
-    rows = save(sketches(docs, key), "sketches")
+def near(rows: DataFrame, links: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes by their fingerprints (rows: fp, n, sim): those of ``links`` between fingerprints, by one class of each, and classes that follow each other in one fingerprint."""
+    named = save(rows.where("n > 0").select("sim", "fp", "n").distinct(), "named")
+    one = named.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("c"))
+    a, b = (one.select(F.col("sim").alias(s), F.col("c").alias(f"c_{s}")) for s in "ab")
+    linked = links(one.select(F.col("sim").alias("fp"))).join(a, "a").join(b, "b").select("c_a", "c_b")
+    linked = linked.where(F.least("c_a.n", "c_b.n") / F.greatest("c_a.n", "c_b.n") >= similarity)
+    linked = linked.select(F.least("c_a.fp", "c_b.fp").alias("a"), F.greatest("c_a.fp", "c_b.fp").alias("b")).where("a < b")
+    return linked.unionByName(_chained(named.select(F.col("sim").alias("band"), "fp"))).distinct()
+
+
+def classes(docs: DataFrame, key: str, similarity: float, fingerprint: Callable[[bytes], int], links_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows with digest and fp, (fp, root: the least fp that links of at least ``similarity`` reach)).
+
+    ``links_of``: the links between fingerprints, which are the first candidates.
+    """
+    rows = save(sketches(docs, key, fingerprint), "sketches")
+    close = save(near(rows, links_of, similarity), "near")
     keys = rows.select("fp", "n", "bands").dropDuplicates(["fp"]).select("fp", "n", F.explode("bands").alias("band"))
     met = save(keys.join(keys.groupBy("band").count().where("count > 1").select("band"), "band", "left_semi").select("band", "fp", "n"), "met")
-    sets = save(_sets(docs, key, rows, met), "sets")
-    tested = save(_chained(met), "pairs")
+    wanted = met.select("fp").unionByName(close.select(F.explode(F.array("a", "b")).alias("fp")))
+    sets = save(_sets(docs, key, rows, wanted), "sets")
+    tested = save(_chained(met).unionByName(close).distinct(), "pairs")
     links = save(_verified(tested, sets, similarity), "links")
     root = components(links, "a", "b")
     placed = save(met.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root")), "placed")

@@ -266,13 +266,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def representatives(docs: DataFrame, key: str = "doc_id", similarity: float | None = None) -> DataFrame:
     """One row of each component: that of the smallest key (null last), of the smallest text digest among equals.
 
-    With a ``similarity``, components are linked by that Jaccard similarity of five-word shingles instead of fingerprints.
+    With a ``similarity``, components are linked by that Jaccard similarity of five-word shingles: ``links`` of fingerprints are
+    the first candidates, MinHash keys find those beyond BITS.
     Columns may have any names and types.
     """
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_key", F.col(f"c{names.index(key)}")).withColumn("text", F.col(f"c{names.index('text')}"))
     keyed = plain.select("_key", "text")
-    rows, named = _classes(keyed, "_key") if similarity is None else shingles.classes(keyed, "_key", similarity)
+    rows, named = _classes(keyed, "_key") if similarity is None else shingles.classes(keyed, "_key", similarity, fingerprint, links)
     least = rows.groupBy("fp").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), "digest")).alias("w"))
     won = least.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("w").alias("w"))
     won = won.select(F.col("w.key").alias("_won"), F.col("w.digest").alias("_digest"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from tesserae.llm import audio, chat, common, lattice, mixing, neighbours, packing, quality, queries, simhash, substring, urls
+from tesserae.llm import audio, chat, common, lattice, mixing, neighbours, packing, quality, queries, shingles, simhash, substring, urls
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -647,6 +647,23 @@ def test_representatives_by_similarity(spark):
     assert simhash.representatives(empty(spark), similarity=0.8).count() == 0
 
 
+def test_representatives_start_from_golay_links(spark, monkeypatch):
+    """Pairs that fingerprints link are candidates without any MinHash key, and what is not alike enough is dropped again."""
+    rng = random.Random(4)
+    words = [f"v{rng.randint(0, 10**6)}" for _ in range(400)]
+    other = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    texts = [" ".join(words), " ".join(words).upper(), " ".join([*words[:-1], "last"]), " ".join(other), "", " ".join([*other, *other[:1]])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketched = shingles.sketches(rows, "doc_id", simhash.fingerprint)
+    fp = {r.doc_id: r.fp for r in sketched.collect()}
+    pairs = {(r.a, r.b) for r in shingles.near(sketched, simhash.links, 0.8).collect()}
+    assert pairs == {tuple(sorted((fp[0], fp[2]))), tuple(sorted((fp[3], fp[5])))} and fp[0] == fp[1]
+    monkeypatch.setattr(shingles, "_chained", lambda met: met.sparkSession.createDataFrame([], "a long, b long"))
+    asked = []
+    monkeypatch.setattr(simhash, "links", lambda fps, links=simhash.links: (asked.append(fps.count()), links(fps))[1])
+    assert sorted(r.doc_id for r in simhash.representatives(rows, similarity=0.8).collect()) == [0, 3, 4] and asked
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (200, 200)] + [(300, 301 + i) for i in range(50)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
