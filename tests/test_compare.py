@@ -133,3 +133,33 @@ def test_written_reports(spark, tmp_path):
     assert [s["section_title"] for s in whole["sections"]] == ["One", "Two", "Gone", "New <x>", "Section 5"] and whole["documents"]["left_document_name"] == "doc"
     page = read["name=a__b.html"]
     assert "<title>A &amp; B</title>" in page and "New &lt;x&gt; <span class='badge'>changed</span>" in page and page.count("<tr class=") == 5 and "<span class='diff-removed'>old</span>" in page
+
+
+def test_sides_are_dealt_once(spark):
+    """Sections are paired, numbered and compared where they lie: one exchange, no join; null documents meet none."""
+    rows = [(d, i, f"t{i % 2}", f"text ({i} )") for d in ("a", "b", None) for i in range(5)]
+    left = spark.createDataFrame(rows, SECTION)
+    right = left.where("section_id <> 1").withColumn("page_content", F.when(F.col("section_id") == 2, "1. x\n\n2. y").otherwise(F.col("page_content")))
+    done = compare.compare_documents(left, right)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    pairs = compare.pair_sections(compare.section_blocks(left), compare.section_blocks(right), ("doc_id",))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    got = sorted((str(r.doc_id), r.position, r.left_section_id, r.right_section_id, r.left_text, r.right_display_text) for r in pairs.collect())
+    one = [(1, 0, 0, "text (0)", "text (0)"), (2, 1, 3, "text (1)", "text (3)"), (3, 2, 2, "text (2)", "1. x\n\n2. y"), (4, 3, None, "text (3)", None), (5, 4, 4, "text (4)", "text (4)")]
+    null = [(i + 1, i, None, f"text ({i})", None) for i in range(5)] + [(6 + n, None, i, None, t) for n, (i, t) in enumerate([(0, "text (0)"), (2, "1. x\n\n2. y"), (3, "text (3)"), (4, "text (4)")])]
+    assert got == sorted([("None", *r) for r in null] + [(d, *r) for d in "ab" for r in one], key=lambda r: (r[0], r[1]))
+    html_ = {(r.doc_id, r.position): r for r in done.collect()}
+    assert len(html_) == 19 and html_["a", 3].right_html.count("class='point'") == 2 and html_["a", 3].section_title == "t0" and html_["a", 3].right_text == "1. x\n\n2. y"
+
+
+def test_plain_texts_are_not_searched_by_patterns(spark):
+    odd = ["", " ", "a", "a b", " a", "a ", " a", "a ", "a  b", "a\tb", "a\nb", "a\r\nb", "a\n\n\nb", "a-b", "a – b", "( a )", "[ 1 ]", "a]", "x )", "\u0085", None]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    t, x = compare.normalize_text.__globals__, F.col("x")
+    whole = t["_spacing"](F.regexp_replace(t["_brackets"](F.regexp_replace(t["_punctuation"](x), r"(?<!\n)\n(?!\n)", " ")), r"(?U)\s*-\s*", " - "))
+    shown = t["_spacing"](t["_brackets"](t["_punctuation"](x)))
+    got = df.select("x", compare.normalize_text(x).alias("a"), whole.alias("b"), compare.normalize_display_text(x).alias("c"), shown.alias("d"))
+    assert got.where("not (a <=> b) or not (c <=> d)").isEmpty()
+    assert "contains" in df.select(compare.normalize_text(x))._jdf.queryExecution().analyzed().toString()
