@@ -1,6 +1,7 @@
 import difflib
 import html
 import json
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -163,3 +164,14 @@ def test_plain_texts_are_not_searched_by_patterns(spark):
     got = df.select("x", compare.normalize_text(x).alias("a"), whole.alias("b"), compare.normalize_display_text(x).alias("c"), shown.alias("d"))
     assert got.where("not (a <=> b) or not (c <=> d)").isEmpty()
     assert "contains" in df.select(compare.normalize_text(x))._jdf.queryExecution().analyzed().toString()
+
+
+def test_blocks_are_those_of_difflib():
+    rng = random.Random(3)
+    for n in range(3000):
+        words = "abcdefghij"[: rng.randint(1, 10)]
+        a, b = ([w for _ in range(rng.randint(0, 25)) for w in (rng.choice(words), " ")[: rng.randint(1, 2)]] for _ in range(2))
+        if n % 3 == 0:
+            b = a[: rng.randint(0, len(a))] + b + a[rng.randint(0, len(a)) :]
+        whole = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        assert compare.matching_blocks(a, b, whole.b2j) == [tuple(x) for x in whole.get_matching_blocks()]
