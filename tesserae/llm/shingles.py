@@ -3,7 +3,8 @@
 Classes whose fingerprints Golay keys link, or that share a fingerprint, are candidates first. Pairs at a similarity of 0.8 share one of the BANDS keys (ROWS least hashes each) with probability 1 - (1 - 0.8**5)**28,
 over 0.9999; Golay keys reach four of 64 bits, and such pairs differ in about 10. Texts of equal shingles are one class
 beforehand. Of a key's many classes, neighbours in a hashed order are verified first; then all pairs of a key that are not
-yet in one component, so a group of near copies never becomes all its pairs and no candidate is left out.
+yet in one component, so a group of near copies never becomes all its pairs and no candidate is left out. The order is the
+same in all keys: classes that share several are mostly neighbours in each, and their pair is made once, not a pair a key.
 
 A passage that many documents share gives them keys in common though they are unlike. Among the classes of crowded keys,
 two that are alike therefore either share a rare shingle (of at most RARE of these classes) among the rarest of both, and
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, components, raw, save, slices
+from .common import arrow_limits, components, raw, save, slices, stars
 
 SHINGLE, BANDS, ROWS = 5, 28, 5
 #: Classes of a key above which it is crowded; classes of a shingle up to which it is rare.
@@ -102,7 +103,7 @@ def _sets(docs: DataFrame, key: str, rows: DataFrame, met: DataFrame) -> DataFra
 
 
 def _chained(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that follow each other among those of a key; a crowded key is dealt to many tasks."""
+    """Pairs (a, b) of classes that follow each other, in one order for all keys, among those of a key; a crowded key is dealt to many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -117,7 +118,7 @@ def _chained(met: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = met.select("band", "fp", F.xxhash64("fp", "band").alias("place")).repartitionByRange(n, "band", "place")
+    placed = met.select("band", "fp", F.xxhash64("fp").alias("place")).repartitionByRange(n, "band", "place")
     return placed.sortWithinPartitions("band", "place").select("band", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -196,18 +197,17 @@ def classes(docs: DataFrame, key: str, similarity: float, fingerprint: Callable[
     wanted = met.select("fp").unionByName(close.select(F.explode(F.array("a", "b")).alias("fp")))
     sets = save(_sets(docs, key, rows, wanted), "sets")
     tested = save(_chained(met).unionByName(close).distinct(), "pairs")
-    links = save(_verified(tested, sets, similarity), "links")
-    root = components(links, "a", "b")
+    root = components(stars(save(_verified(tested, sets, similarity), "links")), "a", "b")
+    held = root.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")  # links so far, one a class
     placed = save(met.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root")), "placed")
     split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     crowds = Crowds(save(placed.join(split, "band", "left_semi"), "open"), sets, similarity)
     if not crowds.full.isEmpty():
         centred = save(crowds.centres().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(centred)
-        links = links.unionByName(save(_verified(centred, sets, similarity), "links"))
-        root = components(links, "a", "b")
+        root = components(stars(save(held.unionByName(_verified(centred, sets, similarity)), "links")), "a", "b")
+        held = root.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
     rest = crowds.candidates(root).join(tested, ["a", "b"], "left_anti")
-    more = save(_verified(rest, sets, similarity), "links")
-    root = components(links.unionByName(more), "a", "b")
+    root = components(stars(save(held.unionByName(_verified(rest, sets, similarity)), "links")), "a", "b")
     named = rows.select("fp").distinct().join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return rows.select(key, "digest", "fp"), save(named, "classes")
