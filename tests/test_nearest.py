@@ -76,3 +76,18 @@ def test_within_groups_by_blocks(spark, monkeypatch, parts):
         own = [(i, v) for i, v, a, b in vectors if a == g and b == "a"]
         wanted |= brute(own, [x for x in own if x[0] % 4 == 0], 5)
     assert {(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in found.collect()} == wanted
+
+
+def test_bm25_cuts_words_within_the_tasks(spark, monkeypatch):
+    """Frequencies and scores come from the texts, cut in the tasks as Spark's split does; no row a word of a chunk is made."""
+    blank = ["", " ", "\n\t", None, "a\x0bb", "a\xa0b", " a  b ", "\x1ca b", "a\u2003b", "\x85b", "ä a\r\nb\fa", "a a a"]
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(blank * 3)], "chunk_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(0, "a b"), (1, "a\xa0b \x1ca"), (2, "ä"), (3, "\x85b a\u2003b")], "query_id long, text string")
+    monkeypatch.setattr(retrieval, "TEXT", 8)
+    plans, real = [], retrieval.save
+    monkeypatch.setattr(retrieval, "save", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    got = retrieval.bm25(chunks, queries, 5)
+    assert len(plans) == 1 and "MapInArrow" in plans[0] and plans[0].count("Generate") == 1  # that of the questions
+    row = lambda r: (r.query_id, r["rank"], r.chunk_id, round(r.score, 8) + 0.0)
+    monkeypatch.setattr(retrieval, "is_small", lambda df: False)
+    assert sorted(map(row, got.collect())) == sorted(map(row, retrieval.bm25(chunks, queries, 5).collect()))
