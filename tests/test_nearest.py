@@ -91,3 +91,22 @@ def test_bm25_cuts_words_within_the_tasks(spark, monkeypatch):
     row = lambda r: (r.query_id, r["rank"], r.chunk_id, round(r.score, 8) + 0.0)
     monkeypatch.setattr(retrieval, "is_small", lambda df: False)
     assert sorted(map(row, got.collect())) == sorted(map(row, retrieval.bm25(chunks, queries, 5).collect()))
+
+
+def test_sections_are_summed_and_ranked_within_the_tasks(spark, monkeypatch):
+    """Sections of a document and a section's several rows may lie in different blocks: the rows of the join, nothing but sections shuffled."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choices("alpha beta gamma alphabet nananana delta".split(), k=n))
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5]), rng.choice([None, *range(7)]), rng.choice([None, say(2)]), say(rng.randint(0, 6))) for _ in range(150)]
+    sections = spark.createDataFrame(rows, "doc_id long, section_id int, section_title string, page_content string").repartition(4)
+    queries = spark.createDataFrame([(7, "alpha beta"), (8, "nana alpha alpha"), (9, "omega"), (None, "bet gamma"), (8, "delta")], "query_id long, text string")
+    for cells in (1, 40, 1 << 19):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        got = retrieval.scan_sections(sections, queries, 3)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "is_small", lambda df: False)
+            wanted = retrieval.scan_sections(sections, queries, 3).collect()
+        assert sorted(map(str, got.collect())) == sorted(map(str, wanted)) and len(wanted) > 40
+    assert retrieval.scan_sections(sections.limit(0), queries).count() == 0 == retrieval.scan_sections(sections, queries.limit(0)).count()
