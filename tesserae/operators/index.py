@@ -4,29 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT
-from .retrieval import EPSILON, K1, B, counted_words, small, words
+from . import indexed
+from .retrieval import K1, B, small, words
 
 POSTINGS = "doc_id string, level string, word string, idf double, avgdl double, hits array<struct<chunk_id: int, tf: int, dl: int>>"
 SIZES = "doc_id string, level string, ids array<int>"
 
 
-def postings(chunks: DataFrame, index: tuple[str, ...] = ("doc_id",), chunk: str = "chunk_id") -> DataFrame:
+def postings(chunks: DataFrame, index: tuple[str, ...] = ("doc_id",), chunk: str = "chunk_id", dealt: bool = False) -> DataFrame:
     """(index, word, idf, avgdl, hits): for each word of each index its weight and the chunks that have it.
 
-    A word's hits are an array: an index is a document's, so an array has at most its chunks.
+    A word's hits are an array: an index is a document's, so an array has at most its chunks. Texts are dealt by index, unless they
+    are ``dealt`` so that each index lies in one task; its words are counted there, and the rows stay there.
     """
-    index = list(index)
-    sized = chunks.select(*index, F.col(chunk).alias("_c"), words(F.col("text")).alias("w")).repartition(*index)  # counted and summed where an index lies
-    total = sized.groupBy(*index).agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    tf = sized.select(*index, "_c", F.size("w").alias("dl"), F.explode(counted_words(F.col("w"))).alias("t"))
-    hit = F.struct(F.col("_c").cast("int").alias("chunk_id"), F.col("t.n").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
-    by_word = tf.groupBy(*index, F.col("t.word").alias("word")).agg(F.array_sort(F.collect_list(hit)).alias("hits")).join(total, index)
-    raw = by_word.withColumn("raw", F.log(F.col("n") - F.size("hits") + 0.5) - F.log(F.size("hits") + 0.5))
-    mean = raw.groupBy(*index).agg(F.avg("raw").alias("mean"))
-    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return raw.join(mean, index).select(*index, "word", idf.alias("idf"), "avgdl", "hits")
+    rows = chunks.dropna(subset=list(index)).select(*index, F.col(chunk).cast("int").alias("_chunk"), "text")
+    hits = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("chunk_id", "tf", "dl")]))
+    kind = T.StructType([*(T.StructField(c, rows.schema[c].dataType) for c in index), T.StructField("word", T.StringType()), T.StructField("idf", T.DoubleType()), T.StructField("avgdl", T.DoubleType()), T.StructField("hits", hits)])
+    return indexed.postings(rows if dealt else rows.repartition(*index), list(index), kind)
 
 
 def sizes(chunks: DataFrame, index: tuple[str, ...] = ("doc_id",), chunk: str = "chunk_id") -> DataFrame:
@@ -43,7 +40,8 @@ def search(posted: DataFrame, sized: DataFrame, queries: DataFrame, k: int = DEF
     index = list(index)
     on = [c for c in index if c in queries.columns]
     wanted = queries.select("query_id", *on, F.explode(words(F.col("text"))).alias("word")).groupBy("query_id", *on, "word").agg(F.count("*").alias("q"))
-    found = posted.join(wanted, [*on, "word"]).select("query_id", *index, "q", "idf", "avgdl", F.explode("hits").alias("h"))
+    told = small(wanted.select("word").distinct())  # before the join, which moves what is left of the postings
+    found = posted.join(told, "word", "left_semi").join(wanted, [*on, "word"]).select("query_id", *index, "q", "idf", "avgdl", F.explode("hits").alias("h"))
     tf, dl = F.col("h.tf"), F.col("h.dl")
     part = F.col("q") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     scored = found.groupBy("query_id", *index, F.col("h.chunk_id").alias("c")).agg(F.round(F.sum(part), 9).alias("s"))

@@ -61,11 +61,11 @@ class Library:
         summed = sections.select("doc_id", F.col("section_id").alias("chunk_id"), F.col("summary").alias("text"))
         levels = chunks.select("doc_id", "chunk_id", "text", F.lit("chunk").alias("level")).unionByName(summed.withColumn("level", F.lit("summary")))
         both = ("doc_id", "level")
-        made = {"catalog": good, "sections": sections, "chunks": chunks, "postings": ix.postings(levels, both), "sizes": ix.sizes(levels, both), "errors": bad.select("doc_id", "source", F.lit("read").alias("stage"), "error")}
+        made = {"catalog": good, "sections": sections, "chunks": chunks, "postings": ix.postings(self.tables.deal(levels, "doc_id"), both, dealt=True), "sizes": ix.sizes(levels, both), "errors": bad.select("doc_id", "source", F.lit("read").alias("stage"), "error")}
         if self.models.embed:
             made["vectors"] = self._embedded(chunks, "chunk_id", F.col("text"))
             made["summary_vectors"] = self._embedded(sections, "section_id", F.col("summary"))
-        return self.tables.commit(made, {"errors": good.select("doc_id"), **({} if self.models.embed else {"vectors": good.select("doc_id"), "summary_vectors": good.select("doc_id")})}, at)
+        return self.tables.commit(made, {"errors": good.select("doc_id"), **({} if self.models.embed else {"vectors": good.select("doc_id"), "summary_vectors": good.select("doc_id")})}, at, ("postings",))
 
     def ingest_folder(self, path: str, folder: str = "", version: str = "1", originals: str | None = None) -> int:
         """``ingest`` of all accepted files below ``path``; with ``originals`` each is copied there and named in the catalogue."""

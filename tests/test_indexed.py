@@ -7,7 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.operators import index as ix
 from tesserae.operators import indexed, retrieval
+from tesserae.storage import Tables
 
 
 def row(r):
@@ -56,3 +58,26 @@ def test_only_counts_are_held_of_an_index(monkeypatch):
     assert out.select(["_query", "doc_id", "rank"]).to_pylist() == [{"_query": 5, "doc_id": 1, "rank": 1}, {"_query": 5, "doc_id": 1, "rank": 2}]
     last = held[-1]
     assert len(last.doc) == 1000 == len(last.row) and len(last.vocabulary) == 7 == len(last.key) and np.all(last.tf >= 5)
+
+
+def test_postings_are_made_and_written_where_their_texts_lie(spark, tmp_path):
+    """Texts are shuffled once, postings neither aggregated nor shuffled nor sorted; a search moves only those of its words."""
+    chunks = spark.createDataFrame([(str(d), i, ["a b a", "b c", None, "x\u2003y a", ""][(d + i) % 5]) for d in range(40) for i in range(4)], "doc_id string, chunk_id long, text string").withColumn("level", F.lit("chunk"))
+    tables = Tables(spark, f"file://{tmp_path}/t", {"postings": (ix.POSTINGS, "doc_id")}, 4)
+    plans, write = [], tables._write
+    tables._write = lambda name, rows, *a: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(name, rows, *a)
+    dealt, levels = tables.deal(chunks, "doc_id"), ("doc_id", "level")
+    tables.commit({"postings": ix.postings(dealt, levels, dealt=True)}, dealt=("postings",))
+    assert plans[0].count("Exchange") == 1 and "Aggregate" not in plans[0] and "Generate" not in plans[0]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    posted = tables.read("postings")
+    assert sorted(map(str, posted.collect())) == sorted(map(str, ix.postings(chunks, levels).select(*posted.columns).collect()))
+    words = {(str(d), w): [i for i in range(4) if w in (["a b a", "b c", "", "x\u2003y a", ""][(d + i) % 5]).split(" ")] for d in range(40) for w in ("a", "b", "c", "x\u2003y")}
+    assert {(r.doc_id, r.word): [h.chunk_id for h in r.hits] for r in posted.collect()} == {key: at for key, at in words.items() if at}
+    one = posted.where("doc_id = '0' and word = 'a'").first()
+    assert [tuple(h) for h in one.hits] == [(0, 2, 3), (3, 1, 2)] and one.avgdl == 7 / 4 and one.idf == 0  # in two of four chunks
+    tables.commit({"postings": posted.where("doc_id = '1'").limit(1)}, {"postings": chunks.where("doc_id = '2'")})  # as other rows
+    assert tables.read("postings").where("doc_id = '1'").count() == 1 and tables.read("postings").where("doc_id = '2'").isEmpty()
+    queries = spark.createDataFrame([(i, str(i), "a c") for i in range(40)], "query_id int, doc_id string, text string")
+    plan = ix.search(posted, ix.sizes(chunks, levels), queries)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan
