@@ -14,7 +14,7 @@ from ..functions.text import collapse, normalize_query, strip, strip_bullets, un
 from ..operators import models as m
 from ..operators.dates import date_evidence, date_reply, date_snippets, merged_dates
 from ..operators.index import search
-from ..operators.retrieval import add_neighbours, bm25, build_context, cite, drop_low_information, inject_hints, knn, rrf, scan_sections
+from ..operators.retrieval import BROADCAST_BYTES, add_neighbours, bm25, build_context, cite, drop_low_information, inject_hints, knn, rrf, scan_sections
 from ..operators.sections import chunk_sections, outline, split_into_sections, summaries
 from ..operators.stages import Answers
 from ..storage import save
@@ -262,6 +262,22 @@ def ask_across(sections: DataFrame, chunks: DataFrame, questions: DataFrame, mod
     return across_corpus(_corpus(sections, chunks, vectors, questions.select(F.explode("doc_ids").alias("doc_id"))), questions, models, config, texts, answers)
 
 
+def documents_asked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` whose doc_id is in ``ids``: found where they are read, by ids that go to all tasks if they are few bytes, so texts are not shuffled for it."""
+    wanted = save(ids.select("doc_id").where("doc_id is not null").distinct(), "asked")
+    size = wanted.agg(F.sum(16 + F.length(F.col("doc_id").cast("string")))).first()[0] or 0
+    return docs.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, "doc_id", "left_semi")
+
+
+def across_documents(docs: DataFrame, questions: DataFrame, models: m.Models = m.Models(), config: Config = DEFAULT, texts: DataFrame | None = None, answers: Answers | None = None) -> DataFrame:
+    """``across_corpus`` over documents (doc_id, text) that are not cut yet: those asked are, and written once."""
+    answers = answers or Answers(questions.sparkSession)
+    sections, _ = index_documents(documents_asked(docs, questions.select(F.explode("doc_ids").alias("doc_id"))), config, models, None, answers)
+    sections = save(sections, "sections")
+    chunks = save(chunk_sections(sections, config=config).withColumnRenamed("page_content", "text"), "chunks")
+    return across_corpus(Corpus(sections, chunks), questions, models, config, texts, answers)
+
+
 def across_corpus(corpus: Corpus, questions: DataFrame, models: m.Models = m.Models(), config: Config = DEFAULT, texts: DataFrame | None = None, answers: Answers | None = None) -> DataFrame:
     """(query_id, route, context, blocks, sources, documents, answer, answer_source) of each question (query_id, doc_ids, text[, mode]) over several documents.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import index as ix
 from tesserae.operators import indexed, retrieval
+from tesserae.plans import ask
 from tesserae.storage import Tables
 
 
@@ -81,3 +82,16 @@ def test_postings_are_made_and_written_where_their_texts_lie(spark, tmp_path):
     queries = spark.createDataFrame([(i, str(i), "a c") for i in range(40)], "query_id int, doc_id string, text string")
     plan = ix.search(posted, ix.sizes(chunks, levels), queries)._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi, BuildRight" in plan
+
+
+def test_only_documents_asked_are_cut(spark, monkeypatch):
+    """Documents that no question asks are left out before texts are cut into chunks and dealt, with the same answers."""
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("# Price\nThe price of lot "), F.col("id").cast("string"), F.lit(" is "), F.expr("repeat('high and ', 30)"), F.lit("fair.\n# Place\n"), F.expr("repeat('In the harbour. ', 40)")).alias("text"))
+    questions = spark.createDataFrame([(1, [3, 7, 3], "what is the price of lot"), (2, [7, 99, None], "harbour"), (3, [], "price")], "query_id int, doc_ids array<int>, text string")
+    seen, cut = [], ask.chunk_sections
+    monkeypatch.setattr(ask, "chunk_sections", lambda sections, **k: seen.append(sections) or cut(sections, **k))
+    got = ask.across_documents(docs, questions)
+    assert seen[-1].select("doc_id").distinct().count() == 2 and "ArrowEvalPython" not in seen[-1]._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, ask.ask_across(*ask.index_documents(docs), questions).collect())) and got.where("blocks > 0").count() == 2
+    plan = ask.documents_asked(docs, questions.select(F.explode("doc_ids").alias("doc_id")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
